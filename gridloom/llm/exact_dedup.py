@@ -56,6 +56,7 @@ def group_state(keys_path: str, schema: str, keys: DataFrame) -> DataFrame:
     spark = keys.sparkSession
     own = spark.newSession()  # the provider is set for this query alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small stores take what they hold
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     at = scratch(spark, "dedup-state")
     stream = own.readStream.schema(schema).parquet(keys_path)
