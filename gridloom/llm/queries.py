@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontamination, exact_dedup, packing, sharding, token_counts, url_filters
+from gridloom.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, token_counts, url_filters
 from gridloom.llm._util import table
 
 
@@ -112,6 +112,32 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[pos : pos + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+reach AS (
+  SELECT doc_id AS start, doc_id AS at_id FROM d
+  UNION SELECT start, b FROM reach JOIN links ON a = at_id),
+least_id AS (SELECT start, min(at_id) AS component_id FROM reach GROUP BY start)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least_id ON start = d.doc_id
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -133,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -140,5 +167,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op5_url_filters": OP5_SQL,
     "op6_chat_format": OP6_SQL,
+    "op8_near_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
