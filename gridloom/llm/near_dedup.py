@@ -30,57 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._hashing import PRIME, WHITE, mixed, word_hashes
 from gridloom.llm._util import cut, stage
 
 BITS = 4
 LANES = 64 // BITS
 FILTER_BITS = 1 << 26
-PRIME = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, PRIME, np.uint64)])
-                self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(PRIME, -1, 1 << 64), np.uint64)])
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
-    data = np.frombuffer(text.encode().lower(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    edge = np.diff(np.r_[True, SPACE[data], True].view(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = POWERS.to(len(data) + 1)
-    upto = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=upto[1:])
-    return mixed((upto[end] - upto[begin]) * down[begin])
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """The document's set: sorted distinct 64-bit hashes of its runs of ``k`` words."""
-    words = word_hashes(text) if text else np.zeros(0, np.uint64)
+    """The document's set: sorted distinct 64-bit hashes of its runs of ``k`` words (A-Z as a-z)."""
+    words = word_hashes((text or "").encode().lower(), WHITE)
     if not len(words):
         return words
     width = min(k, len(words))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, token_counts, url_filters
+from gridloom.llm import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, token_counts, url_filters
 from gridloom.llm._util import table
 
 
@@ -138,6 +138,13 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least_id ON start = d.doc_id
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -160,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

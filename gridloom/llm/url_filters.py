@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._hashing import PRIME, mixed
 from gridloom.llm._util import ascii_lower, cut
 
 #: Rules as (host and path, verdict); the longest that fits wins.
@@ -56,15 +57,9 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def positions(one: np.ndarray, two: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
     """``k`` bit numbers of each key, different at every level."""
-    salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    salt = np.uint64((level + 1) * PRIME & (1 << 64) - 1)
     a, b = mixed(one ^ salt), mixed(two + salt) | np.uint64(1)
     return (a[:, None] + np.arange(k, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
