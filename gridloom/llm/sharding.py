@@ -15,6 +15,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def by_magnitude(column: Column, bits: int) -> Column:
     return F.least(F.floor(2 * F.log2(F.greatest(column, F.lit(1)))), F.lit((1 << bits) - 1)).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hilbert_index(axes: list[Column], bits: int) -> Column:
     """Index of a cell on the Hilbert curve through a grid of 2**bits per axis (transposed-axes method)."""
     n, zero = len(axes), F.lit(0)
@@ -43,25 +50,32 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
         swapped = F.transform(x, lambda v, j: F.when((j == 0) | (j == s["i"]), v.bitwiseXOR(swap)).otherwise(v))
         return F.when(own.bitwiseAND(s["q"]) != 0, inverted).otherwise(F.when(s["i"] == 0, x).otherwise(swapped))
 
-    x = F.aggregate(steps, F.array(*axes), undo) if bits > 1 else F.array(*axes)
-    gray = F.aggregate(x, F.array().cast("array<int>"), lambda done, v: F.concat(done, F.array(F.when(F.size(done) > 0, v.bitwiseXOR(F.element_at(done, -1))).otherwise(v))))
-    flips = F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1))) if bits > 1 else F.array().cast("array<int>")
-    twist = F.aggregate(flips, zero, lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    cell = F.transform(gray, lambda v: v.bitwiseXOR(twist))
-    order = F.array(*(F.lit(b) for b in range(bits - 1, -1, -1)))
-    return F.aggregate(order, F.lit(0).cast("long"), lambda index, b: F.aggregate(cell, index, lambda i, v: i * 2 + F.getbit(v, b).cast("long")))
+    def grayed(x: Column) -> Column:
+        return F.aggregate(x, F.array().cast("array<int>"), lambda done, v: F.concat(done, F.array(F.when(F.size(done) > 0, v.bitwiseXOR(F.element_at(done, -1))).otherwise(v))))
+
+    def twist(gray: Column) -> Column:
+        flips = F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1))) if bits > 1 else F.array().cast("array<int>")
+        return F.aggregate(flips, zero, lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+
+    def interleaved(cell: Column) -> Column:
+        order = F.array(*(F.lit(b) for b in range(bits - 1, -1, -1)))
+        return F.aggregate(order, F.lit(0).cast("long"), lambda index, b: F.aggregate(cell, index, lambda i, v: i * 2 + F.getbit(v, b).cast("long")))
+
+    undone = F.aggregate(steps, F.array(*axes), undo) if bits > 1 else F.array(*axes)
+    turned = bound(grayed(undone), lambda gray: bound(twist(gray), lambda t: F.transform(gray, lambda v: v.bitwiseXOR(t))))
+    return bound(turned, interleaved)
 
 
 def places(docs: DataFrame, doc_id: str, text: str, axes: list[Column], bits: int) -> tuple[DataFrame, int]:
     """Every row's place (from 0) in the curve's order, checkpointed, and the number of rows."""
     body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(
+    narrow = cut(docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         hilbert_index(axes, bits).alias("curve"),
         F.monotonically_increasing_id().alias("locator"),
-    )
+    ))  # texts are read once; sampling for the ranges reads these rows
     order = ["curve", "text_crc32", "doc_id", "locator"]
     ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = cut(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
