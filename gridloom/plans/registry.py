@@ -1,4 +1,6 @@
 """All panel queries and their oracle SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gridloom.plans import panel_queries  # noqa: F401
+from gridloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
