@@ -5,10 +5,12 @@ the documents takes ``bands * rows`` minima; band keys come from the full minima
 low ``BITS`` bits are kept, packed into longs. Documents with equal sets form one class with one representative.
 
 Candidates come from shared band keys in two rounds, neither of which emits all pairs of a bucket: first every
-member against its bucket's smallest document; then, for buckets that still hold several components, members of
-different components. Pairs are filtered by set sizes and by the similarity estimated from counting equal b-bit
-lanes, corrected for chance collisions (the margin is over five standard deviations), and confirmed on the full
-sets. Components of the confirmed links are contracted by repeated minimum hooking.
+member against its bucket's smallest document, its leader; then, where the members of one leader are still in
+several components, those outside the largest against the rest. Pairs are filtered by set sizes and by the
+similarity estimated from counting equal b-bit lanes, corrected for chance collisions (the margin is over five
+standard deviations), and confirmed on the full sets: in the first round from both texts, in the second inside
+the join, on sets kept as differences from their leader's. Components of the confirmed links are contracted by
+repeated minimum hooking.
 
 At a similarity of 0.85 a pair shares none of 32 bands of 5 with probability 7e-9; at 0.8, 3e-6.
 
@@ -116,13 +118,13 @@ def estimate(a: Column, b: Column, lanes: int) -> Column:
     return ((1 - differ / lanes) - chance) / (1 - chance)
 
 
-def near(percent: int, lanes: int) -> Column:
-    """Size and estimate filter on a pair with columns n_a, n_b, sig_a, sig_b."""
+def near(percent: int, lanes: int, x: str, y: str) -> Column:
+    """Size and estimate filter on a pair whose columns n and sig have suffixes ``x`` and ``y``."""
     t, chance = percent / 100, 1 / (1 << BITS)
     share = t + (1 - t) * chance
     margin = 5.5 * (share * (1 - share) / lanes) ** 0.5 / (1 - chance)
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & (estimate(F.col("sig_a"), F.col("sig_b"), lanes) >= t - margin)
+    sizes = F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * percent
+    return sizes & (estimate(F.col(f"sig{x}"), F.col(f"sig{y}"), lanes) >= t - margin)
 
 
 def id_filter(ids: DataFrame, bound: int = FILTER_BITS):
@@ -152,14 +154,18 @@ def id_filter(ids: DataFrame, bound: int = FILTER_BITS):
     return lambda c: inside(*places(c))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    kind = docs.schema["id"].dataType.simpleString()
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs (a, b)`` with the whole texts of both."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stage(docs.where(id_filter(ids)(F.col("id"))), "near-texts")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -174,7 +180,41 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(own) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return cut(both.mapInArrow(confirm, f"a {kind}, b {kind}").distinct())
+    return cut(with_texts(pairs, docs).mapInArrow(confirm, f"a {kind}, b {kind}").distinct())
+
+
+def relative(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Every ``b`` set as a difference from its ``a`` set: ``shared`` has a bit for each shingle of a, ``own`` the
+    shingles that a lacks. Two sets relative to one a have an exact intersection without either text."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, base = None, None
+        for batch in batches:
+            shared, own = [], []
+            for i in range(batch.num_rows):
+                a = batch.column(2)[i].as_py()
+                if a != last:
+                    last, base = a, shingles(a, k)
+                other = shingles(batch.column(3)[i].as_py(), k)
+                bits = np.zeros(-(-len(base) // 64) * 64, np.uint8)
+                bits[np.flatnonzero(np.isin(base, other, assume_unique=True))] = 1
+                shared.append(np.packbits(bits, bitorder="little").view(np.int64))
+                own.append(np.setdiff1d(other, base, assume_unique=True).view(np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, lists), pa.array(own, lists)], ["a", "b", "shared", "own"])
+
+    return with_texts(pairs, docs).mapInArrow(encode, f"a {kind}, b {kind}, shared array<long>, own array<long>")
+
+
+def exact(percent: int) -> Column:
+    """Exact similarity of two sets relative to the same base, in columns with suffixes _x and _y."""
+    core = F.aggregate(F.zip_with("shared_x", "shared_y", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, v: s + v)
+
+    def enough(common: Column) -> Column:
+        return common * 100 >= (F.col("n_x") + F.col("n_y") - common) * percent
+
+    return enough(core + F.least(F.size("own_x"), F.size("own_y"))) & enough(core + F.size(F.array_intersect("own_x", "own_y")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,6 +231,22 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def across(families: DataFrame, sigs: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int, lanes: int) -> DataFrame:
+    """Links between members of one family (documents compared with the same leader) that are in different
+    components so far. Members outside the family's largest component meet all of its members; only links leave
+    the join."""
+    placed = cut(families.join(labels, families.b == labels.id, "left").select("a", "b", F.coalesce("component", "b").alias("component")))
+    sizes = placed.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = cut(sizes.groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("a", F.col("main.component").alias("main")))
+    open_rows = cut(placed.join(main, "a").select("a", "b", "component", "main"))
+    coded = relative(open_rows.select("a", "b"), docs, k).distinct()
+    rows = cut(open_rows.join(coded, ["a", "b"]).join(sigs.toDF("b", "n", "sig"), "b"))
+    x, y = (rows.select("a", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("b", "component", "n", "sig", "shared", "own"))) for side in ("x", "y"))
+    met = x.where("component_x <> main").drop("main").join(y.drop("main"), "a")
+    linked = met.where(F.col("component_x") != F.col("component_y")).where(near(percent, lanes, "_x", "_y")).where(exact(percent))
+    return cut(linked.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct())
+
+
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -201,29 +257,19 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     classes = cut(every.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = cut(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"))
-    shared = cut(members.join(buckets, "key"))
     sigs = classes.select("id", "n", "sig")
 
-    def filtered(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(sigs.toDF(side, f"n_{side}", f"sig_{side}"), side)
-        return pairs.where(near(percent, lanes)).select("a", "b")
-
-    stars = cut(filtered(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
+    families = cut(members.join(buckets, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    sides = families
+    for side in ("a", "b"):
+        sides = sides.join(sigs.toDF(side, f"n_{side}", f"sig_{side}"), side)
+    stars = cut(sides.where(near(percent, lanes, "_a", "_b")).select("a", "b"))
     links = confirmed(stars, docs, k, percent)
     labels = components(links)
 
-    placed = cut(shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high AND size > 2")
-    open_rows = cut(placed.join(mixed_keys.select("key"), "key").join(sigs, "id"))
-    a, b = (open_rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "sig"))) for side in ("a", "b"))
-    apart = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(percent, lanes))
-    rest = cut(apart.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, k, percent)
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            labels = components(links)
+    more = across(families, sigs, labels, docs, k, percent, lanes)
+    if not more.isEmpty():
+        labels = components(cut(links.unionByName(more)))
 
     named = cut(classes.select("one", "two", F.col("n").alias("size"), "id").join(labels, "id", "left").select("one", "two", "size", F.coalesce("component", "id").alias("component")))
     found = every.select("id", "n", "one", "two").alias("e").join(named.alias("c"), F.expr("e.one = c.one AND e.two = c.two AND e.n = c.size"), "left")
