@@ -163,8 +163,10 @@ def counted(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndarray]:
 
     totals = {k: np.zeros(len(index.shingles[k]), np.int64) for k in index.widths}
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
-    for r in rows.toLocalIterator():  # at most one row per shingle of the block
-        totals[r.k][r.at] = r.n
+    got = rows.toArrow()  # at most one row per shingle of the block
+    k, at, n = (got[c].to_numpy() for c in ("k", "at", "n"))
+    for width in totals:
+        totals[width][at[k == width]] = n[k == width]
     return totals
 
 

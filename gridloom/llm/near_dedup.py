@@ -137,8 +137,8 @@ def id_filter(ids: DataFrame, bound: int = FILTER_BITS):
 
     words = ids.select(F.explode(F.array(*places(F.col("id")))).alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
     bitmap = np.zeros(bits // 32, "<u4")
-    for r in words.agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("value")).toLocalIterator():
-        bitmap[r.word] = r.value
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("value")).toArrow()  # at most bits / 32 words
+    bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")

@@ -130,8 +130,8 @@ def build(keys: DataFrame, max_levels: int = 200) -> Cascade:
 
         bitmap = np.zeros(-(-bits // 32), "<u4")
         packed = left.where(F.col("listed") == side).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
-        for r in packed.toLocalIterator():
-            bitmap[r.word] = r.value
+        got = packed.toArrow()
+        bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
         cascade.levels.append((bits, k, bitmap.view(np.uint8)))
     raise RuntimeError("listed and unlisted keys share their hashes")
 
