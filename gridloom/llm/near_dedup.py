@@ -219,15 +219,16 @@ def exact(percent: int) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every end of ``links (a, b)``: the smallest id reachable. Each step hooks every vertex
-    to its smallest neighbour and contracts, so that at least half of the remaining vertices go."""
+    to its smallest neighbour and contracts, so that at least half of the remaining vertices go. Steps are written
+    as tables: size estimates of checkpoints would multiply from step to step."""
     edges = links
     labels = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        hook = stage(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "near-hook")
         of_a, of_b = hook.withColumnRenamed("low", "low_a"), hook.select(F.col("a").alias("b"), F.col("low").alias("low_b"))
-        labels = cut(labels.join(hook, labels.component == hook.a, "left").select("id", F.coalesce("low", "component").alias("component")))
-        edges = cut(edges.join(of_a, "a").join(of_b, "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).where("a <> b").distinct())
+        labels = stage(labels.join(hook, labels.component == hook.a, "left").select("id", F.coalesce("low", "component").alias("component")), "near-labels")
+        edges = stage(edges.join(of_a, "a").join(of_b, "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).where("a <> b").distinct(), "near-edges")
     return labels
 
 
