@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import classify, cluster, stats
+from gridloom.operators import classify, cluster, features, stats
 from gridloom.plans.base import LONG, POINTS, XS, cross, points, query, rounded
 
 D = XS[:4]
@@ -284,7 +284,8 @@ def ward_clusters(spark, sf_dir):
 
 
 def _supervised(spark, sf_dir, k: int = 3):
-    df = cross(spark, sf_dir).select(F.col("unit_id").alias("id"), "pref_name", "b1_mean", "b2_mean", "b3_mean", "acctbal", (F.col("unit_id") % 3).cast("int").alias("label"))
+    raw = cluster.compact(cross(spark, sf_dir).select(F.col("unit_id").alias("id"), "pref_name", "b1_mean", "b2_mean", "b3_mean", "acctbal", (F.col("unit_id") % 3).cast("int").alias("label")))
+    df = features.scale(raw, features.scaler_parameters(raw, FEATURES, "standard"))
     return cluster.compact(classify.stratified_folds(df, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")), k))
 
 
@@ -309,7 +310,7 @@ def model_family_cv(spark, sf_dir):
 @query()
 def leakage_experiments(spark, sf_dir):
     """One run per feature subset."""
-    df = _supervised(spark, sf_dir).withColumn("leak", F.col("label") + 0.01 * F.col("b1_mean"))
+    df = _supervised(spark, sf_dir).withColumn("leak", F.col("label") + 0.1 * F.col("b1_mean"))
     models, out = classify.build_models(["logistic_regression"]), None
     for name, columns in {"full": [*FEATURES, "leak"], "no_leaky": FEATURES, "rs_only": FEATURES[:3], "demo_only": ["acctbal"]}.items():
         part = classify.cross_validate(df, columns, models, experiment=name)
