@@ -170,7 +170,15 @@ def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Diagonal of the inverse correlation matrix of complete rows."""
     cov, _, _ = moments(df, columns)
     scale = np.sqrt(np.diag(cov))
-    return dict(zip(columns, np.diag(np.linalg.inv(cov / np.outer(scale, scale))).tolist(), strict=True))
+    corr = cov / np.outer(scale, scale)
+    if np.linalg.cond(corr) < 1e12:
+        return dict(zip(columns, np.diag(np.linalg.inv(corr)).tolist(), strict=True))
+    out = {}
+    for j, c in enumerate(columns):  # a column that others determine has an infinite factor
+        rest = np.delete(np.arange(len(columns)), j)
+        lack = 1 - corr[j, rest] @ np.linalg.pinv(corr[np.ix_(rest, rest)]) @ corr[rest, j]
+        out[c] = float(1 / lack) if lack > 1e-10 else math.inf
+    return out
 
 
 def drop_by_vif(df: DataFrame, columns: list[str], limit: float = 5.0) -> tuple[list[str], list[tuple[str, float]]]:

@@ -147,7 +147,7 @@ def suggested_transform(spark, sf_dir):
     return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "skewness": F.round("skewness", 3), "kurtosis": F.round("kurtosis", 2)})
 
 
-@query(f"""WITH {CROSS}, l AS (SELECT unit_id, ln(1 + b2_mean) AS b2_mean, CASE WHEN unit_id % 6 = 0 THEN NULL ELSE ln(1 + acctbal - low) END AS acctbal FROM xs,
+@query(f"""WITH {CROSS}, l AS (SELECT unit_id, ln(1 + b2_mean) AS b2_mean, CASE WHEN unit_id % 6 = 0 THEN NULL ELSE ln(1 + acctbal - least(low, 0)) END AS acctbal FROM xs,
     (SELECT min(CASE WHEN unit_id % 6 = 0 THEN NULL ELSE acctbal END) AS low FROM xs))
     SELECT unit_id, round(coalesce(b2_mean, (SELECT median(b2_mean) FROM l)), 6) AS b2_mean, round(coalesce(acctbal, (SELECT median(acctbal) FROM l)), 6) AS acctbal FROM l""")
 def log1p_impute(spark, sf_dir):
@@ -246,13 +246,13 @@ def percentile_ci(spark, sf_dir):
     return rounded(stats.percentile_ci(_scores(spark, sf_dir), ["model"], "score"))
 
 
-@query(f"{SCORES}, m AS (SELECT model, avg(score) AS mean, count(*) AS n_folds FROM sc GROUP BY 1) SELECT model, round(mean, 6) AS mean, n_folds, row_number() OVER (ORDER BY mean DESC, model) AS place FROM m")
+@query(f"{SCORES}, m AS (SELECT model, avg(score) AS mean, count(*) AS n_folds FROM sc GROUP BY 1) SELECT model, round(mean, 6) AS mean, n_folds, row_number() OVER (ORDER BY round(mean, 6) DESC, model) AS place FROM m")
 def model_ranking(spark, sf_dir):
     """Comparison table sorted by mean. There is one row per model."""
     from pyspark.sql import Window
 
     table = _scores(spark, sf_dir).groupBy("model").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n_folds"))
-    return rounded(table.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "model")).cast("long")))
+    return rounded(table.withColumn("place", F.row_number().over(Window.orderBy(F.round("mean", 6).desc(), "model")).cast("long")))
 
 
 @query(f"{SCORES}, r AS (SELECT model, rank() OVER (PARTITION BY fold ORDER BY score DESC) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS r FROM sc) SELECT model, round(CAST(avg(r) AS DOUBLE), 6) AS consensus FROM r GROUP BY 1")
