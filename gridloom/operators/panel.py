@@ -114,13 +114,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def intercensal_change(df: DataFrame, before: str = "2015", after: str = "2020") -> DataFrame:
-    """Absolute and relative change between two censuses, rounded to 4 digits; NULL for a zero base."""
+    """Absolute change and its share of the base (4 digits) between two censuses; NULL for a zero base."""
 
     def change(c: str) -> Column:
         return F.col(f"{c}_{after}") - F.col(f"{c}_{before}")
 
     def pct(c: str) -> Column:
-        return F.round(F.try_divide(change(c).cast("double"), F.col(f"{c}_{before}").cast("double")) * 100, 4)
+        return F.round(F.try_divide(change(c).cast("double"), F.col(f"{c}_{before}").cast("double")), 4)
 
     return df.withColumns({
         "pop_change": change("pop_total"),

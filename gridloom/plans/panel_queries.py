@@ -171,8 +171,8 @@ CENSUS = "c AS (SELECT l_suppkey AS unit_id, " + ", ".join(
 
 
 @query(f"""WITH {CENSUS}, z AS (SELECT *, CASE WHEN unit_id % 5 = 0 THEN 0 ELSE pop_total_2015 END AS base FROM c)
-    SELECT unit_id, pop_total_2020 - base AS pop_change, round((pop_total_2020 - base) / nullif(base, 0) * 100, 4) AS pop_change_pct,
-    age_15_64_2020 - age_15_64_2015 AS working_age_change, round((age_15_64_2020 - age_15_64_2015) / nullif(age_15_64_2015, 0) * 100, 4) AS working_age_change_pct,
+    SELECT unit_id, pop_total_2020 - base AS pop_change, round((pop_total_2020 - base) / nullif(base, 0), 4) AS pop_change_pct,
+    age_15_64_2020 - age_15_64_2015 AS working_age_change, round((age_15_64_2020 - age_15_64_2015) / nullif(age_15_64_2015, 0), 4) AS working_age_change_pct,
     age_u15_2020 - age_u15_2015 AS youth_change, age_65_plus_2020 - age_65_plus_2015 AS elderly_change FROM z""")
 def inter_censal_change(spark, sf_dir):
     """A27, with zero and NULL bases."""

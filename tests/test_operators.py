@@ -233,3 +233,12 @@ def test_osm_ways(spark):
 def test_long_form_keeps_null(spark):
     df = spark.createDataFrame([(1, 1.0, None)], "id long, a double, b double")
     assert to_long(df, ["id"], ["a", "b"]).count() == 2
+
+
+def test_migration_golden_rows(spark):
+    """Two published rows of the census chain."""
+    rows = [("05201", 315814, 34916, 186207, 88713, 307672, 32809, 172755, 95949), ("05202", 54730, 5058, 28184, 20248, 49968, 4231, 24953, 20765)]
+    names = [f"{c}_{y}" for y in (2015, 2020) for c in ("pop_total", "age_u15", "age_15_64", "age_65_plus")]
+    df = spark.createDataFrame(rows, "muni_code string, " + ", ".join(f"{n} long" for n in names))
+    got = panel.intercensal_change(df).orderBy("muni_code").select("pop_change", "pop_change_pct", "working_age_change", "working_age_change_pct", "youth_change", "elderly_change").collect()
+    assert [tuple(r) for r in got] == [(-8142, -0.0258, -13452, -0.0722, -2107, 7236), (-4762, -0.087, -3231, -0.1146, -827, 517)]
