@@ -1,15 +1,18 @@
 """URL rules and an exact host list kept as a Bloom filter cascade.
 
+A listed host covers itself and all its subdomains, as a rule's host does: the corpus hosts that a listed name
+covers are found when the universe is built, and they are the listed keys.
+
 Level 1 encodes the listed keys; level 2 the unlisted keys of the corpus that level 1 lets through; level 3 the
 listed keys that level 2 lets through; and so on until no key of the universe is wrong. A key's verdict is the
 parity of the first level that does not hold it. The universe is every host of the table, so the answer is
 exact for every row, and rows are judged by a map with the packed filters, without a join.
 
 The filters' total size is known before they are built from the number of listed keys; only up to
-``max_bytes`` are they broadcast. A longer list is matched by an equi-join on the host instead.
+``max_bytes`` are they broadcast. A longer list is matched by an equi-join on the covered hosts instead.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty host may be listed like
-any other; repeated rows give repeated verdicts; an empty table gives no rows; extra columns are ignored.
+any other and covers only itself; repeated rows give repeated verdicts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,18 +139,31 @@ def build(keys: DataFrame, max_levels: int = 200) -> Cascade:
     raise RuntimeError("listed and unlisted keys share their hashes")
 
 
+def covered(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Per row of ``hosts (host)``: ``host, listed``, true where the host or a domain above it is in ``listed (host)``.
+    Only as many last labels are looked up as the deepest listed name has."""
+    labels = F.split("host", "[.]")
+    depth = listed.agg(F.max(F.size(labels))).first()[0] or 1
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    ended = hosts.select("host", F.explode(ends).alias("end"))
+    ended = ended.withColumn("end", F.when((F.col("end") != "") | (F.col("host") == ""), F.col("end")))  # "a." is not under ""
+    found = ended.join(listed.select(F.col("host").alias("end"), F.lit(True).alias("listed")), "end", "left")
+    return found.groupBy("host").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Per row of ``pages``: ``page_id, host, path, rule, verdict``. ``listed`` has one column, ``host``."""
+    """Per row of ``pages``: ``page_id, host, path, rule, verdict``. ``listed`` has one column, ``host``;
+    a listed host covers its subdomains."""
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     rule, says = rule_columns(F.col("host"), F.col("path"), RULES if rules is None else rules)
     parts = parts.withColumns({"rule": rule, "says": says})
     listed = listed.select("host").where("host IS NOT NULL").distinct()
     hosts = parts.select("host").distinct()
-    flagged = hosts.join(listed.withColumn("listed", F.lit(True)), "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed"))
+    flagged = covered(hosts, listed)
     keys = cut(flagged.select(F.xxhash64("host").alias("one"), F.xxhash64("host", F.lit("two")).alias("two"), "listed"))
     counts = {r.listed: r.n for r in keys.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
     if 3 * shape(0, counts.get(True, 0), counts.get(False, 0))[0] // 8 > max_bytes:
-        found = parts.join(listed.withColumn("hit", F.lit(True)), "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        found = parts.join(flagged.where("listed").select("host", F.lit(True).alias("hit")), "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     else:
         shared = parts.sparkSession.sparkContext.broadcast(build(keys))
 

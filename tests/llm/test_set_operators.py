@@ -154,6 +154,18 @@ def test_cascade_is_exact(spark, max_bytes):
     assert len(rows) == 6000 and all((r.verdict == "block") == (r.host in bad) for r in rows)
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_listed_host_covers_subdomains(spark, max_bytes):
+    block = ["www.spam-farm.example.com", "M.Spam-Farm.example.org", "a.b.c.spam-farm.example.net", "spam-farm.example.com"]
+    allow = ["notspam-farm.example.com", "example.com", "spam-farm.example.com.net", "spam-farm.example.com.", "www.spam-farm.example", "a.", ""]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(block + allow)], "page_id long, url string")
+    listed = spark.createDataFrame([(h,) for h in [*url_filters.LISTED_HOSTS, "deep.er.than.all.the.others"]], "host string")
+    rows = url_filters.judge(pages, listed, rules=[], max_bytes=max_bytes).orderBy("page_id").collect()
+    assert [r.verdict for r in rows] == ["block"] * len(block) + ["allow"] * len(allow)
+    alone = url_filters.judge(pages, spark.createDataFrame([("",)], "host string"), rules=[], max_bytes=max_bytes)
+    assert [r.host for r in alone.where("verdict = 'block'").collect()] == [""]
+
+
 def brute_chats(rows):
     chats = defaultdict(list)
     for conv, turn, role, text in rows:
