@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,18 +196,91 @@ def scores(df: DataFrame, columns: list[str], loadings: np.ndarray, n: int) -> D
     return df.withColumns(out)
 
 
-def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 10, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(k, gap, standard error) against uniform references between each column's extremes."""
+class Centres:
+    """Cluster centres with their training cost; assigns rows to the nearest."""
+
+    def __init__(self, centres: np.ndarray, cost: float):
+        self.centres, self.cost = centres, cost
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            x = np.array(v.tolist(), float).reshape(len(v), -1)
+            return pd.Series(((x[:, None] - centres[None]) ** 2).sum(2).argmin(1))
+
+        return df.withColumn("prediction", nearest(vector_to_array("features")))
+
+
+def fit_once(x: np.ndarray, k: int, seed: int, max_iter: int = 300) -> tuple[float, np.ndarray]:
+    """Cost and centres of one in-memory k-means from distance-weighted starts, run until the centres stand still."""
+    rng, squares = np.random.default_rng(seed), (x * x).sum(1)
+    limit = 1e-4 * x.var(axis=0).mean()
+    to = lambda c: np.maximum(squares[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
+    centres = x[[rng.integers(len(x))]]
+    near = to(centres)[:, 0]
+    while len(centres) < k:
+        pick = rng.choice(len(x), p=near / near.sum()) if near.sum() else rng.integers(len(x))
+        centres = np.vstack([centres, x[pick]])
+        near = np.minimum(near, to(centres[-1:])[:, 0])
+    for _ in range(max_iter):
+        own = to(centres).argmin(1)
+        n = np.bincount(own, minlength=k)[:, None]
+        sums = np.column_stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])])
+        moved = np.where(n > 0, sums / np.maximum(n, 1), centres)
+        shift, centres = ((moved - centres) ** 2).sum(), moved
+        if shift <= limit:
+            break
+    return float(to(centres).min(1).sum()), centres
+
+
+def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 100, seed: int = 42, bound: int = 100_000) -> dict[int, Centres]:
+    """The best of ``starts`` k-means per k. Up to ``bound`` rows a start is a row, spread over the cluster; larger
+    inputs are fitted one start after the other, each over the cluster."""
+    spark = df.sparkSession
+    if df.count() > bound:
+        models = {k: kmeans(df, columns, k, starts, seed=seed) for k in ks}
+        return {k: Centres(np.array(m.clusterCenters()), m.summary.trainingCost) for k, m in models.items()}
+    shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fits = [fit_once(shared.value, k, seed + start) for k, start in zip(frame["k"], frame["start"], strict=True)]
+            yield pd.DataFrame({"k": frame["k"], "cost": [c for c, _ in fits], "centres": [m.ravel().tolist() for _, m in fits]})
+
+    tasks = spark.createDataFrame([(k, s) for s in range(starts) for k in ks], "k int, start int").repartition(4 * spark.sparkContext.defaultParallelism)
+    found = tasks.mapInPandas(run, "k int, cost double, centres array<double>").groupBy("k").agg(F.min(F.struct("cost", "centres")).alias("best"))
+    return {r.k: Centres(np.array(r.best.centres).reshape(r.k, -1), r.best.cost) for r in found.collect()}
+
+
+def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 50, seed: int = 42, starts: int = 100, reference_starts: int = 10, fits: dict[int, Centres] | None = None, bound: int = 100_000) -> list[tuple[int, float, float]]:
+    """(k, gap, standard error) against uniform references between each column's extremes, one reference for all k.
+    ``fits`` are the best fits of ``df`` if they are known. Up to ``bound`` rows a reference is a row, spread over
+    the cluster."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"l{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"h{i}") for i, c in enumerate(columns))).first()
-    out = []
-    for k in ks:
-        own = np.log(kmeans(df, columns, k, 3, seed=seed).summary.trainingCost)
-        logs = []
+    spark, n, p = df.sparkSession, row["n"], range(len(columns))
+    low, high = ([float(row[f"{side}{i}"]) for i in p] for side in "lh")
+    fits = fits or best_fits(df, columns, ks, starts, seed, bound)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for b in frame["reference"]:
+                x = np.random.default_rng([seed, int(b)]).uniform(low, high, (n, len(low)))
+                logs = [float(np.log(min(fit_once(x, k, seed + s)[0] for s in range(reference_starts)))) for k in ks]
+                yield pd.DataFrame({"reference": b, "k": ks, "log": logs})
+
+    if n <= bound:
+        made = spark.range(references).toDF("reference").repartition(references)
+        rows = made.mapInPandas(run, "reference long, k int, log double").collect()
+        logs = {k: [r.log for r in sorted(rows) if r.k == k] for k in ks}
+    else:
+        logs = {k: [] for k in ks}
         for b in range(references):
-            made = df.sparkSession.range(row["n"]).select(*((F.rand(seed + 1000 * b + i) * (row[f"h{i}"] - row[f"l{i}"]) + row[f"l{i}"]).alias(c) for i, c in enumerate(columns)))
-            logs.append(np.log(kmeans(made, columns, k, 1, seed=seed).summary.trainingCost))
-        out.append((k, float(np.mean(logs) - own), float(np.std(logs) * np.sqrt(1 + 1 / references))))
-    return out
+            made = compact(spark.range(n).select(*((F.rand(seed + 1000 * b + i) * (high[i] - low[i]) + low[i]).alias(c) for i, c in enumerate(columns))))
+            for k in ks:
+                logs[k].append(np.log(kmeans(made, columns, k, reference_starts, seed=seed).summary.trainingCost))
+    return [(k, float(np.mean(logs[k]) - np.log(fits[k].cost)), float(np.std(logs[k]) * np.sqrt(1 + 1 / references))) for k in ks]
 
 
 def gap_choice(table: list[tuple[int, float, float]]) -> int:

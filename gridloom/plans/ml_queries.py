@@ -240,13 +240,14 @@ def kmeans_in_pca_space(spark, sf_dir):
 @query()
 def k_selection(spark, sf_dir):
     """Metrics by k, votes and the choice."""
-    df = cluster.compact(points(spark, sf_dir).select("id", *D))
-    ks, rows = [2, 3, 4, 5], []
+    df = cluster.compact(points(spark, sf_dir).select("id", *XS))
+    ks, rows = [2, 3, 4, 5, 6, 7, 8], []
+    fits = cluster.best_fits(df, XS, ks, starts=100)
     for k in ks:
-        labelled = cluster.assigned(df, D, cluster.kmeans(df, D, k, 2)).persist()
-        s = cluster.silhouette_samples(labelled, D).agg(F.avg("silhouette")).first()[0]
-        rows.append((k, s, cluster.calinski_harabasz(labelled, D).first()[0], cluster.davies_bouldin(labelled, D).first()[0], cluster.within_between(labelled, D).first()["ssw"]))
-    gap = cluster.gap_statistic(df, D, ks, references=2)
+        labelled = cluster.assigned(df, XS, fits[k]).persist()
+        s = cluster.silhouette_samples(labelled, XS).agg(F.avg("silhouette")).first()[0]
+        rows.append((k, s, cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"]))
+    gap = cluster.gap_statistic(df, XS, ks, references=50, fits=fits)
     votes = {"silhouette": max(rows, key=lambda r: r[1])[0], "ch": max(rows, key=lambda r: r[2])[0], "db": min(rows, key=lambda r: r[3])[0], "gap": cluster.gap_choice(gap), "elbow": cluster.elbow(ks, [r[4] for r in rows])}
     chosen = cluster.vote(votes)
     return spark.createDataFrame([(*map(float, r[1:]), r[0], g[1], g[2], r[0] == chosen) for r, g in zip(rows, gap, strict=True)], "silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, k int, gap double, gap_se double, recommended boolean")

@@ -184,6 +184,29 @@ def test_k_selection_rules():
     assert cluster.elbow([2, 3, 4, 5], [100, 40, 35, 33]) == 3
 
 
+def test_k_selection_tries_all_k(spark):
+    from gridloom.plans.registry import QUERIES
+
+    rows = sorted(QUERIES["k_selection"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.k)
+    assert [r.k for r in rows] == [2, 3, 4, 5, 6, 7, 8]
+    assert all(a.inertia > b.inertia for a, b in zip(rows, rows[1:], strict=False))
+    assert sum(r.recommended for r in rows) == 1 and all(r.gap_se > 0 for r in rows)
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_gap_finds_seven_clusters(spark, bound):
+    rng = np.random.default_rng(0)
+    rows = [(i, *(float(v) for v in (20 * np.cos(i % 7 * 0.9), 20 * np.sin(i % 7 * 0.9)) + rng.normal(size=2) * 0.2)) for i in range(210)]
+    df = cluster.compact(spark.createDataFrame(rows, "id long, x double, y double"))
+    counts = {"references": 50, "starts": 20} if bound else {"references": 2, "starts": 3, "reference_starts": 1}
+    ks = [5, 6, 7, 8] if bound else [6, 7, 8]
+    gap = cluster.gap_statistic(df, ["x", "y"], ks, bound=bound, **counts)
+    assert [g[0] for g in gap] == ks and (not bound or cluster.gap_choice(gap) == 7)
+    fits = cluster.best_fits(df, ["x", "y"], [7])
+    own = cluster.assigned(df, ["x", "y"], fits[7]).withColumn("truth", F.col("id") % 7)
+    assert cluster.adjusted_rand(own, "cluster", "truth").first()[0] == 1.0
+
+
 def test_pruning_keeps_listed(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", 0.2)], "feature_1 string, feature_2 string, r double")
     assert stats.prune_redundant(pairs, ["a", "b", "c"], keep=["a"])[0] == ["a", "c"]
