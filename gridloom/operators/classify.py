@@ -22,7 +22,7 @@ REGISTRY: dict[str, tuple[str, dict]] = {
     "svm_linear": ("gridloom.operators.classify.linear_svm", {}),
     "svm_rbf": ("gridloom.operators.classify.FourierSVM", {}),
     "random_forest": ("pyspark.ml.classification.RandomForestClassifier", {"numTrees": 200, "seed": 42}),
-    "gradient_boosting": ("gridloom.operators.classify.boosted_trees", {}),
+    "gradient_boosting": ("gridloom.operators.classify.boosted_trees", {"maxIter": 100, "maxDepth": 3, "seed": 42}),
     "knn": ("gridloom.operators.classify.Neighbours", {"k": 5}),
     "mlp": ("gridloom.operators.classify.perceptron", {"hidden": [64, 32]}),
     "xgboost": ("xgboost.spark.SparkXGBClassifier", {}),
@@ -61,7 +61,7 @@ def boosted_trees(**params):
     """Boosting is binary in Spark ML: one against the rest."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
-    return OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=42, **params))
+    return OneVsRest(classifier=GBTClassifier(**params))
 
 
 def perceptron(p: int, k: int, hidden: list[int]):

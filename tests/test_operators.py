@@ -225,6 +225,14 @@ def test_registry_skips_absent_packages():
     assert list(made) == ["dummy"]
 
 
+def test_boosting_rounds_are_a_parameter(spark):
+    path, params = classify.REGISTRY["gradient_boosting"]
+    made = classify.build_models(["gradient_boosting"])["gradient_boosting"](10, 2, 3).getClassifier()
+    assert (made.getMaxIter(), made.getMaxDepth()) == (100, 3)
+    few = classify.build_models(registry={"few": (path, params | {"maxIter": 7})})["few"](10, 2, 3).getClassifier()
+    assert few.getMaxIter() == 7
+
+
 def test_glcm_of_a_small_window(spark):
     levels = [[0, 0, 1], [0, 1, 1], [2, 2, 2]]
     df = spark.createDataFrame([("w", r, c, v) for r, row in enumerate(levels) for c, v in enumerate(row)], "k string, row long, col long, level int")
