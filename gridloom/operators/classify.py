@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -162,50 +163,77 @@ class Neighbours:
         return _Fitted(transform)
 
 
-def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, name: str = "fold") -> DataFrame:
-    """Folds with equal shares of each class: the row's place in its class's key order, modulo k."""
+def fold_columns(df: DataFrame, name: str = "fold") -> list[str]:
+    """The fold columns of a repeated split: ``fold``, ``fold_1``, ``fold_2``..."""
+    return [name, *(c for c in df.columns if c.startswith(f"{name}_") and c[len(name) + 1 :].isdigit())]
+
+
+def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, name: str = "fold", repeats: int = 1) -> DataFrame:
+    """Folds with equal shares of each class: the row's place in its class's key order, modulo k. A further repeat
+    is a column ``fold_1``.. by the order of the salted hashes of the key."""
     from gridloom.functions.ordering import running_sum
 
-    placed = running_sum(df.withColumn("__key", key), ["__key"], F.lit(1), [label], "__place")
-    return placed.withColumn(name, (F.col("__place") % k).cast("int")).drop("__key", "__place")
+    for r in range(repeats):
+        own, column = (key, name) if r == 0 else (F.struct(F.xxhash64(key, F.lit(r)), key), f"{name}_{r}")
+        placed = running_sum(df.withColumn("__key", own), ["__key"], F.lit(1), [label], "__place")
+        df = placed.withColumn(column, (F.col("__place") % k).cast("int")).drop("__key", "__place")
+        if r + 1 < repeats:
+            df = df.localCheckpoint()  # the plan of a running sum holds its input more than once
+    return df
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, k: int = 5, repeats: int = 1) -> DataFrame:
     """Whole groups to folds, greedily: largest spread first, to the fold that keeps class shares most even. The
-    contingency of groups and classes (a few hundred rows) is settled on the driver."""
+    contingency of groups and classes (a few hundred rows) is settled on the driver. A further repeat is a column
+    ``fold_1``..; as in the reference, it takes groups of equal spread in another order."""
     rows = df.groupBy(group, label).count().collect()
     classes, groups = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
     table = np.zeros((len(groups), len(classes)))
     for r in rows:
         table[groups.index(r[0]), classes.index(r[1])] = r[2]
-    totals, held, fold_of = table.sum(0), np.zeros((k, len(classes))), {}
-    for g in sorted(range(len(groups)), key=lambda g: (-table[g].std(), str(groups[g]))):
-        def unevenness(f: int, g=g) -> tuple:
-            after = held.copy()
-            after[f] += table[g]
-            return (float((after / totals).std(axis=0).mean()), float(after[f].sum()), f)
-
-        best = min(range(k), key=unevenness)
-        held[best] += table[g]
-        fold_of[groups[g]] = best
-    mapping = df.sparkSession.createDataFrame(list(fold_of.items()), f"`{group}` {dict(df.dtypes)[group]}, fold int")
+    totals, names = table.sum(0), ["fold", *(f"fold_{r}" for r in range(1, repeats))]
+    fold_of: dict = {g: [] for g in groups}
+    for r in range(repeats):
+        held, mixed = np.zeros((k, len(classes))), np.random.default_rng(r).permutation(len(groups))
+        for g in sorted(range(len(groups)), key=lambda g: (-table[g].std(), mixed[g] if r else str(groups[g]))):
+            def unevenness(f: int, g=g) -> tuple:
+                after = held.copy()
+                after[f] += table[g]
+                return (float((after / totals).std(axis=0).mean()), float(after[f].sum()), f)
+
+            best = min(range(k), key=unevenness)
+            held[best] += table[g]
+            fold_of[groups[g]].append(best)
+    mapping = df.sparkSession.createDataFrame([(g, *f) for g, f in fold_of.items()], f"`{group}` {dict(df.dtypes)[group]}, " + ", ".join(f"{n} int" for n in names))
     return df.join(F.broadcast(mapping), group)  # a row per group
 
 
-def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable], fold: str = "fold", experiment: str = "all") -> DataFrame:
-    """Out-of-fold predictions: experiment, model, fold, id, y_true, y_pred. ``label`` holds codes from 0."""
-    vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), fold, "features"))
-    folds = sorted(r[0] for r in vectors.select(fold).distinct().collect())
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """The union of many small results, by halves."""
+    if len(parts) == 1:
+        return parts[0]
+    return stacked(parts[: len(parts) // 2]).unionByName(stacked(parts[len(parts) // 2 :]))
+
+
+def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable], fold: str = "fold", experiment: str = "all", threads: int = 8) -> DataFrame:
+    """Out-of-fold predictions: experiment, model, fold, id, y_true, y_pred. ``label`` holds codes from 0. All
+    repeats of the split are run; the folds of repeat r count on from those before. Fits run side by side."""
+    names = fold_columns(df, fold)
+    vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), *names, "features"))
+    folds = [(name, r[0]) for name in names for r in sorted(vectors.select(name).distinct().collect())]
     classes = vectors.agg(F.max("label")).first()[0]
-    out = None
-    for name, factory in models.items():
-        for f in folds:
-            train = vectors.where(F.col(fold) != f)
-            model = factory(train.count(), len(columns), int(classes) + 1).fit(train)
-            predicted = model.transform(vectors.where(F.col(fold) == f))
-            part = predicted.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.lit(f).alias("fold"), "id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-            out = part if out is None else out.unionByName(part)
-    return out
+
+    def one(task: tuple) -> DataFrame:
+        (name, factory), (at, (column, f)) = task
+        train = vectors.where(F.col(column) != f)
+        model = factory(train.count(), len(columns), int(classes) + 1).fit(train)
+        predicted = model.transform(vectors.where(F.col(column) == f))
+        part = predicted.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.lit(at).alias("fold"), "id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+        return part.localCheckpoint()  # a plan of many models is slow to work on
+
+    tasks = [(model, place) for model in models.items() for place in enumerate(folds)]
+    with ThreadPoolExecutor(threads) as pool:
+        return stacked(list(pool.map(one, tasks)))
 
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:

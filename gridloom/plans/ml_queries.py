@@ -284,10 +284,10 @@ def ward_clusters(spark, sf_dir):
     return cluster.ward(points(spark, sf_dir), D, 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _supervised(spark, sf_dir, k: int = 3):
+def _supervised(spark, sf_dir, k: int = 5, repeats: int = 1):
     raw = cluster.compact(cross(spark, sf_dir).select(F.col("unit_id").alias("id"), "pref_name", "b1_mean", "b2_mean", "b3_mean", "acctbal", (F.col("unit_id") % 3).cast("int").alias("label")))
     df = features.scale(raw, features.scaler_parameters(raw, FEATURES, "standard"))
-    return cluster.compact(classify.stratified_folds(df, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")), k))
+    return cluster.compact(classify.stratified_folds(df, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")), k, repeats=repeats))
 
 
 FEATURES = ["b1_mean", "b2_mean", "b3_mean", "acctbal"]
@@ -296,22 +296,22 @@ FEATURES = ["b1_mean", "b2_mean", "b3_mean", "acctbal"]
 @query()
 def logistic_cv(spark, sf_dir):
     """Cross-validated comparison of a baseline and a logistic model."""
-    predictions = classify.cross_validate(_supervised(spark, sf_dir), FEATURES, classify.build_models(["dummy_most_frequent", "dummy_stratified", "logistic_regression"]))
+    predictions = classify.cross_validate(_supervised(spark, sf_dir, repeats=5), FEATURES, classify.build_models(["dummy_most_frequent", "dummy_stratified", "logistic_regression"]))
     return classify.comparison(classify.fold_metrics(predictions, ["model", "fold"]))
 
 
 @query()
 def model_family_cv(spark, sf_dir):
-    """The other families on one split; absent packages are skipped."""
-    df = _supervised(spark, sf_dir, 2)
-    predictions = classify.cross_validate(df, FEATURES, classify.build_models(["svm_linear", "svm_rbf", "knn", "mlp", "gradient_boosting", "xgboost"]))
+    """The other families on the same splits; absent packages are skipped."""
+    df = _supervised(spark, sf_dir, repeats=5)
+    predictions = classify.cross_validate(df, FEATURES, classify.build_models(["svm_linear", "svm_rbf", "random_forest", "knn", "mlp", "gradient_boosting", "xgboost"]))
     return classify.comparison(classify.fold_metrics(predictions, ["model", "fold"]))
 
 
 @query()
 def leakage_experiments(spark, sf_dir):
     """One run per feature subset."""
-    df = _supervised(spark, sf_dir).withColumn("leak", F.col("label") + 0.1 * F.col("b1_mean"))
+    df = _supervised(spark, sf_dir, repeats=5).withColumn("leak", F.col("label") + 0.1 * F.col("b1_mean"))
     models, out = classify.build_models(["logistic_regression"]), None
     for name, columns in {"full": [*FEATURES, "leak"], "no_leaky": FEATURES, "rs_only": FEATURES[:3], "demo_only": ["acctbal"]}.items():
         part = classify.cross_validate(df, columns, models, experiment=name)

@@ -60,9 +60,9 @@ def preprocess(df: DataFrame, config: PanelConfig, ratio: str) -> dict[str, Data
     return {"ready": ready, "parameters": parameters, "metadata": metadata}
 
 
-def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None, folds: int = 5, group: str | None = None) -> dict[str, DataFrame]:
-    """Stage 4a: cross-validated models on ``df (id, label, columns)``."""
-    split = classify.group_folds(df, group, "label", folds) if group else classify.stratified_folds(df, "label", F.xxhash64("id"), folds)
+def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None, folds: int = 5, group: str | None = None, repeats: int = 5) -> dict[str, DataFrame]:
+    """Stage 4a: models on ``df (id, label, columns)``, cross-validated over ``repeats`` splits."""
+    split = classify.group_folds(df, group, "label", folds, repeats) if group else classify.stratified_folds(df, "label", F.xxhash64("id"), folds, repeats=repeats)
     predictions = classify.cross_validate(split, columns, classify.build_models(models)).persist()
     metrics = classify.fold_metrics(predictions, ["model", "fold"])
     return {

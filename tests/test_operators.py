@@ -220,6 +220,19 @@ def test_group_folds_keep_groups_whole(spark):
     assert folds.count() == 200
 
 
+def test_repeated_folds_differ_and_are_all_run(spark):
+    df = spark.createDataFrame([(i, f"g{i // 4}", i % 3, float(i % 3)) for i in range(60)], "id long, g string, label int, x double")
+    models = classify.build_models(["dummy_most_frequent"])
+    for split in (classify.stratified_folds(df, "label", F.col("id"), 5, repeats=5), classify.group_folds(df, "g", "label", 5, repeats=5)):
+        split = cluster.compact(split)
+        names = classify.fold_columns(split)
+        assert len(names) == 5
+        rows = split.orderBy("id").collect()
+        assert len({tuple(r[n] for r in rows) for n in names}) == 5
+        out = classify.cross_validate(split, ["x"], models).groupBy("fold").agg(F.count_distinct("id").alias("n")).collect()
+        assert len(out) == 25 and sum(r.n for r in out) == 5 * 60
+
+
 def test_registry_skips_absent_packages():
     made = classify.build_models(registry={"none": ("no_such_package.Model", {}), "dummy": ("gridloom.operators.classify.MostFrequent", {})})
     assert list(made) == ["dummy"]
