@@ -328,7 +328,27 @@ def tree_importance(model, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double")
 
 
-def leave_one_out(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+def leave_one_out(df: DataFrame, columns: list[str], models: dict[str, Callable], threads: int = 8, bound: int = 20_000) -> DataFrame:
+    """Predictions of every model for every row, fitted on all other rows: model, id, y_true, y_pred. A fit per row
+    and model, side by side; for cross-sections."""
+    vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), "features"))
+    rows = vectors.select("id", "label").orderBy("id").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} rows; this operator works on a cross-section")
+    classes = int(max(r["label"] for r in rows)) + 1
+
+    def one(task: tuple) -> tuple:
+        (name, factory), row = task
+        model = factory(len(rows) - 1, len(columns), classes).fit(vectors.where(F.col("id") != row["id"]))
+        guess = model.transform(vectors.where(F.col("id") == row["id"])).first()["prediction"]
+        return name, row["id"], int(row["label"]), int(guess)
+
+    with ThreadPoolExecutor(threads) as pool:
+        out = list(pool.map(one, [(model, row) for model in models.items() for row in rows]))
+    return df.sparkSession.createDataFrame(out, f"model string, id {dict(df.dtypes)['id']}, y_true int, y_pred int")
+
+
+def leave_one_out_neighbours(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """Leave-one-out predictions of a nearest-neighbour vote: id, y_true, y_pred; for cross-sections."""
     x = small_matrix(df, [*columns, "label"])
     ids = [r[0] for r in df.select("id").orderBy("id").collect()]

@@ -354,8 +354,15 @@ def shapley_importance(spark, sf_dir):
 
 @query()
 def leave_one_out(spark, sf_dir):
-    """M47."""
-    return classify.fold_metrics(classify.leave_one_out(points(spark, sf_dir).select("id", "label", *D), D), [])
+    """The reference's three models on the cross-section."""
+    models = classify.build_models(["logistic_regression", "random_forest", "svm_linear"])
+    return classify.fold_metrics(classify.leave_one_out(_supervised(spark, sf_dir), FEATURES, models), ["model"])
+
+
+@query()
+def leave_one_out_neighbours(spark, sf_dir):
+    """Leave-one-out of a nearest-neighbour vote on the points."""
+    return classify.fold_metrics(classify.leave_one_out_neighbours(points(spark, sf_dir).select("id", "label", *D), D), [])
 
 
 @query()

@@ -233,6 +233,16 @@ def test_repeated_folds_differ_and_are_all_run(spark):
         assert len(out) == 25 and sum(r.n for r in out) == 5 * 60
 
 
+def test_leave_one_out_fits_the_models_given(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i % 2 * 4 + i * 0.01)) for i in range(6)], "id long, label int, x double")
+    models = classify.build_models(["dummy_most_frequent", "logistic_regression"])
+    got = {(r.model, r.id): (r.y_true, r.y_pred) for r in classify.leave_one_out(df, ["x"], models).collect()}
+    assert len(got) == 12
+    for i in range(6):  # without its own row the other class is the larger
+        assert got["dummy_most_frequent", i] == (i % 2, 1 - i % 2)
+        assert got["logistic_regression", i] == (i % 2, i % 2)
+
+
 def test_registry_skips_absent_packages():
     made = classify.build_models(registry={"none": ("no_such_package.Model", {}), "dummy": ("gridloom.operators.classify.MostFrequent", {})})
     assert list(made) == ["dummy"]
