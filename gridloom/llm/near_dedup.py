@@ -4,13 +4,17 @@ A document's set is its distinct runs of ``k`` words (fewer words: the whole seq
 the documents takes ``bands * rows`` minima; band keys come from the full minima, and of each minimum only the
 low ``BITS`` bits are kept, packed into longs. Documents with equal sets form one class with one representative.
 
-Candidates come from shared band keys in two rounds, neither of which emits all pairs of a bucket: first every
-member against its bucket's smallest document, its leader; then, where the members of one leader are still in
-several components, those outside the largest against the rest. Pairs are filtered by set sizes and by the
-similarity estimated from counting equal b-bit lanes, corrected for chance collisions (the margin is over five
-standard deviations), and confirmed on the full sets: in the first round from both texts, in the second inside
-the join, on sets kept as differences from their leader's. Components of the confirmed links are found by repeated
-hooking and contraction.
+Candidates come from shared band keys in two rounds, neither of which emits all pairs of a bucket. First every
+member meets its bucket's smallest document, its leader: pairs are filtered by set sizes and by the similarity
+estimated from counting equal b-bit lanes, corrected for chance collisions (the margin is over five standard
+deviations), and confirmed on the full sets of both texts. Then, where the members of one leader are still in
+several components, they are dealt into blocks of bounded rows and bytes, with their full sets kept as differences
+from their leader's: every block meets itself, and what is still outside the family's largest component meets the
+whole family, block by block. A meeting counts exact intersections and gives a spanning forest of the components it
+joins, so links are fewer than rows. Components of the links are found by repeated hooking and contraction.
+
+The number of comparisons in the last step is (members outside) x (family) / 2, where a family of documents shares
+bands and yet stays unlinked; what is shipped for it is that over BLOCK_ROWS rows.
 
 At a similarity of 0.85 a pair shares none of 32 bands of 5 with probability 7e-9; at 0.8, 3e-6.
 
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ from gridloom.llm._util import cut, stage
 BITS = 4
 LANES = 64 // BITS
 FILTER_BITS = 1 << 26
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -207,14 +213,60 @@ def relative(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return with_texts(pairs, docs).mapInArrow(encode, f"a {kind}, b {kind}, shared array<long>, own array<long>")
 
 
-def exact(percent: int) -> Column:
-    """Exact similarity of two sets relative to the same base, in columns with suffixes _x and _y."""
-    core = F.aggregate(F.zip_with("shared_x", "shared_y", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, v: s + v)
-
-    def enough(common: Column) -> Column:
-        return common * 100 >= (F.col("n_x") + F.col("n_y") - common) * percent
-
-    return enough(core + F.least(F.size("own_x"), F.size("own_y"))) & enough(core + F.size(F.array_intersect("own_x", "own_y")))
+def common_counts(x: pa.Table, y: pa.Table, columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of every set of ``x`` with every set of ``y``, all relative to the same base."""
+    common = np.zeros((len(x), len(y)), np.float32)
+    bits = [np.stack([np.unpackbits(v.view(np.uint8), bitorder="little") for v in t.column("shared").combine_chunks().to_numpy(zero_copy_only=False)]) for t in (x, y)]
+    for at in range(0, bits[0].shape[1], columns):
+        common += bits[0][:, at : at + columns].astype(np.float32) @ bits[1][:, at : at + columns].T.astype(np.float32)
+    own = [t.column("own").combine_chunks() for t in (x, y)]
+    values = [o.flatten().to_numpy() for o in own]
+    rows = [np.repeat(np.arange(len(o)), o.value_lengths().to_numpy()) for o in own]
+    both = np.intersect1d(*values)
+    if len(both):
+        places = [np.minimum(np.searchsorted(both, v), len(both) - 1) for v in values]
+        held = [both[p] == v for p, v in zip(places, values, strict=True)]
+        for at in range(0, len(both), columns):
+            width, sides = min(columns, len(both) - at), []
+            for t, p, h, r in zip((x, y), places, held, rows, strict=True):
+                inside = h & (p >= at) & (p < at + width)
+                side = np.zeros((len(t), width), np.float32)
+                side[r[inside], p[inside] - at] = 1
+                sides.append(side)
+            common += sides[0] @ sides[1].T
+    return common
+
+
+def forest(similar: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest, by breadth first search, over the components ``x`` (of rows) and ``y`` (of columns)."""
+    codes, back = np.unique(np.r_[x, y], return_inverse=True)
+    back = back.reshape(-1)
+    near_by = np.zeros((len(codes), len(codes)), bool)
+    i, j = np.nonzero(similar)
+    near_by[back[: len(x)][i], back[len(x) :][j]] = True
+    near_by |= near_by.T
+    np.fill_diagonal(near_by, False)
+    new, out = np.ones(len(codes), bool), []
+    for root in np.flatnonzero(near_by.any(axis=1)):
+        queue = [root] if new[root] else []
+        new[root] = False
+        while queue:
+            v = queue.pop()
+            found = np.flatnonzero(near_by[v] & new)
+            new[found] = False
+            queue.extend(found)
+            out += [(int(codes[v]), int(codes[w])) for w in found]
+    return out
+
+
+def tile(x: pa.Table, y: pa.Table, percent: int) -> tuple[pa.Array, pa.Array]:
+    """Components that sets of ``x`` and ``y`` link, as a spanning forest: fewer links than rows."""
+    named = pa.chunked_array([*x.column("component").chunks, *y.column("component").chunks]).combine_chunks().dictionary_encode()
+    codes = named.indices.to_numpy()
+    common = common_counts(x, y)
+    sizes = x.column("n").to_numpy()[:, None] + y.column("n").to_numpy()[None, :]
+    links = forest(100 * common >= percent * (sizes - common), codes[: len(x)], codes[len(x) :])
+    return tuple(named.dictionary.take(pa.array([link[side] for link in links], pa.int64())) for side in (0, 1))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,20 +290,67 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def across(families: DataFrame, sigs: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int, lanes: int) -> DataFrame:
-    """Links between members of one family (documents compared with the same leader) that are in different
-    components so far. Members outside the family's largest component meet all of its members; only links leave
-    the join."""
-    placed = cut(families.join(labels, families.b == labels.id, "left").select("a", "b", F.coalesce("component", "b").alias("component")))
-    sizes = placed.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = cut(sizes.groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("a", F.col("main.component").alias("main")))
-    open_rows = cut(placed.join(main, "a").select("a", "b", "component", "main"))
-    coded = relative(open_rows.select("a", "b"), docs, k).distinct()
-    rows = cut(open_rows.join(coded, ["a", "b"]).join(sigs.toDF("b", "n", "sig"), "b"))
-    x, y = (rows.select("a", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("b", "component", "n", "sig", "shared", "own"))) for side in ("x", "y"))
-    met = x.where("component_x <> main").drop("main").join(y.drop("main"), "a")
-    linked = met.where(F.col("component_x") != F.col("component_y")).where(near(percent, lanes, "_x", "_y")).where(exact(percent))
-    return cut(linked.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct())
+def relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """``labels`` after ``joined (a, b)``, links between components; an id without a label is its own component."""
+    roots = components(joined).withColumnRenamed("id", "old").withColumnRenamed("component", "new")
+    kept = labels.join(roots, labels.component == roots.old, "left").select("id", F.coalesce("new", "component").alias("component"))
+    fresh = roots.join(labels, roots.old == labels.id, "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component"))
+    return cut(kept.unionByName(fresh))
+
+
+def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``members (a, b, ...)`` whose family has several components, with their own and ``outside``: not
+    in the family's largest one."""
+    placed = members.join(labels, members.b == labels.id, "left").withColumn("component", F.coalesce("component", "b")).drop("id")
+    sizes = placed.groupBy("a", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = cut(sizes.groupBy("a").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("a", F.col("main.component").alias("main")))
+    return cut(placed.join(main, "a").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+
+
+def blocked(rows: DataFrame, block: str) -> DataFrame:
+    """``rows`` with a block number: a family's rows are dealt by hash into blocks of about BLOCK_ROWS rows and
+    BLOCK_BYTES bytes at most. ``blocks`` is the family's number of blocks."""
+    weight = 8 * (F.size("shared") + F.size("own"))
+    n = rows.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias(f"{block}s"))
+    return rows.join(n, "a").withColumn(block, F.pmod(F.xxhash64("b", F.lit(block)), F.col(f"{block}s")).cast("int"))
+
+
+def across(families: DataFrame, sizes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``labels`` after all links between members of one family (documents compared with the same leader). Members
+    of families with several components are dealt into blocks. First every block meets itself, which joins nearly
+    all that is similar; what is then still outside its family's largest component meets the whole family, block by
+    block. A task holds two blocks and gives fewer links than they have rows, however many pairs are similar."""
+    rows = opened(families, labels)
+    if rows.isEmpty():
+        return labels
+    coded = cut(rows.select("a", "b").join(sizes.toDF("b", "n"), "b").join(relative(rows.select("a", "b"), docs, k).distinct(), ["a", "b"]))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def own(group: pa.Table) -> pa.Table:
+        return pa.table(tile(group, group, percent), ["a", "b"])
+
+    held = blocked(coded.join(rows.select("a", "b", "component"), ["a", "b"]), "block")
+    links = cut(held.select("a", "block", "component", "n", "shared", "own").groupBy("a", "block").applyInArrow(own, f"a {kind}, b {kind}"))
+    labels = relabelled(labels, links)
+
+    rows = opened(coded.select("a", "b"), labels)
+    if rows.isEmpty():
+        return labels
+    rows = coded.join(rows, ["a", "b"])
+    body = F.collect_list(F.struct("component", "n", "shared", "own")).alias("body")  # a block is bounded
+    x = cut(blocked(rows.where("outside"), "x").groupBy("a", "x", "xs").agg(body))
+    y = cut(blocked(rows, "y").groupBy("a", "y", "ys").agg(body))
+    counts = x.select("a", "xs").distinct().join(y.select("a", "ys").distinct(), "a")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = x.drop("xs").join(counts.select("a", "ys"), "a").select("a", "x", upto("ys").alias("y"), "body", F.lit(0).alias("side"))
+    met = met.unionByName(y.drop("ys").join(counts.select("a", "xs"), "a").select("a", upto("xs").alias("x"), "y", "body", F.lit(1).alias("side")))
+
+    def apart(group: pa.Table) -> pa.Table:
+        sides = (group.filter(pc.equal(group["side"], side))["body"].combine_chunks().flatten() for side in (0, 1))
+        return pa.table(tile(*(pa.Table.from_struct_array(s) for s in sides), percent), ["a", "b"])
+
+    links = cut(met.groupBy("a", "x", "y").applyInArrow(apart, f"a {kind}, b {kind}"))
+    return relabelled(labels, links)
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -274,10 +373,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     links = confirmed(stars, docs, k, percent)
     labels = components(links)
 
-    more = across(families, sigs, labels, docs, k, percent, lanes)
-    if not more.isEmpty():
-        labels = components(cut(links.unionByName(more)))
-
+    labels = across(families, classes.select("id", "n"), labels, docs, k, percent)
     named = cut(classes.select("one", "two", F.col("n").alias("size"), "id").join(labels, "id", "left").select("one", "two", "size", F.coalesce("component", "id").alias("component")))
     found = every.select("id", "n", "one", "two").alias("e").join(named.alias("c"), F.expr("e.one = c.one AND e.two = c.two AND e.n = c.size"), "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))

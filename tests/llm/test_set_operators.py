@@ -94,6 +94,41 @@ def test_near_dedup_against_brute_force(spark, seed, k, percent):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def template_family(m, seed=2):
+    """Texts of one template, each with a few words of its own; the first differs most."""
+    rng, base = random.Random(seed), [f"b{i}" for i in range(24)]
+    docs = {}
+    for i in range(m):
+        own = list(base)
+        for at in rng.sample(range(24), 5 if i == 0 else rng.choice([0, 1, 1, 2, 3])):
+            own[at] = f"{rng.randrange(4)}x{at}"
+        docs[i] = " ".join(own)
+    return docs
+
+
+@pytest.mark.parametrize("block_rows", [24, 512])
+def test_template_family_in_blocks(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block_rows)
+    docs = template_family(400)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.group(frame, k=3, percent=70).collect()}
+    assert got == brute_components(docs, 3, 70)
+
+
+@pytest.mark.parametrize("m", [1500, 5000])
+def test_links_grow_with_the_members(spark, monkeypatch, m):
+    links, of = [], near_dedup.components
+
+    def counted(edges):
+        links.append(edges.count())
+        return of(edges)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    frame = spark.createDataFrame(list(template_family(m).items()), "doc_id long, text string")
+    assert near_dedup.group(frame, k=3, percent=70).count() == m
+    assert sum(links) <= 4 * m
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = near_dedup.group(odd_docs, k=3, percent=85).collect()
     assert len(rows) == 13
