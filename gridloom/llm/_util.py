@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = spark.conf.get("spark.gridloom.shared.dir", None)
         if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
             spark.conf.set("spark.gridloom.shared.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -47,10 +53,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that :func:`scratch` gave."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def id_filter(ids: DataFrame, bound: int = FILTER_BITS) -> Callable[..., Column]:
+    """A Bloom filter over the rows of ``ids``, as a function from as many columns to a boolean column. It has at
+    most ``bound`` bits: with more rows than a sixteenth of that it lets more through, and at last everything."""
+    n, names = ids.count(), ids.columns
+    bits = min(bound, 1 << max(10, (16 * n).bit_length()))
+
+    def places(*columns: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(*columns, F.lit(j)), F.lit(bits)).cast("int") for j in range(4)]
+
+    words = ids.select(F.explode(F.array(*places(*map(F.col, names)))).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    bitmap = np.zeros(bits // 64, np.int64)
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("value")).toArrow()  # at most bits / 64 words
+    bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
+    held = ids.sparkSession.createDataFrame(pa.table({"words": pa.array([bitmap], pa.list_(pa.int64()))})).scalar()
+
+    def inside(*columns: Column) -> Column:
+        at = places(*columns)
+        found = [F.getbit(F.get(held, F.shiftright(a, 6)), a.bitwiseAND(63)) == 1 for a in at]
+        return found[0] & found[1] & found[2] & found[3]
+
+    return inside
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose values are not in ``gone``, whose columns ``rows`` has too. Only rows that pass the
+    filter of ``gone`` are shuffled; the others are read and kept in place."""
+    maybe = id_filter(gone)(*map(F.col, gone.columns))
+    return rows.where(~maybe).unionAll(rows.where(maybe).join(gone, gone.columns, "left_anti").select(*rows.columns))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -19,8 +19,8 @@ bands and yet stays unlinked; what is shipped for it is that over BLOCK_ROWS row
 At a similarity of 0.85 a pair shares none of 32 bands of 5 with probability 7e-9; at 0.8, 3e-6.
 
 Hot keys: classes and buckets aggregate on the map side; joins on band keys, leaders and classes read
-checkpointed tables on both sides, which adaptive execution may split. What is broadcast is a Bloom filter of
-document ids of at most ``FILTER_BITS`` bits, which only saves shuffling.
+checkpointed tables on both sides, which adaptive execution may split. Bloom filters of document ids, of at most ``FILTER_BITS`` bits, only save shuffling:
+texts that no pair needs, and rows that stay, are not moved.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and are linked with nothing; a
 null doc_id is linked with nothing; rows that repeat a doc_id are one document; an empty table gives no rows;
@@ -38,11 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import PRIME, WHITE, mixed, word_hashes
-from gridloom.llm._util import cut, stage
+from gridloom.llm._util import cut, id_filter, stage, without
 
 BITS = 4
 LANES = 64 // BITS
-FILTER_BITS = 1 << 26
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 
@@ -133,33 +132,6 @@ def near(percent: int, lanes: int, x: str, y: str) -> Column:
     return sizes & (estimate(F.col(f"sig{x}"), F.col(f"sig{y}"), lanes) >= t - margin)
 
 
-def id_filter(ids: DataFrame, bound: int = FILTER_BITS):
-    """A Bloom filter over the column ``id`` of ``ids``, as a function from a column to a boolean column."""
-    n = ids.count()
-    bits = min(bound, 1 << max(10, (16 * n).bit_length()))
-
-    def places(c: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(c, F.lit(j)), F.lit(bits)).cast("int") for j in range(4)]
-
-    words = ids.select(F.explode(F.array(*places(F.col("id")))).alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
-    bitmap = np.zeros(bits // 32, "<u4")
-    got = words.agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("value")).toArrow()  # at most bits / 32 words
-    bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def inside(a, b, c, d):
-        import pandas as pd
-
-        own, all_set = shared.value, True
-        for at in (a, b, c, d):
-            at = at.to_numpy()
-            all_set = all_set & ((own[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
-        return pd.Series(all_set)
-
-    return lambda c: inside(*places(c))
-
-
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs (a, b)`` with the whole texts of both."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -312,7 +284,8 @@ def blocked(rows: DataFrame, block: str) -> DataFrame:
     BLOCK_BYTES bytes at most. ``blocks`` is the family's number of blocks."""
     weight = 8 * (F.size("shared") + F.size("own"))
     n = rows.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias(f"{block}s"))
-    return rows.join(n, "a").withColumn(block, F.pmod(F.xxhash64("b", F.lit(block)), F.col(f"{block}s")).cast("int"))
+    dealt = rows.join(n, "a").withColumn(block, F.pmod(F.xxhash64("b", F.lit(block)), F.col(f"{block}s")).cast("int"))
+    return dealt.repartition("a", block)  # or the join would leave all blocks of a family in one task
 
 
 def across(families: DataFrame, sizes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -382,5 +355,5 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those whose near-duplicate group has a document with a smaller id."""
-    gone = cut(group(docs, doc_id, text, **options).where("NOT kept").select(F.col("doc_id").alias("__gl_gone")).distinct())
-    return docs.join(gone, docs[doc_id] == gone["__gl_gone"], "left_anti")
+    gone = cut(group(docs, doc_id, text, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct())
+    return without(docs, gone)
