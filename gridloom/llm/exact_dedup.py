@@ -1,13 +1,18 @@
 """Exact deduplication with streaming state.
 
-A narrow key table (row locator, doc_id, digest of the normalised text) is staged in the shared folder and
-streamed through a keyed aggregation whose state lives in RocksDB, has no expiry and holds, per digest, the
-group's size and the stable identifier and locator of the row that stays. The state is read back with the
-state data source. Before that, the full bytes of every group are compared: per digest the smallest and the
-largest normalised text must be the same; digests where they differ get the whole text as part of their key.
+A narrow key table (content locator, doc_id, digest of the normalised text) is staged in the shared folder and
+streamed through a keyed aggregation whose state lives in RocksDB, has no expiry and holds, per digest, the group's
+size and the stable identifier and locator of the row that stays. The state is read back with the state data source.
+
+A locator is the file and the row in it, so it names the same content in every read; a table that is not read
+straight from Parquet files is staged first. On hits, that is for digests with more than one row, the full texts
+are fetched by locator and their bytes compared; digests whose texts differ get the whole text as part of their key
+and are streamed again. Only hits are shuffled with their texts: a Bloom filter of their locators, of at most
+``FILTER_BITS`` bits, lets the other rows stay where they are (beyond some four million hits it lets more through).
 
 Built-in DataFrame functions only. Hot groups: both aggregations combine on the map side, and the join of keys
-with state has one state row per digest, so adaptive execution may split a hot digest.
+with state has one state row per digest, so adaptive execution may split a hot digest. An executor has only the
+state stores of its running tasks open, whose memory is bounded by ``STATE_MB``.
 
 Defined cases: a null text counts as empty; a null doc_id is the smallest; of repeated rows with one doc_id and
 text one stays (the later locator); an empty table gives no rows; extra columns may have any name.
@@ -15,15 +20,17 @@ text one stays (the later locator); an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._util import ascii_lower, cut, scratch
+from gridloom.llm._util import ascii_lower, cut, id_filter, scratch, stage, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-KEY, ROW, DOC = "__gl_key", "__gl_row", "__gl_doc"
+STATE_MB = 256
+KEY, FILE, ROW, DOC = "__gl_key", "__gl_file", "__gl_row", "__gl_doc"
 
 
 def normalised(text: Column) -> Column:
@@ -34,74 +41,72 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256))
 
 
-def collisions(docs: DataFrame, text: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests that texts of different bytes share."""
-    norm = normalised(docs[text])
-    rows = docs.select(digest(norm).alias(KEY), norm.alias("norm"))
-    return cut(rows.groupBy(KEY).agg((F.min("norm") != F.max("norm")).alias("differ")).where("differ").select(KEY))
-
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the locator of every row."""
+    plan = docs._jdf.queryExecution().analyzed().toString().strip()
+    if not re.fullmatch(r"Relation \[[^\n]*\] parquet", plan):
+        docs = stage(docs, "dedup-docs")
+    return docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
-def with_key(docs: DataFrame, text: str, digest: Callable[[Column], Column], clash: DataFrame | None) -> DataFrame:
-    """``docs`` with its group key: the digest, followed by the whole text where digests collide."""
-    norm = normalised(docs[text])
-    if clash is None:
-        return docs.withColumn(KEY, digest(norm))
-    clash = clash.withColumnRenamed(KEY, "__gl_clash")
-    keyed = docs.withColumn(KEY, digest(norm)).join(clash, F.col(KEY) == F.col("__gl_clash"), "left")
-    return keyed.withColumn(KEY, F.when(F.col("__gl_clash").isNotNull(), F.concat(KEY, F.encode(norm, "UTF-8"))).otherwise(F.col(KEY))).drop("__gl_clash")
 
-
-def group_state(keys_path: str, schema: str, keys: DataFrame) -> DataFrame:
-    """Keys streamed through the state; then the state: one row per key with size, doc_id and locator."""
-    spark = keys.sparkSession
+def group_state(path: str, kind: str, like: DataFrame) -> DataFrame:
+    """Staged keys streamed through the state; then the state: one row per key with size, doc_id and locator."""
+    spark = like.sparkSession
     own = spark.newSession()  # the provider is set for this query alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small stores take what they hold
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "8")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # an executor holds the stores of its running tasks alone
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     at = scratch(spark, "dedup-state")
-    stream = own.readStream.schema(schema).parquet(keys_path)
-    groups = stream.groupBy(KEY).agg(F.max(F.struct(DOC, ROW)).alias("keep"), F.count(F.lit(1)).alias("size"))
+    stream = own.readStream.schema(f"{FILE} string, {ROW} long, {DOC} {kind}, {KEY} binary").parquet(path)
+    groups = stream.groupBy(KEY).agg(F.max(F.struct(DOC, FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("size"))
     query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
     state = spark.read.format("statestore").load(at)
     return state.select(F.col(f"key.{KEY}").alias("__gl_group"), F.col("value.max").alias("keep"), F.col("value.count").alias("group_size"))
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Staged keys, final state, and the colliding digests (None: none)."""
-    spark = docs.sparkSession
-    clash = collisions(docs, text, digest)
-    clash = None if clash.isEmpty() else clash
-    path = scratch(spark, "dedup-keys")
-    keyed = with_key(docs.select(F.col(doc_id).alias(DOC), F.col(text).alias("__gl_text")), "__gl_text", digest, clash)
-    keyed.select(F.monotonically_increasing_id().alias(ROW), DOC, KEY).write.parquet(path)
-    keys = spark.read.parquet(path)
-    if not keys.schema.fields:
-        keys = keyed.select(F.lit(0).cast("long").alias(ROW), DOC, KEY).limit(0)
-    kind = keyed.schema[DOC].dataType.simpleString()
-    return keys, group_state(path, f"{ROW} long, {DOC} {kind}, {KEY} binary", keys), clash
+def grouped(keys: DataFrame) -> DataFrame:
+    """Per row of ``keys``: its locator, doc_id and key, its group's size, the doc_id that stays, and whether it does."""
+    path = scratch(keys.sparkSession, "dedup-keys")
+    keys.select(FILE, ROW, DOC, KEY).write.parquet(path)
+    state = group_state(path, keys.schema[DOC].dataType.simpleString(), keys)
+    joined = keys.sparkSession.read.schema(keys.schema).parquet(path).join(state, F.col(KEY) == F.col("__gl_group"))
+    stays = (F.col(FILE) == F.col(f"keep.{FILE}")) & (F.col(ROW) == F.col(f"keep.{ROW}"))
+    return cut(joined.select(FILE, ROW, DOC, KEY, "group_size", F.col(f"keep.{DOC}").alias("keep_id"), stays.alias("kept")))
+
+
+def fetched(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the normalised texts at their locators."""
+    near = docs.where(id_filter(rows.select(FILE, ROW))(F.col(FILE), F.col(ROW))).select(FILE, ROW, normalised(docs[text]).alias("norm"))
+    return rows.join(near, [FILE, ROW])
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with locators, and their groups, compared byte by byte."""
+    docs = located(docs)
+    joined = grouped(docs.select(FILE, ROW, F.col(doc_id).alias(DOC), digest(normalised(docs[text])).alias(KEY)))
+    hits = joined.where("group_size > 1").select(FILE, ROW, KEY)
+    clash = fetched(docs, hits, text).groupBy(KEY).agg((F.min("norm") != F.max("norm")).alias("differ"))
+    clash = cut(clash.where("differ").select(KEY))
+    if not clash.isEmpty():
+        apart = fetched(docs, joined.join(clash, KEY, "left_semi").select(FILE, ROW, DOC, KEY), text)
+        apart = apart.select(FILE, ROW, DOC, F.concat(KEY, F.encode("norm", "UTF-8")).alias(KEY))
+        joined = grouped(joined.join(clash, KEY, "left_anti").select(FILE, ROW, DOC, KEY).unionByName(apart))
+    return docs, joined
 
 
 def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Per row: ``doc_id, keep_id, group_size, kept, digest`` (the digest alone, without a colliding text)."""
-    keys, state, _ = groups(docs, doc_id, text, digest)
-    joined = keys.join(state, F.col(KEY) == F.col("__gl_group"))
-    return joined.select(
-        F.col(DOC).alias("doc_id"),
-        F.col(f"keep.{DOC}").alias("keep_id"),
-        "group_size",
-        (F.col(ROW) == F.col(f"keep.{ROW}")).alias("kept"),
-        F.substring(KEY, 1, 32).alias("digest"),
-    )
+    _, joined = groups(docs, doc_id, text, digest)
+    return joined.select(F.col(DOC).alias("doc_id"), "keep_id", "group_size", "kept", F.substring(KEY, 1, 32).alias("digest"))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keys, state, clash = groups(docs, doc_id, text, digest)
-    keep = state.select(F.col("__gl_group"), F.col(f"keep.{DOC}").alias("__gl_keep"))
-    keyed = with_key(docs, text, digest, clash)
-    stays = keyed.join(keep, (F.col(KEY) == F.col("__gl_group")) & keyed[doc_id].eqNullSafe(F.col("__gl_keep")), "left_semi")
-    repeated = keys.groupBy(DOC, KEY).count().where("count > 1")
-    if not repeated.isEmpty():  # one doc_id and text in several rows: one of them stays
-        stays = stays.dropDuplicates([doc_id, KEY])
-    return stays.drop(KEY)
+    found, joined = groups(docs, doc_id, text, digest)
+    return without(found, joined.where("NOT kept").select(FILE, ROW)).drop(FILE, ROW)
