@@ -88,7 +88,7 @@ ruled AS (
   FROM parts)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN host IN ({", ".join(f"'{h}'" for h in url_filters.LISTED_HOSTS)}) THEN 'block' ELSE 'allow' END AS verdict
+    WHEN {" OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in url_filters.LISTED_HOSTS)} THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
@@ -100,7 +100,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, i, count(*) OVER (PARTITION BY conv_id) AS n,
@@ -109,7 +109,7 @@ p AS (
 kept AS (
   SELECT min(conv_id) AS conv_id FROM p
   WHERE i = n AND prefix NOT IN (SELECT prefix FROM p WHERE i < n) GROUP BY prefix)
-SELECT conv_id, CAST(coalesce(turn // 512, 0) AS BIGINT) AS segment, count(*) AS n_turns,
+SELECT conv_id, CAST((i - 1) // 512 AS BIGINT) AS segment, count(*) AS n_turns,
        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) AS text
 FROM t JOIN kept USING (conv_id) GROUP BY 1, 2
 """

@@ -178,29 +178,42 @@ def test_url_parts_and_rules(spark):
     assert url_filters.judge(pages, listed.limit(0)).where("verdict = 'block' AND rule IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
-def test_cascade_is_exact(spark, max_bytes):
+@pytest.mark.parametrize("slice_keys", [1 << 20, 200])
+def test_cascade_is_exact(spark, slice_keys):
     rng = random.Random(9)
     hosts = [f"h{i}.net" for i in range(3000)]
     bad = set(rng.sample(hosts, 700))
     pages = spark.createDataFrame([(i, f"http://{rng.choice(hosts)}/p") for i in range(6000)], "page_id long, url string")
     listed = spark.createDataFrame([(h,) for h in bad] + [("absent.net",)], "host string")
-    rows = url_filters.judge(pages, listed, rules=[], max_bytes=max_bytes).collect()
+    rows = url_filters.judge(pages, listed, rules=[], slice_keys=slice_keys).collect()
     assert len(rows) == 6000 and all((r.verdict == "block") == (r.host in bad) for r in rows)
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
-def test_listed_host_covers_subdomains(spark, max_bytes):
+@pytest.mark.parametrize("slice_keys", [1 << 20, 200])
+def test_listed_host_covers_subdomains(spark, slice_keys):
     block = ["www.spam-farm.example.com", "M.Spam-Farm.example.org", "a.b.c.spam-farm.example.net", "spam-farm.example.com"]
     allow = ["notspam-farm.example.com", "example.com", "spam-farm.example.com.net", "spam-farm.example.com.", "www.spam-farm.example", "a.", ""]
     pages = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(block + allow)], "page_id long, url string")
     listed = spark.createDataFrame([(h,) for h in [*url_filters.LISTED_HOSTS, "deep.er.than.all.the.others"]], "host string")
-    rows = url_filters.judge(pages, listed, rules=[], max_bytes=max_bytes).orderBy("page_id").collect()
+    rows = url_filters.judge(pages, listed, rules=[], slice_keys=slice_keys).orderBy("page_id").collect()
     assert [r.verdict for r in rows] == ["block"] * len(block) + ["allow"] * len(allow)
-    alone = url_filters.judge(pages, spark.createDataFrame([("",)], "host string"), rules=[], max_bytes=max_bytes)
+    alone = url_filters.judge(pages, spark.createDataFrame([("",)], "host string"), rules=[], slice_keys=slice_keys)
     assert [r.host for r in alone.where("verdict = 'block'").collect()] == [""]
 
 
+def test_rules_of_any_number(spark):
+    rng = random.Random(8)
+    rules = [(f"{'.'.join(rng.choices('abc', k=rng.choice([1, 2])))}/{''.join(rng.choices('xy/', k=rng.randrange(4)))}", rng.choice(["allow", "block"])) for _ in range(2000)]
+    rules = sorted(dict(rules).items()) + [(f"host{i}.net/p", "block") for i in range(3000)]
+    urls = [f"http://{'.'.join(rng.choices('abc', k=3))}/{''.join(rng.choices('xy/', k=4))}" for _ in range(400)] + ["http://w.host77.net/p1", "http://host77.net/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filters.judge(pages, spark.createDataFrame([], "host string"), rules=rules).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        fits = [(len(n), n, says) for n, says in rules if (r.host == n.partition("/")[0] or r.host.endswith("." + n.partition("/")[0])) and r.path.startswith("/" + n.partition("/")[2])]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow"))
+
+
 def brute_chats(rows):
     chats = defaultdict(list)
     for conv, turn, role, text in rows:
@@ -231,6 +244,33 @@ def test_chat_collapse(spark):
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
+def test_tied_null_and_repeated_turns(spark):
+    """Pairs (A, and A with a tied B) in both orders, a conversation of null turns and one of a repeated turn."""
+    import duckdb
+
+    from gridloom.llm.queries import OP6_SQL
+
+    rng, rows = random.Random(5), []
+    for c in range(0, 80, 2):
+        first = ("user", f"hello {c}")
+        second = (rng.choice(["user", "assistant", "a"]), rng.choice(["aa", "zz", "hello", "x" * 40]) + str(c))
+        rows += [(c, 0, *first), (c + 1, 0, *first), (c + 1, 0, *second)]
+    rows += [(200, None, rng.choice("uv"), f"t{i}") for i in range(1300)]
+    rows += [(201, 3, "user", "again")] * 1500 + [(201, 2, "user", "before"), (202, 2, "user", "before"), (202, 3, "user", "again")]
+    rows += [(203, 1, None, None), (203, 1, "", "x"), (204, 1, "", "")]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "conv_id long, turn long, role string, text string, a int, tie int, n int").repartition(4)
+    made = chat_format.format_chats(frame).collect()
+    got = defaultdict(str)
+    for r in sorted(made, key=lambda r: (r.conv_id, r.segment)):
+        got[r.conv_id] += r.text
+    assert dict(got) == brute_chats(rows)
+    assert max(r.n_turns for r in made) <= 512
+    conversations = frame.select("conv_id", "turn", "role", "text").toPandas()  # noqa: F841  (read by the SQL)
+    want = duckdb.sql(OP6_SQL).fetchall()
+    assert sorted((r.conv_id, r.segment, r.n_turns, r.text) for r in made) == sorted(want)
+
+
 def curve(axes, bits):
     """The transposed-axes index, row by row."""
     x, q = list(axes), 1 << (bits - 1)
@@ -275,6 +315,30 @@ def test_shards(odd_docs, no_docs):
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_every_dimension_prunes(spark):
+    """A filter on one value of any dimension has to read fewer than all shards, by their minima and maxima."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.assign(docs, shards=32).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    for dimension in ("lang", "source", "size"):
+        ends = defaultdict(list)
+        for r in rows:
+            if r[dimension] is not None:
+                ends[r.shard].append(r[dimension])
+        ranges = [(min(v), max(v)) for v in ends.values()]
+        values = {r[dimension] for r in rows} - {None}
+        read = sum(low <= v <= high for v in values for low, high in ranges) / len(values) / len(ranges)
+        assert read < 0.6, (dimension, read)
+
+
+def test_cut_points_keep_the_order(spark):
+    frame = spark.createDataFrame([(v, n) for v in "abcd" for n in range(5)] + [(None, None)], "v string, n int")
+    assert sharding.cut_points(frame, "v", 5, False) == [(8, "b"), (16, "c"), (24, "d")]
+    skewed = spark.createDataFrame([(1,)] * 90 + [(i,) for i in range(2, 12)], "v int")
+    assert sharding.cut_points(skewed, "v", 2, True) == [(3, 2)] and sharding.cut_points(frame.limit(0), "n", 2, True) == []
+    cells = frame.select("v", sharding.cell_of(F.col("v"), sharding.cut_points(frame, "v", 5, False)).alias("c")).distinct().collect()
+    assert sorted((r.v or "", r.c) for r in cells) == [("", 0), ("a", 0), ("b", 8), ("c", 16), ("d", 24)]
+
+
 def test_native_operators_run_no_python(spark):
     docs, chats = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "conversations"))
     for df in (exact_dedup.find_copies(docs), chat_format.format_chats(chats), sharding.assign(docs)):
