@@ -1,36 +1,58 @@
 """Shards along a Hilbert curve over metadata.
 
-Several metadata dimensions are quantised to ``bits`` bits each; rows are put in the order of their index on the
-Hilbert curve through that grid and the order is cut into equal runs. A shard then covers a compact region, so
-that statistics of its files prune filters on any of the dimensions.
-
-Built-in DataFrame functions only. The order is a range partitioning on (index, text hash, doc_id, locator), so
-that a crowded cell is spread; its narrow rows are checkpointed once, and a row's place is its place in its
-partition plus the rows of the partitions before. Law ``rows``: counts of shards differ by one at most.
-
-Defined cases: a null text has size 1 and the checksum of no bytes; null metadata is a value of its own; equal
+Every metadata dimension is quantised to ``bits`` bits by cut points that keep its order: a categorical dimension by
+the rank of its distinct values, a size by its quantiles. Cells are spread over the whole axis, so that the first
+splits of the curve divide every dimension, however few values it has. Rows are put in the order of their index on
+the Hilbert curve through that grid and the order is cut into equal runs. A shard then covers a compact region with a
+short range of values in several dimensions, and the minima and maxima of its files prune filters on any of them.
+
+Built-in DataFrame functions only. Texts are read once, into narrow rows that are checkpointed; cut points (at most
+2**bits a dimension reach the driver) and ranges come from these. The order is a range partitioning on (index, text
+hash, doc_id, locator), so that a crowded cell is spread; a row's place is its place in its partition plus the rows
+of the partitions before. Law ``rows``: counts of shards differ by one at most.
+
+Defined cases: a null text has size 1 and the checksum of no bytes; null metadata comes before all values; equal
 texts with equal metadata are neighbours; repeated rows take one place each; an empty table gives no rows;
-extra columns are ignored.
+extra columns may have any name and are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._util import cut
 
 
-def by_value(column: Column, bits: int) -> Column:
-    """A categorical dimension: its value's hash."""
-    return F.pmod(F.xxhash64(F.coalesce(column.cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
-
-
-def by_magnitude(column: Column, bits: int) -> Column:
-    """A positive size: half steps of its binary logarithm, order-preserving."""
-    return F.least(F.floor(2 * F.log2(F.greatest(column, F.lit(1)))), F.lit((1 << bits) - 1)).cast("int")
+def cut_points(rows: DataFrame, dimension: str, bits: int, weighted: bool) -> list:
+    """The least value of every cell but the first, in order: cells of equally many distinct values, or of equally
+    many rows (``weighted``)."""
+    values = rows.where(F.col(dimension).isNotNull()).groupBy(F.col(dimension).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    values = values.select("value", F.col("n") if weighted else F.lit(1).cast("long").alias("n"))
+    ordered = values.repartitionByRange("value").sortWithinPartitions("value").select("value", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    ordered = cut(ordered)
+    totals = sorted((r.part, r.total) for r in ordered.groupBy("part").agg(F.sum("n").alias("total")).collect())  # a row per partition
+    starts, before = [], 0
+    for part, total in totals:
+        starts.append((part, before))
+        before += total
+    if not before:
+        return []
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, offset long"))  # a row per partition
+    earlier = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.join(offsets, "part").select("value", (F.col("offset") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("before"))
+    cells = placed.groupBy(F.expr(f"before * {1 << bits} DIV {before}").alias("cell")).agg(F.min("value").alias("least"))
+    return [(r.cell, r.least) for r in sorted(cells.collect()) if r.cell]  # at most 2**bits
+
+
+def cell_of(column: Column, points: list) -> Column:
+    """The cell of a value; nulls are in cell 0."""
+    cell = F.lit(0)
+    for number, least in points:
+        cell = F.when(column >= F.lit(least), F.lit(number)).otherwise(cell)
+    return cell.cast("int")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,16 +88,19 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return bound(turned, interleaved)
 
 
-def places(docs: DataFrame, doc_id: str, text: str, axes: list[Column], bits: int) -> tuple[DataFrame, int]:
+def places(docs: DataFrame, doc_id: str, text: str, dimensions: tuple[str, ...], bits: int) -> tuple[DataFrame, int]:
     """Every row's place (from 0) in the curve's order, checkpointed, and the number of rows."""
     body = F.coalesce(F.col(text), F.lit(""))
+    named = [d for d in dimensions if d in docs.columns]
     narrow = cut(docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        hilbert_index(axes, bits).alias("curve"),
+        F.struct(*(F.col(d).alias(f"d{i}") for i, d in enumerate(named)), F.lit(0).alias("none")).alias("dims"),
         F.monotonically_increasing_id().alias("locator"),
-    ))  # texts are read once; sampling for the ranges reads these rows
+    ))
+    axes = [*(cell_of(F.col(f"dims.d{i}"), cut_points(narrow, f"dims.d{i}", bits, False)) for i in range(len(named))), cell_of(F.col("size"), cut_points(narrow, "size", bits, True))]
+    narrow = cut(narrow.withColumn("curve", hilbert_index(axes, bits)).drop("dims"))  # sampling for the ranges reads these rows
     order = ["curve", "text_crc32", "doc_id", "locator"]
     ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = cut(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
@@ -91,9 +116,7 @@ def places(docs: DataFrame, doc_id: str, text: str, axes: list[Column], bits: in
 
 def assign(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("lang", "source"), bits: int = 5) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, curve, law, shard, slot, grown_shard``."""
-    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1
-    axes = [*(by_value(F.col(d), bits) for d in dimensions if d in docs.columns), by_magnitude(size, bits)]
-    placed, total = places(docs, doc_id, text, axes, bits)
+    placed, total = places(docs, doc_id, text, dimensions, bits)
     n = F.lit(max(total, 1)).cast("long")
     return placed.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "place", n.alias("n")).select(
         "doc_id",
