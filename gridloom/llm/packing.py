@@ -2,9 +2,12 @@
 
 Each scan partition packs on its own, in one pass. ``N[h]`` counts the open windows filled to level ``h``; a
 document (or what is left of it after whole windows) goes to the level that makes the sum of ``N[h]**2``
-smallest, the fuller level on ties. Open windows are bounded: beyond ``max_open``, and at the end of the
-partition, the emptiest open windows are cut to fill the fullest; the single rest at the end of a partition is
-cut into runs whose lengths are powers of two, which need no padding.
+smallest, the fuller level on ties. Only at the end of the partition are the emptiest open windows cut to fill the
+fullest; the single rest is cut into runs whose lengths are powers of two, which need no padding.
+
+A window closes on an exact fit, so some 700 to 1,000 windows of 1024 levels stay open; their share of all windows,
+which the end of the partition fills, falls with the partition's size. A task holds the ids of its open windows, at
+most those of its scan partition (``spark.sql.files.maxPartitionBytes``).
 
 Defined cases: a null or empty text is the end-of-document id alone; a null doc_id stays null; repeated rows
 are packed as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -61,11 +64,10 @@ def encoder(vocabulary: str, ranks: str | None) -> Encoder:
 class SumOfSquares:
     """Online packer of one partition. ``emit`` gets (document, start, ids, doc_tokens, sequence, offset)."""
 
-    def __init__(self, size: int, emit: Callable, max_open: int = 4096, first: int = 0):
-        self.size, self.emit, self.max_open, self.next = size, emit, max_open, first
+    def __init__(self, size: int, emit: Callable, first: int = 0):
+        self.size, self.emit, self.next = size, emit, first
         self.level = np.zeros(size + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(size + 1)]  # windows by level; a window: pieces
-        self.n_open = 0
 
     def add(self, doc, ids: np.ndarray) -> None:
         whole = len(ids) // self.size * self.size
@@ -90,16 +92,12 @@ class SumOfSquares:
         window = self.open[h].pop() if h else []
         if h:
             self.level[h] -= 1
-            self.n_open -= 1
         window.append(piece)
         if h + s == self.size:
             self.close(window)
             return
         self.level[h + s] += 1
         self.open[h + s].append(window)
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            self.level_out()
 
     def close(self, window: list) -> None:
         at = 0
@@ -114,7 +112,7 @@ class SumOfSquares:
         windows.sort(key=lambda w: w[0])
         self.level[:] = 0
         self.open = [[] for _ in range(self.size + 1)]
-        self.n_open = low = 0
+        low = 0
         high = len(windows) - 1
         while low < high:
             fill, window = windows[high]
@@ -138,7 +136,6 @@ class SumOfSquares:
             fill, window = windows[high]
             self.level[fill] += 1
             self.open[fill].append(window)
-            self.n_open = 1
 
     def finish(self) -> None:
         self.level_out()
@@ -158,10 +155,9 @@ class SumOfSquares:
                     self.close(run)
         self.open = [[] for _ in range(self.size + 1)]
         self.level[:] = 0
-        self.n_open = 0
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0, max_open: int = 4096, rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0, rows: int = 20_000) -> DataFrame:
     """Pieces of all rows of ``docs``: ``doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset``. A map over the scan, without a shuffle; sequence ids are unique over partitions."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
@@ -183,7 +179,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str
         for batch in batches:
             id_type = batch.column(0).type
             if packer is None and batch.num_rows:
-                packer = SumOfSquares(size, emit, max_open, batch.column(2)[0].as_py() << 32)
+                packer = SumOfSquares(size, emit, batch.column(2)[0].as_py() << 32)
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = own.ids(words.as_py() or "")
                 ids.append(end_id)
