@@ -8,8 +8,10 @@ listed keys that level 2 lets through; and so on until no key of the universe is
 parity of the first level that does not hold it. The universe is every host of the table, so the answer is
 exact for every row, and rows are judged by a map with the packed filters, without a join.
 
-The filters' total size is known before they are built from the number of listed keys; only up to
-``max_bytes`` are they broadcast. A longer list is matched by an equi-join on the covered hosts instead.
+Keys are dealt by hash into slices of about ``SLICE_KEYS`` keys; a grouped map builds every slice's cascade at once,
+so that neither the driver nor a task holds more than one slice's keys. A slice's packed levels are broadcast on
+their own (their size is bounded by SLICE_KEYS); where there is more than one slice, a task sorts its rows by slice
+and holds one at a time. Lists of any size are judged this way.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty host may be listed like
 any other and covers only itself; repeated rows give repeated verdicts; an empty table gives no rows; extra columns are ignored.
@@ -18,10 +20,12 @@ any other and covers only itself; repeated rows give repeated verdicts; an empty
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,7 @@ from gridloom.llm._util import ascii_lower, cut
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: The default list of blocked hosts.
 LISTED_HOSTS = ["spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org"]
-MAX_RULES = 500
-MAX_BYTES = 64 << 20
+SLICE_KEYS = 2_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -48,16 +51,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict; nulls where none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; put hosts into the list instead")
-    rule = verdict = F.lit(None).cast("string")
-    for name, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):
-        own, slash, rest = name.partition("/")
-        fits = ((host == own) | F.endswith(host, F.lit("." + own))) & F.startswith(path, F.lit(slash + rest))
-        rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    return rule, verdict
+class Rules:
+    """Rules by host. ``find`` tries those of a host and the domains above it, the longest first."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.of: dict[str, list[tuple[str, str, str]]] = {}
+        for name, says in rules:
+            own, slash, rest = name.partition("/")
+            self.of.setdefault(own, []).append((name, slash + rest, says))
+
+    def candidates(self, host: str) -> list[tuple[str, str, str]]:
+        labels = host.split(".")
+        found = [r for i in range(len(labels)) for r in self.of.get(".".join(labels[i:]), ()) if i == 0 or r[0].partition("/")[0]]
+        return sorted(found, key=lambda r: (len(r[0]), r[0]), reverse=True)
+
+    def find(self, hosts: pa.Array, paths: pa.Array) -> tuple[list[str | None], list[str | None]]:
+        """The longest fitting rule of every row and its verdict; nulls where none fits."""
+        coded = hosts.dictionary_encode()
+        tried = [self.candidates(h) for h in coded.dictionary.to_pylist()]
+        names, verdicts = [None] * len(hosts), [None] * len(hosts)
+        codes = coded.indices.to_numpy()
+        for i in np.flatnonzero(np.array([bool(t) for t in tried], bool)[codes]) if len(codes) else ():
+            path = paths[i].as_py()
+            for name, prefix, says in tried[codes[i]]:
+                if path.startswith(prefix):
+                    names[i], verdicts[i] = name, says
+                    break
+        return names, verdicts
 
 
 def positions(one: np.ndarray, two: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
@@ -101,44 +121,44 @@ def shape(level: int, listed: int, others: int) -> tuple[int, int]:
     return max(64, math.ceil(1.4427 * k * n)), k
 
 
-def build(keys: DataFrame, max_levels: int = 200) -> Cascade:
-    """The cascade over ``keys (one long, two long, listed boolean)``, one row per key. Bitmaps are put together
-    from the partitions' own by a bitwise-or aggregation; only packed words come to the driver."""
-    cascade, spark = Cascade(), keys.sparkSession
+def cascade_of(one: np.ndarray, two: np.ndarray, listed: np.ndarray, max_levels: int = 200) -> Cascade:
+    """The cascade over all keys of a slice."""
+    cascade, left = Cascade(), np.arange(len(one))
     for level in range(max_levels):
-        shared, side = spark.sparkContext.broadcast(cascade), level % 2 == 0
-
-        def wrong(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                one, two = unsigned(batch.column(0)), unsigned(batch.column(1))
-                inside = np.ones(len(one), bool)
-                for i in range(level):
-                    inside[inside] = own.holds(i, one[inside], two[inside])
-                yield batch.filter(pa.array(inside))
-
-        left = cut(keys.mapInArrow(wrong, keys.schema))  # keys that every level so far holds
-        n = {r.listed: r.n for r in left.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
-        encoded, others = n.get(side, 0), n.get(not side, 0)
-        if level and not encoded:
+        side = level % 2 == 0
+        own, others = left[listed[left] == side], left[listed[left] != side]
+        if level and not len(own):
             return cascade
-        bits, k = shape(level, encoded, others)
-
-        def words(batches: Iterator[pa.RecordBatch], level=level, k=k, bits=bits) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.unique(positions(unsigned(batch.column(0)), unsigned(batch.column(1)), level, k, bits))
-                word, first = np.unique(at >> np.uint64(5), return_index=True)
-                value = np.bitwise_or.reduceat(np.int64(1) << (at & np.uint64(31)).astype(np.int64), first) if len(at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value)], ["word", "value"])
-
-        bitmap = np.zeros(-(-bits // 32), "<u4")
-        packed = left.where(F.col("listed") == side).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
-        got = packed.toArrow()
-        bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
-        cascade.levels.append((bits, k, bitmap.view(np.uint8)))
+        bits, k = shape(level, len(own), len(others))
+        bitmap = np.zeros(-(-bits // 8), np.uint8)
+        for at in range(0, len(own), 1 << 16):
+            where = positions(one[own[at : at + (1 << 16)]], two[own[at : at + (1 << 16)]], level, k, bits).ravel()
+            np.bitwise_or.at(bitmap, (where >> np.uint64(3)).astype(np.int64), np.uint8(1) << (where & np.uint64(7)).astype(np.uint8))
+        cascade.levels.append((bits, k, bitmap))
+        left = left[cascade.holds(level, one[left], two[left])]
     raise RuntimeError("listed and unlisted keys share their hashes")
 
 
+def build(keys: DataFrame, slice_keys: int = SLICE_KEYS) -> list[Broadcast]:
+    """The cascades over ``keys (one long, two long, listed boolean)``, one row per key: a broadcast of packed levels
+    per slice. Slices are built by a grouped map and staged; the driver passes them on one by one."""
+    slices = max(1, -(-keys.count() // slice_keys))
+
+    def packed(group: pa.Table) -> pa.Table:
+        batch = group.combine_chunks()
+        made = cascade_of(unsigned(batch["one"].combine_chunks()), unsigned(batch["two"].combine_chunks()), batch["listed"].to_numpy())
+        return pa.table({"slice": batch["slice"][:1], "levels": pa.array([pickle.dumps(made.levels)], pa.binary())})
+
+    rows = keys.withColumn("slice", F.pmod("one", F.lit(slices)).cast("int")).groupBy("slice").applyInArrow(packed, "slice int, levels binary")
+    out = [None] * slices
+    for row in cut(rows).toLocalIterator():
+        cascade = Cascade()
+        cascade.levels = pickle.loads(row.levels)
+        out[row.slice] = keys.sparkSession.sparkContext.broadcast(cascade)
+    empty = keys.sparkSession.sparkContext.broadcast(Cascade())
+    return [shared or empty for shared in out]
+
+
 def covered(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     """Per row of ``hosts (host)``: ``host, listed``, true where the host or a domain above it is in ``listed (host)``.
     Only as many last labels are looked up as the deepest listed name has."""
@@ -151,28 +171,38 @@ def covered(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
 
 
-def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] | None = None, slice_keys: int = SLICE_KEYS) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict``. ``listed`` has one column, ``host``;
-    a listed host covers its subdomains."""
+    a listed host covers its subdomains. ``rules`` are few enough for the caller's list, and go along as one."""
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    rule, says = rule_columns(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    parts = parts.withColumns({"rule": rule, "says": says})
     listed = listed.select("host").where("host IS NOT NULL").distinct()
-    hosts = parts.select("host").distinct()
-    flagged = covered(hosts, listed)
-    keys = cut(flagged.select(F.xxhash64("host").alias("one"), F.xxhash64("host", F.lit("two")).alias("two"), "listed"))
-    counts = {r.listed: r.n for r in keys.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if 3 * shape(0, counts.get(True, 0), counts.get(False, 0))[0] // 8 > max_bytes:
-        found = parts.join(flagged.where("listed").select("host", F.lit(True).alias("hit")), "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    else:
-        shared = parts.sparkSession.sparkContext.broadcast(build(keys))
-
-        @F.pandas_udf("boolean")
-        def hit(one, two):
-            import pandas as pd
-
-            return pd.Series(shared.value.listed(one.to_numpy(np.int64).view(np.uint64), two.to_numpy(np.int64).view(np.uint64)))
-
-        found = parts.withColumn("hit", hit(F.xxhash64("host"), F.xxhash64("host", F.lit("two"))))
-    own = F.when(F.col("hit"), "block").otherwise("allow")
-    return found.select("page_id", "host", "path", "rule", F.coalesce("says", own).alias("verdict"))
+    hashes = {"one": F.xxhash64("host"), "two": F.xxhash64("host", F.lit("two"))}
+    keys = cut(covered(parts.select("host").distinct(), listed).withColumns(hashes).select("one", "two", "listed"))
+    shared, known = build(keys, slice_keys), Rules(RULES if rules is None else rules)
+    rows = parts.withColumns(hashes).withColumn("slice", F.pmod("one", F.lit(len(shared))).cast("int"))
+    if len(shared) > 1:
+        rows = rows.sortWithinPartitions("slice")
+    kind = parts.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
+        for batch in batches:
+            one, two, where = unsigned(batch.column(3)), unsigned(batch.column(4)), batch.column(5).to_numpy()
+            hit = np.zeros(len(one), bool)
+            for at in np.unique(where):
+                if at != held:
+                    held, own = at, loaded(shared[at])
+                hit[where == at] = own.listed(one[where == at], two[where == at])
+            names, says = known.find(batch.column(1), batch.column(2))
+            verdicts = [v or ("block" if h else "allow") for v, h in zip(says, hit, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+
+    return rows.select("page_id", "host", "path", "one", "two", "slice").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+
+
+def loaded(shared: Broadcast) -> Cascade:
+    """A broadcast's value; one that lies in the worker's file is not kept beside it."""
+    value = shared.value
+    if getattr(shared, "_path", None) is not None:
+        shared.__dict__.pop("_value", None)
+    return value
