@@ -6,9 +6,10 @@ contains a window exactly only if it contains every shingle of it, so one necess
 window's rarest shingle. Documents are looked up by those tokens alone; a candidate must fit by length and
 position (the window has to start and end inside the document) and is then compared word by word.
 
-The benchmark is the stated query set: it is held in blocks of at most ``block_bytes`` of text, one block at a
-time on the driver and in a broadcast, whatever its total size. Documents are never shuffled for one block; for
-more blocks only documents with hits are.
+The benchmark is the stated query set: it is held in blocks of at most about ``block_bytes`` of text, one block at a
+time on the driver and in a broadcast, whatever its total size. Each block takes two maps over the documents, one
+that counts shingles and one that finds windows, and no shuffle of documents; the hits of more than one block are
+staged before the next block is read, and its broadcast is destroyed.
 
 Defined cases: null texts have no words; null item ids are ignored with their items; items without words never
 occur; repeated items count once per item id; repeated documents give repeated rows; empty tables give no hits
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._util import stage, without
+
 #: Fixed value: words after lower-casing A-Z, as bytes of UTF-8 (every byte of a non-ASCII character is >= 0x80).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHINGLE = 3
@@ -136,13 +139,12 @@ class Index:
         return len(words), int((end - begin).sum()), [{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)], items
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in runs of about ``block_bytes`` of text; one run at a time is on the driver."""
+def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of runs of about ``block_bytes`` of text, and the items of each; one run at a time is on the driver."""
     items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    for b in range(n):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).toLocalIterator()]
+    return n, ([(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).toLocalIterator()] for b in range(n))
 
 
 def counted(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndarray]:
@@ -197,15 +199,18 @@ def judged(docs: DataFrame, text: str, shared, hits_only: bool) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, hit_spans`` (in words) and ``items`` (sorted ids as strings)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("same"))
+    n, runs = blocks(benchmark, item_id, item_text, block_bytes)
+    if n == 1:
+        return judged(docs, "text", armed(docs, "text", next(runs), window), False).drop("same")
     base, more = None, None
-    for items in blocks(benchmark, item_id, item_text, block_bytes):
-        part = judged(docs, "text", armed(docs, "text", items, window), base is not None)
+    for items in runs:
+        shared = armed(docs, "text", items, window)
+        part = stage(judged(docs, "text", shared, base is not None), "hits")
+        shared.destroy()
         if base is None:
             base = part
         else:
             more = part if more is None else more.unionByName(part)
-    if more is None:
-        return base.drop("same")
     extra = more.groupBy("doc_id", "same").agg(F.flatten(F.collect_set("hit_spans")).alias("more_spans"), F.flatten(F.collect_set("items")).alias("more_items"))
     both = base.alias("a").join(extra.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.same = b.same"), "left")
     merged = F.aggregate(
@@ -218,14 +223,24 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with all their columns; no shuffle of documents."""
-    for items in blocks(benchmark, item_id, item_text, block_bytes):
-        shared, at = armed(docs, text, items, window), docs.columns.index(text)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                yield batch.filter(pa.array([not own.judge(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
+    """The rows of ``docs`` in which no window occurs, with all their columns. With one block a map; with more, texts
+    with hits are staged as hashes, block by block, and their rows are taken out."""
+    n, runs = blocks(benchmark, item_id, item_text, block_bytes)
+    if n > 1:
+        marks = {"__gl_one": F.xxhash64(text), "__gl_two": F.xxhash64(text, F.lit(1))}
+        marked, gone = docs.withColumns(marks), None
+        plain = marked.select(F.col("__gl_one").alias("doc_id"), F.col("__gl_two").alias("same"), F.col(text).alias("text"))
+        for items in runs:
+            shared = armed(docs, text, items, window)
+            part = stage(judged(plain, "text", shared, True).select(F.col("doc_id").alias("__gl_one"), F.col("same").alias("__gl_two")), "hits")
+            shared.destroy()
+            gone = part if gone is None else gone.unionByName(part)
+        return without(marked, gone.distinct()).drop(*marks)
+    shared, at = armed(docs, text, next(runs), window), docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not own.judge(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
