@@ -4,8 +4,8 @@ Features are hashed letter trigrams of the whole text (square roots of their sha
 length one). One linear SVM per family is trained against the rest, and one per pair of languages of a family;
 squared hinge loss, accelerated gradient, in numpy. A margin's logistic calibration gives the score.
 
-The models are fitted on the driver from a sample of labelled rows bounded by ``per_lang`` expected rows a
-language, chosen by a hash of the id; prediction is a map over all rows.
+The models are fitted on the driver from a sample of labelled rows bounded by ``per_lang`` expected ids a language,
+chosen by a hash of the id, with one text per id; prediction is a map over all rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is everything if no row is
 labelled; a null language is never learned; a null id is never held out nor learned from; repeated rows give
@@ -146,7 +146,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def sampled(rows: DataFrame, key: str, label: str, bound: int) -> DataFrame:
-    """``rows`` thinned by a hash of ``key`` to ``bound`` expected rows per value of ``label``."""
+    """``rows`` thinned by a hash of ``key`` to at most ``bound`` expected keys per value of ``label``."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row per label
     if not counts:
         return rows.limit(0)
@@ -154,11 +154,18 @@ def sampled(rows: DataFrame, key: str, label: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003)) < share[F.col(label)] * 1_000_003)
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of ``rows (id, label, text)`` per id and label, however often it is repeated: a text chosen by hash."""
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    return rows.groupBy("id", "label").agg(text)
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 700) -> Model:
     """A model from the labelled rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL").where(remainder(F.col("id"), 4) != 2)
-    got = sorted((r.id, r.lang, r.text) for r in sampled(rows, "id", "lang", per_lang).collect())
+    picked = one_each(sampled(rows, "id", "lang", per_lang).withColumnRenamed("lang", "label"))
+    got = sorted((r.id, r.label, r.text) for r in picked.collect())  # at most about per_lang rows a language
     got = [r for r in got if has_letter(r[2])]
     return Model([r[2] for r in got], [r[1] for r in got])
 

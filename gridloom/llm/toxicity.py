@@ -6,12 +6,13 @@ response is kept (max pooling), and a logistic unit gives the raw score. Buckets
 fitted texts hold are left out. Embeddings start from smoothed class log-odds; everything is then trained by
 Adagrad.
 
-Thresholds are chosen by language on rows kept apart from the fitted ones. The language is guessed from the
-text's own function words; labels, lang, source and ids are no inputs. A calibrated score is the raw one,
+Thresholds are chosen by language on rows kept apart from the fitted ones: the pooled one, and for every language
+with rows of both classes its own, drawn towards the pooled one as if ``PRIOR`` rows spoke for that. The language is
+guessed from the text's own function words; labels, lang, source and ids are no inputs. A calibrated score is the raw one,
 stretched so that the language's threshold lies at ``CUT``.
 
 The model is fitted on the driver from a bounded sample: at most about ``positives`` and ``negatives`` labelled
-rows, chosen by a hash of the id; scoring is a map over all rows and whole texts.
+ids, chosen by a hash of the id, with one text per id; scoring is a map over all rows and whole texts.
 
 Defined cases: null and empty texts have no words and get the score of a text without any response; null labels
 and ids are not learned from; a doc_id that repeats in the labels counts once, with its largest label; without
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import NOT_ALPHANUMERIC, POWERS, PRIME, mixed
-from gridloom.llm.language_id import remainder, sampled
+from gridloom.llm.language_id import one_each, remainder, sampled
 
 BUCKET_BITS = 20
 HEADS = (4, 5, 6)
@@ -37,6 +38,7 @@ PARTS = 1 + len(HEADS)
 MIN_DOCS = 3
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 CUT = 0.7
+PRIOR = 30
 
 #: Frequent function words by language, for the guess that picks a threshold.
 FUNCTION_WORDS = {
@@ -206,13 +208,13 @@ class Model:
                 run, size = [], 0
         return np.concatenate(out) if out else np.zeros(0)
 
-    def calibrate(self, docs: list[np.ndarray], langs: list[str], y: np.ndarray, enough: int = 8) -> Model:
+    def calibrate(self, docs: list[np.ndarray], langs: list[str], y: np.ndarray) -> Model:
         p = self.raw(docs)
-        self.thresholds[""] = best_threshold(p, y)
+        pooled = self.thresholds[""] = best_threshold(p, y)
         for code in sorted(set(langs)):
             own = np.array([x == code for x in langs])
-            if min(y[own].sum(), (1 - y[own]).sum()) >= enough:
-                self.thresholds[code] = best_threshold(p[own], y[own])
+            if 0 < y[own].sum() < own.sum():
+                self.thresholds[code] = (own.sum() * best_threshold(p[own], y[own]) + PRIOR * pooled) / (own.sum() + PRIOR)
         return self
 
     def threshold(self, code: str) -> float:
@@ -246,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.where(remainder(F.col("id"), 3) != 1).groupBy("id").agg(F.max("label").alias("label"))
     few = [sampled(rows.where(F.col("label") == v), "id", "label", bound) for v, bound in ((0, negatives), (1, positives))]
     picked = F.broadcast(few[0].unionByName(few[1]))  # bounded by positives + negatives
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id")
-    got = texts.select("id", "label", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold")).collect()
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "id")
+    got = one_each(texts).select("*", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold")).collect()  # a row per picked id
     distinct = {r.text: r for r in sorted(got, key=lambda r: (r.id, r.text))}
     used = sorted(distinct.values(), key=lambda r: (r.id, r.text))
     split = {r.text: words_of(r.text) for r in used}
