@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import importlib
+import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice, permutations
 
 import numpy as np
 import pandas as pd
@@ -13,14 +15,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.cluster import as_vector, compact, small_matrix
+from gridloom.functions.lineage import cut
+from gridloom.operators.cluster import as_vector, compact, squares, tile_pairs
 
 #: Model name, class path and parameters; ``{n}`` in a parameter is the number of training rows.
 REGISTRY: dict[str, tuple[str, dict]] = {
     "dummy_most_frequent": ("gridloom.operators.classify.MostFrequent", {}),
     "dummy_stratified": ("gridloom.operators.classify.Stratified", {}),
-    "logistic_regression": ("pyspark.ml.classification.LogisticRegression", {"maxIter": 100, "elasticNetParam": 0.0, "standardization": False, "regParam": "1/{n}"}),
-    "svm_linear": ("gridloom.operators.classify.linear_svm", {}),
+    "logistic_regression": ("pyspark.ml.classification.LogisticRegression", {"maxIter": 1000, "elasticNetParam": 0.0, "standardization": False, "regParam": "1/{n}"}),
+    "svm_linear": ("gridloom.operators.classify.linear_svm", {"maxIter": 500}),
     "svm_rbf": ("gridloom.operators.classify.FourierSVM", {}),
     "random_forest": ("pyspark.ml.classification.RandomForestClassifier", {"numTrees": 200, "seed": 42}),
     "gradient_boosting": ("gridloom.operators.classify.boosted_trees", {"maxIter": 100, "maxDepth": 3, "seed": 42}),
@@ -52,17 +55,33 @@ def build_models(names: list[str] | None = None, registry: dict | None = None) -
     return out
 
 
+class PresentClasses:
+    """An estimator on the classes that its training rows have, as codes from 0; a single class is always predicted."""
+
+    def __init__(self, made: Callable):
+        self.made = made
+
+    def fit(self, df: DataFrame) -> _Fitted:
+        found = sorted(r[0] for r in df.select("label").distinct().collect())  # a row per class
+        if len(found) < 2:
+            return _Fitted(lambda d: d.withColumn("prediction", F.lit(found[0])))
+        code = F.array_position(F.array(*map(F.lit, found)), F.col("label")).cast("double") - 1
+        model = self.made().fit(df.withColumn("label", code))
+        named = F.get(F.array(*map(F.lit, found)), F.col("prediction").cast("int"))
+        return _Fitted(lambda d: model.transform(d).withColumn("prediction", named))
+
+
 def linear_svm(**params):
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    return OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01, **params))
+    return PresentClasses(lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, **params)))
 
 
 def boosted_trees(**params):
     """Boosting is binary in Spark ML: one against the rest."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
-    return OneVsRest(classifier=GBTClassifier(**params))
+    return PresentClasses(lambda: OneVsRest(classifier=GBTClassifier(**params)))
 
 
 def perceptron(p: int, k: int, hidden: list[int]):
@@ -126,41 +145,53 @@ class FourierSVM:
 
             return d.withColumn("__raw", F.col("features")).withColumn("features", array_to_vector(fourier(vector_to_array("features"))))
 
-        model = linear_svm().fit(lift(df).drop("__raw"))
+        model = linear_svm(maxIter=500).fit(lift(df).drop("__raw"))
         return _Fitted(lambda d: model.transform(lift(d)).drop("features").withColumnRenamed("__raw", "features"))
 
 
+def neighbour_votes(queries: DataFrame, train: DataFrame, columns: list[str], k: int, label: str = "label", skip_same: bool = False) -> DataFrame:
+    """``id, prediction`` for ``queries (id, columns)``: the distance-weighted vote of the k nearest rows of ``train
+    (id, label, columns)``; rows at distance 0, if there are any, vote alone; ties in distance go to the smaller id
+    and of the vote to the smaller label. Work goes by pairs of tiles, each of which gives k candidates a query."""
+    qid, tid, lab = dict(queries.dtypes)["id"], dict(train.dtypes)["id"], dict(train.dtypes)[label]
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rows_a, rows_b in zip(frame["rows_a"], frame["rows_b"], strict=True):
+                rows_b = sorted(rows_b, key=lambda r: r["id"])
+                a, b = (np.array([r["v"] for r in rows], float) for rows in (rows_a, rows_b))
+                own, other = np.array([r["id"] for r in rows_a]), np.array([r["id"] for r in rows_b])
+                d = np.sqrt(squares(a, b))
+                if skip_same:
+                    d[own[:, None] == other[None]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(d, near, 1)
+                i, j = np.nonzero(np.isfinite(far))
+                names = [r[label] for r in rows_b]
+                yield pd.DataFrame({"id": own[i], "distance": far[i, j], "other": other[near[i, j]], "label": [names[x] for x in near[i, j]]})
+
+    pairs = tile_pairs(queries.select("id", *columns), train.select("id", label, *columns), columns)
+    found = pairs.mapInPandas(nearest, f"id {qid}, distance double, other {tid}, label {lab}")
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "label"))), 1, k).alias("near"))
+    zero = F.col("near")[0]["distance"] == 0
+    voters = best.select("id", zero.alias("zero"), F.explode("near").alias("v")).where("NOT zero OR v.distance = 0")
+    weight = F.sum(F.when(F.col("zero"), F.lit(1.0)).otherwise(F.try_divide(F.lit(1.0), F.col("v.distance"))))
+    sums = voters.groupBy("id", F.col("v.label").alias("label")).agg(weight.alias("weight"))
+    return sums.groupBy("id").agg(F.max_by("label", F.struct("weight", -F.col("label"))).cast("double").alias("prediction"))
+
+
 class Neighbours:
-    """Distance-weighted vote of the k nearest training rows; the training set is a cross-section."""
+    """Distance-weighted vote of the k nearest training rows, for training sets of any size."""
 
-    def __init__(self, k: int = 5, bound: int = 20_000):
-        self.k, self.bound = k, bound
+    def __init__(self, k: int = 5):
+        self.k = k
 
     def fit(self, df: DataFrame) -> _Fitted:
-        rows = df.select("id", "label", vector_to_array("features").alias("v")).orderBy("id").limit(self.bound + 1).collect()
-        if len(rows) > self.bound:
-            raise ValueError(f"more than {self.bound} training rows")
-        x, y, k = np.array([r["v"] for r in rows], float), np.array([r["label"] for r in rows], float), self.k
-        shared = df.sparkSession.sparkContext.broadcast((x, y))  # bounded above
-
-        def transform(d: DataFrame) -> DataFrame:
-            @F.pandas_udf("double")
-            def vote(v: pd.Series) -> pd.Series:
-                x, y = shared.value
-                q = np.stack(v.to_numpy())
-                dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
-                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                out = []
-                for i, at in enumerate(near):
-                    own = dist[i, at]
-                    weight = (own == 0).astype(float) if (own == 0).any() else 1 / own
-                    sums = {c: weight[y[at] == c].sum() for c in np.unique(y[at])}
-                    out.append(max(sorted(sums), key=sums.get))
-                return pd.Series(out)
-
-            return d.withColumn("prediction", vote(vector_to_array("features")))
-
-        return _Fitted(transform)
+        p = len(df.select("features").first()[0])
+        names = [f"v{i}" for i in range(p)]
+        spread = lambda d: d.select(*[c for c in ("id", "label") if c in d.columns], vector_to_array("features").alias("v")).select(*[c for c in ("id", "label") if c in d.columns], *(F.col("v")[i].alias(n) for i, n in enumerate(names)))
+        train = cut(spread(df))
+        return _Fitted(lambda d: d.join(neighbour_votes(spread(d), train, names, self.k), "id"))
 
 
 def fold_columns(df: DataFrame, name: str = "fold") -> list[str]:
@@ -178,7 +209,7 @@ def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, name: s
         placed = running_sum(df.withColumn("__key", own), ["__key"], F.lit(1), [label], "__place")
         df = placed.withColumn(column, (F.col("__place") % k).cast("int")).drop("__key", "__place")
         if r + 1 < repeats:
-            df = df.localCheckpoint()  # the plan of a running sum holds its input more than once
+            df = cut(df)  # the plan of a running sum holds its input more than once
     return df
 
 
@@ -216,8 +247,9 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable], fold: str = "fold", experiment: str = "all", threads: int = 8) -> DataFrame:
-    """Out-of-fold predictions: experiment, model, fold, id, y_true, y_pred. ``label`` holds codes from 0. All
-    repeats of the split are run; the folds of repeat r count on from those before. Fits run side by side."""
+    """Out-of-fold predictions: experiment, model, fold, id, y_true, y_pred, and the probability of each class where
+    the model gives them. ``label`` holds codes from 0. All repeats of the split are run; the folds of repeat r count
+    on from those before. Fits run side by side."""
     names = fold_columns(df, fold)
     vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), *names, "features"))
     folds = [(name, r[0]) for name in names for r in sorted(vectors.select(name).distinct().collect())]
@@ -228,8 +260,9 @@ def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable
         train = vectors.where(F.col(column) != f)
         model = factory(train.count(), len(columns), int(classes) + 1).fit(train)
         predicted = model.transform(vectors.where(F.col(column) == f))
-        part = predicted.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.lit(at).alias("fold"), "id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-        return part.localCheckpoint()  # a plan of many models is slow to work on
+        chance = vector_to_array("probability") if "probability" in predicted.columns else F.lit(None).cast("array<double>")
+        part = predicted.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.lit(at).alias("fold"), "id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), chance.alias("probability"))
+        return cut(part)  # a plan of many models is slow to work on
 
     tasks = [(model, place) for model in models.items() for place in enumerate(folds)]
     with ThreadPoolExecutor(threads) as pool:
@@ -300,13 +333,19 @@ def roc_points(df: DataFrame, score: str, positive: str) -> DataFrame:
     return both.select(F.col(score).alias("threshold"), (tp / F.lit(totals["P"])).alias("tpr"), (fp / F.lit(totals["N"])).alias("fpr"), F.col("tp_before"), F.col("tp"), F.col("fp"), F.lit(totals["P"]).alias("P"), F.lit(totals["N"]).alias("N"))
 
 
+def class_roc(predictions: DataFrame, positive: int) -> DataFrame:
+    """ROC points of one class against the rest, from the predictions of :func:`cross_validate` that have chances."""
+    rows = predictions.where("probability IS NOT NULL")
+    return roc_points(rows.select(F.col("probability")[positive].alias("score"), (F.col("y_true") == positive).alias("hit")), "score", "hit")
+
+
 def auc(points: DataFrame) -> DataFrame:
     """Trapezoid area under the points of :func:`roc_points`."""
     area = F.col("fp") / F.col("N") * (2 * F.col("tp_before") + F.col("tp")) / 2 / F.col("P")
     return points.agg(F.sum(area).alias("auc"))
 
 
-def permutation_importance(df: DataFrame, columns: list[str], model, repeats: int = 5, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, columns: list[str], model, repeats: int = 10, seed: int = 42) -> DataFrame:
     """Drop in accuracy when one column's values are dealt anew: (feature, repeat, drop). A permutation pairs two
     hash orders of the ids by their places."""
     from gridloom.functions.ordering import running_sum
@@ -328,72 +367,74 @@ def tree_importance(model, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double")
 
 
-def leave_one_out(df: DataFrame, columns: list[str], models: dict[str, Callable], threads: int = 8, bound: int = 20_000) -> DataFrame:
+def leave_one_out(df: DataFrame, columns: list[str], models: dict[str, Callable], threads: int = 8, run: int = 10_000) -> DataFrame:
     """Predictions of every model for every row, fitted on all other rows: model, id, y_true, y_pred. A fit per row
-    and model, side by side; for cross-sections."""
+    and model, side by side; rows come to the driver one by one, and predictions are staged in runs of ``run``."""
     vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), "features"))
-    rows = vectors.select("id", "label").orderBy("id").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} rows; this operator works on a cross-section")
-    classes = int(max(r["label"] for r in rows)) + 1
+    n, classes = vectors.agg(F.count(F.lit(1)), F.max("label")).first()
+    kind, parts, out = f"model string, id {dict(df.dtypes)['id']}, y_true int, y_pred int", [], []
 
     def one(task: tuple) -> tuple:
         (name, factory), row = task
-        model = factory(len(rows) - 1, len(columns), classes).fit(vectors.where(F.col("id") != row["id"]))
+        model = factory(n - 1, len(columns), int(classes) + 1).fit(vectors.where(F.col("id") != row["id"]))
         guess = model.transform(vectors.where(F.col("id") == row["id"])).first()["prediction"]
         return name, row["id"], int(row["label"]), int(guess)
 
+    def staged() -> None:
+        parts.append(cut(df.sparkSession.createDataFrame(out, kind)))
+        out.clear()
+
     with ThreadPoolExecutor(threads) as pool:
-        out = list(pool.map(one, [(model, row) for model in models.items() for row in rows]))
-    return df.sparkSession.createDataFrame(out, f"model string, id {dict(df.dtypes)['id']}, y_true int, y_pred int")
+        rows = vectors.select("id", "label").orderBy("id").toLocalIterator()
+        while some := list(islice(rows, max(1, run // len(models)))):
+            out.extend(pool.map(one, [(model, row) for model in models.items() for row in some]))
+            staged()
+    if not parts:
+        staged()
+    return stacked(parts)
 
 
 def leave_one_out_neighbours(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """Leave-one-out predictions of a nearest-neighbour vote: id, y_true, y_pred; for cross-sections."""
-    x = small_matrix(df, [*columns, "label"])
-    ids = [r[0] for r in df.select("id").orderBy("id").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(x)  # bounded by small_matrix
-    kind = dict(df.dtypes)["id"]
-    frame = df.sparkSession.createDataFrame(list(zip(range(len(ids)), ids, strict=True)), f"place long, id {kind}")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        values, y = v[:, :-1], v[:, -1].astype(int)
-        for frame in frames:
-            out = []
-            for at in frame["place"]:
-                d = ((values - values[at]) ** 2).sum(1)
-                d[at] = np.inf
-                near = np.argsort(d, kind="stable")[:k]
-                weight = 1 / np.maximum(np.sqrt(d[near]), 1e-12)
-                sums = np.bincount(y[near], weight)
-                out.append(int(sums.argmax()))
-            yield pd.DataFrame({"id": frame["id"], "y_true": y[frame["place"]], "y_pred": out})
-
-    return frame.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"id {kind}, y_true int, y_pred int")
-
-
-def shapley(df: DataFrame, columns: list[str], model, samples: int = 20, seed: int = 42) -> DataFrame:
-    """Mean absolute Shapley value per column by sampled orderings against the column means: for models with
-    ``featureImportances`` a model-agnostic stand-in for tree explanations."""
+    """Leave-one-out predictions of a nearest-neighbour vote: id, y_true, y_pred."""
+    rows = df.select("id", "label", *columns)
+    votes = neighbour_votes(rows, rows, columns, k, skip_same=True)
+    return rows.join(votes, "id").select("id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+def shapley(df: DataFrame, columns: list[str], model, samples: int = 24, seed: int = 42) -> DataFrame:
+    """Mean absolute Shapley value per column over rows and classes, against the column means: over all orderings of
+    the columns if there are at most ``samples``, else over that many sampled ones. A model-agnostic stand-in for tree
+    explanations; every subset of columns is scored once."""
     means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    sums = {c: 0.0 for c in columns}
-    rng = np.random.default_rng(seed)
-    for _ in range(samples):
-        order = rng.permutation(columns).tolist()
-        present: set[str] = set()
-        before = None
-        for c in [None, *order]:
-            if c:
-                present.add(c)
-            masked = df.select("id", *((F.col(x) if x in present else F.lit(means[x])).alias(x) for x in columns))
-            scored = model.transform(as_vector(masked, columns)).select("id", vector_to_array("probability").alias("p"))
-            if before is not None:
-                both = scored.alias("s").join(before.alias("b"), "id")
-                gain = F.aggregate(F.zip_with("s.p", "b.p", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, v: t + v)
-                sums[c] += both.agg(F.avg(gain)).first()[0] / 2
-            before = scored
-    return df.sparkSession.createDataFrame([(c, v / samples) for c, v in sums.items()], "feature string, mean_abs_shap double")
+    if math.factorial(len(columns)) <= samples:
+        orders = [list(o) for o in permutations(columns)]
+    else:
+        rng = np.random.default_rng(seed)
+        orders = [rng.permutation(columns).tolist() for _ in range(samples)]
+    rows = compact(df.select("id", *columns))
+    scored: dict[frozenset, DataFrame] = {}
+
+    def chances(present: frozenset) -> DataFrame:
+        if present not in scored:
+            masked = rows.select("id", *((F.col(x) if x in present else F.lit(means[x])).alias(x) for x in columns))
+            scored[present] = cut(model.transform(as_vector(masked, columns)).select("id", vector_to_array("probability").alias("p")))
+        return scored[present]
+
+    share: dict[tuple, int] = {}
+    for order in orders:
+        for i, c in enumerate(order):
+            step = (c, frozenset(order[:i]))
+            share[step] = share.get(step, 0) + 1
+    parts = {c: [] for c in columns}
+    for (c, before), times in share.items():
+        both = chances(before | {c}).alias("s").join(chances(before).alias("b"), "id")
+        gain = F.transform(F.zip_with("s.p", "b.p", lambda a, b: a - b), lambda g, w=times / len(orders): g * w)
+        parts[c].append(both.select("id", F.posexplode(gain).alias("class", "gain")))
+    out = []
+    for c in columns:
+        values = stacked(parts[c]).groupBy("id", "class").agg(F.sum("gain").alias("value"))
+        out.append((c, values.agg(F.avg(F.abs("value"))).first()[0]))
+    return df.sparkSession.createDataFrame(out, "feature string, mean_abs_shap double")
 
 
 def save_models(models: dict[str, object], path: str) -> list[str]:

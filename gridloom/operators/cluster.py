@@ -12,6 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.lineage import cut
+from gridloom.functions.ordering import exact_quantiles, placed
+from gridloom.schema import to_long
+
 TILE = 1024
 
 
@@ -20,15 +24,15 @@ def as_vector(df: DataFrame, columns: list[str], name: str = "features") -> Data
 
 
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` kept in memory, in as few partitions as its size asks for: iterative fits run many short jobs."""
-    kept = df.persist()
+    """``df`` cut from its lineage, in as few partitions as its size asks for: iterative fits run many short jobs."""
+    kept = cut(df)
     return kept.coalesce(max(1, -(-kept.count() // rows)))
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int, starts: int = 5, max_iter: int = 300, seed: int = 42):
-    """The best of several starts by training cost: the model."""
+def kmeans(df: DataFrame, columns: list[str], k: int, starts: int = 100, max_iter: int = 300, seed: int = 42):
+    """The best of several starts by training cost, each fitted over the cluster: the model."""
     vectors = compact(as_vector(df, columns).select("features"))
-    fits = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(vectors) for i in range(starts)]
+    fits = (KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(vectors) for i in range(starts))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -36,38 +40,46 @@ def assigned(df: DataFrame, columns: list[str], model) -> DataFrame:
     return model.transform(as_vector(df, columns)).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def tiles(df: DataFrame, columns: list[str], by: list[str], size: int = TILE) -> DataFrame:
-    """Points packed into tiles of about ``size``: one row per tile with its ids, labels and values."""
-    n = max(1, -(-df.count() // size))
-    tile = F.pmod(F.xxhash64("id"), F.lit(n))
-    row = F.struct("id", *by, F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
-    return df.groupBy(tile.alias("tile")).agg(F.collect_list(row).alias("rows"))
+def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], size: int = TILE) -> DataFrame:
+    """Points of two frames packed into tiles of about ``size``, a row per pair of tiles: ``rows_a`` and ``rows_b``,
+    lists of (id, all other columns, v). An equi-join on the pair's numbers; a tile is shipped once per tile of the
+    other side."""
+    sides, counts = [], [max(1, -(-df.count() // size)) for df in (left, right)]
+    for side, df, other in (("a", left, counts[1]), ("b", right, counts[0])):
+        own = counts[0] if side == "a" else counts[1]
+        kept = [c for c in df.columns if c not in (*columns, "id")]
+        row = F.struct("id", *kept, F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
+        packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(own)).alias(f"tile_{side}")).agg(F.collect_list(row).alias(f"rows_{side}"))
+        sides.append(packed.withColumn("tile_b" if side == "a" else "tile_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))))
+    return sides[0].join(sides[1], ["tile_a", "tile_b"]).select("rows_a", "rows_b")
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all rows of ``b``."""
+    out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    i, j = np.nonzero(out < 1e-6)  # cancellation: take the few very near pairs directly
+    out[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return np.maximum(out, 0)
 
 
 def distance_sums(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Per point and cluster: the sum of Euclidean distances and the number of members. Work goes by pairs of
     tiles; only a row per point, cluster and tile leaves a task."""
-    packed = tiles(df, columns, [label])
-    pairs = packed.toDF("tile_a", "rows_a").join(packed.toDF("tile_b", "rows_b"))
+    points = df.select("id", label, *columns)
+    pairs = tile_pairs(points, points, columns)
     kind, lab = dict(df.dtypes)["id"], dict(df.dtypes)[label]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for rows_a, rows_b in zip(frame["rows_a"], frame["rows_b"], strict=True):
-                a, b = np.array([r["v"] for r in rows_a], float), np.array([r["v"] for r in rows_b], float)
-                squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-                near = squares < 1e-6
-                if near.any():  # cancellation: take the few very near pairs directly
-                    i, j = np.nonzero(near)
-                    squares[i, j] = ((a[i] - b[j]) ** 2).sum(1)
-                d = np.sqrt(np.maximum(squares, 0))
+                d = np.sqrt(squares(np.array([r["v"] for r in rows_a], float), np.array([r["v"] for r in rows_b], float)))
                 own = [r["id"] for r in rows_a]
                 labels_a, labels_b = [r[label] for r in rows_a], np.array([r[label] for r in rows_b])
                 for c in np.unique(labels_b):
                     members = labels_b == c
                     yield pd.DataFrame({"id": own, "own": labels_a, "cluster": c, "total": d[:, members].sum(1), "n": int(members.sum())})
 
-    parts = pairs.select("rows_a", "rows_b").mapInPandas(measure, f"id {kind}, own {lab}, cluster {lab}, total double, n long")
+    parts = pairs.mapInPandas(measure, f"id {kind}, own {lab}, cluster {lab}, total double, n long")
     return parts.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -155,8 +167,11 @@ def normalised_mutual_information(df: DataFrame, u: str, v: str) -> DataFrame:
 
 def profiles(df: DataFrame, columns: list[str], label: str = "cluster") -> DataFrame:
     """Size, and mean, deviation and median per column."""
-    stats = [f(c).alias(f"{c}_{s}") for c in columns for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median))]
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("size"), *stats)
+    stats = [f(c).alias(f"{c}_{s}") for c in columns for s, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    middle = exact_quantiles(to_long(df, [label], columns), "value", (0.5,), [label, "feature"])
+    wide = middle.groupBy(label).agg(*(F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"{c}_median") for c in columns))
+    both = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"), *stats).join(wide, label, "left")
+    return both.select(label, "size", *(f"{c}_{s}" for c in columns for s in ("mean", "std", "median")))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -292,7 +307,9 @@ def gap_choice(table: list[tuple[int, float, float]]) -> int:
 
 
 def elbow(ks: list[int], inertia: list[float]) -> int:
-    """The k after the largest second difference."""
+    """The k after the largest second difference; the first of fewer than three."""
+    if len(ks) < 3:
+        return ks[0]
     return ks[int(np.argmax(np.diff(inertia, 2))) + 1]
 
 
@@ -315,29 +332,6 @@ def primary_k(solutions: list[tuple[int, float]], gain: float = 0.02) -> int:
     return best_k
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, starts: int = 4, max_iter: int = 100) -> np.ndarray:
-    """Labels of a small in-memory k-means with distance-weighted starts."""
-    best, labels = np.inf, np.zeros(len(x), int)
-    for s in range(starts):
-        rng = np.random.default_rng(seed + s)
-        centres = x[[rng.integers(len(x))]]
-        while len(centres) < k:
-            d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-            pick = rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))
-            centres = np.vstack([centres, x[pick]])
-        for _ in range(max_iter):
-            d = ((x[:, None] - centres[None]) ** 2).sum(2)
-            own = d.argmin(1)
-            moved = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        cost = d.min(1).sum()
-        if cost < best:
-            best, labels = cost, own
-    return labels
-
-
 def ari_of(u: np.ndarray, v: np.ndarray) -> float:
     table = np.zeros((u.max() + 1, v.max() + 1))
     np.add.at(table, (u, v), 1)
@@ -348,7 +342,7 @@ def ari_of(u: np.ndarray, v: np.ndarray) -> float:
     return float((s - expected) / top) if top else 1.0
 
 
-def small_matrix(df: DataFrame, columns: list[str], bound: int = 20_000) -> np.ndarray:
+def small_matrix(df: DataFrame, columns: list[str], bound: int = 100_000) -> np.ndarray:
     """A cross-section that is known to be small, in id order; larger ones are refused."""
     rows = df.select("id", *columns).orderBy("id").limit(bound + 1).collect()
     if len(rows) > bound:
@@ -356,39 +350,92 @@ def small_matrix(df: DataFrame, columns: list[str], bound: int = 20_000) -> np.n
     return np.array([r[1:] for r in rows], float)
 
 
-def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: int = 100, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """ARI of subsample clusterings with the full one; a replicate is a row, spread over the cluster."""
+def labels_of(x: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
+    """Labels of the best of several in-memory k-means."""
+    centres = min((fit_once(x, k, seed + s) for s in range(starts)), key=lambda f: f[0])[1]
+    return squares(x, centres).argmin(1)
+
+
+def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: int = 1000, share: float = 0.8, seed: int = 42, starts: int = 10, bound: int = 100_000) -> DataFrame:
+    """ARI of subsample clusterings with the full one. Up to ``bound`` rows a replicate is a row, spread over the
+    cluster; of larger inputs the replicates are clustered one after the other, each over the cluster, on subsamples
+    by the hash of the id."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(small_matrix(df, columns))  # bounded by small_matrix
+    if df.count() > bound:
+        rows, points = [], compact(df.select("id", *columns))
+        full = cut(assigned(points, columns, kmeans(points, columns, k, starts, seed=seed)).select("id", F.col("cluster").alias("u")))
+        for b in range(replicates):
+            part = compact(points.where(F.pmod(F.xxhash64("id", F.lit(seed + b)), F.lit(1_000_000)) < int(share * 1_000_000)))
+            own = assigned(part, columns, kmeans(part, columns, k, starts, seed=seed + b)).select("id", F.col("cluster").alias("v"))
+            rows.append((b, adjusted_rand(full.join(own, "id"), "u", "v").first()[0]))
+        return spark.createDataFrame(rows, "replicate long, ari double")
+    shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = shared.value
-        full = lloyd(x, k, seed)
+        full = labels_of(x, k, seed, starts)
         for frame in frames:
             out = []
             for b in frame["replicate"]:
                 pick = np.random.default_rng(seed + int(b) + 1).permutation(len(x))[: int(len(x) * share)]
-                out.append(ari_of(full[pick], lloyd(x[pick], k, seed + int(b))))
+                out.append(ari_of(full[pick], labels_of(x[pick], k, seed + int(b), starts)))
             yield pd.DataFrame({"replicate": frame["replicate"], "ari": out})
 
-    return spark.range(replicates).toDF("replicate").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "replicate long, ari double")
+    return spark.range(replicates).toDF("replicate").repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "replicate long, ari double")
 
 
-def perturbation_stability(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
-    """Leave one column out: ARI with the full clustering and the share of changed labels."""
+def perturbation_stability(df: DataFrame, columns: list[str], k: int, seed: int = 42, starts: int = 10, bound: int = 100_000) -> DataFrame:
+    """Leave one column out: ARI with the full clustering and the share of changed labels. Up to ``bound`` rows a
+    column is a row, spread over the cluster; larger inputs are clustered over the cluster, column by column."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(small_matrix(df, columns))  # bounded by small_matrix
+    if df.count() > bound:
+        rows, points = [], compact(df.select("id", *columns))
+        full = cut(assigned(points, columns, kmeans(points, columns, k, starts, seed=seed)).select("id", F.col("cluster").alias("u")))
+        for c in columns:
+            rest = [x for x in columns if x != c]
+            both = cut(full.join(assigned(points, rest, kmeans(points, rest, k, starts, seed=seed)).select("id", F.col("cluster").alias("v")), "id"))
+            changed = both.agg(F.avg((F.col("u") != F.col("v")).cast("int"))).first()[0]
+            rows.append((c, adjusted_rand(both, "u", "v").first()[0], changed))
+        return spark.createDataFrame(rows, "feature string, ari double, fraction_changed double")
+    shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = shared.value
-        full = lloyd(x, k, seed)
+        full = labels_of(x, k, seed, starts)
         for frame in frames:
-            labels = [lloyd(np.delete(x, int(i), axis=1), k, seed) for i in frame["position"]]
+            labels = [labels_of(np.delete(x, int(i), axis=1), k, seed, starts) for i in frame["position"]]
             yield pd.DataFrame({"feature": [columns[int(i)] for i in frame["position"]], "ari": [ari_of(full, v) for v in labels], "fraction_changed": [float((full != v).mean()) for v in labels]})
 
     return spark.range(len(columns)).toDF("position").repartition(len(columns)).mapInPandas(run, "feature string, ari double, fraction_changed double")
 
 
+def biplot(scored: DataFrame, loadings: np.ndarray, columns: list[str]) -> DataFrame:
+    """Arrow ends of a biplot: feature, x, y: loadings of the first two components, stretched to 0.8 of the largest
+    absolute score."""
+    top = scored.agg(F.greatest(F.max(F.abs("pc1")), F.max(F.abs("pc2")))).first()[0]
+    rows = [(c, float(loadings[i, 0] * top * 0.8), float(loadings[i, 1] * top * 0.8)) for i, c in enumerate(columns)]
+    return scored.sparkSession.createDataFrame(rows, "feature string, x double, y double")
+
+
+def silhouette_order(samples: DataFrame, label: str = "cluster") -> DataFrame:
+    """Silhouette samples with their place in the plot: by cluster, then by value, from the smallest."""
+    return placed(samples, [label, "silhouette", "id"])
+
+
+def profile_heatmap(df: DataFrame, columns: list[str], label: str = "cluster") -> DataFrame:
+    """Cluster means, standardised over the clusters."""
+    from gridloom.operators.eda import standardised
+
+    return standardised(df.groupBy(label).agg(*(F.avg(c).alias(c) for c in columns)), columns)
+
+
+def parallel_coordinates(df: DataFrame, columns: list[str], label: str = "cluster") -> DataFrame:
+    """Every column between 0 and 1, in long form: id, cluster, feature, value."""
+    from gridloom.operators.eda import min_max
+
+    return to_long(min_max(df.select("id", label, *columns), columns), ["id", label], columns)
+
+
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Ward clusters by nearest-neighbour chains, cut to k; for cross-sections."""
     n = len(x)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.ordering import exact_quantiles
 from gridloom.functions.scalar import at_least
-from gridloom.schema import finite, resolve_columns
+from gridloom.schema import finite, resolve_columns, to_long
 
-#: Target classes from low to high.
-CLASSES = ("severely_shrinking", "shrinking", "stable")
+#: Target classes from low to high ratio; their places are the codes.
+CLASSES = ("stable", "shrinking", "severely_shrinking")
 
 
 def demographic_ratios(df: DataFrame) -> DataFrame:
@@ -23,12 +24,11 @@ def demographic_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(a) / at_least(F.col(b).cast("double"), 1.0) for name, (a, b) in made.items() if len(resolve_columns(df, (a, b))) == 2})
 
 
-def build_target(df: DataFrame, ratio: str, thresholds: tuple[float, float]) -> DataFrame:
-    """Rows with a finite ratio, and its class and code by two thresholds."""
+def build_target(df: DataFrame, ratio: str, thresholds: tuple[float, float], labels: tuple[str, str, str] = CLASSES, target: str = "target_class", code: str = "target_code") -> DataFrame:
+    """Rows with a finite ratio, and its class and code: below the first threshold 0, below the second 1, else 2."""
     low, high = thresholds
-    label = F.when(F.col(ratio) < low, CLASSES[0]).when(F.col(ratio) < high, CLASSES[1]).otherwise(CLASSES[2])
-    code = F.when(F.col(ratio) < low, 0).when(F.col(ratio) < high, 1).otherwise(2)
-    return df.where(finite(F.col(ratio))).withColumns({"target_class": label, "target_code": code})
+    below = lambda first, second, third: F.when(F.col(ratio) < low, first).when(F.col(ratio) < high, second).otherwise(third)
+    return df.where(finite(F.col(ratio))).withColumns({target: below(*map(F.lit, labels)), code: below(F.lit(0), F.lit(1), F.lit(2))})
 
 
 def drop_correlated(df: DataFrame, names: list[str]) -> DataFrame:
@@ -48,21 +48,22 @@ def shifted_log1p(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]
 
 def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
     """Missing values become the column's exact median, or its mean."""
-    stat = {"median": F.median, "mean": F.avg}[how]
-    values = df.agg(*(stat(F.col(c).cast("double")).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values[c]).cast("double")) for c in columns})
+    if how == "median":
+        rows = exact_quantiles(to_long(df, [], columns), "value", (0.5,), ["feature"]).collect()  # a row per column
+        values = {r.feature: r.q[0] for r in rows}
+    else:
+        values = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first().asDict()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values.get(c)).cast("double")) for c in columns})
 
 
 def scaler_parameters(df: DataFrame, columns: list[str], how: str = "robust") -> DataFrame:
     """Center and scale per column: median and quartile distance, or mean and population deviation; 0 becomes 1."""
-    from gridloom.schema import to_long
-
-    long = to_long(df, [], columns).groupBy("feature")
+    long = to_long(df, [], columns)
     if how == "robust":
-        q = long.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        q = exact_quantiles(long, "value", (0.25, 0.5, 0.75), ["feature"])
         stats = q.select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
     else:
-        stats = long.agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
+        stats = long.groupBy("feature").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
     return stats.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.ordering import placed
 from gridloom.schema import resolve_columns
 
 
@@ -79,30 +80,30 @@ def pivot_years(df: DataFrame, keys: list[str], year: str, years: list[int], val
 
 
 def collapse_suffixes(df: DataFrame, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """``name_x``/``name_y`` pairs become ``name``, the left value first."""
-    for c in [c[: -len(suffixes[0])] for c in df.columns if c.endswith(suffixes[0]) and c[: -len(suffixes[0])] + suffixes[1] in df.columns]:
-        left, right = c + suffixes[0], c + suffixes[1]
-        df = df.withColumn(c, F.coalesce(left, right)).drop(left, right)
+    """Of ``name_x``/``name_y`` pairs the left column stays, as ``name``, whatever it holds."""
+    left, right = suffixes
+    for c in [c[: -len(left)] for c in df.columns if c.endswith(left) and c[: -len(left)] + right in df.columns]:
+        df = df.drop(c, c + right).withColumnRenamed(c + left, c)
     return df
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names; those that are absent are passed over."""
+    return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+
+
+def suffixed(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Every column but the keys with a suffix, as a census year's."""
+    return df.withColumnsRenamed({c: f"{c}_{suffix}" for c in df.columns if c not in keys})
+
+
 def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.drop(*resolve_columns(df, columns))
 
 
 def in_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Offset batches of ``size`` rows in key order. The place in the order comes from a range partitioning and
-    per-partition counts, not from one window over everything."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
-    counts = sorted((r["__part"], r["n"]) for r in tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    before = df.sparkSession.createDataFrame(starts, "__part int, __before long")
-    placed = tagged.join(F.broadcast(before), "__part")
-    return placed.withColumn("batch", F.floor((F.col("__row") + F.col("__before")) / size).cast("long")).drop("__part", "__row", "__before")
+    """Offset batches of ``size`` rows in key order."""
+    return placed(df, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

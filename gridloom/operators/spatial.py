@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import pvalues
+from gridloom.functions.lineage import cut
+from gridloom.functions.ordering import placed
 
 RING = "array<struct<x:double,y:double>>"
 #: Bounding boxes of the study regions as (west, south, east, north) in degrees.
@@ -67,25 +69,94 @@ def box_join(a: DataFrame, b: DataFrame, ring_a: str, ring_b: str, size: float)
     return met.where(hit & corner).drop("cell")
 
 
-def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Part of a polygon inside a convex window, edge by edge."""
-    signed = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(window, window[1:] + window[:1], strict=True))
-    ring = window if signed > 0 else window[::-1]
-    out = list(subject)
-    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-        side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in out]
-        made = []
-        for i, p in enumerate(out):
-            q, s, t = out[i - 1], side[i], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                f = t / (t - s)
-                made.append((q[0] + f * (p[0] - q[0]), q[1] + f * (p[1] - q[1])))
-            if s >= 0:
-                made.append(p)
-        out = made
-        if not out:
-            break
-    return out
+def edges_of(ring: Column) -> Column:
+    """The ring's edges as structs of two points ``p`` and ``q``."""
+    turned = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("p"), b.alias("q")))
+
+
+def contains(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies inside a ring of any shape: an odd number of edges crosses the ray to its right. Points on
+    a left or lower edge count as inside, on a right or upper edge as outside, so that a tiling holds each once."""
+
+    def crossing(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        spans = (p["y"] > y) != (q["y"] > y)
+        return (spans & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])).cast("int")
+
+    return F.aggregate(edges_of(ring), F.lit(0), lambda n, e: n + F.coalesce(crossing(e), F.lit(0))) % 2 == 1
+
+
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two rings of any shape have a point in common: edges that meet, or one ring inside the other."""
+
+    def turn(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+    def between(p: Column, q: Column, r: Column) -> Column:
+        return r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    def meet(e: Column, f: Column) -> Column:
+        p, q, r, s = e["p"], e["q"], f["p"], f["q"]
+        t1, t2, t3, t4 = turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)
+        touch = ((t1 == 0) & between(p, q, r)) | ((t2 == 0) & between(p, q, s)) | ((t3 == 0) & between(r, s, p)) | ((t4 == 0) & between(r, s, q))
+        return ((t1 * t2 < 0) & (t3 * t4 < 0)) | touch
+
+    crossed = F.exists(edges_of(a), lambda e: F.exists(edges_of(b), lambda f: meet(e, f)))
+    return crossed | contains(b, a[0]["x"], a[0]["y"]) | contains(a, b[0]["x"], b[0]["y"])
+
+
+def polygon_join(a: DataFrame, b: DataFrame, ring_a: str, ring_b: str, size: float) -> DataFrame:
+    """Pairs whose rings intersect: the pairs of :func:`box_join`, then the exact predicate."""
+    return box_join(a, b, ring_a, ring_b, size).where(intersects(F.col(ring_a), F.col(ring_b)))
+
+
+def pixels_in_rings(pixels: DataFrame, units: DataFrame, ring: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Pixels with the attributes of every unit whose ring holds their centre: an equi-join on grid cells, then the
+    exact predicate. A pixel in no ring is masked out."""
+    at = lambda c: F.floor(F.col(c) / size)
+    placed = pixels.withColumn("cell", F.struct(at(x).alias("__cx"), at(y).alias("__cy")))
+    return placed.join(cells(units, ring, size), "cell").where(contains(F.col(ring), F.col(x), F.col(y))).drop("cell", ring)
+
+
+def _padded(rings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Rings as one array (rows, points, 2), with their numbers of points."""
+    n = np.array([len(r) for r in rings], np.int64)
+    out = np.zeros((len(n), max(1, int(n.max(initial=0))), 2))
+    flat = np.array([(p["x"], p["y"]) for r in rings for p in r], float).reshape(-1, 2)
+    rows, starts = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+    out[rows, np.arange(len(rows)) - starts] = flat
+    return out, n
+
+
+def _areas(points: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Signed shoelace areas of padded rings."""
+    at = np.arange(points.shape[1])[None]
+    after = np.take_along_axis(points, np.where(at + 1 < n[:, None], at + 1, 0)[:, :, None], 1)
+    cross = points[:, :, 0] * after[:, :, 1] - after[:, :, 0] * points[:, :, 1]
+    return np.where(at < n[:, None], cross, 0).sum(1) / 2
+
+
+def clipped_areas(subject: pd.Series, window: pd.Series) -> np.ndarray:
+    """Areas of the parts of rings inside convex windows, all rows at once: every window edge cuts every ring."""
+    (points, n), (frame, m) = _padded(subject), _padded(window)
+    sign = np.sign(_areas(frame, m))
+    for e in range(frame.shape[1]):
+        a = frame[:, e]
+        b = frame[np.arange(len(m)), np.where(e + 1 < m, e + 1, 0)]
+        side = sign[:, None] * ((b[:, 0] - a[:, 0])[:, None] * (points[:, :, 1] - a[:, 1, None]) - (b[:, 1] - a[:, 1])[:, None] * (points[:, :, 0] - a[:, 0, None]))
+        at = np.arange(points.shape[1])[None]
+        prior = np.where(at > 0, at - 1, np.maximum(n - 1, 0)[:, None])
+        before, side_before = np.take_along_axis(points, prior[:, :, None], 1), np.take_along_axis(side, prior, 1)
+        live, cutting = at < n[:, None], (e < m)[:, None]
+        crosses = live & cutting & ((side >= 0) != (side_before >= 0))
+        f = np.divide(side_before, side_before - side, out=np.zeros_like(side), where=crosses)
+        made = np.stack([before + f[:, :, None] * (points - before), points], 2).reshape(len(n), -1, 2)
+        keep = np.stack([crosses, live & ((side >= 0) | ~cutting)], 2).reshape(len(n), -1)
+        order = np.argsort(~keep, axis=1, kind="stable")
+        n = keep.sum(1)
+        points = np.take_along_axis(made, order[:, : max(1, int(n.max(initial=0))), None], 1)
+    return np.abs(_areas(points, n))
 
 
 def clipped_area(a: Column, b: Column) -> Column:
@@ -93,11 +164,7 @@ def clipped_area(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def measure(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(p, q) -> float:
-            ring = clip([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q])
-            return abs(sum(u[0] * v[1] - v[0] * u[1] for u, v in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-
-        return pd.Series([one(p, q) for p, q in zip(left, right, strict=True)])
+        return pd.Series(clipped_areas(left, right))
 
     return measure(a, b)
 
@@ -120,38 +187,58 @@ def dissolve(units: DataFrame, by: str) -> DataFrame:
     return once.select(by, F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
 
 
+def kept_points(points: np.ndarray, starts: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
+    """Marks of the points that stay (recursive farthest point), for many lines at once: in every round all open
+    segments are split at their farthest point, if it is farther than the tolerance."""
+    mark = np.zeros(len(points), bool)
+    mark[starts[n > 0]] = True
+    mark[(starts + n - 1)[n > 0]] = True
+    a, b = starts, starts + n - 1
+    while True:
+        open_ = b - a >= 2
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return mark
+        inner = b - a - 1
+        begin = np.cumsum(inner) - inner
+        at = np.arange(inner.sum()) - np.repeat(begin, inner) + np.repeat(a, inner) + 1
+        d, rel = points[b] - points[a], points[at] - np.repeat(points[a], inner, 0)
+        length, wide = np.hypot(d[:, 0], d[:, 1]), np.repeat(d, inner, 0)
+        cross = np.abs(wide[:, 0] * rel[:, 1] - wide[:, 1] * rel[:, 0])
+        long = np.repeat(length, inner)
+        off = np.where(long > 0, cross / np.where(long > 0, long, 1), np.hypot(rel[:, 0], rel[:, 1]))
+        far = np.maximum.reduceat(off, begin)
+        first = np.flatnonzero(off == np.repeat(far, inner))
+        own = np.repeat(np.arange(len(a)), inner)[first]
+        middle = at[first[np.unique(own, return_index=True)[1]]]
+        split = far > tolerance
+        mark[middle[split]] = True
+        a, b = np.r_[a[split], middle[split]], np.r_[middle[split], b[split]]
+
+
 def simplify(ring: Column, tolerance: float) -> Column:
     """Fewer points within a tolerance (recursive farthest point)."""
 
-    def keep(points: np.ndarray) -> np.ndarray:
-        mark = np.zeros(len(points), bool)
-        mark[[0, -1]] = True
-        todo = [(0, len(points) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d = points[b] - points[a]
-            length = math.hypot(*d)
-            rel = points[a + 1 : b] - points[a]
-            off = np.abs(d[0] * rel[:, 1] - d[1] * rel[:, 0]) / length if length else np.hypot(rel[:, 0], rel[:, 1])
-            if off.max() > tolerance:
-                at = a + 1 + int(off.argmax())
-                mark[at] = True
-                todo += [(a, at), (at, b)]
-        return mark
-
     @F.pandas_udf(RING)
     def run(rings: pd.Series) -> pd.Series:
-        out = []
-        for ring in rings:
-            p = np.array([(v["x"], v["y"]) for v in ring])
-            out.append([{"x": x, "y": y} for x, y in p[keep(p)]])
-        return pd.Series(out)
+        n = np.array([len(r) for r in rings], np.int64)
+        flat = np.array([(p["x"], p["y"]) for r in rings for p in r], float).reshape(-1, 2)
+        starts = np.cumsum(n) - n
+        mark = kept_points(flat, starts, n, tolerance)
+        return pd.Series([[{"x": x, "y": y} for x, y in flat[s : s + k][mark[s : s + k]]] for s, k in zip(starts, n, strict=True)])
 
     return run(ring)
 
 
+def make_valid(ring: Column) -> Column:
+    """A ring without repeated neighbours, without a closing copy of its first point and counter-clockwise; NULL where
+    fewer than three points or no area are left. Rings that cross themselves keep their shape."""
+    distinct = F.aggregate(ring, F.expr(f"CAST(array() AS {RING})"), lambda done, p: F.when((F.size(done) > 0) & (F.element_at(done, -1) == p), done).otherwise(F.concat(done, F.array(p))))
+    opened = F.transform(F.array(distinct), lambda r: F.when((F.size(r) > 1) & (F.element_at(r, -1) == r[0]), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(1)))).otherwise(r))[0]
+    signed = F.aggregate(edges_of(opened), F.lit(0.0), lambda t, e: t + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
+    return F.when((F.size(opened) >= 3) & (signed != 0), F.when(signed > 0, opened).otherwise(F.reverse(opened)))
+
+
 def queen_edges(units: DataFrame, unit: str) -> DataFrame:
     """Row-standardised contiguity: units that share a vertex. Columns src, dst, w."""
     vertices = units.select(F.col(unit).alias("u"), F.explode("ring").alias("p")).distinct()
@@ -172,42 +259,55 @@ def morans_i(values: DataFrame, edges: DataFrame, unit: str, value: str) -> Data
     return top.join(bottom).select(F.try_divide(F.col("n") / F.col("s0") * F.col("top"), F.col("zz")).alias("i"), "n")
 
 
-def dense(values: DataFrame, edges: DataFrame, unit: str, columns: list[str], bound: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and weight matrix of a cross-section, in unit order; larger ones are refused."""
-    rows = values.select(unit, *columns).dropna().orderBy(unit).limit(bound + 1).collect()
+def cross_section(values: DataFrame, edges: DataFrame, unit: str, columns: list[str], bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns in unit order, and the edges between units that have them all: sources, targets and weights. Larger
+    cross-sections are refused, before any edge is fetched."""
+    kept = values.select(unit, *columns).dropna()
+    rows = kept.orderBy(unit).limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} units")
     at = {r[0]: i for i, r in enumerate(rows)}
-    w = np.zeros((len(rows), len(rows)))
-    for r in edges.select("src", "dst", "w").collect():
-        if r["src"] in at and r["dst"] in at:
-            w[at[r["src"]], at[r["dst"]]] = r["w"]
-    return np.array([r[1:] for r in rows], float), w
-
-
-def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """Observed I, expectation, permutation z and one-sided pseudo p; permutations are spread over tasks."""
-    x, w = dense(values, edges, unit, [value])
-    z = x[:, 0] - x[:, 0].mean()
-    scale = len(z) / w.sum() / (z @ z)
-    observed = float(scale * z @ w @ z)
-    spark = values.sparkSession
-    src, dst = np.nonzero(w)
-    shared = spark.sparkContext.broadcast((z, src, dst, w[src, dst]))  # bounded by dense
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, src, dst, weight = shared.value
-        for frame in frames:
-            out = []
-            for p in frame["permutation"]:
-                y = np.random.default_rng(seed + int(p)).permutation(z)
-                out.append(scale * (weight * y[src] * y[dst]).sum())
-            yield pd.DataFrame({"permutation": frame["permutation"], "i": out})
-
-    made = spark.range(permutations).toDF("permutation").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "permutation long, i double")
+    ids = kept.select(F.col(unit).alias("__u"))
+    own = edges.join(ids, F.col("src") == F.col("__u"), "left_semi").join(ids, F.col("dst") == F.col("__u"), "left_semi")
+    found = [(at[r["src"]], at[r["dst"]], r["w"]) for r in own.select("src", "dst", "w").toLocalIterator()]
+    src, dst, w = (np.array([f[i] for f in found], kind) for i, kind in enumerate((np.int64, np.int64, float)))
+    return np.array([r[1:] for r in rows], float).reshape(len(rows), len(columns)), src, dst, w
+
+
+def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 999, seed: int = 42, bound: int = 1_000_000) -> DataFrame:
+    """Observed I, expectation, permutation z and one-sided pseudo p. Up to ``bound`` units a permutation is a row,
+    spread over the cluster; of larger tables every permutation pairs two hash orders of the units, one after the
+    other."""
+    spark, n = values.sparkSession, values.where(F.col(value).isNotNull()).count()
+    if n > bound:
+        rows = cut(values.where(F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v")))
+        observed = morans_i(rows, edges, "u", "v").first()["i"]
+        out = []
+        for p in range(permutations):
+            to = placed(rows.select("u"), [F.xxhash64("u", F.lit(seed + p)), "u"])
+            dealt = to.join(placed(rows, [F.xxhash64("u", F.lit(-seed - p - 1)), "u"]).select("place", "v"), "place")
+            out.append((p, morans_i(dealt, edges, "u", "v").first()["i"]))
+        made = spark.createDataFrame(out, "permutation long, i double")
+    else:
+        x, src, dst, w = cross_section(values, edges, unit, [value], bound)
+        z = x[:, 0] - x[:, 0].mean()
+        scale = len(z) / w.sum() / (z @ z)
+        observed = float(scale * (w * z[src] * z[dst]).sum())
+        shared = spark.sparkContext.broadcast((z, src, dst, w))  # bounded above
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            z, src, dst, weight = shared.value
+            for frame in frames:
+                out = []
+                for p in frame["permutation"]:
+                    y = np.random.default_rng(seed + int(p)).permutation(z)
+                    out.append(scale * (weight * y[src] * y[dst]).sum())
+                yield pd.DataFrame({"permutation": frame["permutation"], "i": out})
+
+        made = spark.range(permutations).toDF("permutation").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "permutation long, i double")
     larger = F.sum((F.col("i") >= observed).cast("long"))
     extreme = F.least(larger, F.lit(permutations) - larger)
-    return made.agg(F.lit(observed).alias("i"), F.lit(-1.0 / (len(z) - 1)).alias("expected"), ((F.lit(observed) - F.avg("i")) / F.stddev_pop("i")).alias("z_sim"), ((extreme + 1) / (permutations + 1)).alias("p_sim"))
+    return made.agg(F.lit(observed).alias("i"), F.lit(-1.0 / (n - 1)).alias("expected"), ((F.lit(observed) - F.avg("i")) / F.stddev_pop("i")).alias("z_sim"), ((extreme + 1) / (permutations + 1)).alias("p_sim"))
 
 
 def lagrange_tests(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict[str, float]:
@@ -225,30 +325,41 @@ def lagrange_tests(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict[str, flo
     return {"lm_error": de**2 / t, "lm_lag": dl**2 / j, "rlm_error": (de - t / j * dl) ** 2 / (t * (1 - t / j)), "rlm_lag": (dl - de) ** 2 / (j - t)}
 
 
-def spatial_models(values: DataFrame, edges: DataFrame, unit: str, y: str, xs: list[str]) -> DataFrame:
-    """Least squares, spatial lag and spatial error by maximum likelihood: model, parameter, log-likelihood, aic."""
-    data, w = dense(values, edges, unit, [y, *xs])
+def spatial_models(values: DataFrame, edges: DataFrame, unit: str, y: str, xs: list[str], bound: int = 10_000) -> dict[str, DataFrame]:
+    """Least squares, spatial lag and spatial error by maximum likelihood. ``models``: model, parameter (rho or
+    lambda), pseudo r2 (squared correlation of the target with the reduced-form prediction), log-likelihood, aic,
+    schwarz, and whether it is best by aic. ``coefficients``: model, name, coef. ``tests``: Lagrange multiplier test,
+    statistic, p_value. The likelihood needs the weights' eigenvalues: for cross-sections of at most ``bound`` units."""
+    data, src, dst, weight = cross_section(values, edges, unit, [y, *xs], bound)
+    w = np.zeros((len(data), len(data)))
+    w[src, dst] = weight
     target, x = data[:, 0], np.column_stack([np.ones(len(data)), data[:, 1:]])
     n, k = x.shape
     eigenvalues = np.linalg.eigvals(w)
+    fit = lambda yy, xx: np.linalg.lstsq(xx, yy, rcond=None)[0]
 
-    def likelihood(rss: float, p: float) -> float:
-        return float(-n / 2 * (math.log(2 * math.pi * rss / n) + 1) + np.log(np.abs(1 - p * eigenvalues)).sum())
-
-    def rss(yy: np.ndarray, xx: np.ndarray) -> float:
-        r = yy - xx @ np.linalg.lstsq(xx, yy, rcond=None)[0]
-        return float(r @ r)
+    def likelihood(yy: np.ndarray, xx: np.ndarray, p: float) -> float:
+        r = yy - xx @ fit(yy, xx)
+        return float(-n / 2 * (math.log(2 * math.pi * (r @ r) / n) + 1) + np.log(np.abs(1 - p * eigenvalues)).sum())
 
     wy, wx = w @ target, w @ x
-    fits = {"lag": lambda p: likelihood(rss(target - p * wy, x), p), "error": lambda p: likelihood(rss(target - p * wy, x - p * wx), p)}
-    rows = [("ols", 0.0, likelihood(rss(target, x), 0.0), k)]
-    for name, value in fits.items():
-        p = golden(value, -0.99, 0.99)
-        rows.append((name, p, value(p), k + 1))
-    tests = lagrange_tests(target, data[:, 1:], w)
-    out = [(m, p, ll, 2 * c - 2 * ll, math.log(n) * c - 2 * ll, None) for m, p, ll, c in rows]
-    out += [(name, None, None, None, None, pvalues.chi2_sf(max(v, 0.0), 1)) for name, v in tests.items()]
-    return values.sparkSession.createDataFrame(out, "model string, parameter double, log_likelihood double, aic double, schwarz double, p_value double")
+    sides = {"ols": lambda p: (target, x), "lag": lambda p: (target - p * wy, x), "error": lambda p: (target - p * wy, x - p * wx)}
+    rows, coefficients = [], []
+    for name, side in sides.items():
+        p = 0.0 if name == "ols" else golden(lambda v, side=side: likelihood(*side(v), v), -0.99, 0.99)
+        beta, ll, count = fit(*side(p)), likelihood(*side(p), p), k + (name != "ols")
+        predicted = np.linalg.solve(np.eye(n) - p * w, x @ beta) if name == "lag" else x @ beta
+        r2 = float(np.corrcoef(target, predicted)[0, 1] ** 2) if predicted.std() else 0.0
+        rows.append((name, p, r2, ll, 2 * count - 2 * ll, math.log(n) * count - 2 * ll))
+        coefficients += [(name, c, float(b)) for c, b in zip(["const", *xs], beta, strict=True)]
+    best = min(rows, key=lambda r: r[4])[0]
+    tests = [(name, v, pvalues.chi2_sf(max(v, 0.0), 1)) for name, v in lagrange_tests(target, data[:, 1:], w).items()]
+    made = values.sparkSession.createDataFrame
+    return {
+        "models": made([(*r, r[0] == best) for r in rows], "model string, parameter double, pseudo_r2 double, log_likelihood double, aic double, schwarz double, best boolean"),
+        "coefficients": made(coefficients, "model string, name string, coef double"),
+        "tests": made(tests, "test string, statistic double, p_value double"),
+    }
 
 
 def golden(f, low: float, high: float, steps: int = 80) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import pvalues
-from gridloom.functions.ordering import average_ranks  # noqa: F401  (part of this module's interface)
+from gridloom.functions.ordering import average_ranks, exact_quantiles  # noqa: F401  (ranks are part of this module's interface)
 
 
 def anova(long: DataFrame, group: str, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -93,7 +93,7 @@ def paired_t(differences: list[float]) -> tuple[float, float]:
     if len(d) < 2 or sd == 0:
         return 0.0, 1.0
     t = d.mean() / (sd / math.sqrt(len(d)))
-    return float(t), pvalues.t_two_sided(t, len(d) - 1)
+    return float(t), float(pvalues.t_two_sided(float(t), len(d) - 1))
 
 
 def pairwise_tests(folds: DataFrame, model: str, fold: str, value: str, alpha: float = 0.05, test=wilcoxon) -> DataFrame:
@@ -111,21 +111,35 @@ def pairwise_tests(folds: DataFrame, model: str, fold: str, value: str, alpha: f
     return folds.sparkSession.createDataFrame(out, "model_a string, model_b string, statistic double, p_value double, p_adjusted double, significant boolean")
 
 
-def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, float]:
-    """X'X of complete rows, centred first so that it is well conditioned; with means and n."""
+def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Covariance (by n) of complete rows, their means and n. A few columns take one aggregation; many take two passes:
+    means first, then every partition's cross products of the centred rows, added up."""
     rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    out, means, n = np.zeros((p, p)), None, 0
-    for at in range(0, len(pairs), 100):
-        aggs = [F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs[at : at + 100]]
-        extra = [F.count(F.lit(1)).alias("n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in range(p))] if not at else []
-        r = rows.agg(*aggs, *extra).first()
-        for i, j in pairs[at : at + 100]:
+    centre = [F.count(F.lit(1)).alias("n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in range(p))]
+    if len(pairs) <= 100:
+        r = rows.agg(*centre, *(F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs)).first()
+        n, means = r["n"], np.array([r[f"m{i}"] for i in range(p)], float)
+        out = np.zeros((p, p))
+        for i, j in pairs:
             out[i, j] = out[j, i] = r[f"v{i}_{j}"] if r[f"v{i}_{j}"] is not None else math.nan
-        if extra:
-            n, means = r["n"], np.array([r[f"m{i}"] for i in range(p)], float)
-    return out, means, n
+        return out, means, n
+    r = rows.agg(*centre).first()
+    n, means = r["n"], np.array([r[f"m{i}"] for i in range(p)], float)
+
+    def products(frames):
+        import pandas as pd
+
+        total = np.zeros((p, p))
+        for frame in frames:
+            x = frame.to_numpy() - means
+            total += x.T @ x
+        yield pd.DataFrame({"part": [total.ravel().tolist()]})
+
+    parts = rows.mapInPandas(products, "part array<double>")  # a row per partition
+    sums = parts.select(F.posexplode("part").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    return np.array([s["v"] for s in sums]).reshape(p, p) / max(n, 1), means, n
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> dict:
@@ -195,12 +209,13 @@ def drop_by_vif(df: DataFrame, columns: list[str], limit: float = 5.0) -> tuple[
 
 
 def bivariate(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Slope, intercept, r2 and n of y on each x alone, in one aggregation."""
+    """Slope, intercept, r2, n and the slope's p-value of y on each x alone, in one aggregation."""
     made = []
     for x in xs:
         a, b = F.col(x).cast("double"), F.col(y).cast("double")
         made.append(F.struct(F.lit(x).alias("feature"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_count(b, a).alias("n")))
-    return df.agg(*(m.alias(f"f{i}") for i, m in enumerate(made))).select(F.explode(F.array(*(f"f{i}" for i in range(len(xs))))).alias("f")).select("f.*")
+    table = df.agg(*(m.alias(f"f{i}") for i, m in enumerate(made))).select(F.explode(F.array(*(f"f{i}" for i in range(len(xs))))).alias("f")).select("f.*")
+    return with_p(table, lambda r: pvalues.pearson_p(None if r["r2"] is None else math.sqrt(max(r["r2"], 0.0)), r["n"]))
 
 
 def correlation_p(pairs: DataFrame, tests: int | None = None, alpha: float = 0.05) -> DataFrame:
@@ -212,34 +227,86 @@ def correlation_p(pairs: DataFrame, tests: int | None = None, alpha: float = 0.0
 
 def percentile_ci(df: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
     """Mean with percentile confidence limits."""
-    q = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    return q.select(*by, "mean", "std", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
+    q = exact_quantiles(df, value, (alpha / 2, 1 - alpha / 2), by)
+    both = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).join(q, by, "left")
+    return both.select(*by, "mean", "std", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
+
 
+def near_constant(df: DataFrame, columns: list[str], min_variance: float = 0.01) -> list[str]:
+    """Columns whose sample variance is below a limit."""
+    row = df.agg(*(F.var_samp(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    return [c for c in columns if row[c] is not None and row[c] < min_variance]
 
-def prune_redundant(pairs: DataFrame, columns: list[str], keep: list[str], limit: float = 0.85) -> tuple[list[str], list[tuple[str, str, float]]]:
-    """Drop one of the most correlated pair until none reaches ``limit``. Pairwise r does not change when columns
-    go, so the matrix is computed once. Of a pair, one on the keep-list stays; else the column with the larger
-    mean |r| (the zero diagonal included) goes."""
+
+def prune_redundant(pairs: DataFrame, columns: list[str], keep: list[str], limit: float = 0.85, constant: list[str] = (), tolerance: float = 1e-6) -> tuple[list[str], list[tuple[str, str, float]]]:
+    """Drop near-constant columns that are not on the keep-list, then one of the most correlated pair until none
+    reaches ``limit``. Pairwise r does not change when columns go, so the matrix is computed once. Of pairs within
+    ``tolerance`` of the largest |r| the one with the last first column counts, and of these that with the first
+    second column. Of a pair, one on the keep-list stays; else the column with the larger mean |r| (the zero
+    diagonal included) goes."""
     at = {c: i for i, c in enumerate(columns)}
     m = np.zeros((len(columns), len(columns)))
     for r in pairs.collect():
         if r["r"] is not None and r["feature_1"] in at and r["feature_2"] in at:
             m[at[r["feature_1"]], at[r["feature_2"]]] = m[at[r["feature_2"]], at[r["feature_1"]]] = abs(r["r"])
-    left, gone = list(range(len(columns))), []
+    gone = [(c, "near-constant", 0.0) for c in columns if c in constant and c not in keep]
+    left = [at[c] for c in columns if c not in {g[0] for g in gone}]
     while len(left) > 1:
         own = m[np.ix_(left, left)]
         top = own.max()
         if top < limit:
             break
-        first, second = max((i, j) for i in range(len(left)) for j in range(i + 1, len(left)) if own[i, j] == top)
+        level = np.argwhere(np.triu(np.abs(own - top) < tolerance, 1))
+        first = level[:, 0].max()
+        second = level[level[:, 0] == first, 1].min()
         a, b = left[first], left[second]
         kept = [columns[x] in keep for x in (a, b)]
         out = b if kept[0] and not kept[1] else a if kept[1] and not kept[0] else (a if own[first].mean() >= own[second].mean() else b)
-        gone.append((columns[out], columns[b if out == a else a], float(top)))
+        gone.append((columns[out], columns[b if out == a else a], float(own[first, second])))
         left.remove(out)
     return [columns[i] for i in left], gone
 
 
+def slope_agreement(slopes: DataFrame, scaled: DataFrame, parameters: DataFrame, columns: list[str], unit: str = "unit_id", digits: int = 6) -> DataFrame:
+    """Recomputed slopes against those scaled back with parameters rounded as stored: slope_feature, pearson_r (4
+    digits), p_value (6), n_valid; fewer than three common units give no r. Columns that either side lacks are
+    passed over."""
+    from gridloom.operators.eda import correlations
+
+    picked = [c for c in columns if c in slopes.columns and c in scaled.columns]
+    own = {r.feature: (round(r.center, digits), round(r.scale, digits)) for r in parameters.collect()}  # a row per column
+    raw = scaled.select(unit, *((F.col(c) * own.get(c, (0.0, 1.0))[1] + own.get(c, (0.0, 1.0))[0]).alias(f"__raw_{c}") for c in picked))
+    table = correlations(slopes.select(unit, *picked).join(raw, unit), [(c, f"__raw_{c}") for c in picked])
+    tested = with_p(table, lambda r: pvalues.pearson_p(r["r"], r["n"]) if r["n"] >= 3 else None)
+    enough = F.col("n") >= 3
+    return tested.select(F.col("feature_1").alias("slope_feature"), F.when(enough, F.round("r", 4)).alias("pearson_r"), F.round("p_value", 6).alias("p_value"), F.col("n").alias("n_valid"))
+
+
+def qq_points(df: DataFrame, value: str) -> DataFrame:
+    """Normal quantile-quantile data of the standardised values, by sorted position: place, theoretical, observed.
+    The theoretical quantile is the inverse normal at (place - 0.5) / n."""
+    from gridloom.functions.ordering import placed
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    total = rows.agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).first()
+    ordered = placed(rows, ["v"])
+    p = (F.col("place") + 0.5) / F.lit(total["n"])
+    observed = F.try_divide(F.col("v") - F.lit(total["m"]), F.lit(total["s"]))
+    return ordered.select((F.col("place") + 1).alias("place"), inverse_normal(p).alias("theoretical"), observed.alias("observed"))
+
+
+def inverse_normal(p):
+    """The standard normal quantile of a column of shares."""
+
+    @F.pandas_udf("double")
+    def quantile(v):
+        import pandas as pd
+
+        return pd.Series([normal_quantile(x) for x in v], dtype=float)
+
+    return quantile(p)
+
+
 def shapiro_wilk(values: list[float]) -> tuple[float, float]:
     """W and p by the published R94 approximation, for 3 to 5000 values."""
     x = np.sort(np.asarray(values, float))

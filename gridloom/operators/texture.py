@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.lineage import cut
+
 #: Neighbour offsets (row, column) of the angles 0, 45, 90 and 135 degrees at distance 1.
 ANGLES = {0: (0, 1), 45: (1, 1), 90: (1, 0), 135: (1, -1)}
-
-
-def _same(keys: list[str]) -> list[Column]:
-    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+#: Names of the texture measures.
+HARALICK = ("asm", "contrast", "corr", "var", "idm", "savg", "svar", "sent", "ent", "dvar", "dent", "imcorr1", "imcorr2", "diss", "inertia", "shade", "prom")
 
 
 def glcm(pixels: DataFrame, keys: list[str], level: str = "level") -> DataFrame:
@@ -22,8 +22,8 @@ def glcm(pixels: DataFrame, keys: list[str], level: str = "level") -> DataFrame:
     met = ahead.join(cells.withColumnRenamed("level", "j"), [*keys, "row", "col"])
     both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
     counts = met.groupBy(*keys, "angle", "i", "j").agg(F.count(F.lit(1)).alias("n")).select(*keys, "angle", "n", both.alias("p")).groupBy(*keys, "angle", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.sum("n").alias("n"))
-    totals = counts.groupBy(*keys, "angle").agg(F.sum("n").alias("total"))
-    return counts.join(totals, [*keys, "angle"]).select(*keys, "angle", "i", "j", (F.col("n") / F.col("total")).alias("p"))
+    total = F.sum("n").over(Window.partitionBy(*keys, "angle"))  # a row per pair of levels
+    return counts.select(*keys, "angle", "i", "j", (F.col("n") / total).alias("p"))
 
 
 def metrics(matrix: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,15 +47,56 @@ def metrics(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys).agg(*(F.avg(n).alias(n) for n in names))
 
 
+def haralick(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    """The named texture measures of a symmetric matrix per angle, averaged over angles: asm, contrast, corr, var, idm,
+    savg, svar, sent, ent, dvar, dent, imcorr1, imcorr2, diss, inertia, shade, prom. Natural logarithms; a measure
+    whose denominator is 0 is 0. (The maximal correlation coefficient is not among them.)"""
+    by = [*keys, "angle"]
+    m = matrix.withColumns({"i": F.col("i").cast("double"), "j": F.col("j").cast("double")})
+    p, i, j = F.col("p"), F.col("i"), F.col("j")
+    entropy = lambda c: -F.sum(c * F.log(c))
+    margin = m.groupBy(*by, F.col("i").alias("k")).agg(F.sum("p").alias("px"))
+    side = margin.groupBy(*by).agg(F.sum(F.col("px") * F.col("k")).alias("mu"), entropy(F.col("px")).alias("hx"))
+    sums = m.groupBy(*by, (i + j).alias("k")).agg(F.sum("p").alias("q")).groupBy(*by).agg(F.sum(F.col("q") * F.col("k")).alias("savg"), F.sum(F.col("q") * F.col("k") * F.col("k")).alias("s2"), entropy(F.col("q")).alias("sent"))
+    gaps = m.groupBy(*by, F.abs(i - j).alias("k")).agg(F.sum("p").alias("q")).groupBy(*by).agg(F.sum(F.col("q") * F.col("k")).alias("d1"), F.sum(F.col("q") * F.col("k") * F.col("k")).alias("d2"), entropy(F.col("q")).alias("dent"))
+    own = lambda name, k: margin.select(*by, F.col("k").alias(k), F.col("px").alias(name))
+    rows = m.join(side, by).join(own("pi", "i"), [*by, "i"]).join(own("pj", "j"), [*by, "j"])
+    centred = i + j - 2 * F.col("mu")
+    per = rows.groupBy(*by).agg(
+        F.sum(p * p).alias("asm"),
+        F.sum(p * (i - j) * (i - j)).alias("contrast"),
+        F.sum(p * (i - F.col("mu")) * (j - F.col("mu"))).alias("cov"),
+        F.sum(p * (i - F.col("mu")) * (i - F.col("mu"))).alias("var"),
+        F.sum(p / (1 + (i - j) * (i - j))).alias("idm"),
+        entropy(p).alias("ent"),
+        (-F.sum(p * F.log(F.col("pi") * F.col("pj")))).alias("hxy1"),
+        F.sum(p * F.abs(i - j)).alias("diss"),
+        F.sum(p * centred * centred * centred).alias("shade"),
+        F.sum(p * centred * centred * centred * centred).alias("prom"),
+    )
+    all_ = per.join(side, by).join(sums, by).join(gaps, by)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    named = all_.withColumns({
+        "corr": zero(F.try_divide(F.col("cov"), F.col("var"))),
+        "svar": F.col("s2") - F.col("savg") * F.col("savg"),
+        "dvar": F.col("d2") - F.col("d1") * F.col("d1"),
+        "imcorr1": zero(F.try_divide(F.col("ent") - F.col("hxy1"), F.col("hx"))),
+        "imcorr2": F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (2 * F.col("hx") - F.col("ent"))))),
+        "inertia": F.col("contrast"),
+    })
+    return named.groupBy(*keys).agg(*(F.avg(n).alias(n) for n in HARALICK))
+
+
 def usable(pixels: DataFrame, keys: list[str], level: str = "level") -> DataFrame:
     """Windows with at least 9 pixels, 2 rows, 2 columns and a level that is not 0."""
-    size = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"), F.max(level).alias("top"))
-    return size.where("n >= 9 AND rows >= 2 AND cols >= 2 AND top > 0").select(*keys)
+    size = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{e}") for c in ("row", "col") for e, f in (("low", F.min), ("high", F.max))), F.max(level).alias("top"))
+    return size.where("n >= 9 AND row_low < row_high AND col_low < col_high AND top > 0").select(*keys)
 
 
 def window_texture(pixels: DataFrame, keys: list[str], level: str = "level") -> DataFrame:
-    """Texture metrics of usable windows; the filter comes before the self-join."""
-    good = pixels.join(usable(pixels, keys, level), keys, "left_semi")
+    """Texture metrics of usable windows. Pixels are staged once, for the guard and for both sides of the join."""
+    staged = cut(pixels.select(*keys, "row", "col", level))
+    good = staged.join(usable(staged, keys, level), keys, "left_semi")
     return metrics(glcm(good, keys, level), keys)
 
 

@@ -87,17 +87,49 @@ def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(units(spark, sf_dir), "unit_id")
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+#: Fixed value: width of the test vectors; all of it is used.
+DIMS = 64
+
+
+def points(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     """Embeddings as rows of ``id, label, x0..``."""
     e = read(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("label"), *(F.round(F.col("embedding")[i].cast("double"), 6).alias(f"x{i}") for i in range(dims)))
 
 
-POINTS = "pts AS (SELECT vec_id AS id, label, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS x{i}" for i in range(8)) + " FROM embeddings)"
-XS = [f"x{i}" for i in range(8)]
+POINTS = "pts AS (SELECT vec_id AS id, label, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS x{i}" for i in range(DIMS)) + " FROM embeddings)"
+XS = [f"x{i}" for i in range(DIMS)]
 LONG = f"{POINTS}, long AS (SELECT id, label, feature, value FROM pts UNPIVOT (value FOR feature IN ({', '.join(XS)})))"
 
 
+def simpson(body: str, upto: str, nodes: int = 2000) -> str:
+    """SQL for the integral of ``body`` (a function of ``u``) from 0 to ``upto``."""
+    return f"(list_sum(list_transform(range({nodes + 1}), lambda i: (CASE WHEN i IN (0, {nodes}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({body.replace('$u', f'(({upto}) * i / {nodes})')}))) * ({upto}) / {3 * nodes})"
+
+
+def t_p(t: str, dof: str) -> str:
+    """SQL for the two-sided p-value of Student's t: an integral of a power of the cosine."""
+    area = simpson(f"pow(cos($u), ({dof}) - 1)", f"atan(abs({t}) / sqrt({dof}))")
+    return f"(1 - 2 * exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(pi()) * {area})"
+
+
+def r_p(r: str, n: str) -> str:
+    """SQL for the two-sided p-value of a correlation."""
+    return t_p(f"(({r}) * sqrt((({n}) - 2) / (1 - ({r}) * ({r}))))", f"(({n}) - 2)")
+
+
+def f_p(f: str, d1: str, d2: str) -> str:
+    """SQL for the upper tail of the F distribution: an integral of powers of sine and cosine."""
+    area = simpson(f"pow(sin($u), ({d2}) - 1) * pow(cos($u), ({d1}) - 1)", f"asin(sqrt(({d2}) / (({d2}) + ({d1}) * ({f}))))")
+    return f"(2 * exp(lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0)) * {area})"
+
+
+def chi2_p(x: str, k: str) -> str:
+    """SQL for the upper tail of the chi-square distribution."""
+    area = simpson(f"pow($u, ({k}) - 1) * exp(-$u * $u)", f"sqrt(({x}) / 2.0)")
+    return f"(1 - 2 * {area} / exp(lgamma(({k}) / 2.0)))"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison."""
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import ordering
 from gridloom.operators import eda, features, stats
-from gridloom.plans.base import BANDS, CROSS, LONG, PANEL, POINTS, UNITS, XS, cross, panel, points, query, read, rounded, units
+from gridloom.plans.base import BANDS, CROSS, LONG, PANEL, POINTS, UNITS, XS, chi2_p, cross, f_p, panel, points, query, r_p, read, rounded, t_p, units
 from gridloom.schema import to_long
 
 ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -262,11 +262,15 @@ def average_rank_consensus(spark, sf_dir):
     return rounded(ranked.groupBy("model").agg(F.avg("avg_rank").alias("consensus")))
 
 
-@query("SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem UNION ALL SELECT 'l_tax', round(regr_slope(l_extendedprice, l_tax), 4), round(regr_intercept(l_extendedprice, l_tax), 3), round(regr_r2(l_extendedprice, l_tax), 6), count(*) FROM lineitem")
+def _line(x: str) -> str:
+    return f"SELECT '{x}' AS feature, regr_slope(l_extendedprice, {x}) AS slope, regr_intercept(l_extendedprice, {x}) AS intercept, regr_r2(l_extendedprice, {x}) AS r2, count(*) AS n FROM lineitem"
+
+
+@query(f"WITH b AS ({_line('l_discount')} UNION ALL {_line('l_tax')}) SELECT feature, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(r2, 6) AS r2, n, round({r_p('sqrt(r2)', 'n')}, 6) AS p_value FROM b")
 def bivariate_ols(spark, sf_dir):
-    """M29."""
-    out = stats.bivariate(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"])
-    return out.select("feature", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
+    """One-variable fits with their p-values."""
+    out = stats.bivariate(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_discount", "l_tax"])
+    return out.select("feature", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), "n", F.round("p_value", 6).alias("p_value"))
 
 
 @query(f"""WITH {POINTS}, m AS (SELECT covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x2, x2) AS d, covar_pop(x1, x0) AS p, covar_pop(x2, x0) AS q, avg(x0) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM pts),
@@ -290,17 +294,56 @@ def breusch_pagan(spark, sf_dir):
     return spark.createDataFrame([(round(stats.breusch_pagan(points(spark, sf_dir), "x0", ["x1"])["lm"], 5),)], "lm double")
 
 
-@query()
+PAIRS = [(a, b) for a in ("b1_mean", "b2_mean") for b in ("acctbal", "n_rows")]
+
+
+@query(f"WITH {CROSS}, p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r, count({a}) AS n FROM xs" for a, b in PAIRS) + f"), t AS (SELECT *, {r_p('r', 'n')} AS p FROM p) SELECT feature_1, feature_2, round(r, 6) AS r, n, round(p, 6) AS p_value, p < 0.05 / 4 AS significant FROM t")
 def pearson_with_p(spark, sf_dir):
     """M4: correlations with p-values and Bonferroni."""
-    pairs = eda.correlations(cross(spark, sf_dir), [(a, b) for a in ("b1_mean", "b2_mean") for b in ("acctbal", "n_rows")])
-    return rounded(stats.correlation_p(pairs))
+    return rounded(stats.correlation_p(eda.correlations(cross(spark, sf_dir), PAIRS)))
 
 
-@query()
+@query(f"WITH {CROSS}, p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr(ra, rb) AS r, count(*) AS n FROM (SELECT {_rank(a)} AS ra, {_rank(b)} AS rb FROM xs WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in PAIRS) + f"), t AS (SELECT *, {r_p('r', 'n')} AS p FROM p) SELECT feature_1, feature_2, round(r, 6) AS r, n, round(p, 6) AS p_value, p < 0.05 / 4 AS significant FROM t")
+def spearman_with_p(spark, sf_dir):
+    """M4: rank correlations with p-values and Bonferroni."""
+    return rounded(stats.correlation_p(eda.spearman(cross(spark, sf_dir), PAIRS)))
+
+
+@query(f"WITH {PANEL}, g AS (SELECT b1, b2, b3, b4 FROM panel) " + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr(ra, rb), 6) AS r, count(*) AS n FROM (SELECT {_rank(a)} AS ra, {_rank(b)} AS rb FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in combinations(BANDS, 2)))
+def spearman_matrix(spark, sf_dir):
+    """M4: all pairs of columns with different gaps; ranks are taken within pair-valid rows."""
+    return rounded(eda.spearman(panel(spark, sf_dir), list(combinations(BANDS, 2))))
+
+
+OLS_X = ["x1", "x2", "x3"]
+
+
+def _ols_sql(y: str, xs: list[str], table: str) -> str:
+    """Least squares in SQL: the centred cross products, their inverse by cofactors, then every coefficient."""
+    names, p = [*xs, y], len(xs)
+    sums = ", ".join(f"covar_pop({a}, {b}) * count(*) AS s{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)
+    at = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+
+    def minor(i: int, j: int) -> str:
+        r, c = [k for k in range(p) if k != i], [k for k in range(p) if k != j]
+        return f"({at(r[0], c[0])} * {at(r[1], c[1])} - {at(r[0], c[1])} * {at(r[1], c[0])})"
+
+    det = " + ".join(f"{'-' if j % 2 else ''}{at(0, j)} * {minor(0, j)}" for j in range(p))
+    inverse = ", ".join(f"{'-' if (i + j) % 2 else ''}{minor(i, j)} / det AS v{i}{j}" for i in range(p) for j in range(p))
+    beta = ", ".join("(" + " + ".join(f"v{i}{j} * {at(j, p)}" for j in range(p)) + f") AS b{i}" for i in range(p))
+    rss = f"s{p}{p} - (" + " + ".join(f"b{i} * {at(i, p)}" for i in range(p)) + ")"
+    mean_part = " + ".join(f"m{i} * v{i}{j} * m{j}" for i in range(p) for j in range(p))
+    const = f"m{p} - (" + " + ".join(f"b{i} * m{i}" for i in range(p)) + ")"
+    rows = [f"SELECT 'const' AS name, {const} AS coef, sqrt(s2 / n + s2 * ({mean_part})) AS se, n - {p + 1} AS dof FROM d", *(f"SELECT '{x}', b{i}, sqrt(s2 * v{i}{i}), n - {p + 1} FROM d" for i, x in enumerate(xs))]
+    return f"""a AS (SELECT count(*) AS n, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(names))}, {sums} FROM {table}),
+    e AS (SELECT *, {det} AS det FROM a), f AS (SELECT *, {inverse} FROM e), g AS (SELECT *, {beta} FROM f), d AS (SELECT *, ({rss}) / (n - {p + 1}) AS s2 FROM g),
+    coefficients AS ({' UNION ALL '.join(rows)})"""
+
+
+@query(f"WITH RECURSIVE {POINTS}, {_ols_sql('x0', OLS_X, 'pts')}, q AS (SELECT 0 AS step, 0.0::DOUBLE AS low, 20.0::DOUBLE AS high, (SELECT max(dof) FROM coefficients) AS dof UNION ALL SELECT step + 1, CASE WHEN {t_p('((low + high) / 2)', 'dof')} > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN {t_p('((low + high) / 2)', 'dof')} > 0.05 THEN high ELSE (low + high) / 2 END, dof FROM q WHERE step < 45) SELECT name, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t, round({t_p('coef / se', 'coefficients.dof')}, 6) AS p_value, round(coef - low * se, 6) AS ci_lower, round(coef + low * se, 6) AS ci_upper FROM coefficients, (SELECT low FROM q WHERE step = 45)")
 def ols_summary(spark, sf_dir):
     """Coefficients with standard errors, t, p and limits."""
-    model = stats.ols(points(spark, sf_dir), "x0", ["x1", "x2", "x3"])
+    model = stats.ols(points(spark, sf_dir), "x0", OLS_X)
     return rounded(spark.createDataFrame(model["coefficients"], "name string, coef double, se double, t double, p_value double, ci_lower double, ci_upper double"))
 
 
@@ -338,20 +381,124 @@ def pairwise_wilcoxon(spark, sf_dir):
     return rounded(stats.pairwise_tests(_scores(spark, sf_dir), "model", "fold", "score"))
 
 
-@query()
+@query(f"""{SCORES}, m AS (SELECT a.model AS model_a, b.model AS model_b, a.score - b.score AS d FROM sc a JOIN sc b ON a.fold = b.fold AND a.model < b.model),
+    s AS (SELECT model_a, model_b, avg(d) AS mean, stddev_samp(d) AS sd, count(*) AS n FROM m GROUP BY 1, 2), t AS (SELECT *, mean / (sd / sqrt(n)) AS t FROM s), p AS (SELECT *, CASE WHEN sd = 0 THEN 1 ELSE {t_p('t', '(n - 1)')} END AS p FROM t)
+    SELECT model_a, model_b, round(CASE WHEN sd = 0 THEN 0 ELSE t END, 5) AS statistic, round(p, 5) AS p_value, round(least(1, p * (SELECT count(*) FROM p)), 5) AS p_adjusted, p * (SELECT count(*) FROM p) < 0.05 AS significant FROM p""")
+def pairwise_paired_t(spark, sf_dir):
+    """Paired t tests between all models with Bonferroni correction."""
+    return rounded(stats.pairwise_tests(_scores(spark, sf_dir), "model", "fold", "score", test=stats.paired_t), 5)
+
+
+@query(f"""{GROUPED}, c AS (SELECT feature, label, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY 1, 2), g AS (SELECT feature, avg(value) AS gm FROM long GROUP BY 1),
+    a AS (SELECT feature, (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f, count(*) - 1 AS df1, CAST(sum(n) - count(*) AS BIGINT) AS df2 FROM c JOIN g USING (feature) GROUP BY feature)
+    SELECT feature, round(f, 5) AS f_statistic, df1, df2, round({f_p('f', 'df1', 'df2')}, 5) AS p_value FROM a""")
 def anova_p_values(spark, sf_dir):
     """M35 with p-values."""
-    return rounded(stats.anova_p(stats.anova(to_long(points(spark, sf_dir), ["label"], XS), "label")))
+    return rounded(stats.anova_p(stats.anova(to_long(points(spark, sf_dir), ["label"], XS), "label")), 5)
 
 
-@query()
-def eda_quality_checks(spark, sf_dir):
-    """Rule table over the summaries."""
+@query(f"""{GROUPED}, r AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM long),
+    g AS (SELECT feature, count(*) AS n, sum(r) AS s FROM r GROUP BY feature, label), t AS (SELECT feature, sum(c * c * c - c) AS ties FROM (SELECT feature, value, CAST(count(*) AS DOUBLE) AS c FROM long GROUP BY 1, 2) GROUP BY 1),
+    h AS (SELECT feature, (12.0 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - any_value(ties) / (CAST(sum(n) AS DOUBLE) ^ 3 - sum(n))) AS h, count(*) - 1 AS df FROM g JOIN t USING (feature) GROUP BY feature)
+    SELECT feature, round(h, 4) AS h_statistic, df, round({chi2_p('h', 'df')}, 4) AS p_value FROM h""")
+def kruskal_p_values(spark, sf_dir):
+    """M33 with p-values."""
+    return rounded(stats.kruskal_p(stats.kruskal_wallis(to_long(points(spark, sf_dir), ["label"], XS), "label")), 4)
+
+
+def _summaries(spark, sf_dir):
+    from gridloom.operators import temporal
+
     p = panel(spark, sf_dir)
-    return eda.quality_checks(eda.describe(p, BANDS), eda.correlation_matrix(p, BANDS))
+    return eda.missing_summary(p, BANDS), eda.correlation_matrix(p, BANDS), eda.outlier_summary(p, BANDS), temporal.coverage(p, BANDS), eda.distribution_summary(p, BANDS)
 
 
-@query()
+GAPS = f"""{PANEL}, v AS (SELECT unit_id, month, b1 IS NOT NULL OR b2 IS NOT NULL OR b3 IS NOT NULL OR b4 IS NOT NULL AS ok FROM panel),
+    d AS (SELECT unit_id, ok, CASE WHEN ok AND date_diff('day', lag(month) OVER (PARTITION BY unit_id, ok ORDER BY month), month) > 35 THEN 1 ELSE 0 END AS gap FROM v),
+    cov AS (SELECT unit_id, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS n_valid_months, sum(gap) AS gap_count FROM d GROUP BY 1)"""
+PAIR_R = " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r FROM panel" for a, b in combinations(BANDS, 2))
+OUTLIERS = BOUNDS.removeprefix("WITH ").replace(PANEL, GAPS, 1) + ", o AS (SELECT feature, count(CASE WHEN value < lower_bound OR value > upper_bound THEN 1 END) AS n, any_value(n_valid) AS n_valid FROM bounds JOIN long USING (feature) GROUP BY 1)"
+
+
+@query(f"""WITH {OUTLIERS}, miss AS (SELECT feature, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM long GROUP BY 1), pr AS ({PAIR_R}), sk AS (SELECT feature, abs(skewness(value)) AS g FROM long GROUP BY 1 HAVING count(value) >= 8)
+    SELECT 'expected_columns' AS "check", 'warn' AS status, 1 AS n UNION ALL SELECT 'texture_available', 'ok', 0
+    UNION ALL SELECT 'missing_rates', CASE WHEN count(CASE WHEN pct > 8 THEN 1 END) > 0 THEN 'warn' ELSE 'ok' END, count(CASE WHEN pct > 8 THEN 1 END) FROM miss
+    UNION ALL SELECT 'temporal_coverage', CASE WHEN coalesce(min(n_valid_months), 0) < 24 THEN 'warn' ELSE 'ok' END, count(CASE WHEN gap_count > 0 THEN 1 END) FROM cov
+    UNION ALL SELECT 'outliers_documented', 'ok', CAST(sum(n) AS BIGINT) FROM o
+    UNION ALL SELECT 'high_correlations', CASE WHEN count(CASE WHEN abs(r) >= 0.8 THEN 1 END) > 0 THEN 'warn' ELSE 'ok' END, count(CASE WHEN abs(r) >= 0.8 THEN 1 END) FROM pr
+    UNION ALL SELECT 'distributions_understood', 'ok', count(CASE WHEN g > 1 THEN 1 END) FROM sk""")
+def eda_quality_checks(spark, sf_dir):
+    """All seven checks over the summaries."""
+    missing, pairs, outliers, coverage, distribution = _summaries(spark, sf_dir)
+    return eda.quality_checks(missing, pairs, outliers, coverage, distribution, [*BANDS, "absent"], panel(spark, sf_dir).columns, ["b1_contrast"], missing_limit=8.0)
+
+
+@query(f"""WITH {OUTLIERS}, miss AS (SELECT feature, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM long GROUP BY 1)
+    SELECT 'high_missing' AS type, feature, round(pct, 4) AS detail FROM miss WHERE pct > 8 UNION ALL SELECT 'high_outlier_rate', feature, round(n * 100.0 / n_valid, 2) FROM o WHERE round(n * 100.0 / n_valid, 2) > 0.5
+    UNION ALL SELECT 'temporal_gaps', '', count(*) FROM cov WHERE gap_count > 0 HAVING count(*) > 0""")
+def eda_quality_flags(spark, sf_dir):
+    """Flag rows."""
+    missing, _, outliers, coverage, _ = _summaries(spark, sf_dir)
+    return rounded(eda.quality_flags(missing, outliers, coverage, 8.0, 0.5), 4)
+
+
+@query(f"""WITH {OUTLIERS}, miss AS (SELECT feature, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM long GROUP BY 1), pr AS ({PAIR_R}),
+    mm AS (SELECT unit_id, month(month) AS m, avg(b1) AS b1, avg(b2) AS b2 FROM panel GROUP BY 1, 2), amp AS (SELECT unit_id, max(b1) - min(b1) AS b1, max(b2) - min(b2) AS b2 FROM mm GROUP BY 1 HAVING count(*) > 0)
+    SELECT 'missing' AS topic, 1 AS place, 'overall' AS subject, round(avg(pct), 4) AS value FROM miss
+    UNION ALL SELECT 'correlated', CAST(row_number() OVER (ORDER BY abs(r) DESC) AS INTEGER), feature_1 || '/' || feature_2, round(r, 4) FROM (SELECT * FROM pr WHERE abs(r) >= 0.005 ORDER BY abs(r) DESC LIMIT 3)
+    UNION ALL SELECT 'strongest_link', 1, feature_1 || '/' || feature_2, round(r, 4) FROM (SELECT * FROM pr ORDER BY abs(r) DESC LIMIT 1)""")
+def eda_key_findings(spark, sf_dir):
+    """Findings (without the seasonal and skewed topics, which have tests of their own)."""
+    missing, pairs, _, _, distribution = _summaries(spark, sf_dir)
+    found = eda.key_findings(missing, distribution, pairs, panel(spark, sf_dir).select(F.col("b1").alias("b1_seasonal_amp")), pairs, 0.005)
+    return rounded(found.where("topic IN ('missing', 'correlated', 'strongest_link')"), 4)
+
+
+@query(f"{GLONG}, a AS (SELECT pref_name, feature, value FROM long UNION ALL SELECT 'Overall', feature, value FROM long) SELECT pref_name, feature, round((count(*) - count(value)) * 100.0 / count(*), 4) AS missing_pct FROM a GROUP BY 1, 2")
+def missing_heatmap(spark, sf_dir):
+    """Missing percentages by group, with an Overall row."""
+    return rounded(eda.heatmap(panel(spark, sf_dir).join(units(spark, sf_dir), "unit_id"), "pref_name", BANDS), 4)
+
+
+@query(f"WITH {CROSS} SELECT unit_id, round((b1_mean - min(b1_mean) OVER w) / (max(b1_mean) OVER w - min(b1_mean) OVER w), 6) AS b1_mean, round(coalesce((acctbal - avg(acctbal) OVER g) / stddev_samp(acctbal) OVER g, CASE WHEN count(*) OVER g > 1 THEN 0 END), 6) AS acctbal FROM xs WINDOW w AS (), g AS (PARTITION BY region)")
+def min_max_and_group_z(spark, sf_dir):
+    """Min-max over all rows, z-scores within groups."""
+    x = cross(spark, sf_dir).select("unit_id", "region", "b1_mean", "acctbal")
+    return rounded(eda.standardised(eda.min_max(x, ["b1_mean"]), ["acctbal"], ["region"]).drop("region"))
+
+
+@query(f"{PLONG}, v AS (SELECT value, row_number() OVER (ORDER BY value) AS place FROM long WHERE feature = 'b4' AND value IS NOT NULL), s AS (SELECT count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM v) SELECT place, round((place - 0.5) / n, 6) AS share, round((value - m) / sd, 6) AS observed FROM v, s")
+def qq_data(spark, sf_dir):
+    """Quantile-quantile data; the theoretical quantile is checked through the share it stands for."""
+    from statistics import NormalDist
+
+    @F.pandas_udf("double")
+    def share(v):
+        return v.map(NormalDist().cdf)
+
+    return rounded(stats.qq_points(panel(spark, sf_dir), "b4").select("place", share("theoretical").alias("share"), "observed"))
+
+
+SLOPES = f"{PANEL}, d AS (SELECT *, date_diff('day', min(month) OVER (PARTITION BY unit_id), month) AS dd FROM panel), sl AS (SELECT unit_id, regr_slope(b1, dd / mx) AS b1_slope, regr_slope(b2, dd / mx) AS b2_slope FROM (SELECT *, CAST(max(dd) OVER (PARTITION BY unit_id) AS DOUBLE) AS mx FROM d) GROUP BY 1)"
+
+
+@query(f"WITH {SLOPES}, p AS (SELECT 'b1_slope' AS slope_feature, corr(b1_slope, b1_slope + 0.4 * sin(unit_id)) AS r, count(*) AS n FROM sl UNION ALL SELECT 'b2_slope', corr(b2_slope, b2_slope + 900 * sin(unit_id)), count(*) FROM sl) SELECT slope_feature, round(r, 4) AS pearson_r, round({r_p('r', 'n')}, 4) AS p_value, n AS n_valid FROM p")
+def slope_cross_validation(spark, sf_dir):
+    """Recomputed slopes against scaled ones, scaled back."""
+    from gridloom.operators import temporal
+
+    slopes = temporal.with_days(panel(spark, sf_dir)).groupBy("unit_id").agg(*temporal.trend_slopes(["b1", "b2"]))
+    noisy = slopes.select("unit_id", (F.col("b1_slope") + 0.4 * F.sin("unit_id")).alias("b1_slope"), (F.col("b2_slope") + 900 * F.sin("unit_id")).alias("b2_slope"))
+    names = ["b1_slope", "b2_slope"]
+    parameters = features.scaler_parameters(noisy, names)
+    out = stats.slope_agreement(slopes, features.scale(noisy, parameters), parameters, names)
+    return out.select("slope_feature", "pearson_r", F.round("p_value", 4).alias("p_value"), "n_valid")
+
+
+META = [("unit_id", "identifier", "bigint", False, False), *((f"{b}_{s}", "feature", "double", f"{b}_{s}" == "b2_mean", f"{b}_{s}" in ("b1_mean", "b2_mean")) for b in BANDS for s in ("mean", "std")), ("n_b1", "feature", "bigint", False, False), ("n_rows", "feature", "bigint", False, False), ("acctbal", "feature", "double", False, False), ("pref_name", "identifier", "string", False, False), ("region", "identifier", "string", False, False)]
+
+
+@query('SELECT * FROM (VALUES ' + ", ".join(f"('{c}', '{r}', '{t}', {str(a).lower()}, {str(b).lower()})" for c, r, t, a, b in META) + ') AS t("column", role, dtype, log1p_applied, scaled)')
 def feature_metadata(spark, sf_dir):
     """K4."""
     return features.feature_metadata(cross(spark, sf_dir), ["unit_id", "pref_name", "region"], [], ["b2_mean"], ["b1_mean", "b2_mean"])

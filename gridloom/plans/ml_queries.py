@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from gridloom.operators import classify, cluster, features, stats
 from gridloom.plans.base import LONG, POINTS, XS, cross, points, query, rounded
 
-D = XS[:4]
-
 
 def _labelled(spark, sf_dir):
     return points(spark, sf_dir).select("id", F.col("label").alias("cluster"), *XS)
@@ -76,10 +74,38 @@ def nmi(spark, sf_dir):
     return rounded(cluster.normalised_mutual_information(_two(spark, sf_dir), "u", "v"))
 
 
-@query(f"WITH {POINTS} SELECT label AS cluster, count(*) AS size, " + ", ".join(f"round(avg({x}), 6) AS {x}_mean, round(stddev_samp({x}), 6) AS {x}_std, round(median({x}), 6) AS {x}_median" for x in ("x0", "x1")) + " FROM pts GROUP BY 1")
+@query(f"WITH {POINTS} SELECT label AS cluster, count(*) AS size, " + ", ".join(f"round(avg({x}), 6) AS {x}_mean, round(stddev_samp({x}), 6) AS {x}_std, floor(median({x}) * 1000000 + 0.25) / 1000000 AS {x}_median" for x in XS) + " FROM pts GROUP BY 1")
 def cluster_profiles(spark, sf_dir):
-    """A24, A25."""
-    return rounded(cluster.profiles(_labelled(spark, sf_dir), ["x0", "x1"]))
+    """A24, A25. A median of two values of six digits has seven, the last a 5: it is cut where no value lies."""
+    out = cluster.profiles(_labelled(spark, sf_dir), XS)
+    middle = {f"{x}_median": F.floor(F.col(f"{x}_median") * 1000000 + 0.25) / 1000000 for x in XS}
+    return out.withColumns({f"{x}_{s}": F.round(f"{x}_{s}", 6) for x in XS for s in ("mean", "std")} | middle)
+
+
+@query(f"WITH {POINTS}, m AS (SELECT label AS cluster, {', '.join(f'avg({x}) AS {x}' for x in XS)} FROM pts GROUP BY 1) SELECT cluster, " + ", ".join(f"round(({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER (), 5) AS {x}" for x in XS) + " FROM m")
+def profile_heatmap(spark, sf_dir):
+    """Data of the profile heatmap: cluster means, standardised."""
+    return rounded(cluster.profile_heatmap(_labelled(spark, sf_dir), XS), 5)
+
+
+@query(f"WITH {POINTS}, r AS (SELECT id, label AS cluster, " + ", ".join(f"(x{i} - min(x{i}) OVER ()) / (max(x{i}) OVER () - min(x{i}) OVER ()) AS x{i}" for i in range(64)) + f" FROM pts) SELECT id, cluster, feature, round(value, 6) AS value FROM r UNPIVOT (value FOR feature IN ({', '.join(XS)}))")
+def parallel_coordinates(spark, sf_dir):
+    """Data of the parallel coordinates: every column between 0 and 1."""
+    return rounded(cluster.parallel_coordinates(_labelled(spark, sf_dir), XS))
+
+
+@query(f"WITH {POINTS}, w AS (SELECT id, label AS cluster, round(x0, 6) AS silhouette FROM pts) SELECT id, cluster, silhouette, row_number() OVER (ORDER BY cluster, silhouette, id) - 1 AS place FROM w")
+def silhouette_order(spark, sf_dir):
+    """Places of samples in a silhouette plot (here of a column of the points)."""
+    return cluster.silhouette_order(_labelled(spark, sf_dir).select("id", "cluster", F.col("x0").alias("silhouette")))
+
+
+@query()
+def pca_biplot(spark, sf_dir):
+    """Arrow ends of the biplot."""
+    df = points(spark, sf_dir)
+    _, loadings = cluster.pca(df, XS)
+    return cluster.biplot(cluster.scores(df, XS, loadings, 2), loadings, XS)
 
 
 @query(f"WITH {TWO} SELECT u, " + ", ".join(f"count(CASE WHEN v = {v} THEN 1 END) AS \"{v}\"" for v in range(3)) + " FROM uv GROUP BY 1")
@@ -164,18 +190,28 @@ def stratified_fold_assign(spark, sf_dir):
     return classify.stratified_folds(p, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")))
 
 
-DIST = "sqrt(" + " + ".join(f"(a.{x} - b.{x}) ^ 2" for x in D) + ")"
+DIST = "sqrt(" + " + ".join(f"(a.{x} - b.{x}) ^ 2" for x in XS) + ")"
+VOTES = """n AS (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM m),
+    v AS (SELECT id, label, sum(1 / d) AS w FROM n WHERE r <= 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS r FROM v)"""
 
 
-@query(f"""WITH {POINTS}, q AS (SELECT * FROM pts WHERE id % 10 = 0), t AS (SELECT * FROM pts WHERE id % 10 <> 0),
-    n AS (SELECT a.id, b.label, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS r FROM q a, t b),
-    v AS (SELECT id, label, sum(1 / d) AS w FROM n WHERE r <= 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS r FROM v)
+@query(f"""WITH {POINTS}, m AS (SELECT a.id, b.id AS other, b.label, {DIST} AS d FROM pts a JOIN pts b ON a.id % 5 <> b.id % 5), {VOTES}
     SELECT id, CAST(label AS INTEGER) AS prediction FROM r WHERE r = 1""")
 def knn_vote(spark, sf_dir):
-    """Distance-weighted vote of five neighbours for a held-out tenth (the feature of this evaluation)."""
-    p = cluster.as_vector(points(spark, sf_dir), D)
-    model = classify.Neighbours(5).fit(p.where("id % 10 <> 0"))
-    return model.transform(p.where("id % 10 = 0")).select("id", F.col("prediction").cast("int").alias("prediction"))
+    """Distance-weighted vote of five neighbours, every fifth predicted from the other four."""
+    p, out = cluster.as_vector(points(spark, sf_dir), XS).select("id", "label", "features"), None
+    for fold in range(5):
+        model = classify.Neighbours(5).fit(p.where(F.col("id") % 5 != fold))
+        part = model.transform(p.where(F.col("id") % 5 == fold)).select("id", F.col("prediction").cast("int").alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {POINTS}, m AS (SELECT a.id, b.id AS other, b.label, {DIST} AS d FROM pts a JOIN pts b ON a.id <> b.id), {VOTES}
+    SELECT r.id, CAST(pts.label AS INTEGER) AS y_true, CAST(r.label AS INTEGER) AS y_pred FROM r JOIN pts ON pts.id = r.id WHERE r.r = 1""")
+def leave_one_out_neighbours(spark, sf_dir):
+    """M47 for the nearest-neighbour vote: every point from all others."""
+    return classify.leave_one_out_neighbours(points(spark, sf_dir).select("id", "label", *XS), XS)
 
 
 @query(f"WITH {LONG}, s AS (SELECT feature, round(var_samp(value), 6) AS variance FROM long GROUP BY 1) SELECT feature, variance, round(sum(variance) OVER (ORDER BY variance DESC, feature) / sum(variance) OVER (), 6) AS cumulative FROM s")
@@ -216,11 +252,16 @@ def pca_scores(spark, sf_dir):
     return rounded(cluster.scores(df, XS, cluster.pca(df, XS)[1], 2).select("id", "pc1", "pc2"))
 
 
+def _clusters(df, columns, k: int = 3):
+    """Clusters from the best of 100 starts."""
+    return cluster.assigned(df, columns, cluster.best_fits(df, columns, [k], starts=100)[k])
+
+
 @query()
 def kmeans_multistart(spark, sf_dir):
     """M15."""
     df = points(spark, sf_dir)
-    return cluster.profiles(cluster.assigned(df, XS, cluster.kmeans(df, XS, 3)), XS[:2])
+    return cluster.profiles(_clusters(df, XS), XS)
 
 
 @query()
@@ -229,11 +270,10 @@ def kmeans_in_pca_space(spark, sf_dir):
     df = points(spark, sf_dir)
     values, loadings = cluster.pca(df, XS)
     n = cluster.components_needed(values, 0.8)
-    reduced = cluster.scores(df, XS, loadings, n)
-    names = [f"pc{i + 1}" for i in range(n)]
-    raw = cluster.assigned(df, XS, cluster.kmeans(df, XS, 3)).select("id", F.col("cluster").alias("u"))
-    own = cluster.assigned(reduced, names, cluster.kmeans(reduced, names, 3)).select("id", F.col("cluster").alias("v"))
-    both = raw.join(own, "id")
+    reduced = cluster.compact(cluster.scores(df, XS, loadings, n))
+    raw = _clusters(df, XS).select("id", F.col("cluster").alias("u"))
+    own = _clusters(reduced, [f"pc{i + 1}" for i in range(n)]).select("id", F.col("cluster").alias("v"))
+    both = cluster.compact(raw.join(own, "id"))
     return cluster.adjusted_rand(both, "u", "v").join(cluster.normalised_mutual_information(both, "u", "v"))
 
 
@@ -244,7 +284,7 @@ def k_selection(spark, sf_dir):
     ks, rows = [2, 3, 4, 5, 6, 7, 8], []
     fits = cluster.best_fits(df, XS, ks, starts=100)
     for k in ks:
-        labelled = cluster.assigned(df, XS, fits[k]).persist()
+        labelled = cluster.compact(cluster.assigned(df, XS, fits[k]))
         s = cluster.silhouette_samples(labelled, XS).agg(F.avg("silhouette")).first()[0]
         rows.append((k, s, cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"]))
     gap = cluster.gap_statistic(df, XS, ks, references=50, fits=fits)
@@ -255,25 +295,30 @@ def k_selection(spark, sf_dir):
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    """M23."""
-    return cluster.bootstrap_stability(points(spark, sf_dir), D, 3, replicates=40).agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.percentile("ari", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
+    """1000 subsamples of four fifths."""
+    from gridloom.functions.ordering import exact_quantiles
+
+    made = cluster.compact(cluster.bootstrap_stability(points(spark, sf_dir), XS, 3))
+    limits = exact_quantiles(made, "ari", (0.025, 0.975))
+    return made.agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari")).join(limits.withColumnRenamed("q", "ci"))  # one row each
 
 
 @query()
 def perturbation_stability(spark, sf_dir):
     """M24."""
-    return cluster.perturbation_stability(points(spark, sf_dir), D, 3)
+    return cluster.perturbation_stability(points(spark, sf_dir), XS, 3)
 
 
 @query()
 def specification_robustness(spark, sf_dir):
-    """Clusters from column subsets against those from all columns."""
-    df = cluster.compact(points(spark, sf_dir))
-    base = cluster.assigned(df, XS, cluster.kmeans(df, XS, 3, 2)).select("id", F.col("cluster").alias("u"))
-    out = None
-    for name, columns in {"all": XS, "first": XS[:4], "last": XS[4:], "even": XS[::2]}.items():
-        own = cluster.assigned(df, columns, cluster.kmeans(df, columns, 3, 2)).select("id", F.col("cluster").alias("v"))
-        part = cluster.adjusted_rand(base.join(own, "id"), "u", "v").select(F.lit(name).alias("specification"), "ari")
+    """Clusters from column subsets against those from all columns, with the silhouette of each."""
+    df, out = cluster.compact(points(spark, sf_dir)), None
+    base = cluster.compact(_clusters(df, XS).select("id", F.col("cluster").alias("u")))
+    half = len(XS) // 2
+    for name, columns in {"all": XS, "first": XS[:half], "last": XS[half:], "even": XS[::2]}.items():
+        labelled = cluster.compact(_clusters(df, columns))
+        agreement = cluster.adjusted_rand(base.join(labelled.select("id", F.col("cluster").alias("v")), "id"), "u", "v")
+        part = agreement.join(cluster.silhouette_samples(labelled, columns).agg(F.avg("silhouette").alias("silhouette"))).select(F.lit(name).alias("specification"), "ari", "silhouette")  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -281,16 +326,27 @@ def specification_robustness(spark, sf_dir):
 @query()
 def ward_clusters(spark, sf_dir):
     """M20."""
-    return cluster.ward(points(spark, sf_dir), D, 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return cluster.ward(points(spark, sf_dir), XS, 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _supervised(spark, sf_dir, k: int = 5, repeats: int = 1):
-    raw = cluster.compact(cross(spark, sf_dir).select(F.col("unit_id").alias("id"), "pref_name", "b1_mean", "b2_mean", "b3_mean", "acctbal", (F.col("unit_id") % 3).cast("int").alias("label")))
+FEATURES = ["b1_mean", "b2_mean", "b3_mean", "acctbal"]
+
+
+def _classed(spark, sf_dir):
+    """The cross-section with classes that the features tell in part: a ratio of two of them and an error, cut at the
+    target's thresholds."""
+    from gridloom.config import PanelConfig
+
+    raw = cluster.compact(cross(spark, sf_dir).select(F.col("unit_id").alias("id"), "pref_name", *FEATURES))
     df = features.scale(raw, features.scaler_parameters(raw, FEATURES, "standard"))
-    return cluster.compact(classify.stratified_folds(df, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")), k, repeats=repeats))
+    error = ((F.col("id") * 7919) % 1000) / 1000 - 0.5
+    ratio = 0.395 + 0.025 * F.col("b2_mean") + 0.015 * F.col("acctbal") + 0.04 * error
+    return features.build_target(df.withColumn("ratio", ratio), "ratio", PanelConfig().target_thresholds).withColumnRenamed("target_code", "label").drop("target_class")
 
 
-FEATURES = ["b1_mean", "b2_mean", "b3_mean", "acctbal"]
+def _supervised(spark, sf_dir, k: int = 5, repeats: int = 1):
+    df = cluster.compact(_classed(spark, sf_dir))
+    return cluster.compact(classify.stratified_folds(df, "label", F.struct((F.col("id") * 31 + 7) % 1009, F.col("id")), k, repeats=repeats))
 
 
 @query()
@@ -308,15 +364,28 @@ def model_family_cv(spark, sf_dir):
     return classify.comparison(classify.fold_metrics(predictions, ["model", "fold"]))
 
 
+EXPERIMENTS = {"all_features": [*FEATURES, "ratio", "ratio_rank"], "no_leaky": FEATURES, "no_demographic": FEATURES[:3], "rs_only": FEATURES[:2]}
+
+
 @query()
 def leakage_experiments(spark, sf_dir):
-    """One run per feature subset."""
-    df = _supervised(spark, sf_dir, repeats=5).withColumn("leak", F.col("label") + 0.1 * F.col("b1_mean"))
-    models, out = classify.build_models(["logistic_regression"]), None
-    for name, columns in {"full": [*FEATURES, "leak"], "no_leaky": FEATURES, "rs_only": FEATURES[:3], "demo_only": ["acctbal"]}.items():
+    """One run per feature subset, from all columns, the target's own ratio among them, to remote sensing alone."""
+    df = _supervised(spark, sf_dir, repeats=5).withColumn("ratio_rank", F.col("ratio") * F.col("ratio"))
+    models, out = classify.build_models(["logistic_regression", "random_forest"]), None
+    for name, columns in EXPERIMENTS.items():
         part = classify.cross_validate(df, columns, models, experiment=name)
         out = part if out is None else out.unionByName(part)
-    return classify.fold_metrics(out, ["experiment"])
+    return classify.fold_metrics(out, ["experiment", "model"])
+
+
+@query()
+def class_roc_auc(spark, sf_dir):
+    """Area under the curve per class, from cross-validated probabilities."""
+    made, out = classify.cross_validate(_supervised(spark, sf_dir), FEATURES, classify.build_models(["logistic_regression"])), None
+    for c in range(3):
+        part = classify.auc(classify.class_roc(made, c)).select(F.lit(c).alias("class"), "auc")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
@@ -331,7 +400,7 @@ def random_forest_importance(spark, sf_dir):
     from pyspark.ml.classification import RandomForestClassifier
 
     df = cluster.as_vector(_supervised(spark, sf_dir), FEATURES)
-    return classify.tree_importance(RandomForestClassifier(numTrees=50, seed=42).fit(df), FEATURES, spark)
+    return classify.tree_importance(RandomForestClassifier(numTrees=200, seed=42).fit(df), FEATURES, spark)
 
 
 @query()
@@ -339,17 +408,17 @@ def permutation_importance(spark, sf_dir):
     """M51."""
     df = _supervised(spark, sf_dir)
     model = classify.build_models(["logistic_regression"])["logistic_regression"](df.count(), len(FEATURES), 3).fit(cluster.as_vector(df, FEATURES))
-    return classify.permutation_importance(df, FEATURES, model, repeats=1).groupBy("feature").agg(F.avg("drop").alias("importance"))
+    return classify.permutation_importance(df, FEATURES, model, repeats=10).groupBy("feature").agg(F.avg("drop").alias("importance"))
 
 
 @query()
 def shapley_importance(spark, sf_dir):
-    """Sampled Shapley values."""
+    """Shapley values over all orderings."""
     from pyspark.ml.classification import RandomForestClassifier
 
     df = _supervised(spark, sf_dir)
-    model = RandomForestClassifier(numTrees=20, seed=42).fit(cluster.as_vector(df, FEATURES))
-    return classify.shapley(df, FEATURES, model, samples=3)
+    model = RandomForestClassifier(numTrees=200, seed=42).fit(cluster.as_vector(df, FEATURES))
+    return classify.shapley(df, FEATURES, model)
 
 
 @query()
@@ -359,16 +428,12 @@ def leave_one_out(spark, sf_dir):
     return classify.fold_metrics(classify.leave_one_out(_supervised(spark, sf_dir), FEATURES, models), ["model"])
 
 
-@query()
-def leave_one_out_neighbours(spark, sf_dir):
-    """Leave-one-out of a nearest-neighbour vote on the points."""
-    return classify.fold_metrics(classify.leave_one_out_neighbours(points(spark, sf_dir).select("id", "label", *D), D), [])
-
-
-@query()
+@query(f"""WITH {LONG}, c AS (SELECT feature, label, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY 1, 2), g AS (SELECT feature, avg(value) AS gm FROM long GROUP BY 1),
+    f AS (SELECT feature, round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f_statistic FROM c JOIN g USING (feature) GROUP BY feature)
+    SELECT feature, f_statistic, row_number() OVER (ORDER BY f_statistic DESC, feature) AS place FROM f""")
 def feature_selection(spark, sf_dir):
     """SelectKBest: features ranked by the F statistic."""
     from gridloom.schema import to_long
 
-    table = stats.anova(to_long(points(spark, sf_dir), ["label"], XS), "label")
-    return rounded(table.select("feature", "f_statistic").withColumn("place", F.row_number().over(Window.orderBy(F.desc("f_statistic"), "feature")).cast("long")))
+    table = rounded(stats.anova(to_long(points(spark, sf_dir), ["label"], XS), "label"))
+    return table.select("feature", "f_statistic").withColumn("place", F.row_number().over(Window.orderBy(F.desc("f_statistic"), "feature")).cast("long"))

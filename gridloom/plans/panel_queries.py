@@ -317,33 +317,32 @@ def cumulative_share(spark, sf_dir):
     return rounded(counts.select("class", "n", F.sum("n").over(w).alias("cumulative"), (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("share")))
 
 
-TARGET = f"""{PANEL},{UNITS}, f AS (SELECT unit_id, sum(CASE WHEN year(month) <= 1997 THEN n_items ELSE 0 END) AS early, sum(CASE WHEN year(month) >= 1999 THEN n_items ELSE 0 END) AS late FROM panel GROUP BY 1),
-    c AS (SELECT unit_id, (late - early) / nullif(early, 0) AS change FROM f),
-    t AS (SELECT unit_id, change, CASE WHEN change < -0.02 THEN 'severely_shrinking' WHEN change < 0.02 THEN 'shrinking' ELSE 'stable' END AS target_class FROM c WHERE change IS NOT NULL)"""
+TARGET = f"""{PANEL},{UNITS}, f AS (SELECT unit_id, sum(CASE WHEN year(month) >= 1996 THEN n_items ELSE 0 END) / sum(n_items) AS late_ratio FROM panel GROUP BY 1),
+    t AS (SELECT unit_id, late_ratio, CASE WHEN late_ratio < 0.37 THEN 'stable' WHEN late_ratio < 0.42 THEN 'shrinking' ELSE 'severely_shrinking' END AS target_class,
+        CASE WHEN late_ratio < 0.37 THEN 0 WHEN late_ratio < 0.42 THEN 1 ELSE 2 END AS target_code FROM f WHERE late_ratio IS NOT NULL)"""
 
 
-@query(f"WITH {TARGET} SELECT unit_id, round(change, 6) AS change, target_class FROM t")
+@query(f"WITH {TARGET} SELECT unit_id, round(late_ratio, 6) AS late_ratio, target_class, target_code FROM t")
 def threshold_target(spark, sf_dir):
-    """Three classes by thresholds; invalid ratios are dropped first."""
+    """Three classes by thresholds, the low ratios first; invalid ratios are dropped."""
     return rounded(_target(spark, sf_dir))
 
 
 def _target(spark, sf_dir):
+    from gridloom.config import PanelConfig
     from gridloom.operators.features import build_target
 
-    era = panel(spark, sf_dir).groupBy("unit_id").agg(
-        F.sum(F.when(F.year("month") <= 1997, F.col("n_items")).otherwise(0)).alias("early"),
-        F.sum(F.when(F.year("month") >= 1999, F.col("n_items")).otherwise(0)).alias("late"),
-    )
-    changed = era.select("unit_id", scalar.ratio(F.col("late") - F.col("early"), F.col("early")).alias("change"))
-    return build_target(changed, "change", (-0.02, 0.02)).select("unit_id", "change", "target_class")
+    late = F.sum(F.when(F.year("month") >= 1996, F.col("n_items")).otherwise(0))
+    shares = panel(spark, sf_dir).groupBy("unit_id").agg(F.try_divide(late, F.sum("n_items")).alias("late_ratio"))
+    config = PanelConfig()
+    return build_target(shares, "late_ratio", config.target_thresholds, config.target_labels)
 
 
-@query(f"WITH {TARGET} SELECT region, target_class, count(*) AS n, round(avg(change), 6) AS mean_change FROM t JOIN units USING (unit_id) GROUP BY 1, 2")
+@query(f"WITH {TARGET} SELECT region, target_class, count(*) AS n, round(avg(late_ratio), 6) AS mean_ratio FROM t JOIN units USING (unit_id) GROUP BY 1, 2")
 def target_class_counts(spark, sf_dir):
     """The flagship: panel, cross-section, target and class counts by region."""
     joined = _target(spark, sf_dir).join(units(spark, sf_dir), "unit_id")
-    return rounded(joined.groupBy("region", "target_class").agg(F.count(F.lit(1)).alias("n"), F.avg("change").alias("mean_change")))
+    return rounded(joined.groupBy("region", "target_class").agg(F.count(F.lit(1)).alias("n"), F.avg("late_ratio").alias("mean_ratio")))
 
 
 @query(f"""WITH {PANEL}, r AS (SELECT unit_id, avg(b1) AS a, CASE WHEN unit_id % 4 = 0 THEN 0 WHEN unit_id % 7 = 0 THEN NULL ELSE avg(b2) END AS d FROM panel GROUP BY 1)

@@ -139,9 +139,7 @@ def moran_permutation(spark, sf_dir):
     return spatial.moran_permutation(values, spatial.queen_edges(_unit_rings(spark, sf_dir), "unit_id"), "unit_id", "s_acctbal")
 
 
-@query()
-def spatial_error_ml(spark, sf_dir):
-    """Lag and error models, Lagrange multiplier tests."""
+def _spatial(spark, sf_dir):
     from gridloom.plans.base import cross
 
     values = cross(spark, sf_dir).select("unit_id", "acctbal", "b1_mean", "b2_mean")
@@ -149,6 +147,97 @@ def spatial_error_ml(spark, sf_dir):
 
 
 @query()
+def spatial_error_ml(spark, sf_dir):
+    """Least squares, lag and error models, and the best by aic."""
+    return _spatial(spark, sf_dir)["models"]
+
+
+@query()
+def spatial_coefficients(spark, sf_dir):
+    """Coefficients of the three models."""
+    return _spatial(spark, sf_dir)["coefficients"]
+
+
+@query()
+def spatial_lm_tests(spark, sf_dir):
+    """Lagrange multiplier tests, plain and robust."""
+    return _spatial(spark, sf_dir)["tests"]
+
+
+@query("SELECT s_suppkey AS unit_id, 5 AS points FROM supplier")
 def simplified_rings(spark, sf_dir):
-    """Simplification within a tolerance."""
-    return _unit_rings(spark, sf_dir).select("unit_id", F.size(spatial.simplify(F.col("ring"), 20.0)).alias("points"))
+    """Of a square with the middles of its sides, corners and the line's end stay within a tolerance."""
+    middle = lambda p, q: F.struct(((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"))
+    dense = F.flatten(F.transform(spatial.edges_of(F.col("ring")), lambda e: F.array(e["p"], middle(e["p"], e["q"]))))
+    return _unit_rings(spark, sf_dir).select("unit_id", F.size(spatial.simplify(dense, 2.0)).alias("points"))
+
+
+@query("SELECT s_suppkey AS unit_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 100.0::DOUBLE END AS area, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 4 END AS points FROM supplier")
+def valid_rings(spark, sf_dir):
+    """Closed rings with repeated points made valid; rings without an area are dropped."""
+    r = F.col("ring")
+    doubled = F.concat(F.flatten(F.transform(r, lambda p: F.array(p, p))), F.slice(r, 1, 1))
+    flat = F.array(r[0], r[2], r[0])
+    made = spatial.make_valid(F.when(F.col("unit_id") % 3 == 0, flat).when(F.col("unit_id") % 3 == 1, doubled).otherwise(F.reverse(doubled)))
+    rows = _unit_rings(spark, sf_dir).select("unit_id", made.alias("ring"))
+    return rows.select("unit_id", spatial.area(F.col("ring")).alias("area"), F.when(F.col("ring").isNotNull(), F.size("ring")).alias("points"))
+
+
+def _diamond(x, y, r):
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return F.array(point(x + r, y), point(x, y + r), point(x - r, y), point(x, y - r))
+
+
+DIAMONDS = "u AS (SELECT s_suppkey AS unit_id, (s_suppkey * 37 % 100) * 10 AS cx, (s_suppkey * 53 % 100) * 10 AS cy, 20 + s_suppkey % 7 + 0.3 AS r FROM supplier)"
+
+
+def _diamonds(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    x, y, r = (F.col("s_suppkey") * 37 % 100) * 10, (F.col("s_suppkey") * 53 % 100) * 10, 20 + F.col("s_suppkey") % 7 + 0.3
+    return s.select(F.col("s_suppkey").alias("unit_id"), _diamond(x, y, r).alias("ring"))
+
+
+@query(f"WITH {DIAMONDS}, b AS (SELECT p_partkey AS id, (p_partkey * 91 % 1000) + 0.5 AS bx, (p_partkey * 17 % 1000) + 0.25 AS byy, p_size / 10 + 0.7 AS s FROM part) SELECT id, unit_id FROM b JOIN u ON abs(bx - cx) + abs(byy - cy) <= r + s")
+def polygon_intersects_join(spark, sf_dir):
+    """Pairs of diamonds that intersect, where boxes alone would give more."""
+    p = read(spark, sf_dir, "part")
+    x, y = (F.col("p_partkey") * 91 % 1000) + 0.5, (F.col("p_partkey") * 17 % 1000) + 0.25
+    parts = p.select(F.col("p_partkey").alias("id"), _diamond(x, y, F.col("p_size") / 10 + 0.7).alias("ring_b"))
+    return spatial.polygon_join(parts, _diamonds(spark, sf_dir).withColumnRenamed("ring", "ring_u"), "ring_b", "ring_u", 30.0).select("id", "unit_id")
+
+
+@query(f"WITH {DIAMONDS}, px AS (SELECT l_orderkey AS o, l_linenumber AS l, (l_orderkey * 13 % 1000) + 0.5 AS x, (l_partkey * 7 % 1000) + 0.125 AS y, l_quantity AS v FROM lineitem) SELECT unit_id, count(*) AS n, round(avg(v), 6) AS mean FROM px JOIN u ON abs(x - cx) + abs(y - cy) < r GROUP BY 1")
+def masked_pixels(spark, sf_dir):
+    """Pixels masked to the units' polygons, and their zonal mean."""
+    li = read(spark, sf_dir, "lineitem")
+    pixels = li.select(((F.col("l_orderkey") * 13 % 1000) + 0.5).alias("x"), ((F.col("l_partkey") * 7 % 1000) + 0.125).alias("y"), F.col("l_quantity").alias("v"))
+    inside = spatial.pixels_in_rings(pixels, _diamonds(spark, sf_dir), "ring", 30.0)
+    return rounded(inside.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")))
+
+
+_H = "-sum({0} * ln({0}))"
+
+
+@query(f"""WITH {GLCM}, k AS (SELECT window_id, angle, i, sum(p) AS px FROM g GROUP BY 1, 2, 3), mu AS (SELECT window_id, angle, sum(px * i) AS mu, {_H.format('px')} AS hx FROM k GROUP BY 1, 2),
+    ss AS (SELECT window_id, angle, sum(q * z) AS savg, sum(q * z * z) AS s2, {_H.format('q')} AS sent FROM (SELECT window_id, angle, i + j AS z, sum(p) AS q FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    dd AS (SELECT window_id, angle, sum(q * z) AS d1, sum(q * z * z) AS d2, {_H.format('q')} AS dent FROM (SELECT window_id, angle, abs(i - j) AS z, sum(p) AS q FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    a AS (SELECT window_id, angle, sum(p * p) AS asm, sum(p * (i - j) ^ 2) AS contrast, sum(p * (i - mu) * (j - mu)) AS cov, sum(p * (i - mu) ^ 2) AS var, sum(p / (1 + (i - j) ^ 2)) AS idm, {_H.format('p')} AS ent,
+        -sum(p * ln(x.px * y.px)) AS hxy1, sum(p * abs(i - j)) AS diss, sum(p * (i + j - 2 * mu) ^ 3) AS shade, sum(p * (i + j - 2 * mu) ^ 4) AS prom
+        FROM g JOIN mu USING (window_id, angle) JOIN k x USING (window_id, angle, i) JOIN (SELECT window_id, angle, i AS j, px FROM k) y USING (window_id, angle, j) GROUP BY 1, 2)
+    SELECT window_id, round(avg(asm), 5) AS asm, round(avg(contrast), 5) AS contrast, round(avg(cov / var), 5) AS corr, round(avg(var), 5) AS var, round(avg(idm), 5) AS idm, round(avg(savg), 5) AS savg, round(avg(s2 - savg * savg), 5) AS svar,
+        round(avg(sent), 5) AS sent, round(avg(ent), 5) AS ent, round(avg(d2 - d1 * d1), 5) AS dvar, round(avg(dent), 5) AS dent, round(avg((ent - hxy1) / hx), 5) AS imcorr1, round(avg(sqrt(greatest(0, 1 - exp(-2 * (2 * hx - ent))))), 5) AS imcorr2,
+        round(avg(diss), 5) AS diss, round(avg(contrast), 5) AS inertia, round(avg(shade), 4) AS shade, round(avg(prom), 4) AS prom
+    FROM a JOIN mu USING (window_id, angle) JOIN ss USING (window_id, angle) JOIN dd USING (window_id, angle) GROUP BY 1""")
+def haralick_measures(spark, sf_dir):
+    """The named texture measures."""
+    out = texture.haralick(texture.glcm(_pixels(spark, sf_dir), ["window_id"]), ["window_id"])
+    return out.select("window_id", *(F.round(c, 4 if c in ("shade", "prom") else 5).alias(c) for c in texture.HARALICK))
+
+
+@query(f"""WITH {GLCM}, a AS (SELECT window_id, angle, sum(p * (i - j) ^ 2) AS contrast FROM g GROUP BY 1, 2), t AS (SELECT window_id, avg(contrast) AS contrast FROM a GROUP BY 1)
+    SELECT l_returnflag AS window_id, l_linestatus AS status, count(*) AS n, round(any_value(contrast), 6) AS contrast FROM lineitem JOIN t ON window_id = l_returnflag GROUP BY 1, 2""")
+def texture_recompute(spark, sf_dir):
+    """A panel's texture column replaced by recomputed values."""
+    old = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("window_id"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.lit(-1.0).alias("contrast"))
+    new = texture.window_texture(_pixels(spark, sf_dir), ["window_id"]).select("window_id", "contrast")
+    return rounded(texture.replace_texture(old, new, ["window_id"]))

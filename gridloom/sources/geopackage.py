@@ -5,8 +5,11 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.sources.wkb import geopackage_blob
+
 KINDS = {"INTEGER": "long", "INT": "long", "MEDIUMINT": "long", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary", "GEOMETRY": "binary", "POLYGON": "binary", "MULTIPOLYGON": "binary", "BOOLEAN": "boolean"}
 
 
@@ -69,5 +72,32 @@ class _Reader(DataSourceReader):
                 yield tuple(bool(v) if k == "boolean" and v is not None else str(v) if k == "string" and v is not None else v for v, (_, k) in zip(row, self.columns, strict=True))
 
 
+def write_layer(df: DataFrame, path: str, table: str, ring: str = "ring", srs: int = 4326) -> int:
+    """One feature table of ``df`` with its rings as polygons (already in ``srs``); the number of rows. A file of this
+    kind has one writer: rows come to the driver one by one."""
+    names = [c for c in df.columns if c != ring]
+    kinds = {"long": "INTEGER", "bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN", "binary": "BLOB"}
+    types = dict(df.dtypes)
+    columns = ", ".join(f'"{c}" {kinds.get(types[c], "TEXT")}' for c in names)
+    rows = 0
+    with sqlite3.connect(path) as db:
+        db.execute("PRAGMA application_id = 1196444487")  # "GPKG"
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT)")
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER)")
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_geometry_columns (table_name TEXT NOT NULL, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name))")
+        db.execute("INSERT OR IGNORE INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined', NULL)", (f"EPSG:{srs}", srs, srs))
+        db.execute(f'DROP TABLE IF EXISTS "{table}"')
+        db.execute(f'CREATE TABLE "{table}" (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom POLYGON, {columns})')
+        db.execute("INSERT OR REPLACE INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES (?, 'features', ?, ?)", (table, table, srs))
+        db.execute("INSERT OR REPLACE INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (table, srs))
+        marks = ", ".join("?" * (1 + len(names)))
+        quoted = ", ".join(f'"{c}"' for c in names)
+        for r in df.toLocalIterator():
+            blob = geopackage_blob([(p["x"], p["y"]) for p in r[ring]], srs) if r[ring] else None
+            db.execute(f'INSERT INTO "{table}" (geom, {quoted}) VALUES ({marks})', (blob, *(r[c] for c in names)))
+            rows += 1
+    return rows
+
+
 def register(spark) -> None:
     spark.dataSource.register(GeoPackage)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.lineage import cut
 from gridloom.functions.scalar import digits, zero_filled
 from gridloom.schema import nan_to_null, require_columns
 
@@ -28,14 +29,20 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def read_legacy_text(spark: SparkSession, path: str, expect: Iterable[str], sep: str = ",") -> DataFrame:
-    """A text table whose encoding is not known: the first in which the expected header names appear. Turns on the
-    session's ``spark.sql.legacy.javaCharsets``, which such encodings need until the rows are read."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    wanted = set(expect)
-    for encoding in ENCODINGS:
-        df = spark.read.csv(path, header=True, encoding=encoding, sep=sep)
-        if wanted <= set(df.columns):
-            return df
+    """A text table whose encoding is not known: the first in which the expected header names appear; a byte order mark
+    before the first name is dropped. Rows are staged while the session's ``spark.sql.legacy.javaCharsets`` is on,
+    which such encodings need; then it is as it was."""
+    setting, wanted = "spark.sql.legacy.javaCharsets", set(expect)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        for encoding in ENCODINGS:
+            df = spark.read.csv(path, header=True, encoding=encoding, sep=sep)
+            df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+            if wanted <= set(df.columns):
+                return cut(df)
+    finally:
+        spark.conf.set(setting, before)
     raise ValueError(f"{path}: no known encoding has the columns {sorted(wanted)}")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, date, datetime
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -60,6 +61,38 @@ def manifest(df: DataFrame, **extra) -> dict:
     return out | extra
 
 
+def provenance(path: str, full: str, golden: str, boundaries: str, prefectures: list[str], golden_units: list[str], full_count: int) -> dict:
+    """What an area of interest was made of, written as JSON: its source, prefectures, units and counts."""
+    made = {
+        "created_utc": datetime.now(UTC).isoformat(timespec="seconds").replace("+00:00", "Z"),
+        "source_boundaries": boundaries,
+        "aoi_full": {"path": full, "prefectures": prefectures, "unit_count": full_count},
+        "aoi_golden": {"path": golden, "unit_ids": golden_units, "unit_count": len(golden_units)},
+    }
+    write_json(path, made)
+    return made
+
+
+def write_pixels(pixels: DataFrame, path: str, month: str = "month") -> None:
+    """A raster export as a pixel table: row, col and band values, by month and band."""
+    keys = [c for c in (month, "row", "col", "x", "y") if c in pixels.columns]
+    bands = [c for c in pixels.columns if c not in keys]
+    long = pixels.unpivot(keys, bands, "band", "value").where("value IS NOT NULL")
+    long.write.mode("overwrite").partitionBy(month, "band").parquet(path)
+
+
+def write_report(path: str, title: str, tables: dict[str, DataFrame], rows: int = 50) -> None:
+    """A page with the first rows of every table, as a reader's overview; whole tables are written beside it by the
+    other sinks."""
+    parts = [f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{escape(str(plain(v)))}</td>" for v in r) + "</tr>" for r in df.limit(rows).collect())
+        parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n".join(parts), encoding="utf-8")
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON string per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.config import PanelConfig
+from gridloom.functions.lineage import cut
 from gridloom.operators import classify, cluster, eda, features, panel, stats, temporal
-from gridloom.schema import nan_to_null, numeric_columns, resolve_columns
+from gridloom.schema import nan_to_null, numeric_columns, resolve_columns, to_long
 
 
 def build_panel(months: list[DataFrame], static: list[DataFrame], census: DataFrame | None, units: DataFrame | None = None, monthly: list[DataFrame] = ()) -> DataFrame:
     """Stage 1: months together, further sensors by (unit, month), static attributes and census by unit, one row
-    per (unit, month). Joins check their keys; a join that leaves almost everything missing is an error."""
-    base = nan_to_null(panel.union_all(months))
+    per (unit, month): the first, in the order of the months' frames. Joins check their keys; a join that leaves almost everything missing is an error."""
+    base = nan_to_null(panel.union_all(months)).withColumn("__row", F.monotonically_increasing_id())
     for extra in monthly:
         base = panel.join_many_to_one(base, extra, ["unit_id", "month"])
     for table in static:
@@ -26,7 +27,7 @@ def build_panel(months: list[DataFrame], static: list[DataFrame], census: DataFr
     base = panel.collapse_suffixes(base)
     if units is not None:
         base = base.join(units.select("unit_id"), "unit_id", "left_semi")
-    return panel.keep_first(base, ["unit_id", "month"], [F.xxhash64(*[c for c in base.columns if c not in ("unit_id", "month")])])
+    return panel.keep_first(base, ["unit_id", "month"], ["__row"]).drop("__row")
 
 
 def explore(df: DataFrame, config: PanelConfig, group: str = "pref_name") -> dict[str, DataFrame]:
@@ -41,19 +42,27 @@ def explore(df: DataFrame, config: PanelConfig, group: str = "pref_name") -> dic
         "correlations": pairs,
         "high_correlations": eda.high_correlations(pairs, config.high_correlation),
         "temporal_coverage": temporal.coverage(df, resolve_columns(df, config.temporal) or columns, gap_days=config.gap_days),
+        "heatmap": eda.heatmap(df, group, columns) if group in df.columns else eda.missing_summary(df, columns),
         "unit_trends": temporal.with_days(df).groupBy("unit_id").agg(*temporal.trend_slopes(resolve_columns(df, config.temporal) or columns, config.min_trend_points)),
     }
     if group in df.columns:
         out |= {"statistics_by_group": eda.group_stats(df, group, columns), "missing_by_group": eda.missing_summary(df, columns, config.missing_flag_pct, [group])}
+    amplitude = temporal.seasonal_amplitude(df, resolve_columns(df, config.temporal) or columns)
+    expected = [*config.identifiers, *config.temporal, *config.static]
+    texture = [c for c in df.columns if "_contrast" in c or "_entropy" in c or "_homogeneity" in c]
+    out["quality_checks"] = eda.quality_checks(out["missing_data_summary"], pairs, out["outlier_summary"], out["temporal_coverage"], out["distribution_statistics"], expected, df.columns, texture, config.missing_flag_pct, config.high_correlation)
+    out["key_findings"] = eda.key_findings(out["missing_data_summary"], out["distribution_statistics"], pairs, amplitude, pairs, config.high_correlation)
+    out["quality_flags"] = eda.quality_flags(out["missing_data_summary"], out["outlier_summary"], out["temporal_coverage"], config.missing_flag_pct)
     return out
 
 
-def preprocess(df: DataFrame, config: PanelConfig, ratio: str) -> dict[str, DataFrame]:
+def preprocess(df: DataFrame, config: PanelConfig, ratio: str | None = None) -> dict[str, DataFrame]:
     """Stage 3: cross-section, ratios, target, drops, transforms: ``ready``, ``parameters``, ``metadata``."""
+    ratio = ratio or config.target_ratio
     kept = panel.drop_columns(df, config.drop)
     varying = resolve_columns(kept, config.temporal)
     flat = temporal.cross_section(kept, varying, resolve_columns(kept, config.static), min_points=config.min_trend_points)
-    labelled = features.build_target(features.demographic_ratios(flat), ratio, config.target_thresholds)
+    labelled = features.build_target(features.demographic_ratios(flat), ratio, config.target_thresholds, config.target_labels)
     columns = numeric_columns(labelled, ["unit_id", "target_code", ratio])
     ready, parameters, logged = features.transform(labelled, columns, config.log1p)
     metadata = features.feature_metadata(ready, ["unit_id", "pref_name"], ["target_class", "target_code"], logged, columns)
@@ -63,7 +72,7 @@ def preprocess(df: DataFrame, config: PanelConfig, ratio: str) -> dict[str, Data
 def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None, folds: int = 5, group: str | None = None, repeats: int = 5) -> dict[str, DataFrame]:
     """Stage 4a: models on ``df (id, label, columns)``, cross-validated over ``repeats`` splits."""
     split = classify.group_folds(df, group, "label", folds, repeats) if group else classify.stratified_folds(df, "label", F.xxhash64("id"), folds, repeats=repeats)
-    predictions = classify.cross_validate(split, columns, classify.build_models(models)).persist()
+    predictions = classify.cross_validate(split, columns, classify.build_models(models))
     metrics = classify.fold_metrics(predictions, ["model", "fold"])
     return {
         "predictions": predictions,
@@ -78,10 +87,8 @@ def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None,
 def typology(df: DataFrame, columns: list[str], k: int) -> dict[str, DataFrame]:
     """Stage 4b: clusters of ``df (id, columns)`` with their evaluation."""
     scaled = features.scale(df, features.scaler_parameters(df, columns, "standard"))
-    labelled = cluster.assigned(scaled, columns, cluster.kmeans(scaled, columns, k)).persist()
+    labelled = cut(cluster.assigned(scaled, columns, cluster.best_fits(scaled, columns, [k])[k]))
     raw = df.join(labelled.select("id", "cluster"), "id")
-    from gridloom.schema import to_long
-
     return {
         "assignments": labelled.select("id", "cluster").join(cluster.silhouette_samples(labelled, columns).select("id", "silhouette"), "id"),
         "profiles": cluster.profiles(raw, columns),

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom.config import PanelConfig
 from gridloom.functions import ordering, pvalues, scalar
 from gridloom.operators import classify, cluster, eda, features, panel, spatial, stats, temporal, texture
 from gridloom.schema import nan_to_null, numeric_columns, panel_schema, require_columns, resolve_columns, to_long
@@ -87,7 +88,7 @@ def test_dedup_spine_batches(spark):
 
 def test_collapse_and_health(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, 3.0, 4.0)], "k long, a_x double, a_y double")
-    assert [r.a for r in panel.collapse_suffixes(df).orderBy("k").collect()] == [2.0, 3.0]
+    assert [r.a for r in panel.collapse_suffixes(df).orderBy("k").collect()] == [None, 3.0]  # the left column stays, whatever it holds
     health = panel.join_health(spark.createDataFrame([(None, 1.0)] * 3, "a double, b double"), ["a", "b"]).first()
     assert health.worst_missing_share == 1.0 and not health.passes
 
@@ -182,6 +183,7 @@ def test_k_selection_rules():
     assert cluster.vote({"silhouette": 8, "ch": 2, "db": 3, "gap": 2, "elbow": 4}) == 2
     assert cluster.gap_choice([(2, 0.1, 0.0), (3, 0.5, 0.1), (4, 0.55, 0.1)]) == 3
     assert cluster.elbow([2, 3, 4, 5], [100, 40, 35, 33]) == 3
+    assert cluster.elbow([4, 5], [9, 3]) == 4  # fewer than three: the first
 
 
 def test_k_selection_tries_all_k(spark):
@@ -250,9 +252,9 @@ def test_registry_skips_absent_packages():
 
 def test_boosting_rounds_are_a_parameter(spark):
     path, params = classify.REGISTRY["gradient_boosting"]
-    made = classify.build_models(["gradient_boosting"])["gradient_boosting"](10, 2, 3).getClassifier()
+    made = classify.build_models(["gradient_boosting"])["gradient_boosting"](10, 2, 3).made().getClassifier()
     assert (made.getMaxIter(), made.getMaxDepth()) == (100, 3)
-    few = classify.build_models(registry={"few": (path, params | {"maxIter": 7})})["few"](10, 2, 3).getClassifier()
+    few = classify.build_models(registry={"few": (path, params | {"maxIter": 7})})["few"](10, 2, 3).made().getClassifier()
     assert few.getMaxIter() == 7
 
 
@@ -267,7 +269,6 @@ def test_glcm_of_a_small_window(spark):
 
 
 def test_geometry(spark):
-    assert spatial.clip([(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 2), (6, 2), (6, 6), (2, 6)]).__len__() == 4
     units = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 20.0, 10.0)], "unit_id long, x double, y double")
     rings = units.select("unit_id", F.lit("g").alias("g"), spatial.rectangle(F.col("x"), F.col("y"), F.col("x") + 10, F.col("y") + 10).alias("ring"))
     edges = {(r.src, r.dst): r.w for r in spatial.queen_edges(rings, "unit_id").collect()}
@@ -296,3 +297,276 @@ def test_migration_golden_rows(spark):
     df = spark.createDataFrame(rows, "muni_code string, " + ", ".join(f"{n} long" for n in names))
     got = panel.intercensal_change(df).orderBy("muni_code").select("pop_change", "pop_change_pct", "working_age_change", "working_age_change_pct", "youth_change", "elderly_change").collect()
     assert [tuple(r) for r in got] == [(-8142, -0.0258, -13452, -0.0722, -2107, 7236), (-4762, -0.087, -3231, -0.1146, -827, 517)]
+
+
+def test_target_golden_rows(spark):
+    """Published ratios with their classes: low ratios are stable. The census row of 05202 gives 20765 / 49968."""
+    rows = [("02411", 0.2525), ("02423", 0.362654), ("05210", 0.371893), ("05202", 20765 / 49968), ("02441", 0.416539), ("02304", 0.424016), ("02303", 0.5527), ("none", None), ("zero", float("inf")), ("edge", 0.37), ("top", 0.42)]
+    df = spark.createDataFrame(rows, "unit string, elderly_ratio double")
+    got = {r.unit: (r.target_class, r.target_code) for r in features.build_target(df, "elderly_ratio", PanelConfig().target_thresholds).collect()}
+    assert got == {"02411": ("stable", 0), "02423": ("stable", 0), "05210": ("shrinking", 1), "05202": ("shrinking", 1), "02441": ("shrinking", 1), "02304": ("severely_shrinking", 2), "02303": ("severely_shrinking", 2), "edge": ("shrinking", 1), "top": ("severely_shrinking", 2)}
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(rng.choice([1, 2, 5, rng.normal()]))) for g in ("a", "b", None) for _ in range(137)] + [("c", 3.0), ("d", None)]
+    at = (0.0, 0.025, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r.q for r in ordering.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", at, ["g"]).collect()}
+    assert set(got) == {"a", "b", None, "c"}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g], at).tolist())
+    alone = ordering.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", (0.5,)).first().q
+    assert alone[0] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_places(spark):
+    rows = ordering.placed(spark.range(500).select((F.col("id") * 37 % 500).alias("v")), ["v"]).collect()
+    assert len(rows) == 500 and all(r.place == r.v for r in rows)
+
+
+def test_spearman_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    x[rng.random((80, 3)) < 0.15] = np.nan
+    x[:, 2] = np.round(rng.normal(size=80), 1)
+    df = nan_to_null(spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double"))
+    ranks = lambda v: np.array([(v < t).sum() + ((v == t).sum() + 1) / 2 for t in v])
+    for r in eda.spearman(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect():
+        i, j = "abc".index(r.feature_1), "abc".index(r.feature_2)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert r.n == both.sum() and r.r == pytest.approx(np.corrcoef(ranks(x[both, i]), ranks(x[both, j]))[0, 1])
+
+
+def test_pruning_rules(spark):
+    names = ["a", "b", "c", "d", "flat"]
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9), ("b", "c", 0.2), ("c", "d", 0.9 + 5e-7), ("a", "d", 0.1), ("b", "d", -0.1)], "feature_1 string, feature_2 string, r double")
+    left, gone = stats.prune_redundant(pairs, names, keep=[], constant=["flat"])
+    assert gone[0] == ("flat", "near-constant", 0.0)
+    assert [g[0] for g in gone[1:]] == ["c", "a"] and left == ["b", "d"]  # (c, d) is the last first column; c means more
+    tied = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9)], "feature_1 string, feature_2 string, r double")
+    assert stats.prune_redundant(tied, ["a", "b", "c"], keep=["a"])[1][0][0] == "b"  # the first second column
+    df = spark.createDataFrame([(1.0, 5.0), (1.01, 9.0)], "x double, y double")
+    assert stats.near_constant(df, ["x", "y"]) == ["x"]
+
+
+def test_slope_agreement_needs_three(spark):
+    slopes = spark.createDataFrame([(i, float(i), float(i % 2)) for i in range(5)], "unit_id long, a_slope double, b_slope double")
+    p = features.scaler_parameters(slopes, ["a_slope", "b_slope"])
+    scaled = features.scale(slopes, p).withColumn("b_slope", F.when(F.col("unit_id") < 2, F.col("b_slope")))
+    got = {r.slope_feature: (r.pearson_r, r.n_valid) for r in stats.slope_agreement(slopes, scaled, p, ["a_slope", "b_slope", "absent"]).collect()}
+    assert got == {"a_slope": (1.0, 5), "b_slope": (None, 2)}
+
+
+def test_qq_points(spark):
+    from statistics import NormalDist
+
+    rows = stats.qq_points(spark.createDataFrame([(3.0,), (1.0,), (None,), (2.0,)], "v double"), "v").orderBy("place").collect()
+    assert [r.place for r in rows] == [1, 2, 3] and [r.observed for r in rows] == [-1.0, 0.0, 1.0]
+    assert [r.theoretical for r in rows] == pytest.approx([NormalDist().inv_cdf((i + 0.5) / 3) for i in range(3)], abs=1e-9)
+
+
+def test_rescaling(spark):
+    df = spark.createDataFrame([("g", 1.0, 4.0), ("g", 3.0, 4.0), ("h", None, 9.0), ("h", 5.0, 7.0)], "g string, v double, c double")
+    rows = {(r.g, r.c): r for r in eda.min_max(df, ["v"]).collect()}
+    assert rows["h", 7.0].v == 1.0 and rows["h", 9.0].v is None
+    flat = eda.min_max(df, ["c"], ["g"]).where("g = 'g'").collect()
+    assert {r.c for r in flat} == {0.5}
+    z = eda.standardised(df, ["c", "v"], ["g"]).collect()
+    assert sorted(r.c for r in z if r.g == "g") == [0.0, 0.0] and sorted(round(r.c, 6) for r in z if r.g == "h") == [-0.707107, 0.707107]
+
+
+def test_neighbour_votes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cluster.tile_pairs, "__defaults__", (16,))
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(90, 2)), 1), rng.integers(0, 3, 90)
+    df = spark.createDataFrame([(i, int(c), *map(float, v)) for i, (c, v) in enumerate(zip(y, x, strict=True))], "id long, label int, a double, b double")
+    got = {r.id: int(r.prediction) for r in classify.neighbour_votes(df, df, ["a", "b"], 5, skip_same=True).collect()}
+    for i in range(90):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        near = sorted((round(d[j], 9), j) for j in range(90) if j != i)[:5]
+        voters = [(1.0, j) for v, j in near if v == 0] or [(1 / v, j) for v, j in near]
+        sums = {c: sum(w for w, j in voters if y[j] == c) for c in set(y[[j for _, j in voters]])}
+        best = max(sums.values())
+        assert got[i] in {c for c, s in sums.items() if s == pytest.approx(best)}
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_stability_beyond_the_bound(spark, bound):
+    rng = np.random.default_rng(1)
+    rows = [(i, *(float(v) for v in rng.normal(size=2) * 0.2 + [10 * (i % 3), 5 * (i % 2)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    made = cluster.bootstrap_stability(df, ["x", "y"], 3, replicates=3, starts=4, bound=bound).collect()
+    assert len(made) == 3 and all(r.ari > 0.9 for r in made)
+    gone = {r.feature: (r.ari, r.fraction_changed) for r in cluster.perturbation_stability(df, ["x", "y"], 3, starts=4, bound=bound).collect()}
+    assert gone["y"][0] == pytest.approx(1.0) and gone["x"][0] < 0.5
+
+
+def test_shapley_values_add_up(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i % 2), float(i % 5)) for i in range(40)], "id long, label int, a double, b double")
+    model = classify.build_models(["random_forest"])["random_forest"](40, 2, 2).fit(cluster.as_vector(df, ["a", "b"]))
+    got = {r.feature: r.mean_abs_shap for r in classify.shapley(df, ["a", "b"], model).collect()}
+    assert got["a"] > 0.2 > got["b"]
+
+
+def test_pca_against_numpy(spark):
+    x = np.random.default_rng(2).normal(size=(70, 3)) @ np.array([[3, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    values, loadings = cluster.pca(df, ["a", "b", "c"])
+    want, vectors = np.linalg.eigh(np.cov(x.T))
+    assert values == pytest.approx(want[::-1])
+    assert np.abs(loadings.T @ vectors[:, ::-1]) == pytest.approx(np.eye(3), abs=1e-8)
+    scored = cluster.scores(df, ["a", "b", "c"], loadings, 2)
+    top = max(abs(v) for r in scored.collect() for v in (r.pc1, r.pc2))
+    arrows = {r.feature: (r.x, r.y) for r in cluster.biplot(scored, loadings, ["a", "b", "c"]).collect()}
+    assert arrows["b"] == pytest.approx((loadings[1, 0] * top * 0.8, loadings[1, 1] * top * 0.8))
+
+
+def test_vif_against_regressions(spark):
+    x = np.random.default_rng(6).normal(size=(80, 3))
+    x[:, 2] = x[:, 0] + 0.3 * x[:, 1] + 0.2 * x[:, 2]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = stats.vif(df, ["a", "b", "c"])
+    for j, c in enumerate("abc"):
+        rest = np.column_stack([np.ones(80), np.delete(x, j, 1)])
+        e = x[:, j] - rest @ np.linalg.lstsq(rest, x[:, j], rcond=None)[0]
+        assert got[c] == pytest.approx(((x[:, j] - x[:, j].mean()) ** 2).sum() / (e @ e))
+
+
+def ring_columns(spark, rows, names):
+    kinds = ", ".join(f"{n} array<struct<x:double,y:double>>" for n in names)
+    return spark.createDataFrame([tuple([{"x": float(x), "y": float(y)} for x, y in r] for r in row) for row in rows], kinds)
+
+
+def inside(ring, x, y):
+    hit = False
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
+            hit = not hit
+    return hit
+
+
+def test_clipped_areas_against_sampling(spark):
+    """Stars and triangles in convex windows of either direction, against a fine grid of points."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(6):
+        angles = np.sort(rng.uniform(0, 2 * np.pi, 7))
+        star = [(5 + r * np.cos(a), 5 + r * np.sin(a)) for a, r in zip(angles, rng.uniform(1, 5, 7), strict=True)]
+        window = [(3, 2), (9, 3), (8, 8), (4, 9)]
+        rows.append((star, window[::-1] if rng.random() < 0.5 else window))
+    rows += [([(0, 0), (1, 0), (0, 1)], [(5, 5), (6, 5), (6, 6)]), ([(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 2), (6, 2), (6, 6), (2, 6)])]
+    got = [r[0] for r in ring_columns(spark, rows, "ab").select(spatial.clipped_area(F.col("a"), F.col("b"))).collect()]
+    assert got[-2:] == [0.0, 4.0]
+    grid = (np.arange(300) + 0.5) / 30
+    for (a, b), area in zip(rows, got, strict=True):
+        share = sum(inside(a, x, y) and inside(b, x, y) for x in grid for y in grid) / 900
+        assert area == pytest.approx(share, abs=0.15)
+
+
+def test_contains_and_intersects(spark):
+    ring = [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)]
+    others = [[(2.5, 4), (3.5, 4), (3, 5)], [(1, 1), (2, 1), (2, 2)], [(-9, -9), (20, -9), (20, 20), (-9, 20)], [(6, 0), (8, 0), (8, 1)], [(5, 5), (9, 5), (9, 9)], [(7, 7), (9, 7), (9, 9)]]
+    df = ring_columns(spark, [(ring, o) for o in others], "ab")
+    assert [r[0] for r in df.select(spatial.intersects(F.col("a"), F.col("b"))).collect()] == [False, True, True, True, True, False]
+    points = [(x / 4 + 0.06, y / 4 + 0.06) for x in range(28) for y in range(28)]
+    pixels = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double")
+    found = spatial.pixels_in_rings(pixels, df.limit(1).select(F.lit(1).alias("u"), F.col("a").alias("ring")), "ring", 2.0)
+    assert {(r.x, r.y) for r in found.collect()} == {p for p in points if inside(ring, *p)}
+    corner = df.limit(1).select(spatial.contains(F.col("a"), F.lit(0.0), F.lit(0.0)), spatial.contains(F.col("a"), F.lit(6.0), F.lit(1.0))).first()
+    assert tuple(corner) == (True, False)
+
+
+def test_simplify_against_recursion():
+    def keep(points, a, b, tolerance):
+        if b - a < 2:
+            return set()
+        d = points[b] - points[a]
+        rel = points[a + 1 : b] - points[a]
+        length = np.hypot(*d)
+        off = np.abs(d[0] * rel[:, 1] - d[1] * rel[:, 0]) / length if length else np.hypot(rel[:, 0], rel[:, 1])
+        if off.max() <= tolerance:
+            return set()
+        at = a + 1 + int(off.argmax())
+        return {at} | keep(points, a, at, tolerance) | keep(points, at, b, tolerance)
+
+    rng = np.random.default_rng(8)
+    n = np.array([40, 1, 0, 2, 90])
+    points = rng.normal(size=(n.sum(), 2)).cumsum(0)
+    starts = np.cumsum(n) - n
+    mark = spatial.kept_points(points, starts, n, 1.5)
+    for s, k in zip(starts, n, strict=True):
+        want = {int(s), int(s + k - 1)} | keep(points, s, s + k - 1, 1.5) if k else set()
+        assert set(np.flatnonzero(mark[s : s + k]) + s) == want
+
+
+def lattice(spark, n=6):
+    cells = [(i * n + j, float(i), float(j)) for i in range(n) for j in range(n)]
+    units = spark.createDataFrame(cells, "unit_id long, x double, y double")
+    return units.select("unit_id", spatial.rectangle(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("ring"))
+
+
+def test_spatial_models_recover_the_lag(spark):
+    rings = lattice(spark, 9)
+    edges = cluster.compact(spatial.queen_edges(rings, "unit_id"))
+    w = np.zeros((81, 81))
+    for r in edges.collect():
+        w[r.src, r.dst] = r.w
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=81)
+    y = np.linalg.solve(np.eye(81) - 0.6 * w, 1 + 2 * x + 0.1 * rng.normal(size=81))
+    values = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "unit_id long, y double, x double")
+    made = spatial.spatial_models(values, edges, "unit_id", "y", ["x"])
+    models = {r.model: r for r in made["models"].collect()}
+    assert models["lag"].best and models["lag"].parameter == pytest.approx(0.6, abs=0.05)
+    own = {r.name: r.coef for r in made["coefficients"].where("model = 'lag'").collect()}
+    assert own["const"] == pytest.approx(1, abs=0.2) and own["x"] == pytest.approx(2, abs=0.05)
+    xx = np.column_stack([np.ones(81), x])
+    rss = np.linalg.lstsq(xx, y, rcond=None)[1][0]
+    assert models["ols"].log_likelihood == pytest.approx(-81 / 2 * (np.log(2 * np.pi * rss / 81) + 1))
+    assert {r.test: r.p_value < 0.01 for r in made["tests"].collect()}["lm_lag"]
+    with pytest.raises(ValueError, match="more than 10 units"):
+        spatial.spatial_models(values, edges, "unit_id", "y", ["x"], bound=10)
+
+
+@pytest.mark.parametrize(("bound", "permutations"), [(1000, 199), (0, 4)])
+def test_moran_permutations(spark, bound, permutations):
+    rings = lattice(spark)
+    values = spark.createDataFrame([(i, float(i // 6)) for i in range(36)], "unit_id long, v double")
+    edges = cluster.compact(spatial.queen_edges(rings, "unit_id"))
+    r = spatial.moran_permutation(values, edges, "unit_id", "v", permutations=permutations, bound=bound).first()
+    assert r.i == pytest.approx(spatial.morans_i(values, edges, "unit_id", "v").first().i)
+    assert r.expected == pytest.approx(-1 / 35) and r.z_sim > 2 and r.p_sim == pytest.approx(1 / (permutations + 1))
+
+
+def test_probabilities_come_out_of_cross_validation(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i % 3 * 4 + (i * 7 % 10) / 5)) for i in range(60)], "id long, label int, x double")
+    split = classify.stratified_folds(df, "label", F.col("id"), 3)
+    made = classify.cross_validate(split, ["x"], classify.build_models(["logistic_regression", "dummy_most_frequent"]))
+    assert made.where("model = 'logistic_regression' AND size(probability) = 3").count() == 60
+    assert made.where("model = 'dummy_most_frequent' AND probability IS NULL").count() == 60
+    assert classify.auc(classify.class_roc(made, 0)).first()[0] == pytest.approx(1.0)
+
+
+def test_renames(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "muni_code long, NDVI_stdDev long, pop long")
+    assert panel.renamed(df, {"NDVI_stdDev": "NDVI_std", "absent": "x"}).columns == ["muni_code", "NDVI_std", "pop"]
+    assert panel.suffixed(df, ["muni_code"], "2020").columns == ["muni_code", "NDVI_stdDev_2020", "pop_2020"]
+
+
+def test_one_against_the_rest_without_a_class(spark):
+    rows = [(i, float(i % 2 * 2), float(i % 2 * 6 + i * 0.01), 1.0) for i in range(20)]
+    df = cluster.as_vector(spark.createDataFrame(rows, "id long, label double, x double, y double"), ["x", "y"])
+    model = classify.linear_svm(maxIter=50).fit(df)
+    assert all(r.prediction == r.label for r in model.transform(df).collect())
+    alone = classify.linear_svm(maxIter=50).fit(df.where("label = 2"))
+    assert {r.prediction for r in alone.transform(df).collect()} == {2.0}
+
+
+def test_moments_of_many_columns(spark):
+    x = np.random.default_rng(3).normal(size=(50, 16)) + np.arange(16)
+    names = [f"v{i}" for i in range(16)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, *[0.0] * 15)], ", ".join(f"{n} double" for n in names)).repartition(4)
+    cov, means, n = stats.moments(df, names)
+    assert n == 50 and means == pytest.approx(x.mean(0)) and cov == pytest.approx(np.cov(x.T, bias=True))
+    few = stats.moments(df, names[:3])
+    assert few[0] == pytest.approx(cov[:3, :3])

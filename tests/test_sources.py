@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom import workflows
 from gridloom.config import PanelConfig, load_config
 from gridloom.operators import spatial
-from gridloom.sources import geopackage, readers, sinks
+from gridloom.sources import geopackage, readers, sinks, wkb
 from gridloom.streaming import incremental
 
 HEAD = "unit_id,unit_code,pref_name,month,v\n"
@@ -115,10 +115,15 @@ def test_workflow(spark, golden):
     first, rest = cells.where("month < '2020-01-01'"), cells.where("month >= '2019-12-01'")
     built = workflows.build_panel([first, rest], [], census)
     assert built.count() == 240 and built.select("unit_id", "month").distinct().count() == 240
-    config = PanelConfig(temporal=["ndvi", "viirs"], static=["pref_name", "age_65_plus", "pop_total", "change"], log1p=["viirs"])
+    config = PanelConfig(temporal=["ndvi", "viirs"], static=["pref_name", "age_65_plus", "pop_total", "change"], log1p=["viirs"], target_ratio="change", target_thresholds=(-0.1, 0.0))
     tables = workflows.explore(built, config)
     assert tables["basic_statistics"].count() == 5 and tables["unit_trends"].count() == 10
-    made = workflows.preprocess(built, config, "change")
+    checks = {r["check"]: (r["status"], r["n"]) for r in tables["quality_checks"].collect()}
+    assert len(checks) == 7 and checks["expected_columns"] == ("warn", 2) and checks["temporal_coverage"] == ("ok", 0)
+    assert {r.topic for r in tables["key_findings"].collect()} >= {"missing", "seasonal", "strongest_link"}
+    assert {r.feature for r in tables["quality_flags"].where("type = 'high_missing'").collect()} == set()
+    assert tables["heatmap"].where("pref_name = 'Overall'").count() == 5
+    made = workflows.preprocess(built, config)
     ready = made["ready"]
     assert ready.count() == 10 and {r.target_class for r in ready.select("target_class").collect()} == {"severely_shrinking", "shrinking", "stable"}
     assert ready.where("ndvi_mean IS NULL OR elderly_ratio IS NULL").count() == 0
@@ -134,3 +139,73 @@ def test_evaluate_and_typology(spark):
     assert made["pairwise_tests"].count() == 3
     types = workflows.typology(df, ["a", "b"], 3)
     assert types["assignments"].count() == 120 and types["profiles"].count() == 3
+
+
+def test_first_row_of_a_repeated_month_stays(spark):
+    cells = [spark.createDataFrame([("u", "2020-01-01", v)], "unit_id string, month string, v double") for v in (7.0, 1.0)]
+    assert workflows.build_panel(cells, [], None).first().v == 7.0
+
+
+def test_legacy_text_leaves_the_session_as_it_was(spark, tmp_path):
+    (tmp_path / "jp.csv").write_bytes("名前,値\n青森,1\n".encode("cp932"))
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbf" + "名前,値\n秋田,2\n".encode())
+    setting = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(setting)
+    for file, want in (("jp.csv", ("青森", "1")), ("bom.csv", ("秋田", "2"))):
+        assert tuple(readers.read_legacy_text(spark, str(tmp_path / file), ["名前", "値"]).first()) == want
+        assert spark.conf.get(setting) == before
+    with pytest.raises(ValueError, match="no known encoding"):
+        readers.read_legacy_text(spark, str(tmp_path / "jp.csv"), ["absent"])
+    assert spark.conf.get(setting) == before
+
+
+def test_wkb_round_trip_and_multipolygon(spark):
+    import struct
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
+    assert wkb.outer_rings(wkb.polygon(ring)) == wkb.outer_rings(wkb.geopackage_blob(ring)) == [ring]
+    hole = struct.pack(">BII", 0, 3, 2) + 2 * (struct.pack(">I", 4) + struct.pack(">8d", 0, 0, 4, 0, 4, 3, 0, 0))
+    several = struct.pack("<BII", 1, 6, 2) + hole + wkb.polygon([(9.0, 9.0), (10.0, 9.0), (10.0, 10.0)])
+    assert wkb.outer_rings(several) == [ring, [(9.0, 9.0), (10.0, 9.0), (10.0, 10.0)]]
+    raised = struct.pack("<BIII", 1, 1003, 1, 2) + struct.pack("<6d", 1, 2, 99, 3, 4, 99)
+    assert wkb.outer_rings(raised) == [[(1.0, 2.0), (3.0, 4.0)]]
+    assert wkb.outer_rings(None) == wkb.outer_rings(struct.pack("<BIdd", 1, 1, 0, 0)) == []
+    df = spark.createDataFrame([(wkb.geopackage_blob(ring),), (None,)], "geom binary").select(wkb.rings_of(F.col("geom")).alias("r"))
+    assert [len(r.r) for r in df.collect()] == [1, 0]
+
+
+def test_geopackage_write_and_read(spark, tmp_path):
+    path = str(tmp_path / "out.gpkg")
+    rows = spark.createDataFrame([("a", 1, 2.5, True), ("b", None, None, False)], "name string, n long, v double, ok boolean").withColumn("ring", spatial.rectangle(F.lit(0), F.lit(0), F.lit(2), F.lit(1)))
+    assert geopackage.write_layer(rows, path, "units") == 2
+    geopackage.register(spark)
+    back = spark.read.format("gpkg").option("table", "units").load(path)
+    got = back.select("name", "n", "v", spatial.area(wkb.rings_of(F.col("geom"))[0]).alias("area")).orderBy("name").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 2.5, 2.0), ("b", None, None, 2.0)]
+    assert "units" in geopackage.layers(path)
+
+
+def test_provenance_pixels_and_report(spark, tmp_path):
+    made = sinks.provenance(str(tmp_path / "p.json"), "full.gpkg", "golden.gpkg", "bounds.gpkg", ["p"], ["u1", "u2"], 9)
+    assert json.loads((tmp_path / "p.json").read_text()) == made and made["aoi_golden"]["unit_count"] == 2
+    pixels = spark.createDataFrame([("2020-01", 0, 0, 1.0, None), ("2020-02", 0, 1, 2.0, 3.0)], "month string, row int, col int, b4 double, ndvi double")
+    sinks.write_pixels(pixels, str(tmp_path / "px"))
+    assert spark.read.parquet(str(tmp_path / "px")).where("band = 'ndvi'").count() == 1
+    sinks.write_report(str(tmp_path / "r.html"), "A <title>", {"t": pixels})
+    assert "A &lt;title&gt;" in (tmp_path / "r.html").read_text()
+
+
+def test_shared_folder_is_asked_for_off_local_mode(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gridloom.functions import lineage
+
+    nowhere = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(nowhere)
+    kept = lineage.stage(spark.range(3), "t")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    lineage.remove(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|does not exist"):
+        spark.read.parquet(path).count()
