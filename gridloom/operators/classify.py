@@ -236,7 +236,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, repeats: int
             held[best] += table[g]
             fold_of[groups[g]].append(best)
     mapping = df.sparkSession.createDataFrame([(g, *f) for g, f in fold_of.items()], f"`{group}` {dict(df.dtypes)[group]}, " + ", ".join(f"{n} int" for n in names))
-    return df.join(F.broadcast(mapping), group)  # a row per group
+    return df.join(mapping, group)  # a row per group
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:
@@ -437,6 +437,13 @@ def shapley(df: DataFrame, columns: list[str], model, samples: int = 24, seed: i
     return df.sparkSession.createDataFrame(out, "feature string, mean_abs_shap double")
 
 
+def fit_all(df: DataFrame, columns: list[str], models: dict[str, Callable]) -> dict[str, object]:
+    """Every model fitted on all rows, for :func:`save_models` and later use."""
+    vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), "features"))
+    n, top = vectors.agg(F.count(F.lit(1)), F.max("label")).first()
+    return {name: factory(n, len(columns), int(top) + 1).fit(vectors) for name, factory in models.items()}
+
+
 def save_models(models: dict[str, object], path: str) -> list[str]:
     """Write every model that Spark ML can write; returns the names written."""
     done = []

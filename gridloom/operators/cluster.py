@@ -125,7 +125,7 @@ def calinski_harabasz(df: DataFrame, columns: list[str], label: str = "cluster")
 
 def davies_bouldin(df: DataFrame, columns: list[str], label: str = "cluster") -> DataFrame:
     """Mean over clusters of the worst (s_i + s_j) / d_ij; the centres are one row per cluster."""
-    centres = F.broadcast(_centres(df, columns, label).drop("n"))
+    centres = _centres(df, columns, label).drop("n")
 
     def distance(pairs: list[tuple[Column, Column]]) -> Column:
         out = F.lit(0.0)

@@ -81,6 +81,15 @@ def write_pixels(pixels: DataFrame, path: str, month: str = "month") -> None:
     long.write.mode("overwrite").partitionBy(month, "band").parquet(path)
 
 
+def write_chunks(units: DataFrame, path: str, key: str, size: int, tolerance: float = 0.0, ring: str = "ring") -> None:
+    """Polygons for an upload elsewhere: simplified, in key order, in batches of ``size`` rows, one folder each."""
+    from gridloom.operators.panel import in_batches
+    from gridloom.operators.spatial import simplify
+
+    slim = units.withColumn(ring, simplify(F.col(ring), tolerance)) if tolerance else units
+    in_batches(slim, [key], size).write.mode("overwrite").partitionBy("batch").parquet(path)
+
+
 def write_report(path: str, title: str, tables: dict[str, DataFrame], rows: int = 50) -> None:
     """A page with the first rows of every table, as a reader's overview; whole tables are written beside it by the
     other sinks."""

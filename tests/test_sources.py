@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gridloom import workflows
 from gridloom.config import PanelConfig, load_config
-from gridloom.operators import spatial
-from gridloom.sources import geopackage, readers, sinks, wkb
+from gridloom.operators import classify, cluster, spatial
+from gridloom.sources import geopackage, readers, shapefile, sinks, wkb
 from gridloom.streaming import incremental
 
 HEAD = "unit_id,unit_code,pref_name,month,v\n"
@@ -209,3 +209,34 @@ def test_shared_folder_is_asked_for_off_local_mode(spark, monkeypatch):
     lineage.remove(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|does not exist"):
         spark.read.parquet(path).count()
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    def record(number, kind, parts):
+        points = [p for part in parts for p in part]
+        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        body = struct.pack("<i4d2i", kind, 0, 0, 9, 9, len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        return struct.pack(">2i", number, len(body) // 2) + body
+
+    square, hole = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)]
+    null = struct.pack(">2i", 2, 2) + struct.pack("<i", 0)
+    (tmp_path / "u.shp").write_bytes(bytes(100) + record(1, 5, [square, hole]) + null)
+    fields = b"".join(struct.pack("<11sc4xBB14x", name, b"C", width, 0) for name, width in ((b"CODE", 5), ("名".encode("cp932"), 8)))
+    rows = b"".join(b" " + code.ljust(5) + name.encode("cp932").ljust(8) for code, name in ((b"02201", "青森"), (b"", "秋田")))
+    (tmp_path / "u.dbf").write_bytes(struct.pack("<B3xIHH20x", 3, 2, 32 + len(fields) + 1, 14) + fields + b"\r" + rows)
+    got = shapefile.read_shapefile(spark, str(tmp_path / "u.shp")).orderBy("id").collect()
+    assert [(p.x, p.y) for p in got[0].rings[0]] == [tuple(map(float, p)) for p in square[:-1]] and len(got[0].rings) == 2
+    assert got[1].rings == [] and got[0].attributes == {"CODE": "02201", "名": "青森"} and got[1].attributes == {"名": "秋田"}
+
+
+def test_chunks_and_models(spark, tmp_path):
+    units = spark.range(5).select("id", spatial.rectangle(F.col("id"), F.lit(0), F.col("id") + 1, F.lit(1)).alias("ring"))
+    sinks.write_chunks(units, str(tmp_path / "up"), "id", 2, 0.1)
+    assert {r.batch: r["count"] for r in spark.read.parquet(str(tmp_path / "up")).groupBy("batch").count().collect()} == {0: 2, 1: 2, 2: 1}
+    df = spark.createDataFrame([(i, i % 2, float(i % 2)) for i in range(10)], "id long, label int, x double")
+    fitted = classify.fit_all(df, ["x"], classify.build_models(["logistic_regression", "dummy_most_frequent"]))
+    assert classify.save_models(fitted, str(tmp_path / "models")) == ["logistic_regression"]
+    guess = fitted["logistic_regression"].transform(cluster.as_vector(df, ["x"]))
+    assert guess.where("prediction <> label").count() == 0
