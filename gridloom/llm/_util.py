@@ -2,55 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.lineage import cut, remove, scratch, shared_dir, stage  # noqa: F401  (used by the operators)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 FILTER_BITS = 1 << 26
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.conf.get("spark.gridloom.shared.dir", None)
-        if named is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-            spark.conf.set("spark.gridloom.shared.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def map_texts(df: DataFrame, function: Callable, schema: str | object) -> DataFrame:
+    """``df.mapInArrow`` in Arrow batches of about ``BATCH_BYTES``: the default counts rows alone, and ten thousand
+    texts may be gigabytes. A session that has a bound of its own keeps it."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting, None) is None:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def id_filter(ids: DataFrame, bound: int = FILTER_BITS) -> Callable[..., Column]:
@@ -62,11 +37,11 @@ def id_filter(ids: DataFrame, bound: int = FILTER_BITS) -> Callable[..., Column]
     def places(*columns: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(*columns, F.lit(j)), F.lit(bits)).cast("int") for j in range(4)]
 
-    words = ids.select(F.explode(F.array(*places(*map(F.col, names)))).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-    bitmap = np.zeros(bits // 64, np.int64)
-    got = words.agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("value")).toArrow()  # at most bits / 64 words
-    bitmap[got["word"].to_numpy()] = got["value"].to_numpy()
-    held = ids.sparkSession.createDataFrame(pa.table({"words": pa.array([bitmap], pa.list_(pa.int64()))})).scalar()
+    words = ids.select(F.explode(F.array(*places(*map(F.col, names)))).alias("at")).groupBy(F.shiftright("at", 6).cast("long").alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("value"))
+    dense = ids.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("word"), "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("value", F.lit(0).cast("long")).alias("value"))))
+    held = cut(dense.agg(F.transform(ordered, lambda w: w["value"]).alias("words"))).scalar()  # at most bound / 64 words
 
     def inside(*columns: Column) -> Column:
         at = places(*columns)

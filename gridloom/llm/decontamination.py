@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._util import stage, without
+from gridloom.llm._util import map_texts, stage, without
 
 #: Fixed value: words after lower-casing A-Z, as bytes of UTF-8 (every byte of a non-ASCII character is >= 0x80).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -164,7 +164,7 @@ def counted(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], ["k", "at", "n"])
 
     totals = {k: np.zeros(len(index.shingles[k]), np.int64) for k in index.widths}
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    rows = map_texts(docs.select(F.col(text).alias("text")), count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
     got = rows.toArrow()  # at most one row per shingle of the block
     k, at, n = (got[c].to_numpy() for c in ("k", "at", "n"))
     for width in totals:
@@ -193,7 +193,7 @@ def judged(docs: DataFrame, text: str, shared, hits_only: bool) -> DataFrame:
             )
             yield made.filter(pa.array([g[1] > 0 for g in got], pa.bool_())) if hits_only else made
 
-    return docs.select("doc_id", "same", text).mapInArrow(judge, f"doc_id {kind}, same long, n_words long, n_hit long, hit_spans array<struct<begin:long,end:long>>, items array<string>")
+    return map_texts(docs.select("doc_id", "same", text), judge, f"doc_id {kind}, same long, n_words long, n_hit long, hit_spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -243,4 +243,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         for batch in batches:
             yield batch.filter(pa.array([not own.judge(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_texts(docs, clean, docs.schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._util import map_texts
+
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 UNKNOWN = "und"
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             langs, scores = answers(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_texts(picked, run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.0) -> DataFrame:
@@ -202,4 +204,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float
             langs, scores = answers(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([code != UNKNOWN and s >= min_score for code, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import PRIME, WHITE, mixed, word_hashes
-from gridloom.llm._util import cut, id_filter, stage, without
+from gridloom.llm._util import cut, id_filter, map_texts, stage, without
 
 BITS = 4
 LANES = 64 // BITS
@@ -105,7 +105,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(one), pa.array(two), long_lists(packed(least)), long_lists(band_keys(least, bands))], ["id", "n", "one", "two", "sig", "bands"])
 
-    return docs.mapInArrow(sign, f"id {kind}, n long, one long, two long, sig array<long>, bands array<long>")
+    return map_texts(docs, sign, f"id {kind}, n long, one long, two long, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column, lanes: int) -> Column:
@@ -158,7 +158,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(own) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return cut(with_texts(pairs, docs).mapInArrow(confirm, f"a {kind}, b {kind}").distinct())
+    return cut(map_texts(with_texts(pairs, docs), confirm, f"a {kind}, b {kind}").distinct())
 
 
 def relative(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -182,7 +182,7 @@ def relative(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, lists), pa.array(own, lists)], ["a", "b", "shared", "own"])
 
-    return with_texts(pairs, docs).mapInArrow(encode, f"a {kind}, b {kind}, shared array<long>, own array<long>")
+    return map_texts(with_texts(pairs, docs), encode, f"a {kind}, b {kind}, shared array<long>, own array<long>")
 
 
 def common_counts(x: pa.Table, y: pa.Table, columns: int = 4096) -> np.ndarray:

@@ -16,6 +16,7 @@ are packed as often as they occur; an empty table gives no rows; extra columns a
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,25 +24,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._util import map_texts
 from gridloom.llm.token_counts import PATTERN
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary: the rank file's fast encoder, the library's own where that gives up."""
+    """Ids of a byte-level BPE vocabulary: the rank file's fast encoder, the library's own where that gives up. The
+    library is loaded when it is first needed."""
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.fast = None
+        self.vocabulary, self.library, self.fast = vocabulary, None, None
         if ranks:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            import tiktoken
+
+            with open(vocabulary, encoding="utf-8") as file:
+                special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special)
 
+    def slow(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocabulary)
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
@@ -49,7 +59,7 @@ class Encoder:
             except BaseException as error:  # a panic of the native pattern engine on extreme texts
                 if isinstance(error, KeyboardInterrupt | SystemExit):
                     raise
-        return self.slow.encode(text, add_special_tokens=False).ids
+        return self.slow(text)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -157,7 +167,7 @@ class SumOfSquares:
         self.level[:] = 0
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0, rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0, rows: int = 4_000) -> DataFrame:
     """Pieces of all rows of ``docs``: ``doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset``. A map over the scan, without a shuffle; sequence ids are unique over partitions."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
@@ -191,4 +201,4 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str
             while out:
                 yield flush()
 
-    return picked.mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return map_texts(picked, run, f"doc_id {kind}, {PIECES}")

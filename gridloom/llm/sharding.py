@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 from gridloom.llm._util import cut
 
 
+def part_offsets(sizes: DataFrame) -> DataFrame:
+    """Per row of ``sizes (part, own)``, a row per partition: the sum of the parts before and of all."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"), F.sum("own").over(Window.partitionBy()).alias("total"))
+
+
 def cut_points(rows: DataFrame, dimension: str, bits: int, weighted: bool) -> list:
     """The least value of every cell but the first, in order: cells of equally many distinct values, or of equally
     many rows (``weighted``)."""
@@ -33,17 +39,10 @@ def cut_points(rows: DataFrame, dimension: str, bits: int, weighted: bool) -> li
     values = values.select("value", F.col("n") if weighted else F.lit(1).cast("long").alias("n"))
     ordered = values.repartitionByRange("value").sortWithinPartitions("value").select("value", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     ordered = cut(ordered)
-    totals = sorted((r.part, r.total) for r in ordered.groupBy("part").agg(F.sum("n").alias("total")).collect())  # a row per partition
-    starts, before = [], 0
-    for part, total in totals:
-        starts.append((part, before))
-        before += total
-    if not before:
-        return []
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, offset long"))  # a row per partition
+    totals = part_offsets(ordered.groupBy("part").agg(F.sum("n").alias("own")))
     earlier = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ordered.join(offsets, "part").select("value", (F.col("offset") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("before"))
-    cells = placed.groupBy(F.expr(f"before * {1 << bits} DIV {before}").alias("cell")).agg(F.min("value").alias("least"))
+    placed = ordered.join(F.broadcast(totals), "part").select("value", "total", (F.col("offset") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("before"))
+    cells = placed.groupBy(F.expr(f"before * {1 << bits} DIV total").alias("cell")).agg(F.min("value").alias("least"))
     return [(r.cell, r.least) for r in sorted(cells.collect()) if r.cell]  # at most 2**bits
 
 
@@ -88,8 +87,8 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return bound(turned, interleaved)
 
 
-def places(docs: DataFrame, doc_id: str, text: str, dimensions: tuple[str, ...], bits: int) -> tuple[DataFrame, int]:
-    """Every row's place (from 0) in the curve's order, checkpointed, and the number of rows."""
+def places(docs: DataFrame, doc_id: str, text: str, dimensions: tuple[str, ...], bits: int) -> DataFrame:
+    """Every row's place (from 0) in the curve's order, and the ``total`` of rows."""
     body = F.coalesce(F.col(text), F.lit(""))
     named = [d for d in dimensions if d in docs.columns]
     narrow = cut(docs.select(
@@ -104,21 +103,15 @@ def places(docs: DataFrame, doc_id: str, text: str, dimensions: tuple[str, ...],
     order = ["curve", "text_crc32", "doc_id", "locator"]
     ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = cut(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
-    sizes = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    offsets = docs.sparkSession.createDataFrame(starts, "part int, before long")
+    offsets = part_offsets(rows.groupBy("part").agg(F.count(F.lit(1)).alias("own")))
     placed = rows.join(F.broadcast(offsets), "part")  # as many rows as partitions
-    return placed.withColumn("place", F.col("row").bitwiseAND((1 << 33) - 1) + F.col("before")), total
+    return placed.withColumn("place", F.col("row").bitwiseAND((1 << 33) - 1) + F.col("offset"))
 
 
 def assign(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("lang", "source"), bits: int = 5) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, curve, law, shard, slot, grown_shard``."""
-    placed, total = places(docs, doc_id, text, dimensions, bits)
-    n = F.lit(max(total, 1)).cast("long")
-    return placed.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "place", n.alias("n")).select(
+    placed = places(docs, doc_id, text, dimensions, bits)
+    return placed.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "place", F.col("total").alias("n")).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._util import map_texts
+
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.iinfo(np.int32).max
@@ -139,7 +141,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    counted = picked.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = map_texts(picked, count, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", over(F.col("n_tokens"), limit))
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import NOT_ALPHANUMERIC, POWERS, PRIME, mixed
+from gridloom.llm._util import map_texts
 from gridloom.llm.language_id import one_each, remainder, sampled
 
 BUCKET_BITS = 20
@@ -271,4 +272,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 raw, langs, t, s = shared.value.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.float64()), pa.array(langs, pa.string()), pa.array(t, pa.float64()), pa.array(s, pa.float64())], ["doc_id", "raw", "lang_guess", "threshold", "score"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, raw double, lang_guess string, threshold double, score double")
+    return map_texts(picked, run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, raw double, lang_guess string, threshold double, score double")

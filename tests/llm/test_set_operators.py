@@ -340,10 +340,42 @@ def test_cut_points_keep_the_order(spark):
 
 
 def test_native_operators_run_no_python(spark):
+    """The plans of everything that runs for them, checkpoints and staged tables included."""
     docs, chats = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "conversations"))
-    for df in (exact_dedup.find_copies(docs), chat_format.format_chats(chats), sharding.assign(docs)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Arrow|Pandas", plan)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    for df in (exact_dedup.find_copies(docs), exact_dedup.drop_copies(docs), chat_format.format_chats(chats), sharding.assign(docs)):
+        df.write.format("noop").mode("overwrite").save()
+    after = store.executionsCount()
+    runs = store.executionsList(before, after - before)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert len(plans) > 20
+    for plan in plans:
+        assert not re.search("Python|ArrowEval|InArrow|Pandas", plan), plan
+
+
+def test_located_rows(spark, odd_docs, tmp_path):
+    """A Parquet table is read in place; any other frame is staged. Locators name the same rows in every read."""
+    odd_docs.write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    for docs in (table, table.where("doc_id > 5"), odd_docs):
+        first, again = (exact_dedup.located(docs).select(exact_dedup.FILE, exact_dedup.ROW, "doc_id") for _ in range(2))
+        assert first.select(exact_dedup.FILE, exact_dedup.ROW).distinct().count() == docs.count()
+        if docs is table:
+            assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+            assert all("docs/part" in r[0] for r in first.collect())
+
+
+def test_rows_are_taken_out_beyond_the_filter(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 7).alias("v"))
+    gone = spark.range(0, 2000, 3).toDF("id")
+    from gridloom.llm import _util
+
+    few = _util.id_filter(gone, bound=64)  # saturated: lets everything through
+    assert rows.where(few(F.col("id"))).count() == 2000
+    assert rows.where(_util.id_filter(gone)(F.col("id"))).count() < 700
+    assert {r.id for r in _util.without(rows, gone).collect()} == {i for i in range(2000) if i % 3}
+    assert _util.without(rows, gone.limit(0)).count() == 2000
 
 
 def test_pipeline_stages(spark, odd_docs, no_docs):

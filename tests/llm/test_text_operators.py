@@ -215,6 +215,31 @@ def test_language_held_out_accuracy(spark, odd_docs, no_docs):
     assert language_id.predict(no_docs, model).count() == 0
 
 
+def test_samples_hold_one_text_an_id(spark):
+    """An id that is repeated does not fill the driver's sample, whatever its texts."""
+    rows = [(1, f"the text of {i}", "en") for i in range(500)] + [(i, f"le chat {i}", "fr") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string")
+    kept = language_id.one_each(language_id.sampled(docs, "id", "label", 20))
+    n = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
+    assert n.get("en", 0) <= 1 and n["fr"] <= 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.withColumnRenamed("id", "doc_id"), labels)
+    assert toxicity.score(docs.withColumnRenamed("id", "doc_id"), model).count() == len(rows)
+
+
+def test_thresholds_by_language():
+    """Every language with rows of both classes has its own threshold, drawn towards the pooled one."""
+    model = toxicity.Model()
+    model.raw = lambda docs: np.array(docs)
+    p = [0.9] * 20 + [0.1] * 80 + [0.6] * 20 + [0.5] * 20
+    y = np.array([1] * 20 + [0] * 80 + [1] * 20 + [0] * 20)
+    model.calibrate(p, ["en"] * 100 + ["fr"] * 40, y)
+    pooled, en, fr = (model.thresholds[k] for k in ("", "en", "fr"))
+    assert pooled == pytest.approx(0.55) and 0.5 < en < pooled and fr == pytest.approx(0.55)
+    model.calibrate(p, ["de"] * 20 + ["en"] * 120, y)
+    assert "de" in model.thresholds or model.threshold("de") == model.thresholds[""]
+
+
 def test_language_few_or_no_labels(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language_id.predict(odd_docs, language_id.fit(no_docs)).collect()} == {"und"}
     one = spark.createDataFrame([(1, "le chat", "fr"), (2, "un chien", "fr"), (3, "une amie", "fr")], "doc_id long, text string, lang string")
