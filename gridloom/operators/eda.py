@@ -137,10 +137,17 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson r and n per pair, in passes of bounded width over the same frame, which is staged for more than one."""
+    """Pearson r and n per pair, over rows where both are present. Up to PAIRS_PER_PASS pairs take one aggregation; of
+    more, those of columns without gaps come from one covariance matrix and the others from passes of that width over
+    the staged columns."""
     out = None
     if len(pairs) > PAIRS_PER_PASS:
-        df = cut(df.select(*dict.fromkeys(c for p in pairs for c in p)))
+        names = list(dict.fromkeys(c for p in pairs for c in p))
+        df = cut(df.select(*(F.col(c).cast("double").alias(c) for c in names)))
+        lost = df.agg(*(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in names)).first()
+        whole = [c for c in names if not lost[c]]
+        out = _matrix_pairs(df, whole, [p for p in pairs if p[0] in whole and p[1] in whole])
+        pairs = [p for p in pairs if p[0] not in whole or p[1] not in whole]
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         run = pairs[at : at + PAIRS_PER_PASS]
         aggs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(run)]
@@ -149,6 +156,20 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return out
 
 
+def _matrix_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pairs of columns without gaps, from their covariance matrix."""
+    from gridloom.operators.stats import moments
+
+    rows = []
+    if pairs:
+        cov, _, n = moments(df, columns)
+        at = {c: i for i, c in enumerate(columns)}
+        for a, b in pairs:
+            scale = (cov[at[a], at[a]] * cov[at[b], at[b]]) ** 0.5
+            rows.append((a, b, float(cov[at[a], at[b]] / scale) if scale > 0 else None, n))
+    return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double, n long")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """The upper triangle as pairs."""
     return correlations(df, list(combinations(columns, 2)))

@@ -114,7 +114,9 @@ def pairwise_tests(folds: DataFrame, model: str, fold: str, value: str, alpha: f
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Covariance (by n) of complete rows, their means and n. A few columns take one aggregation; many take two passes:
     means first, then every partition's cross products of the centred rows, added up."""
-    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    for c in rows.columns:  # one predicate a column: the planner multiplies a predicate over many renamed columns
+        rows = rows.where(F.col(c).isNotNull())
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     centre = [F.count(F.lit(1)).alias("n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in range(p))]

@@ -570,3 +570,18 @@ def test_moments_of_many_columns(spark):
     assert n == 50 and means == pytest.approx(x.mean(0)) and cov == pytest.approx(np.cov(x.T, bias=True))
     few = stats.moments(df, names[:3])
     assert few[0] == pytest.approx(cov[:3, :3])
+
+
+def test_many_pairs_with_and_without_gaps(spark):
+    x = np.random.default_rng(11).normal(size=(60, 16))
+    x[:, 3] = 2.0
+    x[::7, 5] = np.nan
+    names = [f"v{i}" for i in range(16)]
+    df = nan_to_null(spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)))
+    rows = eda.correlation_matrix(df, names).collect()
+    assert len(rows) == 120
+    for r in rows:
+        i, j = int(r.feature_1[1:]), int(r.feature_2[1:])
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert r.n == both.sum()
+        assert r.r is None if 3 in (i, j) else r.r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
