@@ -64,6 +64,18 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def compact_features(texts: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that some text holds, and the features in these columns alone: others would keep a weight of 0."""
+    held = np.zeros(DIM, bool)
+    for at in range(0, len(texts), run):
+        held |= features(texts[at : at + run]).any(axis=0)
+    used = np.flatnonzero(held)
+    out = np.empty((len(texts), len(used)), np.float32)
+    for at in range(0, len(texts), run):
+        out[at : at + run] = features(texts[at : at + run])[:, used]
+    return used, out
+
+
 def fit_svms(x: np.ndarray, targets: np.ndarray, weights: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Linear SVMs, one per column of ``targets`` (+1, -1; weight 0: not used). Rows of the result: weights, bias."""
     n = np.maximum(weights.sum(axis=0), 1e-9)
@@ -109,9 +121,12 @@ class Model:
             weights.append(np.where(own == a, 0.5 / share[a], np.where(own == b, 0.5 / share[b], 0)) * (share[a] + share[b]))
         self.n_family = 0 if one_family else len(self.families)
         if targets:
-            x, targets, weights = features(texts), np.array(targets, np.float32).T, np.array(weights, np.float32).T
-            self.weights = fit_svms(x, targets, weights)
-            self.slopes = fit_slopes(x @ self.weights[:-1] + self.weights[-1], targets, weights)
+            targets, weights = np.array(targets, np.float32).T, np.array(weights, np.float32).T
+            used, x = compact_features(texts)
+            w = fit_svms(x, targets, weights)
+            self.slopes = fit_slopes(x @ w[:-1] + w[-1], targets, weights)
+            self.weights = np.zeros((DIM + 1, w.shape[1]), np.float32)
+            self.weights[used], self.weights[-1] = w[:-1], w[-1]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
