@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import ordering
 from gridloom.operators import eda, features, stats
-from gridloom.plans.base import BANDS, CROSS, LONG, PANEL, POINTS, UNITS, XS, chi2_p, cross, f_p, panel, points, query, r_p, read, rounded, t_p, units
+from gridloom.plans.base import BANDS, CROSS, LONG, PANEL, POINTS, UNITS, XS, chi2_p, cross, f_p, panel, points, query, r_p, read, rounded, simpson, t_p, units
 from gridloom.schema import to_long
 
 ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -347,20 +347,32 @@ def ols_summary(spark, sf_dir):
     return rounded(spark.createDataFrame(model["coefficients"], "name string, coef double, se double, t double, p_value double, ci_lower double, ci_upper double"))
 
 
-@query()
+def _vif(own: str, a: str, b: str) -> str:
+    """SQL for the factor of a column on two others, from correlations named by both columns in order."""
+    r = lambda x, y: "_".join(sorted((x, y)))
+    return f"round(1 / (1 - ({r(own, a)} ^ 2 + {r(own, b)} ^ 2 - 2 * {r(own, a)} * {r(own, b)} * {r(a, b)}) / (1 - {r(a, b)} ^ 2)), 2)"
+
+
+@query(f"""WITH {POINTS}, w AS (SELECT x0, x1, 2 * x0 + 0.1 * x1 + 0.3 * x2 AS y0 FROM pts), c AS (SELECT corr(x0, x1) AS x0_x1, corr(x0, y0) AS x0_y0, corr(x1, y0) AS x1_y0 FROM w),
+    v AS (SELECT *, {_vif('x0', 'x1', 'y0')} AS v0, {_vif('x1', 'x0', 'y0')} AS v1, {_vif('y0', 'x0', 'x1')} AS vy FROM c),
+    f AS (SELECT *, CASE WHEN greatest(v0, v1, vy) <= 5 THEN '' WHEN v0 >= v1 AND v0 >= vy THEN 'x0' WHEN v1 >= vy THEN 'x1' ELSE 'y0' END AS gone FROM v),
+    g AS (SELECT *, round(1 / (1 - CASE gone WHEN 'x0' THEN x1_y0 WHEN 'x1' THEN x0_y0 WHEN 'y0' THEN x0_x1 ELSE 0 END ^ 2), 2) AS rest FROM f),
+    h AS (SELECT *, CASE WHEN rest <= 5 THEN '' WHEN gone = 'x0' THEN 'x1' ELSE 'x0' END AS also FROM g)
+    SELECT feature, feature <> gone AND feature <> also AS kept, CASE WHEN feature = gone THEN greatest(v0, v1, vy) WHEN feature = also THEN rest END AS vif FROM h, (VALUES ('x0'), ('x1'), ('y0')) AS t(feature)""")
 def vif_iterative(spark, sf_dir):
     """Iterative removal."""
-    wide = points(spark, sf_dir).withColumn("y0", 2 * F.col("x0") + 0.1 * F.col("x1"))
-    left, gone = stats.drop_by_vif(wide, ["x0", "x1", "x2", "y0"])
+    wide = points(spark, sf_dir).withColumn("y0", 2 * F.col("x0") + 0.1 * F.col("x1") + 0.3 * F.col("x2"))
+    left, gone = stats.drop_by_vif(wide, ["x0", "x1", "y0"])
     return spark.createDataFrame([(c, True, None) for c in left] + [(c, False, v) for c, v in gone], "feature string, kept boolean, vif double")
 
 
-@query()
+@query(f"WITH {POINTS}, r AS (SELECT corr(x0, 2 * x0 + 0.1 * x1) AS r, var_samp(x2 / 100) < 0.01 AS flat FROM pts) SELECT feature, CASE WHEN feature = 'x0' AND r >= 0.85 THEN round(r, 6) WHEN feature = 'z' AND flat THEN 0 END AS dropped_at FROM r, (VALUES ('x0'), ('x1'), ('x2'), ('y0'), ('z')) AS t(feature)")
 def redundancy_pruning(spark, sf_dir):
-    """M8."""
-    wide = points(spark, sf_dir).withColumn("y0", 2 * F.col("x0") + 0.1 * F.col("x1"))
-    names = ["x0", "x1", "x2", "y0"]
-    left, gone = stats.prune_redundant(eda.correlation_matrix(wide, names), names, keep=["y0"])
+    """M8: near-constant columns first, then the most correlated pair; a listed column stays."""
+    wide = points(spark, sf_dir).withColumns({"y0": 2 * F.col("x0") + 0.1 * F.col("x1"), "z": F.col("x2") / 100})
+    names = ["x0", "x1", "x2", "y0", "z"]
+    flat = stats.near_constant(wide, ["y0", "z"])
+    left, gone = stats.prune_redundant(eda.correlation_matrix(wide, names), names, keep=["y0"], constant=flat)
     return spark.createDataFrame([(c, None) for c in left] + [(a, round(r, 6)) for a, _, r in gone], "feature string, dropped_at double")
 
 
@@ -375,10 +387,20 @@ def shapiro_normality(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, w double, p_value double, normal_5pct boolean")
 
 
-@query()
+TAIL = simpson("exp(-$u * $u / 2)", "z")
+
+
+@query(f"""{SCORES}, d AS (SELECT a.model AS model_a, b.model AS model_b, a.score - b.score AS d FROM sc a JOIN sc b ON a.fold = b.fold AND a.model < b.model),
+    q AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS c FROM d WHERE d <> 0),
+    s AS (SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END)) AS stat, max(c) AS most, sum(c * c - 1.0) AS ties FROM q GROUP BY 1, 2),
+    al AS (SELECT model_a, model_b, count(*) AS folds FROM d GROUP BY 1, 2),
+    w AS (SELECT total, sum(count(*)) OVER (ORDER BY total) AS ways FROM (SELECT list_sum(list_transform(range(10), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) AS total FROM (SELECT unnest(range(1024)) AS m)) GROUP BY 1),
+    j AS (SELECT al.model_a, al.model_b, folds, coalesce(n, 0) AS n, CAST(coalesce(stat, 0) AS DOUBLE) AS stat, most, abs(stat - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM al LEFT JOIN s USING (model_a, model_b)),
+    p AS (SELECT model_a, model_b, stat, CASE WHEN n = 0 THEN 1 WHEN most = 1 AND n = folds THEN least(1, 2 * (SELECT max(ways) FROM w WHERE total <= floor(stat)) / 1024) ELSE 1 - 2 * {TAIL} / sqrt(2 * pi()) END AS p FROM j)
+    SELECT model_a, model_b, round(stat, 5) AS statistic, round(p, 5) AS p_value, round(least(1, p * (SELECT count(*) FROM p)), 5) AS p_adjusted, p * (SELECT count(*) FROM p) < 0.05 AS significant FROM p""")
 def pairwise_wilcoxon(spark, sf_dir):
-    """Pairwise signed-rank tests with Bonferroni correction."""
-    return rounded(stats.pairwise_tests(_scores(spark, sf_dir), "model", "fold", "score"))
+    """Pairwise signed-rank tests with Bonferroni correction: exact without ties (ten folds), else normal."""
+    return rounded(stats.pairwise_tests(_scores(spark, sf_dir), "model", "fold", "score"), 5)
 
 
 @query(f"""{SCORES}, m AS (SELECT a.model AS model_a, b.model AS model_b, a.score - b.score AS d FROM sc a JOIN sc b ON a.fold = b.fold AND a.model < b.model),
