@@ -20,7 +20,7 @@ def main(args: list[str]) -> None:
         for name, table in workflows.explore(df, config).items():
             write_result(table, f"{out}/{name}")
     else:
-        made = workflows.preprocess(df, config, args[4])
+        made = workflows.preprocess(df, config, *args[4:5])
         write_both(made["ready"], f"{out}/ready")
         write_result(made["metadata"], f"{out}/feature_metadata")
         write_json(f"{out}/manifest.json", manifest(made["ready"]))
