@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, token_counts, toxicity, url_filters
+from gridloom.llm import (
+    alignment,
+    chat_format,
+    decontamination,
+    exact_dedup,
+    language_id,
+    lm_scoring,
+    near_dedup,
+    packing,
+    periodic_runs,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from gridloom.llm._util import table
 
 
@@ -166,6 +180,76 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_and_count(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents whose words a run is planted in: where crc32(doc_id) is divisible by 10, words from ``a`` on repeat the
+    ``p`` words that begin there. Null ids keep their text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    text = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))[0]  # the words are found once
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")))
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), lines.alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        F.col("r.start").alias("start"),
+        (-F.col("r.less")).alias("length"),
+        F.col("r.period").alias("period"),
+        F.floor(-1000 * F.col("r.less") / F.col("r.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode("lines", "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: CRC-32 of the decimal id, bit by bit.
+CRC_SQL = """CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) AS BIGINT)"""
+
+OP12_SQL = rf"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, {CRC_SQL} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+d AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+t AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS p FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 2),
+islands AS (SELECT r, p, min(i) AS s, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM pairs) GROUP BY r, p, k),
+runs AS (SELECT r, s, m + p AS l, min(p) AS p FROM islands WHERE m + p >= greatest(12, 2 * p) GROUP BY 1, 2, 3),
+best AS (SELECT r, count(*) AS n_runs, min((-l, s, p)) AS b, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.i) AS text FROM t LEFT JOIN gone g ON t.r = g.r AND t.i = g.i WHERE g.i IS NULL GROUP BY t.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[2] AS start, -b[1] AS length, b[3] AS period, -b[1] * 1000 // b[3] AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.remainder(F.col("doc_id"), 10) == 0
+    return lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -177,6 +261,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
@@ -185,4 +272,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op8_near_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
