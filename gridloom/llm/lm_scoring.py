@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z) and its words (runs of bytes other than space and 09 to 0D) are joined by one space; its
 symbols are these bytes and one end symbol, and what is before its first byte counts as tabs. A symbol is coded in the
 longest context of at most ``ORDER`` bytes that training has seen. There a symbol with count c has probability
-c / (T + q), for T symbols of q kinds, and q / (T + q) is the escape to the context shorter by one byte; kinds that a
+(2 c - 1) / 2 T, for T symbols of q kinds, and q / 2 T is the escape to the context shorter by one byte; kinds that a
 longer context has offered are excluded there from T and q, as the coder would have used that context for them. A
 context that has only excluded kinds is passed over at no cost. Below the empty context, kinds that training has not
 seen share the rest equally. Each context's probabilities sum to one. Training texts are scored by the same trie.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._util import cut, map_texts, stage
 
-CHUNK_BYTES = 32 << 20
-ORDER = 5
+CHUNK_BYTES = 64 << 20
+ORDER = 6  # with nine bits of symbol, a gram fits in a long up to here
 SYMBOLS = 257
 PAD, END = 9, 10  # bytes that no joined text holds
 
@@ -106,36 +106,32 @@ def context(gram: Column, order: int) -> Column:
     return F.shiftright(gram, 9).bitwiseAND((1 << (8 * order)) - 1)
 
 
-def trie(counts: DataFrame) -> list[DataFrame]:
-    """The trie's levels, from the empty context to ``ORDER`` bytes, of training grams ``(gram, times)``: a row per
-    context with its total, its kinds, the counts of its symbols (at most 257), and ``outer``: the total that its kinds
-    have in the context shorter by a byte. Each level is an aggregation of the one below and is staged."""
-    levels: list[DataFrame] = []
-    for order in range(ORDER, -1, -1):
-        counts = counts.groupBy(F.col("gram").bitwiseAND((1 << (9 + 8 * order)) - 1).alias("gram")).agg(F.sum("times").alias("times"))
-        counts = stage(counts, f"trie-{order}")
-        symbols = F.map_from_entries(F.collect_list(F.struct(F.col("gram").bitwiseAND(511).cast("int").alias("symbol"), "times")))
-        node = counts.groupBy(context(F.col("gram"), order).alias("context")).agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds"), symbols.alias("symbols"))
-        levels.insert(0, stage(node, f"nodes-{order}"))
-    done = [levels[0].withColumn("outer", F.lit(0).cast("long"))]
-    for order in range(1, ORDER + 1):
-        own = levels[order].withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (order - 1))) - 1))
-        parent = levels[order - 1].select(F.col("context").alias("shorter"), F.col("symbols").alias("theirs"))
-        parent = F.broadcast(parent) if order <= 2 else parent  # at most 257 rows of 257 counts
-        outer = F.aggregate(F.map_keys("symbols"), F.lit(0).cast("long"), lambda t, s: t + F.element_at("theirs", s))
-        done.append(own.join(parent, "shorter").withColumn("outer", outer).drop("shorter", "theirs"))
-    return done
-
-
-def step(rows: DataFrame, node: DataFrame, order: int) -> DataFrame:
-    """Rows ``gram, done, log, kinds_out, total_out`` after the try in their contexts of ``order`` bytes."""
-    named = node.select(F.col("context").alias("__context"), F.col("total").alias("__total"), F.col("kinds").alias("__kinds"), F.col("outer").alias("__outer"), "symbols")
+def trie(counts: DataFrame) -> DataFrame:
+    """The trie of training grams ``(gram, times)``: a row per context of 0 to ``ORDER`` bytes with its total, its
+    kinds, the counts of its symbols (at most 257), and ``outer``: the total that its kinds have in the context shorter
+    by a byte."""
+    orders = F.explode(F.array(*(F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND((1 << (9 + 8 * k)) - 1).alias("gram")) for k in range(ORDER + 1))))
+    levels = counts.groupBy("gram").agg(F.sum("times").alias("times")).select(orders.alias("o"), "times").groupBy("o.order", "o.gram").agg(F.sum("times").alias("times"))
+    symbols = F.map_from_entries(F.collect_list(F.struct(F.col("gram").bitwiseAND(511).cast("int").alias("symbol"), "times")))
+    nodes = levels.groupBy("order", F.shiftright("gram", 9).alias("context")).agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds"), symbols.alias("symbols"))
+    nodes = stage(nodes, "trie")
+    mask = F.element_at(F.array(*(F.lit((1 << (8 * k)) - 1).cast("long") for k in range(ORDER + 1))), F.greatest("order", F.lit(1)).cast("int"))
+    own = nodes.withColumns({"up": F.col("order") - 1, "shorter": F.col("context").bitwiseAND(mask)})
+    parent = nodes.select(F.col("order").alias("up"), F.col("context").alias("shorter"), F.col("symbols").alias("theirs"))
+    outer = F.aggregate(F.map_keys("symbols"), F.lit(0).cast("long"), lambda t, s: t + F.coalesce(F.element_at("theirs", s), F.lit(0)))
+    return stage(own.join(parent, ["up", "shorter"], "left").withColumn("outer", outer).drop("up", "shorter", "theirs"), "trie-outer")
+
+
+def step(rows: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
+    """Rows ``gram, done, log, kinds_out, total_out`` after the try in their contexts of ``order`` bytes; the last two
+    are what that context offered and what its kinds have in the next shorter one."""
+    named = nodes.where(F.col("order") == order).select(F.col("context").alias("__context"), F.col("total").alias("__total"), F.col("kinds").alias("__kinds"), F.col("outer").alias("__outer"), "symbols")
     joined = rows.withColumn("__own", context(F.col("gram"), order)).join(F.broadcast(named) if order < 2 else named, F.col("__own") == F.col("__context"), "left")
     known, total, kinds = F.col("__total").isNotNull(), F.col("__total") - F.col("total_out"), F.col("__kinds") - F.col("kinds_out")
     times = F.element_at("symbols", F.col("gram").bitwiseAND(511).cast("int"))
     open_ = known & ~F.col("done")
-    escapes = F.when(F.col("__kinds") < SYMBOLS, kinds).otherwise(0)  # nothing is left to escape to
-    log = F.when(times.isNotNull(), F.log10(times / (total + escapes))).when(kinds > 0, F.log10(kinds / (total + kinds))).otherwise(0.0)
+    own = F.when(F.col("__kinds") < SYMBOLS, 2 * times - 1).otherwise(2 * times)  # with all kinds seen, there is no escape
+    log = F.when(times.isNotNull(), F.log10(own / (2 * total))).when(kinds > 0, F.log10(kinds / (2 * total))).otherwise(0.0)
     out = lambda inner: F.when(known, F.col(inner)).otherwise(0)
     return joined.select(
         "gram",
@@ -146,15 +142,14 @@ def step(rows: DataFrame, node: DataFrame, order: int) -> DataFrame:
     )
 
 
-def code_lengths(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def code_lengths(grams: DataFrame, nodes: DataFrame) -> DataFrame:
     """``gram, value``: the log10 probability of each gram's symbol after its context. Most grams end in their longest
     context; the others walk on through the shorter ones."""
-    # A node's outer total is that of the next shorter context, so total_out and kinds_out always belong to the step before.
     rows = grams.select("gram", F.lit(False).alias("done"), F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("kinds_out"), F.lit(0).cast("long").alias("total_out"))
-    first = stage(step(rows, levels[ORDER], ORDER), "first-step")
+    first = stage(step(rows, nodes, ORDER), "first-step")
     rest = first.where("NOT done")
     for order in range(ORDER - 1, -1, -1):
-        rest = step(rest, levels[order], order)
+        rest = step(rest, nodes, order)
     unseen = F.when(F.col("done"), 0.0).otherwise(-F.log10(SYMBOLS - F.col("kinds_out")))
     return first.where("done").select("gram", F.col("log").alias("value")).unionAll(rest.select("gram", (F.col("log") + unseen).alias("value")))
 
@@ -168,8 +163,8 @@ def score(docs: DataFrame, train: Column, held_out: Column, doc_id: str = "doc_i
     texts = picked.schema["doc_id"].dataType.simpleString()
     rows = stage(chunked(picked), "scored-chunks")
     of_grams, of_words = rows.where("gram IS NOT NULL"), rows.where("word IS NOT NULL")
-    levels = trie(of_grams.where("times > 0").select("gram", "times"))
-    lengths = code_lengths(of_grams.select("gram").distinct(), levels)
+    nodes = trie(of_grams.where("times > 0").select("gram", "times"))
+    lengths = code_lengths(of_grams.select("gram").distinct(), nodes)
     words = cut(of_words.groupBy("word").agg(F.sum("times").alias("value")))
     ends = picked.where("train").count()
     n, kinds = words.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.lit(1))).first()
