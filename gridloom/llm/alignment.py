@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._util import map_texts, stage
 from gridloom.llm.token_counts import byte_symbols
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: What any of the libraries may take for white space; a cut is only made after another character.
 SPACE = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
 CUTS = " \t\n\x0b\x0c\r"  # space first
@@ -48,7 +48,6 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.spec = json.loads(open(path_a, encoding="utf-8").read())
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -58,7 +57,7 @@ class Aligner:
             self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.space = self.b.piece_to_id("▁")
-        self.cuts = self.safe_spaces()
+        self.cuts = self.safe_spaces(json.loads(open(path_a, encoding="utf-8").read()))
         other = f"(?:(?![{re.escape(self.cuts)}])[{SPACE}])" if self.cuts else f"[{SPACE}]"
         self.segment = re.compile(f"[{SPACE}]*[^{SPACE}]*(?:{other}[{SPACE}]*[^{SPACE}]*)*")
 
@@ -66,7 +65,7 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def safe_spaces(self) -> str:
+    def safe_spaces(self, spec: dict) -> str:
         """The white-space characters before which a text may be cut after any other character. A character is safe if
         no token of A or B holds it right after another kind of character, so that no merge can cross the cut; if no
         piece joins it to the space that B adds (a cut segment gets that space too); and if A's pre-tokens, found by the
@@ -75,10 +74,10 @@ class Aligner:
 
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(self.b.serialized_model_proto())
-        form, before = model.normalizer_spec, self.spec["pre_tokenizer"] or {}
+        form, before = model.normalizer_spec, spec["pre_tokenizer"] or {}
         plain = not form.precompiled_charsmap and form.add_dummy_prefix and not form.remove_extra_whitespaces and form.escape_whitespaces
         plain &= not model.trainer_spec.treat_whitespace_as_suffix and all(p.type != 4 for p in model.pieces)  # 4: matched before merging
-        plain &= self.spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        plain &= spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         if not plain:
             return ""
         of_a, of_b = ([t.decode(errors="replace") for t in own] for own in (self.bytes_a, self.bytes_b))
