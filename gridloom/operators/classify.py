@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.lineage import cut
+from gridloom.operators import batched
 from gridloom.operators.cluster import as_vector, compact, squares, tile_pairs
 
 #: Model name, class path and parameters; ``{n}`` in a parameter is the number of training rows.
@@ -33,6 +34,29 @@ REGISTRY: dict[str, tuple[str, dict]] = {
 }
 
 
+#: Models that fit all folds, or all left-out rows, in the same passes: name, class path and parameters.
+BATCHED: dict[str, tuple[str, dict]] = {
+    "logistic_regression": ("gridloom.operators.batched.Logistic", {"penalty": 1.0}),
+    "svm_linear": ("gridloom.operators.batched.LinearMachine", {"cost": 1.0}),
+    "svm_rbf": ("gridloom.operators.batched.FourierMachine", {"cost": 1.0, "seed": 42}),
+    "random_forest": ("gridloom.operators.trees.Forest", {"trees": 200, "least": 3, "seed": 42}),
+    "gradient_boosting": ("gridloom.operators.trees.Boosting", {"rounds": 100, "rate": 0.1, "depth": 3, "least": 3, "ridge": 0.0}),
+    "xgboost": ("gridloom.operators.trees.Boosting", {"rounds": 100, "rate": 0.1, "depth": 3, "least": 1, "ridge": 1.0}),
+}
+
+
+def batched_models(names: list[str]) -> dict[str, object]:
+    """Models by name for :func:`cross_validate` and :func:`leave_one_out`: batched ones where there are, else factories."""
+    out = {}
+    for name in names:
+        if name in BATCHED:
+            module, _, attribute = BATCHED[name][0].rpartition(".")
+            out[name] = getattr(importlib.import_module(module), attribute)(**BATCHED[name][1])
+        else:
+            out |= build_models([name])
+    return out
+
+
 def build_models(names: list[str] | None = None, registry: dict | None = None) -> dict[str, Callable]:
     """Factories (rows, features, classes) -> estimator by name; models whose package is absent are skipped."""
     out = {}
@@ -246,11 +270,27 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
     return stacked(parts[: len(parts) // 2]).unionByName(stacked(parts[len(parts) // 2 :]))
 
 
+def batched_folds(df: DataFrame, columns: list[str], models: dict, folds: list[tuple[str, int]], classes: int, experiment: str) -> list[DataFrame]:
+    """:func:`cross_validate` of batched models: a task per fold, and a row's tasks are the folds that hold it out."""
+    if not models:
+        return []
+    place = [F.when(F.col(c) == f, F.lit(i)) for i, (c, f) in enumerate(folds)]
+    rows = batched.task_rows(df, columns, F.array_compact(F.array(*place)))
+    rows = compact(rows)
+    out = []
+    for name, model in models.items():
+        predict = model.fit_tasks(rows, len(folds), classes, len(columns))
+        made = batched.held_out(rows, predict, len(folds), probability=not isinstance(model, batched.LinearMachine))
+        out.append(cut(made.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.col("task").cast("int").alias("fold"), "id", "y_true", "y_pred", "probability")))
+    return out
+
+
 def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable], fold: str = "fold", experiment: str = "all", threads: int = 8) -> DataFrame:
     """Out-of-fold predictions: experiment, model, fold, id, y_true, y_pred, and the probability of each class where
     the model gives them. ``label`` holds codes from 0. All repeats of the split are run; the folds of repeat r count
-    on from those before. Fits run side by side."""
+    on from those before. Batched models fit all folds in the same passes; fits of the others run side by side."""
     names = fold_columns(df, fold)
+    together = {n: m for n, m in models.items() if hasattr(m, "fit_tasks")}
     vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), *names, "features"))
     folds = [(name, r[0]) for name in names for r in sorted(vectors.select(name).distinct().collect())]
     classes = vectors.agg(F.max("label")).first()[0]
@@ -264,9 +304,10 @@ def cross_validate(df: DataFrame, columns: list[str], models: dict[str, Callable
         part = predicted.select(F.lit(experiment).alias("experiment"), F.lit(name).alias("model"), F.lit(at).alias("fold"), "id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), chance.alias("probability"))
         return cut(part)  # a plan of many models is slow to work on
 
-    tasks = [(model, place) for model in models.items() for place in enumerate(folds)]
+    done = batched_folds(df, columns, together, folds, int(classes) + 1, experiment)
+    tasks = [(model, place) for model in models.items() if model[0] not in together for place in enumerate(folds)]
     with ThreadPoolExecutor(threads) as pool:
-        return stacked(list(pool.map(one, tasks)))
+        return stacked([*done, *pool.map(one, tasks)])
 
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -367,9 +408,34 @@ def tree_importance(model, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double")
 
 
+def left_out_together(df: DataFrame, columns: list[str], models: dict, run: int = 32) -> list[DataFrame]:
+    """:func:`leave_one_out` of batched models: a task per row, ``run`` tasks in the same passes."""
+    from gridloom.functions.ordering import placed
+
+    if not models:
+        return []
+    numbered = placed(batched.task_rows(df, columns, F.array()).drop("out"), ["id"], "place")
+    numbered = compact(numbered)
+    n, classes = numbered.agg(F.count(F.lit(1)), F.coalesce(F.max("label"), F.lit(0)) + 1).first()
+    out = []
+    for at in range(0, n, run):
+        tasks = min(run, n - at)
+        mine = F.col("place").between(at, at + tasks - 1)
+        rows = numbered.withColumn("out", F.when(mine, F.array((F.col("place") - at).cast("int"))).otherwise(F.array().cast("array<int>")))
+        for name, model in models.items():
+            made = batched.held_out(rows.where(mine), model.fit_tasks(rows, tasks, classes, len(columns)), tasks, at)
+            out.append(cut(made.select(F.lit(name).alias("model"), "id", "y_true", "y_pred")))
+    return out
+
+
 def leave_one_out(df: DataFrame, columns: list[str], models: dict[str, Callable], threads: int = 8, run: int = 10_000) -> DataFrame:
-    """Predictions of every model for every row, fitted on all other rows: model, id, y_true, y_pred. A fit per row
-    and model, side by side; rows come to the driver one by one, and predictions are staged in runs of ``run``."""
+    """Predictions of every model for every row, fitted on all other rows: model, id, y_true, y_pred. Batched models
+    fit many rows' tasks in the same passes. Of the others there is a fit per row and model, side by side; their rows
+    come to the driver one by one, and predictions are staged in runs of ``run``."""
+    together = {n: m for n, m in models.items() if hasattr(m, "fit_tasks")}
+    done, models = left_out_together(df, columns, together), {n: m for n, m in models.items() if n not in together}
+    if done and not models:
+        return stacked(done)
     vectors = compact(as_vector(df, columns).select("id", F.col("label").cast("double").alias("label"), "features"))
     n, classes = vectors.agg(F.count(F.lit(1)), F.max("label")).first()
     kind, parts, out = f"model string, id {dict(df.dtypes)['id']}, y_true int, y_pred int", [], []
@@ -391,7 +457,7 @@ def leave_one_out(df: DataFrame, columns: list[str], models: dict[str, Callable]
             staged()
     if not parts:
         staged()
-    return stacked(parts)
+    return stacked(done + parts)
 
 
 def leave_one_out_neighbours(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:

@@ -352,15 +352,15 @@ def _supervised(spark, sf_dir, k: int = 5, repeats: int = 1):
 @query()
 def logistic_cv(spark, sf_dir):
     """Cross-validated comparison of a baseline and a logistic model."""
-    predictions = classify.cross_validate(_supervised(spark, sf_dir, repeats=5), FEATURES, classify.build_models(["dummy_most_frequent", "dummy_stratified", "logistic_regression"]))
+    predictions = classify.cross_validate(_supervised(spark, sf_dir, repeats=5), FEATURES, classify.batched_models(["dummy_most_frequent", "dummy_stratified", "logistic_regression"]))
     return classify.comparison(classify.fold_metrics(predictions, ["model", "fold"]))
 
 
 @query()
 def model_family_cv(spark, sf_dir):
-    """The other families on the same splits; absent packages are skipped."""
+    """The other families on the same splits."""
     df = _supervised(spark, sf_dir, repeats=5)
-    predictions = classify.cross_validate(df, FEATURES, classify.build_models(["svm_linear", "svm_rbf", "random_forest", "knn", "mlp", "gradient_boosting", "xgboost"]))
+    predictions = classify.cross_validate(df, FEATURES, classify.batched_models(["svm_linear", "svm_rbf", "random_forest", "knn", "mlp", "gradient_boosting", "xgboost"]))
     return classify.comparison(classify.fold_metrics(predictions, ["model", "fold"]))
 
 
@@ -371,7 +371,7 @@ EXPERIMENTS = {"all_features": [*FEATURES, "ratio", "ratio_rank"], "no_leaky": F
 def leakage_experiments(spark, sf_dir):
     """One run per feature subset, from all columns, the target's own ratio among them, to remote sensing alone."""
     df = _supervised(spark, sf_dir, repeats=5).withColumn("ratio_rank", F.col("ratio") * F.col("ratio"))
-    models, out = classify.build_models(["logistic_regression", "random_forest"]), None
+    models, out = classify.batched_models(["logistic_regression", "random_forest"]), None
     for name, columns in EXPERIMENTS.items():
         part = classify.cross_validate(df, columns, models, experiment=name)
         out = part if out is None else out.unionByName(part)
@@ -424,7 +424,7 @@ def shapley_importance(spark, sf_dir):
 @query()
 def leave_one_out(spark, sf_dir):
     """The reference's three models on the cross-section."""
-    models = classify.build_models(["logistic_regression", "random_forest", "svm_linear"])
+    models = classify.batched_models(["logistic_regression", "random_forest", "svm_linear"])
     return classify.fold_metrics(classify.leave_one_out(_supervised(spark, sf_dir), FEATURES, models), ["model"])
 
 
