@@ -8,9 +8,11 @@ documents are composed from them.
 An alignment is a stream of integers in text order, group by group, first the group's A tokens and then its B tokens:
 ``id * 4 + 2 * (token of B) + (first of its side in the group)``. Groups end where tokens of A and B end together.
 
-Data flow: documents are read once and coded as positions in their chunk's list of distinct segments (a chunk is a run
-of about ``CHUNK_BYTES`` of a task's texts); (chunk, segment) rows meet the aligned segments by an equi-join, in which
-a frequent segment has a row per chunk, not per occurrence; chunks are composed side by side. The table of linked id
+Data flow: documents are read once and coded as places in their chunk's list of distinct segments, frequent ones first
+(a chunk is a run of about ``CHUNK_BYTES`` of a task's texts). (chunk, segment) rows are sorted by segment, so that each
+distinct one is tokenised where its rows meet, and go back to their chunks with the alignment, where documents are
+composed. A frequent segment has a row per chunk, not per occurrence. Links are counted from the segments' counts; what
+documents with an unspelt segment put into these is taken out again. The table of linked id
 pairs is bounded by the vocabularies, whatever the corpus: the bytes of one token of a pair are a suffix of the
 other's, so there are at most as many pairs as both vocabularies have bytes, times the tokens that share their bytes.
 
@@ -31,10 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._util import map_texts, stage
+from gridloom.llm._util import map_texts, scratch
 from gridloom.llm.token_counts import byte_symbols
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+PART = 1 << 20
 #: What any of the libraries may take for white space; a cut is only made after another character.
 SPACE = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
 CUTS = " \t\n\x0b\x0c\r"  # space first
@@ -132,97 +135,133 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[path_a, path_b]
 
 
-def ragged(values: list, kind: pa.DataType) -> pa.Array:
-    """A list array from arrays of numbers."""
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def packed(places: np.ndarray) -> np.ndarray:
+    """Numbers as bytes: seven bits in each, the lowest first, the top bit set on all but the last."""
+    width = 1 + sum((places >= 1 << shift).astype(np.int64) for shift in (7, 14, 21, 28))
+    start = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    for k in range(int(width.max(initial=0))):
+        own = width > k
+        out[start[own] + k] = ((places[own] >> (7 * k)) & 127) | np.where(width[own] > k + 1, 128, 0)
+    return out
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The numbers of :func:`packed`."""
+    last = data < 128
+    begin = np.flatnonzero(np.r_[True, last[:-1]][: len(data)])
+    place = np.arange(len(data)) - np.repeat(begin, np.diff(np.r_[begin, len(data)]))
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), begin) if len(data) else np.zeros(0, np.int64)
 
 
 def coded(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str) -> DataFrame:
-    """Rows of documents ``(chunk, doc_id, codes)`` and of their chunk's segments ``(chunk, code, segment)``."""
+    """Rows of documents ``(chunk, doc_id, codes)`` and of their chunk's segments ``(chunk, code, segment, times)``."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    names = ["chunk", "doc_id", "codes", "code", "segment"]
+    names = ["chunk", "doc_id", "codes", "code", "segment", "times"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, size, chunk, of_id = aligner(path_a, path_b), {}, 0, TaskContext.get().partitionId() << 32, None
-
-        def listed() -> pa.RecordBatch:
+        own, known, size, chunk = aligner(path_a, path_b), {}, 0, TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        rows: list[np.ndarray] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """A chunk's documents, then its segments."""
+            times = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=len(known))
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at = 0
+            for some in ids:
+                n = len(some)
+                codes = pa.array([packed(place[r]).tobytes() for r in rows[at : at + n]], pa.binary())
+                at += n
+                empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), some, codes, *empty], names)
             n = len(known)
-            columns = [pa.array(np.full(n, chunk)), pa.nulls(n, of_id), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(known), pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array(np.full(n, chunk)), pa.nulls(n, ids[0].type), pa.nulls(n, pa.binary()), pa.array(place.astype(np.int32)), pa.array(list(known), pa.string()), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            of_id, n, rows = batch.column(0).type, batch.num_rows, []
+            ids.append(batch.column(0))
             for value in batch.column(1):
                 data = value.as_py()
                 rows.append(np.array([known.setdefault(s, len(known)) for s in own.segments(data)] if data else [], np.int32))
                 size += len(data or "")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column(0), ragged(rows, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
             if size >= CHUNK_BYTES:
-                yield listed()
-                known, size, chunk = {}, 0, chunk + 1
-        if known:
-            yield listed()
+                yield from closed()
+                known, size, chunk, ids, rows = {}, 0, chunk + 1, [], []
+        if ids:
+            yield from closed()
 
-    return map_texts(picked, code, f"chunk long, doc_id {kind}, codes array<int>, code int, segment string")
+    return map_texts(picked, code, f"chunk long, doc_id {kind}, codes binary, code int, segment string, times long")
 
 
-def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of many runs, one after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` staged in the shared folder, tightly compressed."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, stream``, staged in the shared folder."""
-    rows = stage(coded(docs, path_a, path_b, doc_id, text), "coded")
-    kind = dict(rows.dtypes)["doc_id"]
-    held = rows.where("segment IS NOT NULL").select(F.col("chunk").alias("own"), "code", "segment")
+def aligned_segments(held: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``own, code, times, stream`` of rows ``own, code, segment, times``: all rows of a segment meet, and it is
+    tokenised and aligned once. The stream is null where the tokens do not spell the segment."""
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
+        own, last, stream = aligner(path_a, path_b), None, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.streams(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["segment", "stream"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = held.select("segment").repartition(parts, "segment").distinct()  # the number of tasks is kept: tokenising is the work
-    found = held.join(map_texts(distinct, aligned, "segment string, stream array<int>"), "segment").select("own", "code", "stream")
-
-    def composed(chunk: pa.Table, streams: pa.Table) -> pa.Table:
-        chunk, streams = chunk.combine_chunks(), streams.combine_chunks()
-        order = np.zeros(streams.num_rows, np.int64)
-        order[streams["code"].to_numpy()] = np.arange(streams.num_rows)
-        values, spelt = _flat(streams["stream"])
-        starts, sizes = np.cumsum(values[1]) - values[1], values[1]
-        codes, lengths = _flat(chunk["codes"])[0]
-        out, at = [], 0
-        for n in lengths.tolist():
-            own = order[codes[at : at + n]]
-            at += n
-            out.append(values[0][gathered(starts[own], sizes[own])] if n and spelt[own].all() else np.zeros(0, np.int32))
-        return pa.table({"doc_id": chunk["doc_id"], "stream": ragged(out, pa.int32())})
+            segments = batch.column(2).to_pylist()
+            fresh = [s for s, before in zip(segments, [last, *segments], strict=False) if s != before]
+            made, streams = iter(own.streams(fresh)), []
+            for s in segments:
+                if s != last:
+                    last, stream = s, next(made)
+                streams.append(stream)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(streams, pa.list_(pa.int32()))], ["own", "code", "times", "stream"])
 
-    texts = rows.where("segment IS NULL").select("chunk", "doc_id", "codes")
-    both = texts.groupBy("chunk").cogroup(found.groupBy("own")).applyInArrow(composed, f"doc_id {kind}, stream array<int>")
-    return stage(both, "streams")
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the number of tasks is kept: tokenising is the work
+    met = held.repartition(parts, "segment").sortWithinPartitions("segment").select("own", "code", "segment", "times")
+    return kept(map_texts(met, aligned, "own long, code int, times long, stream array<int>"), "segments")
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of many runs, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def composed(chunk: pa.Table, segments: pa.Table, unspelt: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Parts of a chunk: ids of documents, their streams joined, and the lengths of these. A document with an unspelt
+    segment has length 0; or, if ``unspelt``, it alone has the streams of its other segments."""
+    order = np.zeros(segments.num_rows, np.int64)
+    order[segments["code"].to_numpy()] = np.arange(segments.num_rows)
+    (values, sizes), spelt = _flat(segments["stream"])
+    starts, part, lengths, first, size = np.cumsum(sizes) - sizes, [], [], 0, 0
+    ids = chunk["doc_id"].combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    for i, data in enumerate(chunk["codes"]):
+        own = order[unpacked(np.frombuffer(data.as_py(), np.uint8))]
+        if spelt[own].all() == unspelt:
+            own = own[:0]
+        part.append(values[gathered(starts[own], sizes[own])])
+        lengths.append(len(part[-1]))
+        size += lengths[-1]
+        if size >= PART or i + 1 == chunk.num_rows:
+            yield ids.slice(first, i + 1 - first), np.concatenate(part), np.array(lengths, np.int64)
+            part, lengths, first, size = [], [], i + 1, 0
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Values and lengths of a column of lists (null: length 0), and which are not null."""
-    if not column.num_chunks:
-        return (np.zeros(0, np.int32), np.zeros(0, np.int64)), np.zeros(0, bool)
-    array = column.combine_chunks()
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
     lengths = array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return (array.flatten().to_numpy(zero_copy_only=False), lengths), array.is_valid().to_numpy(zero_copy_only=False)
 
 
-def links(stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs ``A id << PAIR_BITS | B id`` of tokens that end together in joined streams whose documents end at
-    ``ends``, and the place of each pair's B token. Within a group only its last A and last B token do."""
-    ends = ends[ends > 0]
+def links(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``A id << PAIR_BITS | B id`` of tokens that end together in joined streams, and the place of each
+    pair's B token: within a group only its last A and its last B token do."""
     opens = np.flatnonzero((stream & 3) == 1)  # first A of a group
     turns = np.flatnonzero((stream & 3) == 3)  # first B of a group
     last_b = np.r_[opens[1:], len(stream)][: len(opens)] - 1
@@ -230,26 +269,46 @@ def links(stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (ids[turns - 1] << PAIR_BITS) | ids[last_b], last_b
 
 
-def link_counts(streams: DataFrame) -> DataFrame:
+def counted(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with their times added up."""
+    pairs, back = np.unique(pairs, return_inverse=True)
+    return pairs, np.bincount(back, times, len(pairs)).astype(np.int64)
+
+
+def link_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``pair, times``: how often each pair of ids is linked in the whole corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            (stream, lengths), _ = _flat(pa.chunked_array([batch.column(0)]))
-            new, n = np.unique(links(stream, np.cumsum(lengths))[0], return_counts=True)
-            pairs, back = np.unique(np.r_[pairs, new], return_inverse=True)
-            times = np.bincount(back, np.r_[times, n], len(pairs)).astype(np.int64)
+            (stream, sizes), _ = _flat(batch.column(1))
+            new, at = links(stream)
+            row = np.searchsorted(np.cumsum(sizes), at, "right")
+            pairs, times = counted(np.r_[pairs, new], np.r_[times, batch.column(0).to_numpy()[row]])
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "times"])
 
-    return map_texts(streams.select("stream"), count, "pair long, times long").groupBy("pair").agg(F.sum("times").alias("times"))
+    def undone(chunk: pa.Table, segments: pa.Table) -> pa.Table:
+        pairs = np.concatenate([links(stream)[0] for _, stream, _ in composed(chunk, segments, True)] or [np.zeros(0, np.int64)])
+        pairs, times = counted(pairs, np.ones(len(pairs)))
+        return pa.table({"pair": pairs, "times": -times})
+
+    schema = "pair long, times long"
+    counts = map_texts(found.select("times", "stream"), count, schema)
+    bad = found.where("stream IS NULL").select("own").distinct()
+    if not bad.isEmpty():
+        chunks, segments = texts.join(bad.withColumnRenamed("own", "chunk"), "chunk", "left_semi"), found.join(bad, "own", "left_semi")
+        counts = counts.unionAll(chunks.groupBy("chunk").cogroup(segments.groupBy("own")).applyInArrow(undone, schema))
+    return counts.groupBy("pair").agg(F.sum("times").alias("times"))
 
 
-def summarise(streams: DataFrame) -> DataFrame:
-    """Per row of ``streams``: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups``; ``groups`` is the
+def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups``; ``groups`` is the
     alignment as text (``a1,a2|b1;a3|b2,b3``). A link is best if its count is the highest of its B id."""
-    spark, kind = streams.sparkSession, dict(streams.dtypes)["doc_id"]
-    table = link_counts(streams).toArrow()  # bounded by the two vocabularies
+    rows = kept(coded(docs, path_a, path_b, doc_id, text), "coded")
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["doc_id"]
+    texts = rows.where("segment IS NULL").select("chunk", "doc_id", "codes")
+    found = aligned_segments(rows.where("segment IS NOT NULL").select(F.col("chunk").alias("own"), "code", "segment", "times"), path_a, path_b)
+    table = link_counts(texts, found).toArrow()  # bounded by the two vocabularies
     order = np.argsort(table["pair"].to_numpy())
     pairs, times = table["pair"].to_numpy()[order], table["times"].to_numpy()[order]
     to = pairs & ((1 << PAIR_BITS) - 1)
@@ -258,25 +317,26 @@ def summarise(streams: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((pairs, times, times == best[to]))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pairs, times, top), shown = shared.value, Shown()
-        for batch in batches:
-            (stream, lengths), _ = _flat(pa.chunked_array([batch.column(1)]))
+    def digest(chunk: pa.Table, segments: pa.Table) -> pa.Table:
+        (pairs, times, top), shown, parts = shared.value, Shown(), []
+        for ids, stream, lengths in composed(chunk, segments, False):
             ends = np.cumsum(lengths)
-            found, at = links(stream, ends)
-            place = np.searchsorted(pairs, found)
+            new, at = links(stream)
+            place = np.searchsorted(pairs, new)
 
-            def totals(values: np.ndarray, where: np.ndarray, ends: np.ndarray = ends, lengths: np.ndarray = lengths) -> pa.Array:
+            def totals(values: np.ndarray, where: np.ndarray | None = None, ends: np.ndarray = ends, lengths: np.ndarray = lengths) -> pa.Array:
                 upto = np.r_[0, np.cumsum(values)]
-                return pa.array(upto[np.searchsorted(where, ends)] - upto[np.searchsorted(where, ends - lengths)])
+                high, low = (ends, ends - lengths) if where is None else (np.searchsorted(where, ends), np.searchsorted(where, ends - lengths))
+                return pa.array(upto[high] - upto[low])
 
-            every = np.arange(len(stream))
-            of_b = (stream >> 1) & 1
+            of_b = ((stream >> 1) & 1).astype(np.int64)
             n_links = totals(np.ones(len(at), np.int64), at)
-            columns = [totals(1 - of_b, every), totals(of_b, every), n_links, n_links, totals(top[place].astype(np.int64), at), totals(times[place], at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(shown.texts(stream, lengths), pa.string())], names)
+            columns = [totals(1 - of_b), totals(of_b), n_links, n_links, totals(top[place].astype(np.int64), at), totals(times[place], at)]
+            parts.append(pa.table([ids, *columns, pa.array(shown.texts(stream, lengths), pa.string())], names))
+        return pa.concat_tables(parts)
 
-    return map_texts(streams.select("doc_id", "stream"), digest, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", groups string")
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", groups string"
+    return texts.groupBy("chunk").cogroup(found.select("own", "code", "stream").groupBy("own")).applyInArrow(digest, schema)
 
 
 class Shown:
@@ -293,8 +353,3 @@ class Shown:
             out.append("".join(codes[at : at + n])[1:])
             at += n
         return out
-
-
-def align_and_count(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`summarise` over :func:`align`."""
-    return summarise(align(docs, path_a, path_b, doc_id, text))

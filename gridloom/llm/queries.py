@@ -183,7 +183,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alignment.align_and_count(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 

@@ -73,11 +73,17 @@ def test_safe_spaces_and_segments(own):
         assert got == [c for x, y in groups for c in [i * 4 + (k == 0) for k, i in enumerate(x)] + [i * 4 + 2 + (k == 0) for k, i in enumerate(y)]]
 
 
+def test_packed_numbers():
+    n = np.r_[np.arange(300), 1 << 14, (1 << 14) - 1, 1 << 21, 5, (1 << 28) + 3]
+    assert alignment.unpacked(alignment.packed(n)).tolist() == n.tolist()
+    assert len(alignment.unpacked(alignment.packed(n[:0]))) == 0
+
+
 def test_alignment_equals_whole_texts(spark, own, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", 500)
     texts = [*random_texts(300, seed=2), "", "same text here", "same text here", "a ▁ b"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    rows = {r.doc_id: r for r in alignment.align_and_count(docs, A, B).collect()}
+    rows = {r.doc_id: r for r in alignment.align(docs, A, B).collect()}
     for i, want in enumerate(expected_alignments(own, texts)):
         r = rows[i]
         digest = hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else ""
@@ -93,8 +99,8 @@ def test_alignment_query(spark, own):
 
 
 def test_alignment_odd_rows(odd_docs, no_docs, own):
-    rows = alignment.align_and_count(odd_docs, A, B).collect()
-    assert len(rows) == 13 and alignment.align_and_count(no_docs, A, B).collect() == []
+    rows = alignment.align(odd_docs, A, B).collect()
+    assert len(rows) == 13 and alignment.align(no_docs, A, B).collect() == []
     assert {(r.n_a, r.groups) for r in rows if r.doc_id in (3, 4)} == {(0, "")}
     twice = [tuple(r) for r in rows if r.doc_id == 2]
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0][1] > 0
