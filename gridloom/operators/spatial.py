@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import pvalues
 from gridloom.functions.lineage import cut
 from gridloom.functions.ordering import placed
+from gridloom.operators import overlay
 
 RING = "array<struct<x:double,y:double>>"
 #: Bounding boxes of the study regions as (west, south, east, north) in degrees.
@@ -119,63 +120,27 @@ def pixels_in_rings(pixels: DataFrame, units: DataFrame, ring: str, size: float,
     return placed.join(cells(units, ring, size), "cell").where(contains(F.col(ring), F.col(x), F.col(y))).drop("cell", ring)
 
 
-def _padded(rings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Rings as one array (rows, points, 2), with their numbers of points."""
-    n = np.array([len(r) for r in rings], np.int64)
-    out = np.zeros((len(n), max(1, int(n.max(initial=0))), 2))
-    flat = np.array([(p["x"], p["y"]) for r in rings for p in r], float).reshape(-1, 2)
-    rows, starts = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
-    out[rows, np.arange(len(rows)) - starts] = flat
-    return out, n
-
-
-def _areas(points: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Signed shoelace areas of padded rings."""
-    at = np.arange(points.shape[1])[None]
-    after = np.take_along_axis(points, np.where(at + 1 < n[:, None], at + 1, 0)[:, :, None], 1)
-    cross = points[:, :, 0] * after[:, :, 1] - after[:, :, 0] * points[:, :, 1]
-    return np.where(at < n[:, None], cross, 0).sum(1) / 2
-
-
-def clipped_areas(subject: pd.Series, window: pd.Series) -> np.ndarray:
-    """Areas of the parts of rings inside convex windows, all rows at once: every window edge cuts every ring."""
-    (points, n), (frame, m) = _padded(subject), _padded(window)
-    sign = np.sign(_areas(frame, m))
-    for e in range(frame.shape[1]):
-        a = frame[:, e]
-        b = frame[np.arange(len(m)), np.where(e + 1 < m, e + 1, 0)]
-        side = sign[:, None] * ((b[:, 0] - a[:, 0])[:, None] * (points[:, :, 1] - a[:, 1, None]) - (b[:, 1] - a[:, 1])[:, None] * (points[:, :, 0] - a[:, 0, None]))
-        at = np.arange(points.shape[1])[None]
-        prior = np.where(at > 0, at - 1, np.maximum(n - 1, 0)[:, None])
-        before, side_before = np.take_along_axis(points, prior[:, :, None], 1), np.take_along_axis(side, prior, 1)
-        live, cutting = at < n[:, None], (e < m)[:, None]
-        crosses = live & cutting & ((side >= 0) != (side_before >= 0))
-        f = np.divide(side_before, side_before - side, out=np.zeros_like(side), where=crosses)
-        made = np.stack([before + f[:, :, None] * (points - before), points], 2).reshape(len(n), -1, 2)
-        keep = np.stack([crosses, live & ((side >= 0) | ~cutting)], 2).reshape(len(n), -1)
-        order = np.argsort(~keep, axis=1, kind="stable")
-        n = keep.sum(1)
-        points = np.take_along_axis(made, order[:, : max(1, int(n.max(initial=0))), None], 1)
-    return np.abs(_areas(points, n))
-
-
 def clipped_area(a: Column, b: Column) -> Column:
-    """Area of the intersection of two rings, the second convex."""
+    """Area of the intersection of two rings of any shape."""
+    return overlay.overlay(F.array(a), F.array(b))["area"]
 
-    @F.pandas_udf("double")
-    def measure(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(clipped_areas(left, right))
 
-    return measure(a, b)
+def shape_column(df: DataFrame, name: str = "ring") -> Column:
+    """A column of rings, or of shapes (arrays of rings, see :mod:`gridloom.operators.overlay`), as shapes."""
+    return F.col(name) if dict(df.dtypes)[name].startswith("array<array") else F.array(name)
 
 
 def covered(units: DataFrame, buildings: DataFrame, unit: str, size: float) -> DataFrame:
-    """Per unit: building_count, built_area (clipped) and built_ratio; units without a building have zeros. A
-    building that touches two units counts in both."""
-    pairs = box_join(buildings.select(F.col("id").alias("__b"), F.col("ring").alias("ring_b")), units.select(unit, F.col("ring").alias("ring_u")), "ring_b", "ring_u", size)
-    parts = pairs.select(unit, "__b", clipped_area(F.col("ring_b"), F.col("ring_u")).alias("part")).where("part > 0")
-    sums = parts.groupBy(unit).agg(F.count(F.lit(1)).alias("building_count"), F.sum("part").alias("built_area"))
-    out = units.select(unit, area(F.col("ring")).alias("__area")).join(sums, unit, "left")
+    """Per unit: building_count, built_area (of the parts inside the unit) and built_ratio; units without a building
+    have zeros. Units and buildings are rings or shapes, in a column ``ring``. Every building that has a point in common
+    with a unit counts there, as one that touches two units counts in both."""
+    outline = lambda df, name: F.flatten(shape_column(df)).alias(name)
+    mine = units.select(unit, shape_column(units).alias("shape_u"), outline(units, "box_u"))
+    theirs = buildings.select(F.col("id").alias("__b"), shape_column(buildings).alias("shape_b"), outline(buildings, "box_b"))
+    pairs = box_join(theirs, mine, "box_b", "box_u", size)
+    parts = pairs.select(unit, overlay.overlay(F.col("shape_b"), F.col("shape_u")).alias("o")).where("o.meets")
+    sums = parts.groupBy(unit).agg(F.count(F.lit(1)).alias("building_count"), F.sum("o.area").alias("built_area"))
+    out = units.select(unit, overlay.shape_area(shape_column(units)).alias("__area")).join(sums, unit, "left")
     return out.select(unit, F.coalesce("building_count", F.lit(0)).alias("building_count"), F.coalesce("built_area", F.lit(0.0)).alias("built_area"), F.coalesce(F.try_divide(F.col("built_area"), F.col("__area")), F.lit(0.0)).alias("built_ratio"))
 
 

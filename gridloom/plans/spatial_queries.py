@@ -88,7 +88,7 @@ def bbox_spatial_join(spark, sf_dir):
 
 
 @query(f"""WITH {UNIT_BOX}, {PART_BOX}, i AS (SELECT unit_id, (least(bx + s, x0 + 10) - greatest(bx, x0)) AS w, (least(byy + s, y0 + 10) - greatest(byy, y0)) AS h FROM b, u),
-    g AS (SELECT unit_id, count(*) AS n, sum(w * h) AS a FROM i WHERE w > 1e-9 AND h > 1e-9 GROUP BY 1)
+    g AS (SELECT unit_id, count(*) AS n, sum(w * h) AS a FROM i WHERE w >= 0 AND h >= 0 GROUP BY 1)
     SELECT unit_id, coalesce(n, 0) AS building_count, round(coalesce(a, 0), 5) AS built_area, round(coalesce(a, 0) / 100, 6) AS built_ratio FROM u LEFT JOIN g USING (unit_id)""")
 def clipped_building_area(spark, sf_dir):
     """Clipped areas per unit, zeros for units without a building."""
@@ -96,6 +96,34 @@ def clipped_building_area(spark, sf_dir):
     return out.select("unit_id", "building_count", F.round("built_area", 5).alias("built_area"), F.round("built_ratio", 6).alias("built_ratio"))
 
 
+#: Units that are not convex: an L, a frame and two parts, by id; as tiles for SQL.
+SHAPED = f"""{UNIT_BOX}, {PART_BOX}, tiles AS (
+    SELECT unit_id, x0 + t.x AS x0, y0 + t.y AS y0, t.w AS w, t.h AS h FROM u JOIN (VALUES
+      (0, 0, 0, 10, 5), (0, 0, 5, 5, 5),
+      (1, 0, 0, 10, 3), (1, 0, 7, 10, 3), (1, 0, 3, 3, 4), (1, 7, 3, 3, 4),
+      (2, 0, 0, 4, 10), (2, 6, 0, 4, 10)) AS t(kind, x, y, w, h) ON unit_id % 3 = kind)"""
+
+
+def _shaped_units(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    x, y = (F.col("s_suppkey") % 10) * 10, (F.floor(F.col("s_suppkey") / 10) % 1000) * 10
+    ring = lambda *points: F.array(*(F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in points))
+    corner = F.array(ring((0, 0), (10, 0), (10, 5), (5, 5), (5, 10), (0, 10)))
+    frame = F.array(ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((3, 3), (7, 3), (7, 7), (3, 7)))
+    parts = F.array(ring((0, 0), (4, 0), (4, 10), (0, 10)), ring((6, 10), (10, 10), (10, 0), (6, 0)))
+    kind = F.col("s_suppkey") % 3
+    return s.select(F.col("s_suppkey").alias("unit_id"), F.when(kind == 0, corner).when(kind == 1, frame).otherwise(parts).alias("ring"))
+
+
+@query(f"""WITH {SHAPED}, i AS (SELECT unit_id, id, least(bx + s, x0 + w) - greatest(bx, x0) AS iw, least(byy + s, y0 + h) - greatest(byy, y0) AS ih FROM b, tiles),
+    g AS (SELECT unit_id, count(DISTINCT id) AS n, sum(iw * ih) AS a FROM i WHERE iw >= 0 AND ih >= 0 GROUP BY 1), t AS (SELECT unit_id, sum(w * h) AS whole FROM tiles GROUP BY 1)
+    SELECT unit_id, coalesce(n, 0) AS building_count, round(coalesce(a, 0), 5) AS built_area, round(coalesce(a, 0) / whole, 6) AS built_ratio FROM t LEFT JOIN g USING (unit_id)""")
+def built_up_any_shape(spark, sf_dir):
+    """Buildings in units that are not convex, have a hole or two parts; a touch counts as a building."""
+    out = spatial.covered(_shaped_units(spark, sf_dir), _part_rings(spark, sf_dir), "unit_id", 10.0)
+    return out.select("unit_id", "building_count", F.round("built_area", 5).alias("built_area"), F.round("built_ratio", 6).alias("built_ratio"))
+
+
 QUEEN = f"{UNIT_BOX}, e0 AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM u a JOIN u b ON abs(a.x0 - b.x0) <= 10 AND abs(a.y0 - b.y0) <= 10 AND a.unit_id <> b.unit_id), e AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e0)"
 
 

@@ -445,24 +445,6 @@ def inside(ring, x, y):
     return hit
 
 
-def test_clipped_areas_against_sampling(spark):
-    """Stars and triangles in convex windows of either direction, against a fine grid of points."""
-    rng = np.random.default_rng(7)
-    rows = []
-    for _ in range(6):
-        angles = np.sort(rng.uniform(0, 2 * np.pi, 7))
-        star = [(5 + r * np.cos(a), 5 + r * np.sin(a)) for a, r in zip(angles, rng.uniform(1, 5, 7), strict=True)]
-        window = [(3, 2), (9, 3), (8, 8), (4, 9)]
-        rows.append((star, window[::-1] if rng.random() < 0.5 else window))
-    rows += [([(0, 0), (1, 0), (0, 1)], [(5, 5), (6, 5), (6, 6)]), ([(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 2), (6, 2), (6, 6), (2, 6)])]
-    got = [r[0] for r in ring_columns(spark, rows, "ab").select(spatial.clipped_area(F.col("a"), F.col("b"))).collect()]
-    assert got[-2:] == [0.0, 4.0]
-    grid = (np.arange(300) + 0.5) / 30
-    for (a, b), area in zip(rows, got, strict=True):
-        share = sum(inside(a, x, y) and inside(b, x, y) for x in grid for y in grid) / 900
-        assert area == pytest.approx(share, abs=0.15)
-
-
 def test_contains_and_intersects(spark):
     ring = [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)]
     others = [[(2.5, 4), (3.5, 4), (3, 5)], [(1, 1), (2, 1), (2, 2)], [(-9, -9), (20, -9), (20, 20), (-9, 20)], [(6, 0), (8, 0), (8, 1)], [(5, 5), (9, 5), (9, 9)], [(7, 7), (9, 7), (9, 9)]]
