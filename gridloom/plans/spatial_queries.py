@@ -269,3 +269,30 @@ def texture_recompute(spark, sf_dir):
     old = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("window_id"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.lit(-1.0).alias("contrast"))
     new = texture.window_texture(_pixels(spark, sf_dir), ["window_id"]).select("window_id", "contrast")
     return rounded(texture.replace_texture(old, new, ["window_id"]))
+
+
+#: The ellipsoid's excentricity, squared; the arc of the meridian is summed by Simpson's rule.
+_E2 = "(2 / 298.257222101 - pow(1 / 298.257222101, 2))"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS unit_id, 30 + s_suppkey % 15 + 0.25 AS lat FROM supplier),
+    g AS (SELECT unit_id, lat, 36 + (lat - 36) * i / 200 AS phi, (lat - 36) / 200 AS h, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM s, range(0, 201) AS r(i))
+    SELECT unit_id, round(0.9999 * sum(w * 6378137 * (1 - {_E2}) / pow(1 - {_E2} * pow(sin(radians(phi)), 2), 1.5)) * any_value(radians(h)) / 3, 3) AS northing FROM g GROUP BY unit_id""")
+def plane_northing(spark, sf_dir):
+    """Northings on the central meridian of zone 7, against a sum over the meridian."""
+    from gridloom.functions import projection
+
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), (30 + F.col("s_suppkey") % 15 + 0.25).alias("lat"))
+    _, y = projection.forward(F.lit(137 + 10 / 60), F.col("lat"), projection.zone(6675))
+    return s.select("unit_id", F.round(y, 3).alias("northing"))
+
+
+@query("SELECT s_suppkey AS unit_id, round(136 + s_suppkey % 40 / 20, 8) AS lon, round(34.5 + s_suppkey % 37 / 10, 8) AS lat FROM supplier")
+def plane_round_trip(spark, sf_dir):
+    """Degrees to the plane of zone 7 and back."""
+    from gridloom.functions import projection
+
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), (136 + F.col("s_suppkey") % 40 / 20).alias("lon"), (34.5 + F.col("s_suppkey") % 37 / 10).alias("lat"))
+    x, y = projection.forward(F.col("lon"), F.col("lat"), projection.zone(6675))
+    lon, lat = projection.back(F.col("x"), F.col("y"), projection.zone(6675))
+    return s.withColumns({"x": x, "y": y}).select("unit_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))

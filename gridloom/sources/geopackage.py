@@ -6,8 +6,10 @@ import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.functions import projection
 from gridloom.sources.wkb import geopackage_blob
 
 KINDS = {"INTEGER": "long", "INT": "long", "MEDIUMINT": "long", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary", "GEOMETRY": "binary", "POLYGON": "binary", "MULTIPOLYGON": "binary", "BOOLEAN": "boolean"}
@@ -72,9 +74,11 @@ class _Reader(DataSourceReader):
                 yield tuple(bool(v) if k == "boolean" and v is not None else str(v) if k == "string" and v is not None else v for v, (_, k) in zip(row, self.columns, strict=True))
 
 
-def write_layer(df: DataFrame, path: str, table: str, ring: str = "ring", srs: int = 4326) -> int:
-    """One feature table of ``df`` with its rings as polygons (already in ``srs``); the number of rows. A file of this
-    kind has one writer: rows come to the driver one by one."""
+def write_layer(df: DataFrame, path: str, table: str, ring: str = "ring", srs: int = 4326, source: int | None = None) -> int:
+    """One feature table of ``df`` with its rings as polygons in ``srs``, from the system ``source`` if it is another;
+    the number of rows. A file of this kind has one writer: rows come to the driver one by one."""
+    if source not in (None, srs):
+        df = df.withColumn(ring, projection.reproject(F.col(ring), source, srs))
     names = [c for c in df.columns if c != ring]
     kinds = {"long": "INTEGER", "bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN", "binary": "BLOB"}
     types = dict(df.dtypes)
