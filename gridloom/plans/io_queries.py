@@ -208,3 +208,18 @@ def pixel_export(spark, sf_dir):
     sinks.write_pixels(rows, path)
     back = spark.read.schema("row long, col int, value double, month string, band string").parquet(path)
     return rounded(back.groupBy("month", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3)
+
+
+@query("""SELECT CAST(l_linenumber AS INTEGER) AS band, CAST(l_orderkey // 16 AS BIGINT) AS row, CAST(l_orderkey % 16 AS BIGINT) AS col, round(l_orderkey % 16 + 0.5, 3) AS x, round(-(l_orderkey // 16) - 0.5, 3) AS y, CAST(max(l_quantity) AS DOUBLE) AS value
+    FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 16 BETWEEN 2 AND 9 AND l_orderkey // 16 BETWEEN 10 AND 900 GROUP BY ALL""")
+def raster_window(spark, sf_dir):
+    """Bands written as GeoTIFF files, a window of them read again; tiles outside it are not read."""
+    from gridloom.sources import raster
+
+    path = lineage.scratch(spark, "raster")
+    row, col = F.floor(F.col("l_orderkey") / 16), F.col("l_orderkey") % 16
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("band"), row.alias("row"), col.alias("col")).agg(F.max("l_quantity").alias("value"))
+    height = li.agg(F.max("row")).first()[0] + 1
+    raster.write_raster(li, path, 16, height, bands=3, block=256)
+    back = raster.read_raster(spark, path, bounds=(2.0, -901.0, 10.0, -10.0)).where("value IS NOT NULL")
+    return back.select("band", F.floor(-F.col("y")).alias("row"), F.floor("x").alias("col"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "value")
