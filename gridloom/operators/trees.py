@@ -62,6 +62,11 @@ class Trees:
         self.feature = np.full((count, 2 << depth), -1, np.int16)
         self.bin = np.zeros((count, 2 << depth), np.uint8)
         self.stats = np.zeros((count, 2 << depth, stats), np.float32)
+        self.covers: Callable = lambda s: s.sum(-1)
+
+    def cover(self) -> np.ndarray:
+        """Training weight of each node."""
+        return self.covers(self.stats)
 
     def leaves(self, code: np.ndarray, tree: np.ndarray, levels: int | None = None) -> np.ndarray:
         """The node that each row reaches in its tree, after at most ``levels`` cuts."""
@@ -188,7 +193,12 @@ class Forest:
                 out += own / np.maximum(own.sum(1, keepdims=True), 1e-12)
             return out / np.maximum(out.sum(1, keepdims=True), 1e-12)
 
-        predict.trees, predict.edges = grown, edges
+        def parts() -> list[tuple[Trees, np.ndarray, np.ndarray]]:
+            """Trees, the chosen ones and their nodes' outputs, for explanations of the first task."""
+            shares = grown.stats / np.maximum(grown.stats.sum(2, keepdims=True), 1e-12)
+            return [(grown, np.arange(b), shares / b)]
+
+        predict.trees, predict.edges, predict.parts = grown, edges, parts
         return predict
 
 
@@ -259,5 +269,14 @@ class Boosting:
                     out[:, k] += leaf[t * classes + k, own.leaves(code, t * classes + k)]
             return softmax(out, present[t])
 
-        predict.trees, predict.edges = made, edges
+        def parts() -> list[tuple[Trees, np.ndarray, np.ndarray]]:
+            out = []
+            for own in made:
+                own.covers = lambda s: s[..., 2]
+                nodes = np.zeros((len(every), own.feature.shape[1], classes))
+                nodes[every, :, every % classes] = value(own)
+                out.append((own, np.arange(classes), nodes))
+            return out
+
+        predict.trees, predict.edges, predict.parts = made, edges, parts
         return predict

@@ -421,6 +421,18 @@ def shapley_importance(spark, sf_dir):
     return classify.shapley(df, FEATURES, model)
 
 
+@query()
+def tree_shap_importance(spark, sf_dir):
+    """Exact Shapley values of a forest's trees, for all 64 columns of the points."""
+    from gridloom.operators import batched, explain, trees
+
+    df = points(spark, sf_dir).select("id", "label", *XS)
+    rows = cluster.compact(batched.task_rows(df, XS, F.array()))
+    classes = rows.agg(F.max("label")).first()[0] + 1
+    predict = trees.Forest(trees=100, depth=6).fit_tasks(rows, 1, classes, len(XS))
+    return explain.importance(explain.explained(rows, predict, XS, classes))
+
+
 @query()
 def leave_one_out(spark, sf_dir):
     """The reference's three models on the cross-section."""

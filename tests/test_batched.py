@@ -159,3 +159,60 @@ def test_cross_validate_mixes_batched_and_single_fits(spark):
     right = {m: np.mean([r.y_true == r.y_pred for r in got if r.model == m]) for m in models}
     assert right["logistic_regression"] > 0.9 and right["xgboost"] > 0.9 and right["svm_rbf"] > 0.9
     assert {r.probability is None for r in got if r.model == "svm_rbf"} == {True}
+
+
+def expected_value(trees_, t, node, value, row, known):
+    """A tree's value with some columns known, node by node."""
+    f = trees_.feature[t, node]
+    if f < 0:
+        return value[t, node]
+    left, right = 2 * node, 2 * node + 1
+    if f in known:
+        return expected_value(trees_, t, left if row[f] <= trees_.bin[t, node] else right, value, row, known)
+    cover = trees_.cover()
+    a, b = cover[t, left], cover[t, right]
+    return (a * expected_value(trees_, t, left, value, row, known) + b * expected_value(trees_, t, right, value, row, known)) / (a + b)
+
+
+@pytest.mark.parametrize("model", [trees.Forest(trees=4, depth=4), trees.Boosting(rounds=3, depth=3)])
+def test_explanations_equal_all_orderings(spark, rows, data, model):
+    from itertools import permutations
+
+    from gridloom.operators import explain
+
+    x, _, _ = data
+    alone = rows.withColumn("out", F.array().cast("array<int>"))
+    predict = model.fit_tasks(alone, 1, K, P)
+    found = explain.explained(alone, predict, ["a", "b", "c"], K).collect()
+    got = {(r.id, r["class"], "abc".index(r.feature)): r.value for r in found}
+    assert len(got) == N * K * P
+    code, orders = trees.coded(x, predict.edges), list(permutations(range(P)))
+    for i in range(0, N, 17):
+        want = np.zeros((P, K))
+        for own, chosen, value in predict.parts():
+            for t in chosen:
+                for order in orders:
+                    for k, f in enumerate(order):
+                        gain = expected_value(own, t, 1, value, code[i], set(order[: k + 1])) - expected_value(own, t, 1, value, code[i], set(order[:k]))
+                        want[f] += gain / len(orders)
+        for f in range(P):
+            assert [got[i, c, f] for c in range(K)] == pytest.approx(want[f].tolist(), abs=1e-6)
+
+
+def test_explanations_of_many_columns_add_up(spark):
+    from gridloom.operators import explain
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(150, 46))
+    y = (x[:, 3] + x[:, 40] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), []) for i in range(150)], "id long, label int, x array<double>, out array<int>")
+    predict = trees.Forest(trees=40, depth=5).fit_tasks(df, 1, 2, 46)
+    names = [f"c{i}" for i in range(46)]
+    values = explain.explained(df, predict, names, 2)
+    top = [r.feature for r in explain.importance(values).orderBy(F.desc("mean_abs_shap")).limit(2).collect()]
+    assert set(top) == {"c3", "c40"}
+    sums = {r.id: r.s for r in values.where("class = 1").groupBy("id").agg(F.sum("value").alias("s")).collect()}
+    (own, chosen, value), = predict.parts()
+    base = sum(expected_value(own, t, 1, value, None, set())[1] for t in chosen)
+    shares = predict(x, np.zeros(150, int))[:, 1]
+    assert [sums[i] + base for i in range(150)] == pytest.approx(shares.tolist(), abs=1e-5)
