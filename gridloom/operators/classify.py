@@ -511,10 +511,10 @@ def fit_all(df: DataFrame, columns: list[str], models: dict[str, Callable]) -> d
 
 
 def save_models(models: dict[str, object], path: str) -> list[str]:
-    """Write every model that Spark ML can write; returns the names written."""
-    done = []
+    """Write every model; returns their names. Models that Spark ML cannot write are refused before any is written."""
+    refused = sorted(name for name, model in models.items() if not hasattr(model, "write"))
+    if refused:
+        raise ValueError(f"these models have no form that can be saved: {', '.join(refused)}")
     for name, model in models.items():
-        if hasattr(model, "write"):
-            PipelineModel([model]).write().overwrite().save(f"{path}/{name}")
-            done.append(name)
-    return done
+        PipelineModel([model]).write().overwrite().save(f"{path}/{name}")
+    return list(models)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def metrics(matrix: DataFrame, keys: list[str]) -> DataFrame:
 
 def haralick(matrix: DataFrame, keys: list[str]) -> DataFrame:
     """The named texture measures of a symmetric matrix per angle, averaged over angles: asm, contrast, corr, var, idm,
-    savg, svar, sent, ent, dvar, dent, imcorr1, imcorr2, diss, inertia, shade, prom. Natural logarithms; a measure
-    whose denominator is 0 is 0. (The maximal correlation coefficient is not among them.)"""
+    savg, svar, sent, ent, dvar, dent, imcorr1, imcorr2, diss, inertia, shade, prom, and maxcorr of
+    :func:`maximal_correlation`. Natural logarithms; a measure whose denominator is 0 is 0."""
     by = [*keys, "angle"]
     m = matrix.withColumns({"i": F.col("i").cast("double"), "j": F.col("j").cast("double")})
     p, i, j = F.col("p"), F.col("i"), F.col("j")
@@ -84,7 +86,28 @@ def haralick(matrix: DataFrame, keys: list[str]) -> DataFrame:
         "imcorr2": F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (2 * F.col("hx") - F.col("ent"))))),
         "inertia": F.col("contrast"),
     })
-    return named.groupBy(*keys).agg(*(F.avg(n).alias(n) for n in HARALICK))
+    return named.groupBy(*keys).agg(*(F.avg(n).alias(n) for n in HARALICK)).join(maximal_correlation(matrix, keys), keys)
+
+
+def maximal_correlation(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    """The maximal correlation coefficient of a symmetric matrix per angle, averaged over angles: the root of the second
+    eigenvalue of Q(i, j) = sum of p(i, k) p(j, k) / (p(i) p(k)). Q is the square of p(i, j) / root(p(i) p(j)), which is
+    symmetric, so that root is the second largest of that matrix's absolute eigenvalues. A group is at most the squared
+    number of grey levels. A single level has 0."""
+    by = [*keys, "angle"]
+    kinds = dict(matrix.dtypes)
+
+    def second(group: pd.DataFrame) -> pd.DataFrame:
+        levels, at = np.unique(np.r_[group["i"], group["j"]], return_inverse=True)
+        n = len(group)
+        p = np.zeros((len(levels), len(levels)))
+        p[at[:n], at[n:]] = group["p"]
+        root = np.sqrt(p.sum(1))
+        values = np.sort(np.abs(np.linalg.eigvalsh(p / np.outer(root, root))))
+        return pd.DataFrame([[*group[by].iloc[0], values[-2] if len(values) > 1 else 0.0]], columns=[*by, "maxcorr"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", maxcorr double"
+    return matrix.groupBy(*by).applyInPandas(second, schema).groupBy(*keys).agg(F.avg("maxcorr").alias("maxcorr"))
 
 
 def usable(pixels: DataFrame, keys: list[str], level: str = "level") -> DataFrame:

@@ -296,3 +296,13 @@ def plane_round_trip(spark, sf_dir):
     x, y = projection.forward(F.col("lon"), F.col("lat"), projection.zone(6675))
     lon, lat = projection.back(F.col("x"), F.col("y"), projection.zone(6675))
     return s.withColumns({"x": x, "y": y}).select("unit_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query(f"""WITH {PIXELS}, b AS (SELECT window_id, row, col, CAST(level >= 4 AS INTEGER) AS level FROM px), o AS (SELECT * FROM (VALUES (0, 0, 1), (45, 1, 1), (90, 1, 0), (135, 1, -1)) AS t(angle, dr, dc)),
+    m AS (SELECT a.window_id, angle, a.level AS i, c.level AS j FROM b a, o JOIN b c ON c.window_id = a.window_id AND c.row = a.row + dr AND c.col = a.col + dc),
+    s AS (SELECT * FROM m UNION ALL SELECT window_id, angle, j, i FROM m)
+    SELECT window_id, round(avg(r), 6) AS maxcorr FROM (SELECT window_id, angle, abs(corr(i, j)) AS r FROM s GROUP BY 1, 2) GROUP BY 1""")
+def maximal_correlation(spark, sf_dir):
+    """The maximal correlation coefficient; of two levels it is the absolute correlation."""
+    two = _pixels(spark, sf_dir).withColumn("level", (F.col("level") >= 4).cast("int"))
+    return rounded(texture.maximal_correlation(texture.glcm(two, ["window_id"]), ["window_id"]))

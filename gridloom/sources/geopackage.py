@@ -1,4 +1,7 @@
-"""GeoPackage files (SQLite) as a data source: ``spark.read.format("gpkg").option("table", ..).load(path)``."""
+"""GeoPackage files (SQLite) as a data source: ``spark.read.format("gpkg").option("table", ..).load(path)``.
+
+Comparisons, null tests, lists and string prefixes are answered by SQLite, if ``spark.sql.python.filterPushdown.enabled``
+is set (:func:`register` sets it where the session has not). The option ``columns`` names what is fetched."""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.functions import projection
@@ -49,6 +53,37 @@ class GeoPackage(DataSource):
         return _Reader(self.options["path"], self.options["table"], self._picked(), int(self.options.get("partitions", "4")))
 
 
+#: Filters with one value and their SQL.
+COMPARED = {"EqualTo": "=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<="}
+
+
+def predicate(f: ds.Filter, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """A filter as SQL and its values, where SQLite and Spark agree: on numbers as they are stored, and on texts that are
+    stored as texts (SQLite keeps whatever type a value has, so the type is tested too)."""
+    name = type(f).__name__
+    if name == "Not":
+        return None  # SQL's logic of nulls is left to Spark
+    column = f.attribute[0] if len(f.attribute) == 1 else None
+    kind = kinds.get(column)
+    if kind is None:
+        return None
+    quoted = '"' + column.replace('"', '""') + '"'
+    if name in ("IsNull", "IsNotNull"):
+        return (f"{quoted} IS {'NOT ' if name == 'IsNotNull' else ''}NULL", [])
+    values = list(f.value) if name == "In" else [f.value]
+    stored = {"long": (int,), "double": (int, float), "string": (str,)}.get(kind, ())
+    if not all(isinstance(v, stored) and not isinstance(v, bool) for v in values):
+        return None
+    typed = f"(typeof({quoted}) = 'text' AND " if kind == "string" else "("
+    if name == "In":
+        return (f"{typed}{quoted} IN ({', '.join('?' * len(values))}))", values)
+    if name == "StringStartsWith":
+        return (f"{typed}substr({quoted}, 1, ?) = ?)", [len(f.value), f.value])
+    if name in COMPARED and (kind != "string" or name == "EqualTo"):
+        return (f"{typed}{quoted} {COMPARED[name]} ?)", values)
+    return None
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         super().__init__((low, high))
@@ -57,6 +92,17 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str, columns: list[tuple[str, str]], parts: int):
         self.path, self.table, self.columns, self.parts = path, table, columns, parts
+        self.where: list[tuple[str, list]] = []
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Filters that SQLite answers as Spark does are kept here; the others are returned."""
+        kinds = dict(self.columns)
+        for f in filters:
+            made = predicate(f, kinds)
+            if made is None:
+                yield f
+            else:
+                self.where.append(made)
 
     def partitions(self) -> list[InputPartition]:
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
@@ -69,8 +115,10 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         low, high = partition.value
         names = ", ".join(f'"{c}"' for c, _ in self.columns)
+        terms = " AND ".join(["rowid >= ?", "rowid < ?", *(t for t, _ in self.where)])
+        values = [low, high, *(v for _, own in self.where for v in own)]
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            for row in db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (low, high)):
+            for row in db.execute(f'SELECT {names} FROM "{self.table}" WHERE {terms}', values):
                 yield tuple(bool(v) if k == "boolean" and v is not None else str(v) if k == "string" and v is not None else v for v, (_, k) in zip(row, self.columns, strict=True))
 
 
@@ -104,4 +152,7 @@ def write_layer(df: DataFrame, path: str, table: str, ring: str = "ring", srs: i
 
 
 def register(spark) -> None:
+    setting = "spark.sql.python.filterPushdown.enabled"
+    if spark.conf.get(setting, "false") != "true":
+        spark.conf.set(setting, "true")
     spark.dataSource.register(GeoPackage)

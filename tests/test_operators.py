@@ -567,3 +567,21 @@ def test_many_pairs_with_and_without_gaps(spark):
         both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
         assert r.n == both.sum()
         assert r.r is None if 3 in (i, j) else r.r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+
+
+def test_maximal_correlation(spark):
+    """Against the eigenvalues of Q, built entry by entry."""
+    rng = np.random.default_rng(4)
+    pixels = [("w", int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(rng.integers(0, 5, (9, 9)))] + [("flat", r, c, 1) for r in range(3) for c in range(3)]
+    matrix = texture.glcm(spark.createDataFrame(pixels, "window string, row long, col long, level int"), ["window"])
+    got = {r.window: r.maxcorr for r in texture.maximal_correlation(matrix, ["window"]).collect()}
+    found = []
+    for angle in (0, 45, 90, 135):
+        p = np.zeros((5, 5))
+        for r in matrix.where(f"window = 'w' AND angle = {angle}").collect():
+            p[r.i, r.j] = r.p
+        margin = p.sum(1)
+        q = np.array([[sum(p[i, k] * p[j, k] / (margin[i] * margin[k]) for k in range(5)) for j in range(5)] for i in range(5)])
+        found.append(np.sqrt(sorted(np.linalg.eigvals(q).real)[-2]))
+    assert got["w"] == pytest.approx(np.mean(found)) and got["flat"] == 0.0
+    assert {*texture.HARALICK, "maxcorr"} <= set(texture.haralick(matrix, ["window"]).columns)  # all 18

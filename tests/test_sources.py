@@ -237,6 +237,32 @@ def test_chunks_and_models(spark, tmp_path):
     assert {r.batch: r["count"] for r in spark.read.parquet(str(tmp_path / "up")).groupBy("batch").count().collect()} == {0: 2, 1: 2, 2: 1}
     df = spark.createDataFrame([(i, i % 2, float(i % 2)) for i in range(10)], "id long, label int, x double")
     fitted = classify.fit_all(df, ["x"], classify.build_models(["logistic_regression", "dummy_most_frequent"]))
+    with pytest.raises(ValueError, match="dummy_most_frequent"):
+        classify.save_models(fitted, str(tmp_path / "models"))
+    assert not (tmp_path / "models").exists()
+    del fitted["dummy_most_frequent"]
     assert classify.save_models(fitted, str(tmp_path / "models")) == ["logistic_regression"]
     guess = fitted["logistic_regression"].transform(cluster.as_vector(df, ["x"]))
     assert guess.where("prediction <> label").count() == 0
+
+
+def test_geopackage_filters_reach_the_file(spark, tmp_path):
+    path = str(tmp_path / "f.gpkg")
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}]
+    rows = spark.createDataFrame([(i, f"c{i % 10}", i / 4 if i % 7 else None, ring) for i in range(200)], "n long, code string, area double, ring array<struct<x:double,y:double>>")
+    geopackage.write_layer(rows, path, "units")
+    geopackage.register(spark)
+    whole = rows.drop("ring")
+    load = lambda: spark.read.format("gpkg").option("table", "units").option("columns", "n,code,area").load(path)
+    for condition in ("n > 150", "n <= 3", "code = 'c3' AND n < 50", "area IS NULL", "area >= 40.25 AND code IN ('c1', 'c2')", "code LIKE 'c4%'", "NOT (code = 'c1')", "n = 5 OR n = 6", "code > 'c7'", "area <> 1.5"):
+        assert sorted(map(tuple, load().where(condition).collect()), key=str) == sorted(map(tuple, whole.where(condition).collect()), key=str), condition
+    plan = load().where("n > 150 AND code = 'c3'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("BatchScan")[0]  # nothing is left for Spark to test
+
+    from pyspark.sql import datasource as ds
+
+    reader = geopackage._Reader(path, "units", [("n", "long"), ("code", "string")], 2)
+    left = list(reader.pushFilters([ds.GreaterThan(("n",), 150), ds.GreaterThan(("code",), "c3"), ds.EqualTo(("code",), "c3")]))
+    assert [type(f).__name__ for f in left] == ["GreaterThan"] and left[0].value == "c3"
+    read = [r for part in reader.partitions() for r in reader.read(part)]
+    assert read == [(n, "c3") for n in (153, 163, 173, 183, 193)]  # no other row leaves the file
