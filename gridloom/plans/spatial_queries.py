@@ -306,3 +306,30 @@ def maximal_correlation(spark, sf_dir):
     """The maximal correlation coefficient; of two levels it is the absolute correlation."""
     two = _pixels(spark, sf_dir).withColumn("level", (F.col("level") >= 4).cast("int"))
     return rounded(texture.maximal_correlation(texture.glcm(two, ["window_id"]), ["window_id"]))
+
+
+@query("SELECT s_suppkey AS unit_id, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS rings, round(CASE WHEN s_suppkey % 4 = 0 THEN w * h ELSE w * h / 2 END, 6) AS area FROM (SELECT s_suppkey, 1 + s_suppkey % 7 AS w, 1 + s_suppkey % 5 / 2 AS h FROM supplier)")
+def crossed_rings_made_valid(spark, sf_dir):
+    """Bow-ties cut at their crossing, and rectangles with a spike."""
+    from gridloom.operators import overlay, rings
+
+    w, h = 1 + F.col("s_suppkey") % 7, 1 + F.col("s_suppkey") % 5 / 2
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0)
+    bow = F.array(point(zero, zero), point(w, h), point(w, zero), point(zero, h))
+    spiked = F.array(point(zero, zero), point(w, zero), point(w + 3, zero), point(w, zero), point(w, h), point(zero, h))
+    made = rings.valid_shape(F.array(F.when(F.col("s_suppkey") % 4 == 0, spiked).otherwise(bow)))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), made.alias("shape"))
+    return rows.select("unit_id", F.size("shape").alias("rings"), F.round(overlay.shape_area(F.col("shape")), 6).alias("area"))
+
+
+@query(f"""WITH {UNIT_BOX}, e AS ({EDGES}), b AS (SELECT pref, count(*) * 10.0 AS length FROM (SELECT pref FROM e GROUP BY pref, x0, y0, x1, y1 HAVING count(*) = 1) GROUP BY pref)
+    SELECT pref, CAST(any_value(length) AS DOUBLE) AS length, count(*) * 100.0::DOUBLE AS area FROM u JOIN b USING (pref) GROUP BY pref""")
+def dissolved_rings(spark, sf_dir):
+    """Unions as assembled rings: their length, and their area with holes taken off."""
+    from gridloom.operators import rings
+
+    made = rings.dissolved(_unit_rings(spark, sf_dir), "pref")
+    side = F.transform(spatial.edges_of(F.col("ring")), lambda e: F.abs(e["q"]["x"] - e["p"]["x"]) + F.abs(e["q"]["y"] - e["p"]["y"]))
+    signed = spatial.area(F.col("ring")) * F.when(F.col("hole"), -1).otherwise(1)
+    return made.groupBy("pref").agg(F.sum(F.aggregate(side, F.lit(0.0), lambda t, v: t + v)).alias("length"), F.sum(signed).alias("area"))
