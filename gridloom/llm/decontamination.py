@@ -6,8 +6,9 @@ contains a window exactly only if it contains every shingle of it, so one necess
 window's rarest shingle. Documents are looked up by those tokens alone; a candidate must fit by length and
 position (the window has to start and end inside the document) and is then compared word by word.
 
-The benchmark is the stated query set: it is held in blocks of at most about ``block_bytes`` of text, one block at a
-time on the driver and in a broadcast, whatever its total size. Each block takes two maps over the documents, one
+The benchmark is the stated query set: repeated items are taken once, long items are cut into overlapping pieces, and
+blocks of about ``block_bytes`` of pieces are held, one at a time on the driver and in a broadcast, whatever the
+benchmark's size. Each block takes two maps over the documents, one
 that counts shingles and one that finds windows, and no shuffle of documents; the hits of more than one block are
 staged before the next block is read, and its broadcast is destroyed.
 
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._util import map_texts, stage, without
+from gridloom.llm._hashing import mixed
+from gridloom.llm._util import LOWER, UPPER, cut, map_texts, stage, without
 
 #: Fixed value: words after lower-casing A-Z, as bytes of UTF-8 (every byte of a non-ASCII character is >= 0x80).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 BLOCK_BYTES = 8_000_000
 
@@ -52,7 +55,6 @@ class Index:
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners[numbers.setdefault(tuple(ids[at : at + window]), len(numbers))].add(str(item))
         self.base = len(self.vocabulary) + 1
-        assert self.base < 1 << 21, "a block has too many different words; lower block_bytes"
         self.length = np.array([len(w) for w in numbers], np.int64)
         self.windows = np.full((len(numbers), window), -1, np.int64)
         for row, w in enumerate(numbers):
@@ -64,13 +66,19 @@ class Index:
         self.spread = spread
 
     def keys(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """One key per position for the ``k`` words from there; -1 if one is not a word of the block."""
+        """One key per position for the ``k`` words from there; -1 if one is not a word of the block. With so many words
+        that their numbers do not fit side by side, keys are hashes: two shingles may then share a key, which adds
+        candidates, and these are compared word by word as all are."""
         n = len(ids) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         key, known = ids[:n].copy(), ids[:n] >= 0
+        wide = self.base >= 1 << 21
         for j in range(1, k):
-            key = key * self.base + ids[j : j + n]
+            if wide:
+                key = (mixed(key.view(np.uint64)) >> np.uint64(1)).view(np.int64) ^ ids[j : j + n]
+            else:
+                key = key * self.base + ids[j : j + n]
             known &= ids[j : j + n] >= 0
         return np.where(known, key, -1)
 
@@ -139,9 +147,18 @@ class Index:
         return len(words), int((end - begin).sum()), [{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)], items
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
-    """The number of runs of about ``block_bytes`` of text, and the items of each; one run at a time is on the driver."""
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+def pieces(benchmark: DataFrame, item_id: str, text: str, window: int, size: int) -> DataFrame:
+    """``item, text``, distinct: items in pieces of about ``size`` windows, which overlap by a window less a word, so that
+    every window of an item is one of a piece; items of fewer words are one piece, items without words none."""
+    words = F.filter(F.split(F.translate(text, UPPER, LOWER), SEPARATORS, -1), lambda w: w != "")
+    rows = benchmark.select(F.col(item_id).alias("item"), words.alias("w")).where("item IS NOT NULL AND size(w) > 0").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(size))
+    return rows.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.slice("w", F.col("at") + 1, size + window - 1), " ").alias("text")).distinct()
+
+
+def blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of runs of about ``block_bytes`` of text, and the pieces of each; one run at a time is on the driver."""
+    items = cut(pieces(benchmark, item_id, text, window, max(1, block_bytes // 80)))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     return n, ([(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).toLocalIterator()] for b in range(n))
@@ -199,7 +216,7 @@ def judged(docs: DataFrame, text: str, shared, hits_only: bool) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, hit_spans`` (in words) and ``items`` (sorted ids as strings)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("same"))
-    n, runs = blocks(benchmark, item_id, item_text, block_bytes)
+    n, runs = blocks(benchmark, item_id, item_text, window, block_bytes)
     if n == 1:
         return judged(docs, "text", armed(docs, "text", next(runs), window), False).drop("same")
     base, more = None, None
@@ -225,7 +242,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns. With one block a map; with more, texts
     with hits are staged as hashes, block by block, and their rows are taken out."""
-    n, runs = blocks(benchmark, item_id, item_text, block_bytes)
+    n, runs = blocks(benchmark, item_id, item_text, window, block_bytes)
     if n > 1:
         marks = {"__gl_one": F.xxhash64(text), "__gl_two": F.xxhash64(text, F.lit(1))}
         marked, gone = docs.withColumns(marks), None

@@ -10,6 +10,8 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from gridloom.llm import decontamination, language_id, packing, queries, token_counts, toxicity  # noqa: E402
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -178,6 +180,36 @@ def test_decontamination(spark, odd_docs, no_docs, block_bytes):
     assert decontamination.find(odd_docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_long_and_repeated_items(spark):
+    """An item of many pieces, each window in one of them; a hundred thousand copies of an item are one."""
+    long = [f"w{i}" for i in range(30_000)]
+    items = spark.range(100_000).select(F.lit("copy").alias("item_id"), F.lit("alpha beta gamma delta epsilon").alias("text"))
+    items = items.unionByName(spark.createDataFrame([("long", " ".join(long)), ("long", " ".join(long)), ("none", " - "), (None, "alpha")], "item_id string, text string"))
+    n, runs = decontamination.blocks(items, "item_id", "text", 10, 40_000)
+    every = [piece for run in runs for piece in run]
+    assert n > 1 and sum(item == "copy" for item, _ in every) == 1
+    windows = [tuple(t.split()[i : i + 10]) for item, t in every if item == "long" for i in range(len(t.split()) - 9)]
+    assert sorted(windows) == sorted(tuple(long[i : i + 10]) for i in range(len(long) - 9))
+    docs = [(i, "x " + " ".join(long[at : at + 10]) + " y") for i, at in enumerate((0, 495, 500, 14_999, 29_990))] + [(9, "alpha BETA gamma delta epsilon zeta"), (10, "w1 w2 w3")]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), items, block_bytes=40_000).collect()}
+    assert got == {i: (10, ["long"]) for i in range(5)} | {9: (5, ["copy"]), 10: (0, [])}
+
+
+def test_decontamination_hashed_keys(monkeypatch):
+    """An index with more words than fit side by side finds what one with plain keys finds."""
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(12))) for i in range(20)]
+    plain, wide = decontamination.Index(items, 4), decontamination.Index(items, 4)
+    wide.base = 1 << 40
+    wide.spread = [wide.keys(np.array(w[w >= 0]), min(decontamination.SHINGLE, int((w >= 0).sum()))) for w in wide.windows]
+    wide.shingles = {k: np.unique(np.concatenate(wide.spread)) for k in wide.widths}
+    for own in (plain, wide):
+        own.arm({k: np.zeros(len(v), np.int64) for k, v in own.shingles.items()})
+    for _ in range(50):
+        text = " ".join(rng.choice("abcdefghij") for _ in range(60))
+        assert plain.judge(text) == wide.judge(text)
+
+
 def test_decontamination_random(spark):
     rng = random.Random(5)
     words = ["aa", "bb", "cc", "dd"]
