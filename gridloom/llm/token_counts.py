@@ -2,7 +2,10 @@
 
 Pre-tokens of a batch lie in one flat id array with a segment number per symbol. In each round every
 unfinished segment finds the lowest merge rank among its adjacent pairs and applies all its occurrences at
-once; segments without a mergeable pair leave the array. What survives is the token count. Counts of distinct
+once; segments without a mergeable pair leave the array. What survives is the token count. Pre-tokens of more than
+``LONG`` bytes would take too many rounds over all of their symbols: theirs lie in linked arrays, with places listed by
+rank, and a round takes the lowest rank of all of them and touches its places alone. (A pair with a merged symbol ranks
+above that symbol's merge, which is verified when a file is loaded; so ranks come in order.) Counts of distinct
 pre-tokens are kept in a bounded per-worker memo, so that frequent pre-tokens are merged once.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); texts of any length are taken whole; repeated
@@ -11,7 +14,9 @@ rows give repeated results; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NO_RANK = np.iinfo(np.int32).max
 CHUNK_CHARS = 4_000_000
 MEMO_WORDS = 1_000_000
+LONG = 256
 
 
 def byte_symbols() -> dict[str, int]:
@@ -50,13 +56,77 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        made_at = np.full(int(max(vocab.values())) + 1, -1, np.int64)
+        made_at[self.made] = self.rank
+        self.ordered = bool((np.maximum(made_at[self.keys >> 20], made_at[self.keys & ((1 << 20) - 1)]) < self.rank).all())
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.pattern = regex.compile(PATTERN)
         self.memo: dict[str, int] = {}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair of symbols (NO_RANK: none), and its place in the merge tables."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NO_RANK), at
+
     def merged(self, words: list[bytes]) -> np.ndarray:
         """Surviving symbols of each (non-empty) word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out, long = np.zeros(len(words), np.int64), (lengths > LONG) & self.ordered
+        for chosen, merge in ((~long, self.merged_in_rounds), (long, self.merged_by_rank)):
+            if chosen.any():
+                out[chosen] = merge([words[i] for i in np.flatnonzero(chosen)])
+        return out
+
+    def merged_by_rank(self, words: list[bytes]) -> np.ndarray:
+        """:meth:`merged`, the lowest rank of all words first; a round costs its places."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        n, ends = len(ids), np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - lengths] = -1, -1
+        now, gone = np.full(n, NO_RANK, np.int64), np.zeros(n, bool)
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        heap: list[int] = []
+
+        def listed(at: np.ndarray) -> None:
+            """Ranks of the pairs that begin at places, which are listed by them."""
+            now[at] = NO_RANK
+            at = at[after[at] >= 0]
+            rank = self.ranks(ids[at], ids[after[at]])[0]
+            now[at] = rank
+            at, rank = at[rank != NO_RANK], rank[rank != NO_RANK]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, own in zip(rank[np.r_[0, cuts]].tolist() if len(rank) else [], np.split(at, cuts), strict=False):
+                if r not in places:
+                    heapq.heappush(heap, r)
+                places[r].append(own)
+
+        listed(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            hit = np.unique(np.concatenate(places.pop(r)))
+            hit = hit[(now[hit] == r) & ~gone[hit]]
+            if not len(hit):
+                continue
+            # Equal neighbours (x x x) overlap: of a run of hits every other one, from the left, is applied.
+            starts = np.r_[True, after[hit[:-1]] != hit[1:]]
+            run = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            eaten = after[hit]
+            ids[hit] = self.made[self.ranks(ids[hit], ids[eaten])[1]]
+            gone[eaten] = True
+            after[hit] = after[eaten]
+            follows = after[hit] >= 0
+            before[after[hit][follows]] = hit[follows]
+            listed(np.unique(np.r_[hit, before[hit][before[hit] >= 0]]))
+        return np.add.reduceat((~gone).astype(np.int64), ends - lengths)
+
+    def merged_in_rounds(self, words: list[bytes]) -> np.ndarray:
+        """:meth:`merged`, each word's lowest rank in every round."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         left = lengths.copy()
         ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
         segment = np.repeat(np.arange(len(words)), lengths)

@@ -37,6 +37,27 @@ def test_token_counts_random_words(library):
     assert token_counts.RankMerger(JSON).count(texts) == [len(library.encode(s, add_special_tokens=False).ids) for s in texts]
 
 
+def test_long_words_equal_library_and_rounds(library):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (257, 1_000, 20_000)] + ["a" * 5_000, "ab" * 700, "é" * 900, "x" * 257 + "yz" * 300, "".join(rng.choice("aé日") for _ in range(4_000))]
+    own = token_counts.RankMerger(JSON)
+    assert own.ordered
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert own.count([" ".join(words), *words]) == [len(library.encode(" ".join(words), add_special_tokens=False).ids), *want]
+    short = [w.encode()[:400] for w in words]
+    assert own.merged_by_rank(short).tolist() == own.merged_in_rounds(short).tolist()
+
+
+def test_a_million_random_letters(library):
+    import time
+
+    rng = np.random.default_rng(0)
+    word = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    own, begin = token_counts.RankMerger(JSON), time.time()
+    assert own.count([word]) == [len(library.encode(word, add_special_tokens=False).ids)]
+    assert time.time() - begin < 60  # seconds; in rounds over all symbols this takes many minutes
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "MEMO_WORDS", 3)
     own = token_counts.RankMerger(JSON)
