@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -279,12 +281,20 @@ def key_findings(missing: DataFrame, distribution: DataFrame, pairs: DataFrame,
     return out
 
 
-def quality_flags(missing: DataFrame, outliers: DataFrame, coverage: DataFrame, missing_limit: float = 20.0, outlier_limit: float = 5.0) -> DataFrame:
-    """Flag rows: type, feature, detail. A feature above the missing or the outlier limit, and units with gaps."""
-    high = missing.where(F.col("missing_pct") > missing_limit).select(F.lit("high_missing").alias("type"), "feature", F.col("missing_pct").cast("double").alias("detail"))
-    far = outliers.where(F.col("outlier_pct") > outlier_limit).select(F.lit("high_outlier_rate").alias("type"), "feature", F.col("outlier_pct").cast("double").alias("detail"))
-    gaps = coverage.agg(F.count(F.when(F.col("gap_count") > 0, 1)).alias("n")).where("n > 0").select(F.lit("temporal_gaps").alias("type"), F.lit("").alias("feature"), F.col("n").cast("double").alias("detail"))
-    return high.unionByName(far).unionByName(gaps)
+def quality_flags(missing: DataFrame, outliers: DataFrame, coverage: DataFrame, missing_limit: float = 20.0, outlier_limit: float = 5.0, texture: Sequence[str] = (), most: int = 5) -> DataFrame:
+    """Flag rows: type, feature, unit_id, month, detail. Features above the missing limit (detail: percent), a note of
+    the texture columns there are (their number), of the ``most`` features with the largest outlier shares those above
+    the limit (percent), and units with gaps (their number). Flags are about the whole table, so unit_id and month are
+    empty."""
+    row = lambda df, kind, detail: df.select(F.lit(kind).alias("type"), "feature", F.lit("").alias("unit_id"), F.lit("").alias("month"), F.col(detail).cast("double").alias("detail"))
+    high = row(missing.where(F.col("missing_pct") > missing_limit), "high_missing", "missing_pct")
+    far = outliers.orderBy(F.desc("outlier_pct"), "feature").limit(most).where(F.col("outlier_pct") > outlier_limit)
+    gaps = coverage.agg(F.count(F.when(F.col("gap_count") > 0, 1)).alias("n")).where("n > 0").withColumn("feature", F.lit(""))
+    out = high.unionByName(row(far, "high_outlier_rate", "outlier_pct")).unionByName(row(gaps, "temporal_gaps", "n"))
+    if texture:
+        note = missing.sparkSession.createDataFrame([("/".join(texture), len(texture))], "feature string, n long")
+        out = out.unionByName(row(note, "texture_available", "n"))
+    return out
 
 
 def heatmap(df: DataFrame, group: str, columns: list[str]) -> DataFrame:

@@ -456,24 +456,32 @@ def eda_quality_checks(spark, sf_dir):
 
 
 @query(f"""WITH {OUTLIERS}, miss AS (SELECT feature, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM long GROUP BY 1)
-    SELECT 'high_missing' AS type, feature, round(pct, 4) AS detail FROM miss WHERE pct > 8 UNION ALL SELECT 'high_outlier_rate', feature, round(n * 100.0 / n_valid, 2) FROM o WHERE round(n * 100.0 / n_valid, 2) > 0.5
-    UNION ALL SELECT 'temporal_gaps', '', count(*) FROM cov WHERE gap_count > 0 HAVING count(*) > 0""")
+    SELECT 'high_missing' AS type, feature, '' AS unit_id, '' AS month, round(pct, 4) AS detail FROM miss WHERE pct > 8
+    UNION ALL SELECT 'high_outlier_rate', feature, '', '', pct FROM (SELECT feature, round(n * 100.0 / n_valid, 2) AS pct FROM o ORDER BY 2 DESC, 1 LIMIT 3) WHERE pct > 0.1
+    UNION ALL SELECT 'temporal_gaps', '', '', '', count(*) FROM cov WHERE gap_count > 0 HAVING count(*) > 0 UNION ALL SELECT 'texture_available', 'b3/b4', '', '', 2""")
 def eda_quality_flags(spark, sf_dir):
-    """Flag rows."""
+    """Flag rows; two bands stand for texture columns."""
     missing, _, outliers, coverage, _ = _summaries(spark, sf_dir)
-    return rounded(eda.quality_flags(missing, outliers, coverage, 8.0, 0.5), 4)
+    return rounded(eda.quality_flags(missing, outliers, coverage, 8.0, 0.1, ["b3", "b4"], most=3), 4)
 
 
 @query(f"""WITH {OUTLIERS}, miss AS (SELECT feature, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM long GROUP BY 1), pr AS ({PAIR_R}),
-    mm AS (SELECT unit_id, month(month) AS m, avg(b1) AS b1, avg(b2) AS b2 FROM panel GROUP BY 1, 2), amp AS (SELECT unit_id, max(b1) - min(b1) AS b1, max(b2) - min(b2) AS b2 FROM mm GROUP BY 1 HAVING count(*) > 0)
-    SELECT 'missing' AS topic, 1 AS place, 'overall' AS subject, round(avg(pct), 4) AS value FROM miss
-    UNION ALL SELECT 'correlated', CAST(row_number() OVER (ORDER BY abs(r) DESC) AS INTEGER), feature_1 || '/' || feature_2, round(r, 4) FROM (SELECT * FROM pr WHERE abs(r) >= 0.005 ORDER BY abs(r) DESC LIMIT 3)
-    UNION ALL SELECT 'strongest_link', 1, feature_1 || '/' || feature_2, round(r, 4) FROM (SELECT * FROM pr ORDER BY abs(r) DESC LIMIT 1)""")
+    mm AS (SELECT unit_id, month(month) AS m, avg(b1) AS b1, avg(b2) AS b2 FROM panel GROUP BY 1, 2),
+    amp AS (SELECT avg(b1) AS b1, avg(b2) AS b2 FROM (SELECT unit_id, CASE WHEN count(b1) >= 2 THEN round(max(b1) - min(b1), 6) END AS b1, CASE WHEN count(b2) >= 2 THEN round(max(b2) - min(b2), 6) END AS b2 FROM mm GROUP BY 1)),
+    sk AS (SELECT feature, skewness(CASE WHEN feature = 'b2' THEN exp(value / 10000) WHEN feature = 'b4' THEN exp(value * 40) ELSE value END) AS g FROM long WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 8)
+    SELECT 'missing' AS topic, 1 AS place, 'overall' AS subject, round(avg(pct), 3) AS value FROM miss
+    UNION ALL SELECT 'skewed', CAST(row_number() OVER (ORDER BY abs(g) DESC, feature) AS INTEGER), feature, round(g, 3) FROM (SELECT * FROM sk WHERE abs(g) > 1 ORDER BY abs(g) DESC, feature LIMIT 5)
+    UNION ALL SELECT 'correlated', CAST(row_number() OVER (ORDER BY abs(r) DESC) AS INTEGER), feature_1 || '/' || feature_2, round(r, 3) FROM (SELECT * FROM pr WHERE abs(r) >= 0.005 ORDER BY abs(r) DESC LIMIT 3)
+    UNION ALL SELECT 'seasonal', CAST(row_number() OVER (ORDER BY abs(value) DESC, subject) AS INTEGER), subject, round(value, 3) FROM (SELECT 'b1_seasonal_amp' AS subject, b1 AS value FROM amp UNION ALL SELECT 'b2_seasonal_amp', b2 FROM amp)
+    UNION ALL SELECT 'strongest_link', 1, feature_1 || '/' || feature_2, round(r, 3) FROM (SELECT * FROM pr ORDER BY abs(r) DESC LIMIT 1)""")
 def eda_key_findings(spark, sf_dir):
-    """Findings (without the seasonal and skewed topics, which have tests of their own)."""
-    missing, pairs, _, _, distribution = _summaries(spark, sf_dir)
-    found = eda.key_findings(missing, distribution, pairs, panel(spark, sf_dir).select(F.col("b1").alias("b1_seasonal_amp")), pairs, 0.005)
-    return rounded(found.where("topic IN ('missing', 'correlated', 'strongest_link')"), 4)
+    """Findings of all five topics; two bands are stretched so that there are skewed ones."""
+    from gridloom.operators import temporal
+
+    missing, pairs, _, _, _ = _summaries(spark, sf_dir)
+    p = panel(spark, sf_dir)
+    distribution = eda.distribution_summary(p.withColumns({"b2": F.exp(F.col("b2") / 10000), "b4": F.exp(F.col("b4") * 40)}), BANDS)
+    return rounded(eda.key_findings(missing, distribution, pairs, temporal.seasonal_amplitude(p, ["b1", "b2"]), pairs, 0.005), 3)
 
 
 @query(f"{GLONG}, a AS (SELECT pref_name, feature, value FROM long UNION ALL SELECT 'Overall', feature, value FROM long) SELECT pref_name, feature, round((count(*) - count(value)) * 100.0 / count(*), 4) AS missing_pct FROM a GROUP BY 1, 2")

@@ -141,10 +141,11 @@ def experiment_projections(spark, sf_dir):
     return rounded(P.union_all(parts).groupBy("experiment", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean")), 5)
 
 
-@query(f"WITH {SLOPES}, a AS (SELECT unit_id, avg(b1) AS b1_mean, coalesce(stddev_samp(b1), 0) AS b1_std FROM panel GROUP BY 1), mm AS (SELECT unit_id, month(month) AS m, avg(b1) AS b1 FROM panel GROUP BY 1, 2), s AS (SELECT unit_id, max(b1) - min(b1) AS amp FROM mm GROUP BY 1) SELECT unit_id, round(b1_mean, 5) AS b1_mean, round(b1_std, 5) AS b1_std, round(round(b1_slope, 6), 5) AS b1_slope, round(round(amp, 6), 5) AS b1_seasonal_amp FROM a JOIN sl USING (unit_id) LEFT JOIN s USING (unit_id)")
+@query(f"WITH {SLOPES}, a AS (SELECT unit_id, avg(b1) AS b1_mean, coalesce(stddev_samp(b1), 0) AS b1_std FROM panel GROUP BY 1), mm AS (SELECT unit_id, month(month) AS m, avg(b1) AS b1 FROM panel GROUP BY 1, 2), s AS (SELECT unit_id, max(b1) - min(b1) AS amp FROM mm GROUP BY 1) SELECT unit_id, round(b1_mean, 5) AS b1_mean, round(b1_std, 5) AS b1_std, round(b1_slope, 6) AS b1_slope, round(amp, 6) AS b1_seasonal_amp FROM a JOIN sl USING (unit_id) LEFT JOIN s USING (unit_id)")
 def concat_columns(spark, sf_dir):
-    """U4: the cross-section's column families beside each other, by unit."""
-    return rounded(T.cross_section(panel(spark, sf_dir), ["b1"], []), 5)
+    """U4: the cross-section's column families beside each other, by unit; slopes and amplitudes as the operator rounds them."""
+    flat = T.cross_section(panel(spark, sf_dir), ["b1"], [])
+    return flat.withColumns({c: F.round(c, 5) for c in ("b1_mean", "b1_std")})
 
 
 @query("SELECT * FROM (VALUES ('acctbal'), ('b1_mean'), ('b2_mean')) AS t(name)")

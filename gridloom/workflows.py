@@ -52,7 +52,7 @@ def explore(df: DataFrame, config: PanelConfig, group: str = "pref_name") -> dic
     texture = [c for c in df.columns if "_contrast" in c or "_entropy" in c or "_homogeneity" in c]
     out["quality_checks"] = eda.quality_checks(out["missing_data_summary"], pairs, out["outlier_summary"], out["temporal_coverage"], out["distribution_statistics"], expected, df.columns, texture, config.missing_flag_pct, config.high_correlation)
     out["key_findings"] = eda.key_findings(out["missing_data_summary"], out["distribution_statistics"], pairs, amplitude, pairs, config.high_correlation)
-    out["quality_flags"] = eda.quality_flags(out["missing_data_summary"], out["outlier_summary"], out["temporal_coverage"], config.missing_flag_pct)
+    out["quality_flags"] = eda.quality_flags(out["missing_data_summary"], out["outlier_summary"], out["temporal_coverage"], config.missing_flag_pct, texture=texture)
     return out
 
 

@@ -9,7 +9,7 @@ from gridloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Many fits: run below with fewer folds and trees; k_selection has a test of its own in test_operators.
+#: Many fits, run below; k_selection has a test of its own in test_operators.
 FITS = {"model_family_cv", "leakage_experiments", "logistic_cv", "leave_one_out", "permutation_importance"}
 SLOW = FITS | {"k_selection"}
 
@@ -51,18 +51,10 @@ def test_runs(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(FITS))
-def test_fits_run(spark, monkeypatch, name):
-    from gridloom.operators import classify
-    from gridloom.plans import ml_queries
-
-    supervised, importance = ml_queries._supervised, classify.permutation_importance
-    monkeypatch.setattr(ml_queries, "_supervised", lambda spark, sf_dir, k=2, repeats=1: supervised(spark, sf_dir, 2, 1))
-    monkeypatch.setattr(classify, "permutation_importance", lambda df, columns, model, repeats: importance(df, columns, model, 1))
-    for model, fewer in {"random_forest": {"numTrees": 5}, "gradient_boosting": {"maxIter": 2}, "svm_linear": {"maxIter": 5}}.items():
-        path, params = classify.REGISTRY[model]
-        monkeypatch.setitem(classify.REGISTRY, model, (path, params | fewer))
+def test_fits_run(spark, name):
+    """With all folds, trees, rounds and permutations."""
     rows = QUERIES[name](spark, SF).collect()
-    models = {"model_family_cv": {"svm_linear", "svm_rbf", "random_forest", "knn", "mlp", "gradient_boosting"}, "logistic_cv": {"dummy_most_frequent", "dummy_stratified", "logistic_regression"}, "leave_one_out": {"logistic_regression", "random_forest", "svm_linear"}}
+    models = {"model_family_cv": {"svm_linear", "svm_rbf", "random_forest", "knn", "mlp", "gradient_boosting", "xgboost"}, "logistic_cv": {"dummy_most_frequent", "dummy_stratified", "logistic_regression"}, "leave_one_out": {"logistic_regression", "random_forest", "svm_linear"}}
     if name in models:
         assert {r.model for r in rows} == models[name]
     assert rows
