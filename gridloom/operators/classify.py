@@ -237,30 +237,39 @@ def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, name: s
     return df
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5, repeats: int = 1) -> DataFrame:
-    """Whole groups to folds, greedily: largest spread first, to the fold that keeps class shares most even. The
-    contingency of groups and classes (a few hundred rows) is settled on the driver. A further repeat is a column
+def group_folds(df: DataFrame, group: str, label: str, k: int = 5, repeats: int = 1, run: int = 10_000) -> DataFrame:
+    """Whole groups to folds, greedily: largest spread first, to the fold that keeps class shares most even. The order
+    is a sort over the cluster; groups come to the driver one by one, with a count per class, and their folds are
+    staged in runs of ``run``, so that it holds a run and the folds' class counts. A further repeat is a column
     ``fold_1``..; as in the reference, it takes groups of equal spread in another order."""
-    rows = df.groupBy(group, label).count().collect()
-    classes, groups = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
-    table = np.zeros((len(groups), len(classes)))
-    for r in rows:
-        table[groups.index(r[0]), classes.index(r[1])] = r[2]
-    totals, names = table.sum(0), ["fold", *(f"fold_{r}" for r in range(1, repeats))]
-    fold_of: dict = {g: [] for g in groups}
+    kind = dict(df.dtypes)[group]
+    counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    totals = {r[0]: r[1] for r in counts.groupBy(label).agg(F.sum("n")).collect()}  # a row per class
+    classes = sorted(totals)
+    whole = np.array([totals[c] for c in classes], float)
+    wide = counts.groupBy(group).agg(*(F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(classes)))
+    every = sum((F.col(f"c{i}") for i in range(len(classes))), F.lit(0))
+    squares_ = sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(len(classes))), F.lit(0))
+    spread = F.lit(len(classes)) * squares_ - every * every  # the variance of the counts, in whole numbers
+    wide = cut(wide.withColumn("__spread", spread))
+    out = df
     for r in range(repeats):
-        held, mixed = np.zeros((k, len(classes))), np.random.default_rng(r).permutation(len(groups))
-        for g in sorted(range(len(groups)), key=lambda g: (-table[g].std(), mixed[g] if r else str(groups[g]))):
-            def unevenness(f: int, g=g) -> tuple:
-                after = held.copy()
-                after[f] += table[g]
-                return (float((after / totals).std(axis=0).mean()), float(after[f].sum()), f)
-
-            best = min(range(k), key=unevenness)
-            held[best] += table[g]
-            fold_of[groups[g]].append(best)
-    mapping = df.sparkSession.createDataFrame([(g, *f) for g, f in fold_of.items()], f"`{group}` {dict(df.dtypes)[group]}, " + ", ".join(f"{n} int" for n in names))
-    return df.join(mapping, group)  # a row per group
+        tie = F.col(group).cast("string") if r == 0 else F.xxhash64(group, F.lit(r))
+        held, parts, some, name = np.zeros((k, len(classes))), [], [], f"fold_{r}" if r else "fold"
+        for row in wide.orderBy(F.desc("__spread"), tie, group).toLocalIterator():
+            own = np.array([row[f"c{i}"] for i in range(len(classes))], float)
+            after = held[None] + own[None, None] * np.eye(k)[:, :, None]
+            uneven = (after / whole).std(axis=1).mean(axis=1)
+            sizes = held.sum(1) + own.sum()
+            best = min(range(k), key=lambda f: (float(uneven[f]), float(sizes[f]), f))
+            held[best] += own
+            some.append((row[group], best))
+            if len(some) >= run:
+                parts.append(cut(df.sparkSession.createDataFrame(some, f"`{group}` {kind}, {name} int")))
+                some = []
+        parts.append(df.sparkSession.createDataFrame(some, f"`{group}` {kind}, {name} int"))
+        out = out.join(stacked(parts), group)
+    return out
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:
