@@ -43,6 +43,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
+RUN = 64  # texts whose dense features are held at a time
 LETTER = np.arange(256, dtype=np.uint32)
 LETTER[[b for b in range(0x80) if not chr(b).isalpha()]] = 0x20
 
@@ -190,8 +191,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def answers(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     known = [i for i, t in enumerate(texts) if has_letter(t)]
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    for at in range(0, len(known), 256):
-        run = known[at : at + 256]
+    for at in range(0, len(known), RUN):
+        run = known[at : at + RUN]
         for i, code, score in zip(run, *model.predict([texts[i] for i in run]), strict=True):
             langs[i], scores[i] = code, float(score)
     return langs, scores
