@@ -333,3 +333,27 @@ def dissolved_rings(spark, sf_dir):
     side = F.transform(spatial.edges_of(F.col("ring")), lambda e: F.abs(e["q"]["x"] - e["p"]["x"]) + F.abs(e["q"]["y"] - e["p"]["y"]))
     signed = spatial.area(F.col("ring")) * F.when(F.col("hole"), -1).otherwise(1)
     return made.groupBy("pref").agg(F.sum(F.aggregate(side, F.lit(0.0), lambda t, v: t + v)).alias("length"), F.sum(signed).alias("area"))
+
+
+@query(f"""WITH {QUEEN}, e2 AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2), e3 AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM e2 a JOIN e b ON a.dst = b.src GROUP BY 1, 2),
+    t AS (SELECT 1 AS k, coalesce(sum(w) FILTER (src = dst), 0) AS t FROM e UNION ALL SELECT 2, sum(w) FROM e2 WHERE src = dst UNION ALL SELECT 3, sum(w) FROM e3 WHERE src = dst UNION ALL SELECT 4, sum(a.w * b.w) FROM e2 a JOIN e2 b ON a.src = b.dst AND a.dst = b.src
+    UNION ALL SELECT 5, sum(a.w * b.w) FROM e3 a JOIN e2 b ON a.src = b.dst AND a.dst = b.src UNION ALL SELECT 6, sum(a.w * b.w) FROM e3 a JOIN e3 b ON a.src = b.dst AND a.dst = b.src)
+    SELECT k, round(coalesce(t, 0), 6) AS trace FROM t""")
+def edge_power_traces(spark, sf_dir):
+    """Traces of the weights' powers, for log-determinants without a matrix."""
+    from gridloom.functions.lineage import stage
+    from gridloom.operators import autoregression
+
+    edges = stage(spatial.queen_edges(_unit_rings(spark, sf_dir), "unit_id"), "edges")
+    found = [(k, round(float(t), 6)) for k, t in enumerate(autoregression.exact_traces(edges), 1)]
+    return spark.createDataFrame(found, "k int, trace double")
+
+
+@query()
+def spatial_models_from_edges(spark, sf_dir):
+    """Least squares, lag and error models without a matrix over the units."""
+    from gridloom.operators import autoregression
+    from gridloom.plans.base import cross
+
+    values = cross(spark, sf_dir).select("unit_id", "acctbal", "b1_mean", "b2_mean")
+    return autoregression.models(values, spatial.queen_edges(_unit_rings(spark, sf_dir), "unit_id"), "unit_id", "acctbal", ["b1_mean", "b2_mean"])["models"]
