@@ -70,9 +70,10 @@ def preprocess(df: DataFrame, config: PanelConfig, ratio: str | None = None) ->
 
 
 def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None, folds: int = 5, group: str | None = None, repeats: int = 5) -> dict[str, DataFrame]:
-    """Stage 4a: models on ``df (id, label, columns)``, cross-validated over ``repeats`` splits."""
+    """Stage 4a: models (all that are registered, if none are named) on ``df (id, label, columns)``, cross-validated over
+    ``repeats`` splits; models that can fit all folds in the same passes do."""
     split = classify.group_folds(df, group, "label", folds, repeats) if group else classify.stratified_folds(df, "label", F.xxhash64("id"), folds, repeats=repeats)
-    predictions = classify.cross_validate(split, columns, classify.build_models(models))
+    predictions = classify.cross_validate(split, columns, classify.batched_models(models or list(classify.REGISTRY)))
     metrics = classify.fold_metrics(predictions, ["model", "fold"])
     return {
         "predictions": predictions,
