@@ -22,7 +22,7 @@ PAIRS = 1_000_000
 def flat(shape: Column) -> list[Column]:
     """A shape as the x and the y of all points and the number of points of each ring."""
     take = lambda name: F.flatten(F.transform(shape, lambda r: F.transform(r, lambda p: p[name].cast("double"))))
-    return [take("x"), take("y"), F.transform(shape, lambda r: F.size(r))]
+    return [take("x"), take("y"), F.transform(shape, lambda r: F.coalesce(F.size(r), F.lit(0)))]
 
 
 def crossings(edges: np.ndarray, x: float, y: float) -> int:
@@ -155,21 +155,132 @@ def starts(e: np.ndarray) -> np.ndarray:
     return e[np.r_[True, (e[1:, :2] != e[:-1, 2:]).any(1)], :2]
 
 
-def overlay(a: Column, b: Column) -> Column:
-    """A struct of the ``area`` of two shapes' intersection and whether they have a point in common (``meets``)."""
+def edge_list(shape: Column) -> Column:
+    """The edges of a shape (:func:`shape_edges`) as one array of x0, y0, x1, y1: worked out once for a shape that meets many."""
+
+    @F.pandas_udf("array<double>")
+    def make(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        out: list = [None] * len(n)
+        single = [i for i, k in enumerate(n) if k is not None and len(k) == 1 and k[0] >= 3]
+        if single:  # single rings need no nesting and are turned together
+            sizes = np.array([len(x.iloc[i]) for i in single])
+            ends = np.cumsum(sizes)
+            first = ends - sizes
+            xs, ys = np.concatenate([x.iloc[i] for i in single]), np.concatenate([y.iloc[i] for i in single])
+            after = np.arange(1, len(xs) + 1)
+            after[ends - 1] = first
+            edges = np.c_[xs, ys, xs[after], ys[after]]
+            at = np.repeat(first, sizes)
+            dx0, dy0, dx1, dy1 = xs - xs[at], ys - ys[at], xs[after] - xs[at], ys[after] - ys[at]
+            areas = np.add.reduceat(dx0 * dy1 - dy0 * dx1, first)
+            edges = np.where(np.repeat(areas < 0, sizes)[:, None], edges[:, [2, 3, 0, 1]], edges).ravel()
+            for i, a, b, area in zip(single, first, ends, areas, strict=True):
+                out[i] = edges[4 * a : 4 * b] if area else np.zeros(0)
+        done = set(single)
+        for i, row in enumerate(zip(x, y, n, strict=True)):
+            if i not in done and not any(v is None for v in row):
+                out[i] = shape_edges(*row).ravel()
+        return pd.Series(out, dtype=object)
+
+    return make(*flat(shape))
+
+
+def pair_index(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows with ``na`` and ``nb`` consecutive items, all pairs of a row's items: row, place of a, place of b."""
+    total = na * nb
+    row = np.repeat(np.arange(len(na)), total)
+    k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    return row, (np.cumsum(na) - na)[row] + k // nb[row], (np.cumsum(nb) - nb)[row] + k % nb[row]
+
+
+def many(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`overlap` and :func:`meet` of many pairs of shapes, none without edges, in the same steps."""
+    rows = len(a)
+    na, nb = np.array([len(e) for e in a]), np.array([len(e) for e in b])
+    ra, rb = np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), nb)
+    a, b = np.concatenate(a), np.concatenate(b)
+    (a0, a1), (b0, b1) = bounds(a), bounds(b)
+    sides = lambda f, v, n: f.reduceat(v, np.cumsum(n) - n, axis=0)
+    low = np.maximum(sides(np.minimum, a0, na), sides(np.minimum, b0, nb))
+    high = np.minimum(sides(np.maximum, a1, na), sides(np.maximum, b1, nb))
+
+    def above(e: np.ndarray, e0: np.ndarray, e1: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = (low < high).all(1)[r] & (e0[:, 0] < high[r, 0]) & (e1[:, 0] > low[r, 0]) & (e[:, 0] != e[:, 2])
+        return e[own] - np.c_[low, low][r[own]], r[own]
+
+    (p, rp), (q, rq) = above(a, a0, a1, ra), above(b, b0, b1, rb)
+    base = np.zeros(rows)
+    for e, r in ((p, rp), (q, rq)):
+        np.minimum.at(base, r, e[:, [1, 3]].min(1, initial=0))
+    p[:, [1, 3]] -= base[rp, None]
+    q[:, [1, 3]] -= base[rq, None]
+    row, i, j = pair_index(np.bincount(rp, minlength=rows), np.bincount(rq, minlength=rows))
+    areas = np.maximum(np.bincount(row, below_both(p[i], q[j]), rows), 0)
+
+    met = np.zeros(rows, bool)
+    row, i, j = pair_index(na, nb)
+    near = ((a0[i] <= b1[j]) & (b0[j] <= a1[i])).all(1)
+    row, x, y = row[near], a[i[near]], b[j[near]]
+
+    def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+
+    p, q, r, s = x[:, :2], x[:, 2:], y[:, :2], y[:, 2:]
+    met[row[(side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)]] = True
+    # Where no edges meet, a ring lies in the other shape with all of its points or with none.
+    open_ = ~met & (low <= high).all(1)
+    for e, re, f, rf in ((a, ra, b, rb), (b, rb, a, ra)):
+        first = np.r_[True, (re[1:] != re[:-1]) | (e[1:, :2] != e[:-1, 2:]).any(1)] & open_[re]
+        points, own, f = e[first, :2], re[first], f[open_[rf]]
+        row, i, j = pair_index(np.bincount(own, minlength=rows), np.bincount(rf[open_[rf]], minlength=rows))
+        px, py, (x0, y0, x1, y1) = points[i, 0], points[i, 1], f[j].T
+        spans = (y0 > py) != (y1 > py)
+        i, px, py, x0, y0, x1, y1 = (v[spans] for v in (i, px, py, x0, y0, x1, y1))
+        crossed = np.bincount(i[px < (x1 - x0) * (py - y0) / (y1 - y0) + x0], minlength=len(points))
+        met[own[crossed % 2 == 1]] = True
+    return areas, met
+
+
+def measured(a: Column, b: Column) -> Column:
+    """A struct of the ``area`` of two shapes' intersection and whether they have a point in common (``meets``), from their
+    :func:`edge_list`. A batch's pairs are taken together, about ``PAIRS`` pairs of edges at a time; pairs of shapes with
+    more than that are taken in blocks."""
 
     @F.pandas_udf("area double, meets boolean")
-    def measure(ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series) -> pd.DataFrame:
-        out = []
-        for row in zip(ax, ay, an, bx, by, bn, strict=True):
-            if any(v is None for v in row):
-                out.append((None, None))
+    def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        area, meets = np.full(len(a), np.nan), np.full(len(a), None, object)
+        some, work = [], 0
+
+        def flush() -> None:
+            if some:
+                area[some], meets[some] = many([a.iloc[i].reshape(-1, 4) for i in some], [b.iloc[i].reshape(-1, 4) for i in some])
+            some.clear()
+
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x is None or y is None:
                 continue
-            p, q = shape_edges(*row[:3]), shape_edges(*row[3:])
-            out.append((overlap(p, q), meet(p, q)))
-        return pd.DataFrame(out, columns=["area", "meets"]).astype({"area": "float64", "meets": "boolean"})
+            size = len(x) * len(y) // 16
+            if not size:
+                area[i], meets[i] = 0.0, False
+            elif size > PAIRS:
+                p, q = x.reshape(-1, 4), y.reshape(-1, 4)
+                area[i], meets[i] = overlap(p, q), meet(p, q)
+            else:
+                if work + size > PAIRS:
+                    flush()
+                    work = 0
+                some.append(i)
+                work += size
+        flush()
+        known = np.array([m is not None for m in meets], bool)
+        return pd.DataFrame({"area": pd.Series(area).where(known, None), "meets": pd.Series(meets, dtype="boolean")})
+
+    return measure(a, b)
 
-    return measure(*flat(a), *flat(b))
+
+def overlay(a: Column, b: Column) -> Column:
+    """:func:`measured` of two shapes."""
+    return measured(edge_list(a), edge_list(b))
 
 
 def shape_area(shape: Column) -> Column:

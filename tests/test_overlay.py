@@ -96,3 +96,37 @@ def test_columns_and_units(spark):
     assert got == {"l": (2, 0.25, round(0.25 / 28, 9)), "f": (2, 1.25, round(1.25 / 84, 9)), "far": (0, 0.0, 0.0), "none": (0, 0.0, 0.0)}
     pair = houses.where("id = 1").select(F.col("ring").alias("a")).crossJoin(houses.where("id = 2").select(F.col("ring").alias("b")))
     assert pair.select(spatial.clipped_area(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+def rings_frame(spark, rows, name):
+    ring = "array<struct<x:double,y:double>>"
+    return spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r] if r else None) for i, r in rows], f"{name} long, ring {ring}")
+
+
+def test_many_pairs_agree_with_one_by_one():
+    rng = np.random.default_rng(3)
+    a = [edges([star(rng, *rng.uniform(0, 9, 2))] + ([square(20, 20, 2)] if i % 3 == 0 else [])) for i in range(60)]
+    b = [edges(FRAME if i % 4 == 0 else [star(rng, *rng.uniform(0, 9, 2))]) for i in range(60)]
+    areas, met = overlay.many(a, b)
+    assert areas == pytest.approx([overlay.overlap(x, y) for x, y in zip(a, b, strict=True)], abs=1e-9)
+    assert met.tolist() == [overlay.meet(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_units_of_one_shape_are_measured_once(spark, monkeypatch):
+    seen = []
+    real = spatial.box_join
+    monkeypatch.setattr(spatial, "box_join", lambda a, b, *rest: (seen.append(b.count()), real(a, b, *rest))[1])
+    units = rings_frame(spark, [(i, square(i % 2 * 10, 0, 10)) for i in range(40)] + [(40, None)], "unit")
+    buildings = rings_frame(spark, [(i, square(i, 1, 1)) for i in range(20)] + [(20, None)], "id")
+    out = {r["unit"]: (r["building_count"], r["built_area"]) for r in spatial.covered(units, buildings, "unit", 10.0).collect()}
+    assert seen == [2] and len(out) == 41
+    assert out[0] == (11, 10.0) and out[38] == out[0] and out[1] == (11, 10.0) and out[40] == (0, 0.0)
+
+
+def test_full_cells_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MEETING", 4)
+    a = rings_frame(spark, [(i, square(0.1 * i, 0, 3)) for i in range(30)], "id").withColumnRenamed("ring", "ra")
+    b = rings_frame(spark, [(i, square(2.5, 0.2 * i, 1)) for i in range(20)], "unit").withColumnRenamed("ring", "rb")
+    met = spatial.box_join(a, b, "ra", "rb", 2.0)
+    found = sorted((r["id"], r["unit"]) for r in met.select("id", "unit").collect())
+    assert found == sorted((i, j) for i in range(30) for j in range(20) if 0.1 * i <= 3.5 and 0.1 * i + 3 >= 2.5 and 0.2 * j <= 3)
