@@ -585,3 +585,32 @@ def test_maximal_correlation(spark):
         found.append(np.sqrt(sorted(np.linalg.eigvals(q).real)[-2]))
     assert got["w"] == pytest.approx(np.mean(found)) and got["flat"] == 0.0
     assert {*texture.HARALICK, "maxcorr"} <= set(texture.haralick(matrix, ["window"]).columns)  # all 18
+
+
+def test_rings_that_intersect_are_tested_once_for_all_copies(spark, monkeypatch):
+    from gridloom.operators import spatial
+
+    seen = []
+    real = spatial.box_join
+    monkeypatch.setattr(spatial, "box_join", lambda a, b, *rest: (seen.append((a.count(), b.count())), real(a, b, *rest))[1])
+    rows = lambda n, at, s: spark.range(n).select("id", spatial.rectangle(F.lit(at), F.lit(at), F.lit(at + s), F.lit(at + s)).alias("ring"))
+    a, b = rows(30, 0.0, 2.0).withColumnRenamed("ring", "ra"), rows(20, 1.0, 2.0).toDF("unit", "rb")
+    met = spatial.polygon_join(a, b, "ra", "rb", 1.0)
+    assert met.columns == ["id", "ra", "unit", "rb"] and met.count() == 600 and met.select("id", "unit").distinct().count() == 600
+    assert seen == [(1, 1)]
+
+
+def test_zonal_means_meet_each_place_and_ring_once(spark, monkeypatch):
+    from gridloom.operators import spatial
+
+    seen = []
+    real = spatial.pixels_in_rings
+    monkeypatch.setattr(spatial, "pixels_in_rings", lambda p, u, *rest: (seen.append((p.count(), u.count())), real(p, u, *rest))[1])
+    units = spark.range(12).select(F.col("id").alias("unit"), spatial.rectangle(F.col("id") % 2 * 4, F.lit(0), F.col("id") % 2 * 4 + 4, F.lit(4)).alias("ring"))
+    pixels = spark.range(90).select((F.col("id") % 3 * 3 + 0.5).alias("x"), F.lit(1.0).alias("y"), F.when(F.col("id") > 2, F.col("id")).cast("double").alias("v"))
+    out = {r["unit"]: (r["n"], r["mean"]) for r in spatial.zonal_mean(pixels, units, "unit", "ring", "v", 2.0).collect()}
+    ids = [[i for i in range(90) if i % 3 in kinds] for kinds in ((0, 1), (2,))]
+    assert seen == [(3, 2)] and len(out) == 12
+    for unit, (n, mean) in out.items():
+        want = ids[unit % 2]
+        assert n == len(want) and mean == pytest.approx(np.mean([i for i in want if i > 2]))
