@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.lineage import cut
 from gridloom.functions.ordering import exact_quantiles, placed
+from gridloom.operators import starts as together
 from gridloom.schema import to_long
 
 TILE = 1024
@@ -251,20 +252,22 @@ def fit_once(x: np.ndarray, k: int, seed: int, max_iter: int = 300) -> tuple[flo
 
 
 def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 100, seed: int = 42, bound: int = 100_000) -> dict[int, Centres]:
-    """The best of ``starts`` k-means per k. Up to ``bound`` rows a start is a row, spread over the cluster; larger
-    inputs are fitted one start after the other, each over the cluster."""
+    """The best of ``starts`` k-means per k. Up to ``bound`` rows a start is a row, spread over the cluster; starts on
+    larger inputs share their passes over the rows."""
     spark = df.sparkSession
     if df.count() > bound:
-        models = {k: kmeans(df, columns, k, starts, seed=seed) for k in ks}
-        return {k: Centres(np.array(m.clusterCenters()), m.summary.trainingCost) for k, m in models.items()}
+        groups = [together.Group(k, list(range(seed, seed + starts))) for k in ks]
+        found = together.fit_rows(together.packed(df, columns), groups, seed=seed)
+        return {k: Centres(centres, cost) for k, (cost, centres) in zip(ks, found, strict=True)}
     shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fits = [fit_once(shared.value, k, seed + start) for k, start in zip(frame["k"], frame["start"], strict=True)]
-            yield pd.DataFrame({"k": frame["k"], "cost": [c for c, _ in fits], "centres": [m.ravel().tolist() for _, m in fits]})
+            for k, own in frame.groupby("k"):
+                costs, centres = together.fit_many(shared.value, int(k), [seed + int(s) for s in own["start"]])
+                yield pd.DataFrame({"k": k, "cost": costs, "centres": [m.ravel().tolist() for m in centres]}).astype({"k": "int32"})
 
-    tasks = spark.createDataFrame([(k, s) for s in range(starts) for k in ks], "k int, start int").repartition(4 * spark.sparkContext.defaultParallelism)
+    tasks = spark.createDataFrame([(k, s) for s in range(starts) for k in ks], "k int, start int").repartition(4 * spark.sparkContext.defaultParallelism, "k", F.floor(F.col("start") / 10))
     found = tasks.mapInPandas(run, "k int, cost double, centres array<double>").groupBy("k").agg(F.min(F.struct("cost", "centres")).alias("best"))
     return {r.k: Centres(np.array(r.best.centres).reshape(r.k, -1), r.best.cost) for r in found.collect()}
 
@@ -272,7 +275,7 @@ def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 10
 def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 50, seed: int = 42, starts: int = 100, reference_starts: int = 10, fits: dict[int, Centres] | None = None, bound: int = 100_000) -> list[tuple[int, float, float]]:
     """(k, gap, standard error) against uniform references between each column's extremes, one reference for all k.
     ``fits`` are the best fits of ``df`` if they are known. Up to ``bound`` rows a reference is a row, spread over
-    the cluster."""
+    the cluster; beyond, tasks draw a block of reference rows for a block of rows, and all references share passes."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"l{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"h{i}") for i, c in enumerate(columns))).first()
     spark, n, p = df.sparkSession, row["n"], range(len(columns))
     low, high = ([float(row[f"{side}{i}"]) for i in p] for side in "lh")
@@ -282,7 +285,7 @@ def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references:
         for frame in frames:
             for b in frame["reference"]:
                 x = np.random.default_rng([seed, int(b)]).uniform(low, high, (n, len(low)))
-                logs = [float(np.log(min(fit_once(x, k, seed + s)[0] for s in range(reference_starts)))) for k in ks]
+                logs = [float(np.log(together.fit_many(x, k, [seed + s for s in range(reference_starts)])[0].min())) for k in ks]
                 yield pd.DataFrame({"reference": b, "k": ks, "log": logs})
 
     if n <= bound:
@@ -290,11 +293,9 @@ def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references:
         rows = made.mapInPandas(run, "reference long, k int, log double").collect()
         logs = {k: [r.log for r in sorted(rows) if r.k == k] for k in ks}
     else:
-        logs = {k: [] for k in ks}
-        for b in range(references):
-            made = compact(spark.range(n).select(*((F.rand(seed + 1000 * b + i) * (high[i] - low[i]) + low[i]).alias(c) for i, c in enumerate(columns))))
-            for k in ks:
-                logs[k].append(np.log(kmeans(made, columns, k, reference_starts, seed=seed).summary.trainingCost))
+        groups = [together.Group(k, [seed + s for s in range(reference_starts)], reference=b) for b in range(references) for k in ks]
+        found = together.fit_rows(together.packed(df, columns), groups, seed=seed, box=(low, high))
+        logs = {k: [float(np.log(cost)) for g, (cost, _) in zip(groups, found, strict=True) if g.k == k] for k in ks}
     return [(k, float(np.mean(logs[k]) - np.log(fits[k].cost)), float(np.std(logs[k]) * np.sqrt(1 + 1 / references))) for k in ks]
 
 
@@ -335,8 +336,12 @@ def primary_k(solutions: list[tuple[int, float]], gain: float = 0.02) -> int:
 def ari_of(u: np.ndarray, v: np.ndarray) -> float:
     table = np.zeros((u.max() + 1, v.max() + 1))
     np.add.at(table, (u, v), 1)
+    return table_ari(table)
+
+
+def table_ari(table: np.ndarray) -> float:
     pairs = lambda c: (c * (c - 1) / 2).sum()
-    s, a, b, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), len(u)
+    s, a, b, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), table.sum()
     expected = a * b / (n * (n - 1) / 2)
     top = (a + b) / 2 - expected
     return float((s - expected) / top) if top else 1.0
@@ -352,22 +357,20 @@ def small_matrix(df: DataFrame, columns: list[str], bound: int = 100_000) -> np.
 
 def labels_of(x: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
     """Labels of the best of several in-memory k-means."""
-    centres = min((fit_once(x, k, seed + s) for s in range(starts)), key=lambda f: f[0])[1]
-    return squares(x, centres).argmin(1)
+    costs, centres = together.fit_many(x, k, [seed + s for s in range(starts)])
+    return squares(x, centres[costs.argmin()]).argmin(1)
 
 
 def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: int = 1000, share: float = 0.8, seed: int = 42, starts: int = 10, bound: int = 100_000) -> DataFrame:
     """ARI of subsample clusterings with the full one. Up to ``bound`` rows a replicate is a row, spread over the
-    cluster; of larger inputs the replicates are clustered one after the other, each over the cluster, on subsamples
-    by the hash of the id."""
+    cluster; replicates of larger inputs are subsamples by the hash of the id and share their passes over the rows."""
     spark = df.sparkSession
     if df.count() > bound:
-        rows, points = [], compact(df.select("id", *columns))
-        full = cut(assigned(points, columns, kmeans(points, columns, k, starts, seed=seed)).select("id", F.col("cluster").alias("u")))
-        for b in range(replicates):
-            part = compact(points.where(F.pmod(F.xxhash64("id", F.lit(seed + b)), F.lit(1_000_000)) < int(share * 1_000_000)))
-            own = assigned(part, columns, kmeans(part, columns, k, starts, seed=seed + b)).select("id", F.col("cluster").alias("v"))
-            rows.append((b, adjusted_rand(full.join(own, "id"), "u", "v").first()[0]))
+        blocks, seeds = together.packed(df, columns), lambda first: list(range(first, first + starts))
+        full = together.fit_rows(blocks, [together.Group(k, seeds(seed))], seed=seed)[0][1]
+        groups = [together.Group(k, seeds(seed + b), part=b) for b in range(replicates)]
+        centres = [c for _, c in together.fit_rows(blocks, groups, share, seed)]
+        rows = [(b, table_ari(t)) for b, t in enumerate(together.contingencies(blocks, full, groups, centres, share, seed))]
         return spark.createDataFrame(rows, "replicate long, ari double")
     shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
 
@@ -386,16 +389,14 @@ def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: i
 
 def perturbation_stability(df: DataFrame, columns: list[str], k: int, seed: int = 42, starts: int = 10, bound: int = 100_000) -> DataFrame:
     """Leave one column out: ARI with the full clustering and the share of changed labels. Up to ``bound`` rows a
-    column is a row, spread over the cluster; larger inputs are clustered over the cluster, column by column."""
+    column is a row, spread over the cluster; fits of larger inputs share their passes over the rows."""
     spark = df.sparkSession
     if df.count() > bound:
-        rows, points = [], compact(df.select("id", *columns))
-        full = cut(assigned(points, columns, kmeans(points, columns, k, starts, seed=seed)).select("id", F.col("cluster").alias("u")))
-        for c in columns:
-            rest = [x for x in columns if x != c]
-            both = cut(full.join(assigned(points, rest, kmeans(points, rest, k, starts, seed=seed)).select("id", F.col("cluster").alias("v")), "id"))
-            changed = both.agg(F.avg((F.col("u") != F.col("v")).cast("int"))).first()[0]
-            rows.append((c, adjusted_rand(both, "u", "v").first()[0], changed))
+        blocks, seeds = together.packed(df, columns), list(range(seed, seed + starts))
+        groups = [together.Group(k, seeds, columns=[j for j in range(len(columns)) if j != i]) for i in range(len(columns))]
+        (_, full), *rest = together.fit_rows(blocks, [together.Group(k, seeds), *groups], seed=seed)
+        tables = together.contingencies(blocks, full, groups, [c for _, c in rest], seed=seed)
+        rows = [(c, table_ari(t), float(1 - np.trace(t) / t.sum())) for c, t in zip(columns, tables, strict=True)]
         return spark.createDataFrame(rows, "feature string, ari double, fraction_changed double")
     shared = spark.sparkContext.broadcast(small_matrix(df, columns, bound))  # bounded above
 
