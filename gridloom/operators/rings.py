@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.lineage import cut, remove, scratch
@@ -161,8 +161,16 @@ def boundary(edges: DataFrame, by: str) -> DataFrame:
     return net.select(by, F.when(F.col("net") > 0, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(F.col("net") > 0, F.col("b")).otherwise(F.col("a")).alias("q"))
 
 
+def layers(units: DataFrame, by: str, unit: str) -> DataFrame:
+    """``layer, ring``: a group's members with the same ring are dealt to layers, as a struct of the group and a number, so
+    that members of a layer share no area where members only overlap as copies."""
+    place = F.row_number().over(Window.partitionBy(by, "ring").orderBy(unit))
+    return units.withColumn("__n", place).select(F.struct(F.col(by), F.col("__n").alias("n")).alias("layer"), "ring")
+
+
 def dissolved(units: DataFrame, by: str, size: float | None = None) -> DataFrame:
-    """Rings of each group's union: ``by, ring, hole``. Members may share edges and vertices but not areas; with
+    """Rings of each group's union: ``by, ring, hole``. Members may share edges and vertices but not areas (copies
+    go to layers of their own, see :func:`layers`); with
     ``size`` (of a grid cell), edges are first cut at vertices of others that lie on them. Parts that touch in a
     point are rings of their own."""
     edges = directed_edges(units, by)

@@ -87,3 +87,19 @@ def test_long_ring(spark):
     n = 300
     cells = [("row", (x, 0, 1)) for x in range(n)]
     assert outline(rings.dissolved(tiles(spark, cells), "g")) == [("row", False, float(n), 2 * n + 2)]
+
+
+def test_copies_of_a_unit_go_to_layers_of_their_own(spark, tmp_path):
+    """Two units in one place, a third beside them: the query agrees with its SQL, which counts areas of all and sides
+    that one unit alone has."""
+    import __spark_entry__
+    import duckdb
+
+    rows = [(0, 1), (10000, 1), (1, 1), (2, 2)]  # ids that are 10,000 apart lie in one place
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r["pref"]: (r["length"], r["area"]) for r in __spark_entry__.queries()["dissolved_rings"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = db.sql(__spark_entry__.oracle_sql()["dissolved_rings"]).fetchall()
+    assert found == {p: (length, area) for p, length, area in want} == {1: (30.0, 300.0), 2: (40.0, 100.0)}
