@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -41,18 +42,58 @@ def assigned(df: DataFrame, columns: list[str], model) -> DataFrame:
     return model.transform(as_vector(df, columns)).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], size: int = TILE) -> DataFrame:
-    """Points of two frames packed into tiles of about ``size``, a row per pair of tiles: ``rows_a`` and ``rows_b``,
-    lists of (id, all other columns, v). An equi-join on the pair's numbers; a tile is shipped once per tile of the
-    other side."""
-    sides, counts = [], [max(1, -(-df.count() // size)) for df in (left, right)]
-    for side, df, other in (("a", left, counts[1]), ("b", right, counts[0])):
-        own = counts[0] if side == "a" else counts[1]
-        kept = [c for c in df.columns if c not in (*columns, "id")]
-        row = F.struct("id", *kept, F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
-        packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(own)).alias(f"tile_{side}")).agg(F.collect_list(row).alias(f"rows_{side}"))
-        sides.append(packed.withColumn("tile_b" if side == "a" else "tile_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))))
-    return sides[0].join(sides[1], ["tile_a", "tile_b"]).select("rows_a", "rows_b")
+#: Tiles of a side at most: a point is shipped once per tile of the other side, so that shuffles grow with the points.
+TILES = 32
+
+
+def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], work: Callable, schema: str, size: int = TILE) -> DataFrame:
+    """``work(a, b)`` for all pairs of tiles of two frames. A side of a pair is a list of blocks of up to ``TILE`` points:
+    (table of all columns but ``columns``, matrix of these). Tiles hold blocks, ``size`` points or a share of
+    1 / ``TILES`` of them; a pair is a group of its own, and a task holds two tiles as bytes."""
+    spark, counts = left.sparkSession, [min(TILES, max(1, -(-df.count() // size))) for df in (left, right)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__v")
+            for first in range(0, batch.num_rows, TILE):
+                some = batch.slice(first, TILE)
+                rows = pa.RecordBatch.from_arrays([some.column(k) for k in range(at)], some.schema.names[:at])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                x = some.column(at).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["rows", "x"])
+
+    def side(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        kept = df.select("id", *[c for c in df.columns if c not in (*columns, "id")], F.array(*(F.col(c).cast("double") for c in columns)).alias("__v"))
+        # Rows are dealt to as many partitions as there are tiles, so that blocks are full and tiles even.
+        blocks = kept.repartition(own, F.xxhash64("id")).mapInArrow(pack, "rows binary, x binary")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        tile = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(own)).cast("int")
+        return blocks.withColumn(names[0], tile).withColumn(names[1], every)
+
+    def blocks_of(table: pa.Table) -> list:
+        out = []
+        for rows, x in zip(table["rows"], table["x"], strict=True):
+            found = pa.ipc.open_stream(rows.as_buffer()).read_all()
+            out.append((found, np.frombuffer(x.as_buffer(), float).reshape(found.num_rows, -1)))
+        return out
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        return work(blocks_of(a), blocks_of(b))
+
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:  # the default counts rows alone
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    a, b = side(left, counts[0], counts[1], ("__a", "__b")), side(right, counts[1], counts[0], ("__b", "__a"))
+    return a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInArrow(met, schema)
+
+
+def no_rows(schema: str) -> pa.Table:
+    """An empty table of a schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,20 +108,28 @@ def distance_sums(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Per point and cluster: the sum of Euclidean distances and the number of members. Work goes by pairs of
     tiles; only a row per point, cluster and tile leaves a task."""
     points = df.select("id", label, *columns)
-    pairs = tile_pairs(points, points, columns)
     kind, lab = dict(df.dtypes)["id"], dict(df.dtypes)[label]
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for rows_a, rows_b in zip(frame["rows_a"], frame["rows_b"], strict=True):
-                d = np.sqrt(squares(np.array([r["v"] for r in rows_a], float), np.array([r["v"] for r in rows_b], float)))
-                own = [r["id"] for r in rows_a]
-                labels_a, labels_b = [r[label] for r in rows_a], np.array([r[label] for r in rows_b])
-                for c in np.unique(labels_b):
-                    members = labels_b == c
-                    yield pd.DataFrame({"id": own, "own": labels_a, "cluster": c, "total": d[:, members].sum(1), "n": int(members.sum())})
-
-    parts = pairs.mapInPandas(measure, f"id {kind}, own {lab}, cluster {lab}, total double, n long")
+    def measure(a: list, b: list) -> pa.Table:
+        if not a or not b:
+            return empty
+        names = pa.chunked_array([c for rows, _ in b for c in rows[label].chunks]).unique()
+        labels = names.to_pylist()
+        codes = [np.array([labels.index(v) for v in rows[label].to_pylist()]) for rows, _ in b]
+        out = []
+        for rows, x in a:
+            total, n = np.zeros((len(x), len(labels))), np.zeros(len(labels), np.int64)
+            for own, (_, y) in zip(codes, b, strict=True):
+                hot = (own[:, None] == np.arange(len(labels))[None]).astype(float)
+                total += np.sqrt(squares(x, y)) @ hot
+                n += hot.sum(0).astype(np.int64)
+            for c in range(len(labels)):
+                out.append(pa.table({"id": rows["id"], "own": rows[label], "cluster": names.take(pa.array([c] * len(x))), "total": total[:, c], "n": np.full(len(x), n[c])}))
+        return pa.concat_tables(out)
+
+    schema = f"id {kind}, own {lab}, cluster {lab}, total double, n long"
+    empty = no_rows(schema)
+    parts = tile_pairs(points, points, columns, measure, schema)
     return parts.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

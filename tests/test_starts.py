@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from gridloom.operators import cluster, starts
+from pyspark.sql import functions as F
 
 COLUMNS = ["a", "b", "c"]
 
@@ -49,3 +51,17 @@ def test_stability_and_gap_over_rows(spark):
     wide = cluster.gap_statistic(df, COLUMNS, [2, 3, 4], references=4, starts=8, reference_starts=2, bound=100)
     near = cluster.gap_statistic(df, COLUMNS, [2, 3, 4], references=4, starts=8, reference_starts=2)
     assert [w[1] for w in wide] == pytest.approx([w[1] for w in near], abs=0.1) and cluster.gap_choice(wide) == cluster.gap_choice(near) == 3
+
+
+def test_tiles_are_bounded_in_number_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 16)
+    monkeypatch.setattr(cluster, "TILES", 3)
+    x = blobs(200)
+    seen = cluster.tile_pairs(*[frame(spark, x)] * 2, COLUMNS, lambda a, b: pa.table({"n": [sum(len(p) for _, p in a) * sum(len(q) for _, q in b)]}), "n long", size=16).collect()
+    assert len(seen) <= 9 and sum(r["n"] for r in seen) == 200 * 200
+    df = frame(spark, x).withColumn("cluster", F.col("id") % 3)
+    got = {(r["id"], r["cluster"]): (r["total"], r["n"]) for r in cluster.distance_sums(df, COLUMNS, "cluster").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(0, 200, 17):
+        for c in range(3):
+            assert got[i, c] == (pytest.approx(d[i, c::3].sum()), len(range(c, 200, 3)))
