@@ -129,22 +129,35 @@ def replace_texture(panel: DataFrame, texture: DataFrame, keys: list[str]) -> Da
     return panel.drop(*new).join(texture, keys, "left")
 
 
+#: Rows of a band of pixels, and pixels of a partition.
+BAND, PIXELS = 64, 500_000
+
+
 def neighbourhood(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every pixel with the values of its 3x3 neighbourhood: each pixel is sent to the nine it touches."""
+    """Every pixel with the values of its 3x3 neighbourhood, as rows to be grouped by ``keys, band, row, col``. Pixels are
+    dealt by bands of rows, those at a band's edge to two, into partitions whose number grows with the pixels; a pixel is
+    sent to the nine it touches inside a partition, so that neither the shuffle nor a task holds all nine."""
+    spark = pixels.sparkSession
+    band = lambda r: F.floor(r / BAND)
+    own = pixels.select(*keys, "row", "col", F.col(value).alias("v"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // PIXELS))
+    bands = F.array_distinct(F.array(*(band(F.col("row") + r) for r in (-1, 0, 1))))
+    dealt = own.withColumn("band", F.explode(bands)).repartition(parts, *keys, "band")
     offsets = F.explode(F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
-    return pixels.select(*keys, "row", "col", F.col(value).alias("v"), offsets.alias("o")).select(*keys, (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.dr", "o.dc", "v")
+    sent = dealt.select(*keys, "band", "row", "col", "v", offsets.alias("o")).select(*keys, "band", (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.dr", "o.dc", "v")
+    return sent.where(band(F.col("row")) == F.col("band"))
 
 
 def focal_std(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Population deviation over the 3x3 neighbourhood of every existing pixel (ruggedness)."""
-    spread = neighbourhood(pixels, keys, value).groupBy(*keys, "row", "col").agg(F.stddev_pop("v").alias("focal_std"), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1)).alias("own"))
-    return spread.where("own = 1").drop("own")
+    spread = neighbourhood(pixels, keys, value).groupBy(*keys, "band", "row", "col").agg(F.stddev_pop("v").alias("focal_std"), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1)).alias("own"))
+    return spread.where("own = 1").drop("own", "band")
 
 
 def terrain(pixels: DataFrame, keys: list[str], elevation: str, cell: float = 30.0) -> DataFrame:
     """Slope in degrees and aspect (sine, cosine) by Horn's gradient, for pixels with all eight neighbours."""
     at = lambda r, c: F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col("v")))
-    n = neighbourhood(pixels, keys, elevation).groupBy(*keys, "row", "col").agg(
+    n = neighbourhood(pixels, keys, elevation).groupBy(*keys, "band", "row", "col").agg(
         F.count("v").alias("n"),
         ((at(-1, 1) + 2 * at(0, 1) + at(1, 1)) - (at(-1, -1) + 2 * at(0, -1) + at(1, -1))).alias("gx"),
         ((at(1, -1) + 2 * at(1, 0) + at(1, 1)) - (at(-1, -1) + 2 * at(-1, 0) + at(-1, 1))).alias("gy"),

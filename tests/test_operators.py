@@ -614,3 +614,18 @@ def test_zonal_means_meet_each_place_and_ring_once(spark, monkeypatch):
     for unit, (n, mean) in out.items():
         want = ids[unit % 2]
         assert n == len(want) and mean == pytest.approx(np.mean([i for i in want if i > 2]))
+
+
+def test_neighbourhoods_are_dealt_by_bands_into_partitions_that_grow_with_the_pixels(spark, monkeypatch):
+    from gridloom.operators import texture
+
+    monkeypatch.setattr(texture, "BAND", 4)
+    monkeypatch.setattr(texture, "PIXELS", 20)
+    pixels = spark.range(15 * 9).select(F.lit(1).alias("w"), F.floor(F.col("id") / 9).alias("row"), (F.col("id") % 9).alias("col"), (F.col("id") * 7 % 23).cast("double").alias("v"))
+    sent = texture.neighbourhood(pixels, ["w"], "v")
+    assert sent.rdd.getNumPartitions() == 7
+    got = {(r["row"], r["col"]): r["focal_std"] for r in texture.focal_std(pixels, ["w"], "v").collect()}
+    grid = (np.arange(15 * 9) * 7 % 23).reshape(15, 9).astype(float)
+    assert len(got) == grid.size
+    for (r, c), value in got.items():
+        assert value == pytest.approx(grid[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2].std())
