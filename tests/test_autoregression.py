@@ -62,7 +62,7 @@ def test_larger_tables_get_the_models_from_edges(spark):
     ids = spark.range(36).select("id", F.floor(F.col("id") / 6).alias("r"), (F.col("id") % 6).alias("c"))
     edges = spatial.queen_edges(ids.select("id", spatial.rectangle(F.col("c"), F.col("r"), F.col("c") + 1, F.col("r") + 1).alias("ring")), "id")
     values = ids.select("id", ((F.col("r") * 7 + F.col("c") * 3) % 11 + F.col("r")).cast("double").alias("y"), (F.col("id") * 13 % 17).cast("double").alias("x"))
-    wide = spatial.spatial_models(values, edges, "id", "y", ["x"], bound=10)
+    wide = spatial.models_of_any_size(values, edges, "id", "y", ["x"], bound=10)
     near = spatial.spatial_models(values, edges, "id", "y", ["x"])
     for table, key, value in (("models", ["model"], "log_likelihood"), ("coefficients", ["model", "name"], "coef"), ("tests", ["test"], "statistic")):
         a, b = ({tuple(r[k] for k in key): r[value] for r in t[table].collect()} for t in (wide, near))
