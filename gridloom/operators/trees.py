@@ -2,8 +2,9 @@
 
 Rows are those of :mod:`gridloom.operators.batched` with ``h``, a hash of the id. Features are cut into bins at
 quantiles of all rows. A pass sends every row down all trees that it trains and counts it in the cells (tree, node,
-feature, bin) it reaches; cells are added up by one shuffle, and each node's best cut is found where its cells meet.
-The driver holds the trees, whose size is a parameter, and no rows.
+feature, bin) it reaches; a task counts a run of trees over a partition of rows in an array of at most ``CELLS`` numbers,
+so what it sends on does not depend on the rows. Cells of partitions are added up by one shuffle, and each node's best
+cut is found where its cells meet. The driver holds the trees, whose size is a parameter, and no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from gridloom.operators.batched import BLOCK, arrays, class_counts, softmax
 
 BINS = 32
 PAIRS = 1_000_000
-TREES = 5_000
+#: Numbers that a task counts in at a time.
+CELLS = 4_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,12 +70,16 @@ class Trees:
         """Training weight of each node."""
         return self.covers(self.stats)
 
-    def leaves(self, code: np.ndarray, tree: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node that each row reaches in its tree, after at most ``levels`` cuts."""
-        node, every = np.ones(len(tree), np.int64), np.arange(len(tree))
+    def leaves(self, code: np.ndarray, tree: np.ndarray, levels: int | None = None, row: np.ndarray | None = None) -> np.ndarray:
+        """The node that each row of ``code``, or its rows ``row``, reaches in its tree, after at most ``levels`` cuts."""
+        width, n = self.feature.shape[1], len(code) if row is None else len(row)
+        node, base = np.ones(n, np.int64), np.broadcast_to(tree, n) * width
+        own = (np.arange(n) if row is None else row) * code.shape[1]
+        feature, bins, codes = self.feature.ravel(), self.bin.ravel(), code.ravel()
         for _ in range(self.depth if levels is None else levels):
-            f = self.feature[tree, node]
-            node = np.where(f >= 0, 2 * node + (code[every, np.maximum(f, 0)] > self.bin[tree, node]), node)
+            at = base + node
+            f = feature.take(at)
+            node = np.where(f >= 0, 2 * node + (codes.take(own + np.maximum(f, 0)) > bins.take(at)), node)
         return node
 
 
@@ -102,31 +108,68 @@ def best_cuts(keys: np.ndarray, sums: np.ndarray, width: int, gain: Callable, we
     return node[top], feature, keys[top] % BINS, left[top], whole[top]
 
 
-def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], entries: Callable, gain: Callable, weight: Callable, least: float, mtry: int, seed: int) -> Trees:
-    """All trees, level by level. ``entries(batch)`` yields parts ``code, row, tree, stats``: the bins of a block's rows
-    and, for pairs of a row and a tree that it trains, the place of the row, the tree and its statistics."""
+def tree_runs(cells: np.ndarray, least: int) -> np.ndarray:
+    """Bounds of runs of neighbouring trees of at most ``CELLS`` cells (a larger tree is alone), ``least`` runs if there
+    are as many trees."""
+    upto, bounds = np.cumsum(cells), [0]
+    limit = max(1, min(CELLS, -(-int(upto[-1]) // max(1, least))))
+    while bounds[-1] < len(cells):
+        start = bounds[-1]
+        bounds.append(max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit, "right"))))
+    return np.array(bounds)
+
+
+def counted(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable, first: int, last: int, width: int, mtry: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the cells that the rows of all batches reach on the last level of the trees from ``first`` to before
+    ``last``, each key once, and their sums: (statistics, cells)."""
+    level, stats = trees.depth, trees.stats.shape[2]
+    nodes = 1 << level
+    live = np.ones((last - first, 1), bool) if level == 0 else np.repeat(trees.feature[first:last, nodes // 2 : nodes] >= 0, 2, 1)
+    at = np.flatnonzero(live) + first * nodes
+    place = np.cumsum(live.ravel()) - 1
+    chosen = np.broadcast_to(np.arange(width), (len(at), width))
+    if mtry < width:
+        draw = uniform((at[:, None] * width + np.arange(width)) * 64 + level + seed * 7_919)
+        chosen = np.argsort(draw, 1)[:, :mtry]
+    many = chosen.shape[1]
+    counts = np.zeros((stats, len(at) * many * BINS))
+    for batch in batches:
+        for code, row, tree, value in entries(batch, first, last):
+            node = trees.leaves(code, tree, level, row)
+            if level:
+                inside = node >= nodes
+                row, tree, value, node = row[inside], tree[inside], value[inside], node[inside]
+            mine = place[(tree - first) * nodes + node - nodes]
+            for j in range(many):
+                cell = (mine * many + j) * BINS + code[row, chosen[mine, j]]
+                for s in range(stats):
+                    counts[s] += np.bincount(cell, value[:, s], counts.shape[1])
+    hit = np.flatnonzero(counts.any(0))
+    slot = hit // BINS
+    return (at[slot // many] * width + chosen[slot // many, slot % many]) * BINS + hit % BINS, counts[:, hit]
+
+
+def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], entries: Callable, gain: Callable, weight: Callable, least: float, mtry: int, seed: int, n: int) -> Trees:
+    """All trees, level by level, from ``n`` rows. ``entries(batch, first, last)`` yields parts ``code, row, tree, stats``:
+    the bins of a block's rows and, for pairs of a row and a tree from ``first`` to before ``last`` that it trains, the
+    place of the row, the tree and its statistics."""
     count, stats = len(trees.feature), trees.stats.shape[2]
     schema = "block long, key long, " + ", ".join(f"s{i} double" for i in range(stats))
     names = ["block", "key", *(f"s{i}" for i in range(stats))]
+    parts, context = max(1, rows.rdd.getNumPartitions()), rows.sparkSession.sparkContext
+    side_by_side = min(-(-context.defaultParallelism // parts), -(-n * count // PAIRS))
     for level in range(trees.depth):
-        nodes, now = 1 << level, rows.sparkSession.sparkContext.broadcast((trees.feature, trees.bin))
+        nodes, now = 1 << level, context.broadcast((trees.feature, trees.bin))
+        open_ = np.ones((count, 1), bool) if level == 0 else np.repeat(trees.feature[:, nodes // 2 : nodes] >= 0, 2, 1)
+        bounds = tree_runs(open_.sum(1) * min(mtry, width) * BINS * stats, side_by_side)
 
-        def reach(batches: Iterator[pa.RecordBatch], level: int = level, nodes: int = nodes, now=now) -> Iterator[pa.RecordBatch]:
+        def reach(batches: Iterator[pa.RecordBatch], block: int, first: int, last: int, level: int = level, now=now) -> Iterator[pa.RecordBatch]:
             own = Trees(0, level, stats)
             own.feature, own.bin = now.value
-            for batch in batches:
-                for code, row, tree, value in entries(batch):
-                    node = own.leaves(code[row], tree, level)
-                    live = node >= nodes
-                    row, tree, value, at = row[live], tree[live], value[live], tree[live] * nodes + node[live] - nodes
-                    chosen = np.broadcast_to(np.arange(width), (len(at), width))
-                    if mtry < width:
-                        active, back = np.unique(at, return_inverse=True)
-                        draw = uniform((active[:, None] * width + np.arange(width)) * 64 + level + seed * 7_919)
-                        chosen = np.argsort(draw, 1)[:, :mtry][back]
-                    keys = (at[:, None] * width + chosen) * BINS + code[row[:, None], chosen]
-                    keys, sums = cell_sums(keys.ravel(), np.repeat(value, chosen.shape[1], 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys // (BINS * width * nodes * 64)), pa.array(keys), *map(pa.array, sums.T)], names)
+            keys, counts = counted(batches, own, entries, first, last, width, mtry, seed)
+            for some in range(0, len(keys), 100_000):
+                part = slice(some, some + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), block)), pa.array(keys[part]), *map(pa.array, counts[:, part])], names)
 
         def decide(cells: pa.Table) -> pa.Table:
             keys, sums = cell_sums(cells["key"].to_numpy(), np.stack([cells[f"s{i}"].to_numpy() for i in range(stats)], 1))
@@ -134,7 +177,14 @@ def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], ent
             lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (left, whole)]
             return pa.table([pa.array(node), pa.array(feature), pa.array(bin_), *lists], ["node", "feature", "bin", "left", "whole"])
 
-        picked = rows.mapInArrow(reach, schema).groupBy("block").applyInArrow(decide, "node long, feature long, bin long, left array<double>, whole array<double>")
+        # A run of trees is a task per partition: small tables keep all cores busy too.
+        cells = None
+        for block, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            part = rows.mapInArrow(lambda batches, b=block, f=first, t=last, reach=reach: reach(batches, b, f, t), schema)
+            cells = part if cells is None else cells.union(part)
+        if parts > 1:
+            cells = cells.repartition("block").groupBy("block", "key").agg(*(F.sum(c).alias(c) for c in names[2:]))
+        picked = cells.groupBy("block").applyInArrow(decide, "node long, feature long, bin long, left array<double>, whole array<double>")
         found = picked.toArrow()  # a row per open node of the trees
         now.unpersist()
         if not found.num_rows:
@@ -168,23 +218,26 @@ class Forest:
 
     def fit_tasks(self, rows: DataFrame, tasks: int, classes: int, width: int) -> Callable:
         rows, b, seed = with_hash(rows), self.trees, self.seed
-        edges = bin_edges(rows, width)
+        edges, n = bin_edges(rows, width), rows.count()
 
-        def entries(batch: pa.RecordBatch) -> Iterator[tuple]:
+        def entries(batch: pa.RecordBatch, first: int, last: int) -> Iterator[tuple]:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 x, y, w = arrays(part, tasks)
                 code, h = coded(x, edges), part.column(part.schema.get_field_index("h")).to_numpy().view(np.uint64)
-                step = max(1, PAIRS // (len(y) * b))
-                for t in range(0, tasks, step):
-                    tree = np.arange(t * b, min(t + step, tasks) * b)
-                    times = np.searchsorted(POISSON, uniform(h[:, None] + mixed(tree + seed * 104_729)[None]))
-                    times = times * np.repeat(w[:, t : t + step], b, 1)
+                step = max(1, PAIRS // len(y))
+                for t in range(first, last, step):
+                    tree = np.arange(t, min(t + step, last))
+                    u = uniform(h[:, None] + mixed(tree + seed * 104_729)[None])
+                    times = np.zeros(u.shape, np.uint8)
+                    for chance in POISSON:
+                        times += u > chance
+                    times[w[:, tree // b] == 0] = 0
                     row, own = np.nonzero(times)
                     yield code, row, tree[own], times[row, own, None] * np.eye(classes)[y[row]]
 
         grown = Trees(tasks * b, self.depth, classes)
-        grown = grow(rows.select("label", "x", "out", "h"), grown, width, edges, entries, gini, lambda s: s.sum(1), self.least, max(1, int(width**0.5)), seed)
+        grown = grow(rows.select("label", "x", "out", "h"), grown, width, edges, entries, gini, lambda s: s.sum(1), self.least, max(1, int(width**0.5)), seed, n)
 
         def predict(x: np.ndarray, t: np.ndarray) -> np.ndarray:
             code, out = coded(x, edges), np.zeros((len(x), classes))
@@ -221,20 +274,20 @@ class Boosting:
         def added(code: np.ndarray, own: list[Trees]) -> np.ndarray:
             """The scores that trees give every row in every task and class."""
             out, n = np.zeros((len(code), len(every))), len(code)
-            wide, tree = np.repeat(code, len(every), 0), np.tile(every, n)
+            row, tree = np.repeat(np.arange(n), len(every)), np.tile(every, n)
             for t in own:
-                out += value(t)[tree, t.leaves(wide, tree)].reshape(n, -1)
+                out += value(t)[tree, t.leaves(code, tree, row=row)].reshape(n, -1)
             return out
 
         def scores(part: pa.RecordBatch) -> np.ndarray:
             return part.column(part.schema.get_field_index("score")).flatten().to_numpy().reshape(part.num_rows, -1)
 
         kept = rows.select("label", "x", "out").withColumn("score", F.array(*map(F.lit, start.tolist())))
-        kept, since = cut(kept), 0
+        kept, since, n = cut(kept), 0, rows.count()
         for r in range(self.rounds):
             recent = made[since:]
 
-            def entries(batch: pa.RecordBatch, recent: list[Trees] = recent) -> Iterator[tuple]:
+            def entries(batch: pa.RecordBatch, first: int, last: int, recent: list[Trees] = recent) -> Iterator[tuple]:
                 size = max(1, PAIRS // len(every))
                 for at in range(0, batch.num_rows, size):
                     part = batch.slice(at, size)
@@ -243,12 +296,13 @@ class Boosting:
                     f = (scores(part) + added(code, recent)).reshape(len(y), tasks, classes)
                     p = softmax(f, present[None])
                     g, h = p - np.eye(classes)[y][:, None], p * (1 - p)
-                    row, tree = np.nonzero(np.repeat(w, classes, 1))
+                    row, tree = np.nonzero(np.repeat(w, classes, 1)[:, first:last])
+                    tree += first
                     g, h = g.reshape(len(y), -1)[row, tree], h.reshape(len(y), -1)[row, tree]
                     yield code, row, tree, np.stack([g, h, np.ones(len(g))], 1)
 
             gain = lambda s: np.divide(s[:, 0] ** 2, s[:, 1] + ridge, out=np.zeros(len(s)), where=s[:, 1] + ridge > 0)
-            made.append(grow(kept, Trees(len(every), depth, 3), width, edges, entries, gain, lambda s: s[:, 2], self.least, width, 0))
+            made.append(grow(kept, Trees(len(every), depth, 3), width, edges, entries, gain, lambda s: s[:, 2], self.least, width, 0, n))
             if (r + 1) % self.staged == 0 and r + 1 < self.rounds:
                 recent, since = made[since:], r + 1
 

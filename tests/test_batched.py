@@ -216,3 +216,24 @@ def test_explanations_of_many_columns_add_up(spark):
     base = sum(expected_value(own, t, 1, value, None, set())[1] for t in chosen)
     shares = predict(x, np.zeros(150, int))[:, 1]
     assert [sums[i] + base for i in range(150)] == pytest.approx(shares.tolist(), abs=1e-5)
+
+
+def test_a_task_sends_a_cell_once_whatever_its_rows(spark):
+    rng, forest = np.random.default_rng(5), trees.Forest(trees=6, depth=3)
+    x = rng.integers(0, 4, (5_000, P)).astype(float)
+    y = (x[:, 0] > 1).astype(int)
+    df = spark.createDataFrame([(i, int(c), v.tolist(), []) for i, (c, v) in enumerate(zip(y, x, strict=True))], "id long, label int, x array<double>, out array<int>")
+    grown = forest.fit_tasks(df.repartition(3), 1, 2, P).trees
+    assert (grown.feature == forest.fit_tasks(df.repartition(1), 1, 2, P).trees.feature).all()
+    batch = df.select("label", "x", "out").toArrow().combine_chunks().to_batches()[0]
+    at = trees.Trees(6, 0, 1)
+
+    def entries(part, first, last):
+        code, n = x[: part.num_rows].astype(int), part.num_rows
+        yield code, np.repeat(np.arange(n), last - first), np.tile(np.arange(first, last), n), np.ones((n * (last - first), 1))
+
+    keys, sums = trees.counted(iter([batch] * 3), at, entries, 2, 5, P, P, 0)
+    assert len(keys) == len(set(keys.tolist())) == 3 * P * 4
+    assert sums.sum() == 3 * 3 * P * 5_000
+    assert trees.tree_runs(np.full(10, trees.CELLS // 3), 1).tolist() == [0, 3, 6, 9, 10]
+    assert trees.tree_runs(np.ones(10, int), 5).tolist() == [0, 2, 4, 6, 8, 10]
