@@ -108,6 +108,23 @@ def best_cuts(keys: np.ndarray, sums: np.ndarray, width: int, gain: Callable, we
     return node[top], feature, keys[top] % BINS, left[top], whole[top]
 
 
+def dense_cuts(at: np.ndarray, chosen: np.ndarray, counts: np.ndarray, gain: Callable, weight: Callable, least: float) -> tuple:
+    """:func:`best_cuts` of :func:`dense_counts` over all rows: nodes that rows reach, feature, bin, statistics left and in
+    all. Columns are in order, so ties go to the first here too."""
+    stats, n, many, _ = counts.shape
+    whole = counts[:, :, 0].sum(-1).T
+    some = counts[:, :, 0].any((0, 2))
+    at, chosen, counts, whole, n = at[some], chosen[some], counts[:, some], whole[some], int(some.sum())
+    left = np.cumsum(counts, -1).transpose(1, 2, 3, 0).reshape(-1, stats)
+    right = np.repeat(whole, many * BINS, 0) - left
+    found = gain(left) + gain(right) - np.repeat(gain(whole), many * BINS)
+    found = np.where((weight(left) >= least) & (weight(right) >= least), found, -np.inf).reshape(n, many * BINS)
+    top = found.argmax(1) if n else np.zeros(0, int)
+    every = np.arange(n)
+    feature = np.where(found[every, top] > 1e-9, chosen[every, top // BINS], -1)
+    return at, feature, top % BINS, left.reshape(n, many * BINS, stats)[every, top], whole
+
+
 def tree_runs(cells: np.ndarray, least: int) -> np.ndarray:
     """Bounds of runs of neighbouring trees of at most ``CELLS`` cells (a larger tree is alone), ``least`` runs if there
     are as many trees."""
@@ -119,9 +136,9 @@ def tree_runs(cells: np.ndarray, least: int) -> np.ndarray:
     return np.array(bounds)
 
 
-def counted(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable, first: int, last: int, width: int, mtry: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the cells that the rows of all batches reach on the last level of the trees from ``first`` to before
-    ``last``, each key once, and their sums: (statistics, cells)."""
+def dense_counts(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable, first: int, last: int, width: int, mtry: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the trees from ``first`` to before ``last``: the open nodes of the last level, their drawn columns, and the sums
+    that the rows of all batches give in each bin of these: (statistics, nodes, columns, bins)."""
     level, stats = trees.depth, trees.stats.shape[2]
     nodes = 1 << level
     live = np.ones((last - first, 1), bool) if level == 0 else np.repeat(trees.feature[first:last, nodes // 2 : nodes] >= 0, 2, 1)
@@ -130,7 +147,7 @@ def counted(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable,
     chosen = np.broadcast_to(np.arange(width), (len(at), width))
     if mtry < width:
         draw = uniform((at[:, None] * width + np.arange(width)) * 64 + level + seed * 7_919)
-        chosen = np.argsort(draw, 1)[:, :mtry]
+        chosen = np.sort(np.argsort(draw, 1)[:, :mtry], 1)
     many = chosen.shape[1]
     counts = np.zeros((stats, len(at) * many * BINS))
     for batch in batches:
@@ -144,6 +161,14 @@ def counted(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable,
                 cell = (mine * many + j) * BINS + code[row, chosen[mine, j]]
                 for s in range(stats):
                     counts[s] += np.bincount(cell, value[:, s], counts.shape[1])
+    return at, chosen, counts.reshape(stats, len(at), many, BINS)
+
+
+def counted(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Callable, first: int, last: int, width: int, mtry: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the cells that the rows of all batches reach on the last level of the trees from ``first`` to before
+    ``last``, each key once, and their sums: (statistics, cells)."""
+    at, chosen, counts = dense_counts(batches, trees, entries, first, last, width, mtry, seed)
+    many, counts = chosen.shape[1], counts.reshape(len(counts), -1)
     hit = np.flatnonzero(counts.any(0))
     slot = hit // BINS
     return (at[slot // many] * width + chosen[slot // many, slot % many]) * BINS + hit % BINS, counts[:, hit]
@@ -156,6 +181,7 @@ def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], ent
     count, stats = len(trees.feature), trees.stats.shape[2]
     schema = "block long, key long, " + ", ".join(f"s{i} double" for i in range(stats))
     names = ["block", "key", *(f"s{i}" for i in range(stats))]
+    chosen_schema = "node long, feature long, bin long, left array<double>, whole array<double>"
     parts, context = max(1, rows.rdd.getNumPartitions()), rows.sparkSession.sparkContext
     side_by_side = min(-(-context.defaultParallelism // parts), -(-n * count // PAIRS))
     for level in range(trees.depth):
@@ -171,20 +197,29 @@ def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], ent
                 part = slice(some, some + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), block)), pa.array(keys[part]), *map(pa.array, counts[:, part])], names)
 
+        def picks(node: np.ndarray, feature: np.ndarray, bin_: np.ndarray, left: np.ndarray, whole: np.ndarray) -> pa.Table:
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * stats), pa.array(v.ravel())) for v in (left, whole)]
+            return pa.table([pa.array(node), pa.array(feature), pa.array(bin_), *lists], ["node", "feature", "bin", "left", "whole"])
+
         def decide(cells: pa.Table) -> pa.Table:
             keys, sums = cell_sums(cells["key"].to_numpy(), np.stack([cells[f"s{i}"].to_numpy() for i in range(stats)], 1))
-            node, feature, bin_, left, whole = best_cuts(keys, sums, width, gain, weight, least)
-            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (left, whole)]
-            return pa.table([pa.array(node), pa.array(feature), pa.array(bin_), *lists], ["node", "feature", "bin", "left", "whole"])
+            return picks(*best_cuts(keys, sums, width, gain, weight, least))
+
+        def alone(batches: Iterator[pa.RecordBatch], block: int, first: int, last: int, level: int = level, now=now) -> Iterator[pa.RecordBatch]:
+            own = Trees(0, level, stats)
+            own.feature, own.bin = now.value
+            yield from picks(*dense_cuts(*dense_counts(batches, own, entries, first, last, width, mtry, seed), gain, weight, least)).to_batches(10_000)
 
-        # A run of trees is a task per partition: small tables keep all cores busy too.
-        cells = None
+        # A run of trees is a task per partition: small tables keep all cores busy too. The only partition of a table
+        # has all rows of a node, so its cells need not meet others.
+        task, out = (reach, schema) if parts > 1 else (alone, chosen_schema)
+        picked = None
         for block, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            part = rows.mapInArrow(lambda batches, b=block, f=first, t=last, reach=reach: reach(batches, b, f, t), schema)
-            cells = part if cells is None else cells.union(part)
+            part = rows.mapInArrow(lambda batches, b=block, f=first, t=last, task=task: task(batches, b, f, t), out)
+            picked = part if picked is None else picked.union(part)
         if parts > 1:
-            cells = cells.repartition("block").groupBy("block", "key").agg(*(F.sum(c).alias(c) for c in names[2:]))
-        picked = cells.groupBy("block").applyInArrow(decide, "node long, feature long, bin long, left array<double>, whole array<double>")
+            cells = picked.repartition("block").groupBy("block", "key").agg(*(F.sum(c).alias(c) for c in names[2:]))
+            picked = cells.groupBy("block").applyInArrow(decide, chosen_schema)
         found = picked.toArrow()  # a row per open node of the trees
         now.unpersist()
         if not found.num_rows:

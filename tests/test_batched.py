@@ -237,3 +237,38 @@ def test_a_task_sends_a_cell_once_whatever_its_rows(spark):
     assert sums.sum() == 3 * 3 * P * 5_000
     assert trees.tree_runs(np.full(10, trees.CELLS // 3), 1).tolist() == [0, 3, 6, 9, 10]
     assert trees.tree_runs(np.ones(10, int), 5).tolist() == [0, 2, 4, 6, 8, 10]
+
+
+@pytest.mark.parametrize("made", [lambda: batched.LinearMachine(), lambda: batched.FourierMachine(features=8)])
+def test_machines_take_blocks_that_lack_the_classes_of_a_pair(spark, monkeypatch, made):
+    """A block whose rows are all of one class has none for the machine of the other two."""
+    labels = [0] * batched.BLOCK + [1] * 40 + [2] * 40
+    rows = [(i, y, [float(y == 1) + i % 7 / 50, float(y == 2) - i % 5 / 50], [i % 2]) for i, y in enumerate(labels)]
+    df = spark.createDataFrame(rows, "id long, label int, x array<double>, out array<int>").coalesce(1)
+    predict = made().fit_tasks(df, 2, 3, 2)
+    scores = predict(np.array([[0.1, 0.0], [1.1, 0.0], [0.1, 1.0]]), np.zeros(3, int))
+    assert scores.argmax(1).tolist() == [0, 1, 2]
+
+
+def test_products_of_columns_come_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(50, 4)), rng.uniform(size=(50, 3))
+    whole = np.einsum("nt,ni,nj->tij", w, x, x).reshape(3, 16)
+    monkeypatch.setattr(batched, "PRODUCTS", 100)
+    assert np.allclose(batched.weighted_products(w, x), whole)
+    assert batched.weighted_products(w[:0], x[:0]).shape == (3, 16)
+
+
+def test_cuts_of_one_partition_equal_those_of_cells(data):
+    rng, x = np.random.default_rng(8), np.random.default_rng(9).integers(0, 6, (400, P))
+    stats = np.eye(K)[(x[:, 0] > 2).astype(int) + rng.integers(0, 2, 400) * (K > 2)]
+
+    def entries(part, first, last):
+        yield x, np.arange(400), np.zeros(400, int) + first, stats
+
+    made = trees.Trees(3, 0, K)
+    found = trees.dense_cuts(*trees.dense_counts(iter([None]), made, entries, 1, 2, P, 2, 3), trees.gini, lambda s: s.sum(1), 3)
+    keys, sums = trees.counted(iter([None]), made, entries, 1, 2, P, 2, 3)
+    want = trees.best_cuts(keys, sums.T, P, trees.gini, lambda s: s.sum(1), 3)
+    for a, b in zip(found, want, strict=True):
+        assert np.allclose(a, b)
