@@ -10,10 +10,11 @@ cut is found where its cells meet. The driver holds the trees, whose size is a p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.lineage import cut
@@ -21,6 +22,8 @@ from gridloom.operators.batched import BLOCK, arrays, class_counts, softmax
 
 BINS = 32
 PAIRS = 1_000_000
+#: Pairs of a row and a tree that are worked on at a time, small enough for a core's cache.
+PART = 65_536
 #: Numbers that a task counts in at a time.
 CELLS = 4_000_000
 
@@ -125,6 +128,18 @@ def dense_cuts(at: np.ndarray, chosen: np.ndarray, counts: np.ndarray, gain: Cal
     return at, feature, top % BINS, left.reshape(n, many * BINS, stats)[every, top], whole
 
 
+@contextmanager
+def separate_unions(spark: SparkSession) -> Iterator[None]:
+    """Within, the parts of a union stay tasks of their own; Spark else puts those of a lone partition in one task."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def tree_runs(cells: np.ndarray, least: int) -> np.ndarray:
     """Bounds of runs of neighbouring trees of at most ``CELLS`` cells (a larger tree is alone), ``least`` runs if there
     are as many trees."""
@@ -157,10 +172,15 @@ def dense_counts(batches: Iterator[pa.RecordBatch], trees: Trees, entries: Calla
                 inside = node >= nodes
                 row, tree, value, node = row[inside], tree[inside], value[inside], node[inside]
             mine = place[(tree - first) * nodes + node - nodes]
+            if not len(mine):
+                continue
+            low = int(mine.min())  # a part has neighbouring trees, so its cells lie together
+            base, own, codes = (mine - low) * many * BINS, row * code.shape[1], code.ravel()
             for j in range(many):
-                cell = (mine * many + j) * BINS + code[row, chosen[mine, j]]
+                cell = base + codes.take(own + chosen[:, j].take(mine)) + j * BINS
                 for s in range(stats):
-                    counts[s] += np.bincount(cell, value[:, s], counts.shape[1])
+                    sums = np.bincount(cell, value[:, s])
+                    counts[s, low * many * BINS : low * many * BINS + len(sums)] += sums
     return at, chosen, counts.reshape(stats, len(at), many, BINS)
 
 
@@ -220,7 +240,8 @@ def grow(rows: DataFrame, trees: Trees, width: int, edges: list[np.ndarray], ent
         if parts > 1:
             cells = picked.repartition("block").groupBy("block", "key").agg(*(F.sum(c).alias(c) for c in names[2:]))
             picked = cells.groupBy("block").applyInArrow(decide, chosen_schema)
-        found = picked.toArrow()  # a row per open node of the trees
+        with separate_unions(rows.sparkSession):
+            found = picked.toArrow()  # a row per open node of the trees
         now.unpersist()
         if not found.num_rows:
             break
@@ -260,7 +281,7 @@ class Forest:
                 part = batch.slice(at, BLOCK)
                 x, y, w = arrays(part, tasks)
                 code, h = coded(x, edges), part.column(part.schema.get_field_index("h")).to_numpy().view(np.uint64)
-                step = max(1, PAIRS // len(y))
+                step = max(1, PART // len(y))
                 for t in range(first, last, step):
                     tree = np.arange(t, min(t + step, last))
                     u = uniform(h[:, None] + mixed(tree + seed * 104_729)[None])

@@ -272,3 +272,10 @@ def test_cuts_of_one_partition_equal_those_of_cells(data):
     want = trees.best_cuts(keys, sums.T, P, trees.gini, lambda s: s.sum(1), 3)
     for a, b in zip(found, want, strict=True):
         assert np.allclose(a, b)
+
+
+def test_runs_of_trees_over_one_partition_are_tasks_of_their_own(spark):
+    one = spark.range(10).coalesce(1).localCheckpoint()
+    parts = one.mapInArrow(lambda batches: batches, "id long").union(one.mapInArrow(lambda batches: batches, "id long"))
+    with trees.separate_unions(spark):
+        assert parts.select(F.spark_partition_id().alias("p")).distinct().count() == 2
