@@ -629,3 +629,18 @@ def test_neighbourhoods_are_dealt_by_bands_into_partitions_that_grow_with_the_pi
     assert len(got) == grid.size
     for (r, c), value in got.items():
         assert value == pytest.approx(grid[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2].std())
+
+
+def test_moran_permutations_leave_the_edges_on_the_cluster(spark, monkeypatch):
+    """Edges do not come to the driver, and a permutation deals the values as numpy does from its seed."""
+    monkeypatch.setattr(spatial, "cross_section", None)
+    monkeypatch.setattr(spatial, "EDGES", 50)
+    v = np.random.default_rng(3).normal(size=36)
+    values = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "unit_id long, v double")
+    edges = cluster.compact(spatial.queen_edges(lattice(spark), "unit_id"))
+    r = spatial.moran_permutation(values, edges, "unit_id", "v", permutations=20).first()
+    rows, z = edges.collect(), v - v.mean()
+    src, dst, w = (np.array([e[c] for e in rows]) for c in ("src", "dst", "w"))
+    of = lambda y: 36 / w.sum() * (w * y[src] * y[dst]).sum() / (z @ z)
+    drawn = np.array([of(np.random.default_rng(42 + p).permutation(z)) for p in range(20)])
+    assert r.i == pytest.approx(of(z)) and r.z_sim == pytest.approx((of(z) - drawn.mean()) / drawn.std())
