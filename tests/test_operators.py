@@ -644,3 +644,28 @@ def test_moran_permutations_leave_the_edges_on_the_cluster(spark, monkeypatch):
     of = lambda y: 36 / w.sum() * (w * y[src] * y[dst]).sum() / (z @ z)
     drawn = np.array([of(np.random.default_rng(42 + p).permutation(z)) for p in range(20)])
     assert r.i == pytest.approx(of(z)) and r.z_sim == pytest.approx((of(z) - drawn.mean()) / drawn.std())
+
+
+def test_permutations_are_scored_together_and_pair_hash_orders(spark):
+    class Model:
+        calls = 0
+
+        def transform(self, d):
+            Model.calls += 1
+            x = vector_to_array("features")
+            return d.withColumn("prediction", (x[0] + x[1] / 10 > 1).cast("int"))
+
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(i, i % 2, float(i % 2 * 2), float(i * 7 % 9)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double")
+    found = {(r.feature, r.repeat): r["drop"] for r in classify.permutation_importance(df, ["a", "b"], Model(), repeats=3).collect()}
+    assert Model.calls == 2 and len(found) == 6
+    for (c, r), drop in found.items():
+        own = df.select("id", F.xxhash64("id", F.lit(42 + r)).alias("h"), F.xxhash64("id", F.lit(c), F.lit(42 - r - 1)).alias("g")).collect()
+        to, other = [k.id for k in sorted(own, key=lambda k: (k.h, k.id))], [k.id for k in sorted(own, key=lambda k: (k.g, k.id))]
+        dealt = {t: rows[o]["ab".index(c) + 2] for t, o in zip(to, other, strict=True)}
+        guess = lambda i, a, b: int(a + b / 10 > 1) == rows[i][1]
+        hits = [guess(i, dealt[i], rows[i][3]) if c == "a" else guess(i, rows[i][2], dealt[i]) for i in range(40)]
+        base = [guess(i, *rows[i][2:]) for i in range(40)]
+        assert drop == pytest.approx((sum(base) - sum(hits)) / 40)
