@@ -669,3 +669,13 @@ def test_permutations_are_scored_together_and_pair_hash_orders(spark):
         hits = [guess(i, dealt[i], rows[i][3]) if c == "a" else guess(i, rows[i][2], dealt[i]) for i in range(40)]
         base = [guess(i, *rows[i][2:]) for i in range(40)]
         assert drop == pytest.approx((sum(base) - sum(hits)) / 40)
+
+
+def test_ward_rounds_give_the_clusters_of_one_by_one_merging(spark):
+    k, rng = 4, np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 1, (16, 2)), rng.normal(6, 1, (14, 2)), [[40.0, 40.0], [41.5, 40.0], [80.0, -5.0]]]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    got = {r.id: r.cluster for r in cluster.ward(df, ["a", "b"], k, bound=12).collect()}
+    want = cluster.ward_labels(x, k)
+    assert len(got) == len(x) and len(set(got.values())) == k
+    assert cluster.ari_of(want, np.array([got[i] for i in range(len(x))])) == 1.0
