@@ -46,11 +46,14 @@ def assigned(df: DataFrame, columns: list[str], model) -> DataFrame:
 TILES = 32
 
 
-def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], work: Callable, schema: str, size: int = TILE) -> DataFrame:
+def tile_pairs(left: DataFrame, right: DataFrame | None, columns: list[str], work: Callable, schema: str, size: int = TILE) -> DataFrame:
     """``work(a, b)`` for all pairs of tiles of two frames. A side of a pair is a list of blocks of up to ``TILE`` points:
     (table of all columns but ``columns``, matrix of these). Tiles hold blocks, ``size`` points or a share of
-    1 / ``TILES`` of them; a pair is a group of its own, and a task holds two tiles as bytes."""
-    spark, counts = left.sparkSession, [min(TILES, max(1, -(-df.count() // size))) for df in (left, right)]
+    1 / ``TILES`` of them; a pair is a group of its own, and a task holds two tiles as bytes. Without ``right`` two tiles of
+    ``left`` meet once, and a tile meets itself as ``work(a, None)``."""
+    alone, right = right is None, left if right is None else right
+    spark, counts = left.sparkSession, [min(TILES, max(1, -(-df.count() // size))) for df in ((left,) if alone else (left, right))]
+    counts = counts * 2 if alone else counts
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,6 +71,11 @@ def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], work: Call
         kept = df.select("id", *[c for c in df.columns if c not in (*columns, "id")], F.array(*(F.col(c).cast("double") for c in columns)).alias("__v"))
         # Rows are dealt to as many partitions as there are tiles, so that blocks are full and tiles even.
         blocks = kept.repartition(own, F.xxhash64("id")).mapInArrow(pack, "rows binary, x binary")
+        if alone:  # a tile's points follow their hashes, however often a side is made
+            blocks = blocks.withColumn(names[0], F.pmod(F.spark_partition_id(), F.lit(own)))
+            first, last = (F.col(names[0]), F.lit(own - 1)) if names[0] == "__a" else (F.lit(0), F.col(names[0]) - 1)
+            met = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return blocks.withColumn(names[1], F.explode(met))
         every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         tile = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(own)).cast("int")
         return blocks.withColumn(names[0], tile).withColumn(names[1], every)
@@ -79,8 +87,8 @@ def tile_pairs(left: DataFrame, right: DataFrame, columns: list[str], work: Call
             out.append((found, np.frombuffer(x.as_buffer(), float).reshape(found.num_rows, -1)))
         return out
 
-    def met(a: pa.Table, b: pa.Table) -> pa.Table:
-        return work(blocks_of(a), blocks_of(b))
+    def met(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        return work(blocks_of(a), None if alone and key[0] == key[1] else blocks_of(b))
 
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:  # the default counts rows alone
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -104,32 +112,67 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
+def both_sums(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances of every row of ``x`` to the rows of ``y`` by label 0 to ``k`` - 1, and the other way round. Rows
+    come ordered by their labels."""
+    to_y, to_x, turned = np.zeros((len(x), k)), np.zeros((len(y), k)), np.ascontiguousarray(-2 * y.T)
+    own, other = (x * x).sum(1), (y * y).sum(1)
+    ends = [np.searchsorted(of, np.arange(k + 1)) for of in (of_x, of_y)]
+    for c in np.unique(of_x):
+        for at in range(ends[0][c], ends[0][c + 1], 256):
+            part = slice(at, min(at + 256, ends[0][c + 1]))
+            d = x[part] @ turned
+            d += other
+            d += own[part, None]
+            if d.size and d.min() < 1e-6:  # cancellation: take the few very near pairs directly
+                i, j = np.nonzero(d < 1e-6)
+                d[i, j] = ((x[part][i] - y[j]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+            for e in np.unique(of_y):
+                to_y[part, e] = d[:, ends[1][e] : ends[1][e + 1]].sum(1)
+            to_x[:, c] += d.sum(0)
+    return to_y, to_x
+
+
 def distance_sums(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Per point and cluster: the sum of Euclidean distances and the number of members. Work goes by pairs of
-    tiles; only a row per point, cluster and tile leaves a task."""
+    tiles, each taken once for both sides; only a row per point, cluster and tile leaves a task."""
     points = df.select("id", label, *columns)
     kind, lab = dict(df.dtypes)["id"], dict(df.dtypes)[label]
 
-    def measure(a: list, b: list) -> pa.Table:
-        if not a or not b:
+    def coded(blocks: list, labels: list) -> list:
+        """Blocks in order of their labels: table, matrix, codes and the sums of distances to each label."""
+        out, at = [], {v: c for c, v in enumerate(labels)}
+        for rows, x in blocks:
+            code = np.array([at[v] for v in rows[label].to_pylist()], np.int64)
+            order = np.argsort(code, kind="stable")
+            out.append((rows.take(pa.array(order)), x[order], code[order], np.zeros((len(x), len(labels)))))
+        return out
+
+    def measure(a: list, b: list | None) -> pa.Table:
+        if not a or b == []:
             return empty
-        names = pa.chunked_array([c for rows, _ in b for c in rows[label].chunks]).unique()
+        names = pa.chunked_array([c for rows, _ in a + (b or []) for c in rows[label].chunks]).unique()
         labels = names.to_pylist()
-        codes = [np.array([labels.index(v) for v in rows[label].to_pylist()]) for rows, _ in b]
+        mine, theirs = coded(a, labels), coded(b or [], labels)
+        for i, (_, x, code, total) in enumerate(mine):
+            for j, (_, y, other, back) in enumerate(mine if b is None else theirs):
+                if b is not None or i <= j:
+                    to_y, to_x = both_sums(x, code, y, other, len(labels))
+                    total += to_y
+                    if b is not None or i < j:
+                        back += to_x
         out = []
-        for rows, x in a:
-            total, n = np.zeros((len(x), len(labels))), np.zeros(len(labels), np.int64)
-            for own, (_, y) in zip(codes, b, strict=True):
-                hot = (own[:, None] == np.arange(len(labels))[None]).astype(float)
-                total += np.sqrt(squares(x, y)) @ hot
-                n += hot.sum(0).astype(np.int64)
-            for c in range(len(labels)):
-                out.append(pa.table({"id": rows["id"], "own": rows[label], "cluster": names.take(pa.array([c] * len(x))), "total": total[:, c], "n": np.full(len(x), n[c])}))
+        for side, other in ((mine, theirs if b else mine), (theirs, mine)):
+            n = sum((np.bincount(code, minlength=len(labels)) for _, _, code, _ in other), np.zeros(len(labels), np.int64))
+            for rows, x, _, total in side:
+                for c in np.flatnonzero(n):
+                    out.append(pa.table({"id": rows["id"], "own": rows[label], "cluster": names.take(pa.array([c] * len(x))), "total": total[:, c], "n": np.full(len(x), n[c])}))
         return pa.concat_tables(out)
 
     schema = f"id {kind}, own {lab}, cluster {lab}, total double, n long"
     empty = no_rows(schema)
-    parts = tile_pairs(points, points, columns, measure, schema)
+    parts = tile_pairs(points, None, columns, measure, schema)
     return parts.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -321,6 +364,16 @@ def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 10
     return {r.k: Centres(np.array(r.best.centres).reshape(r.k, -1), r.best.cost) for r in found.collect()}
 
 
+def best_fits_by_columns(df: DataFrame, sets: dict[str, list[str]], k: int, starts: int = 100, seed: int = 42, bound: int = 100_000) -> dict[str, Centres]:
+    """:func:`best_fits` of ``k`` clusters on each of several lists of columns; beyond ``bound`` rows all share their passes."""
+    if df.count() <= bound:
+        return {name: best_fits(df, columns, [k], starts, seed, bound)[k] for name, columns in sets.items()}
+    every = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    groups = [together.Group(k, list(range(seed, seed + starts)), columns=[every.index(c) for c in columns]) for columns in sets.values()]
+    found = together.fit_rows(together.packed(df, every), groups, seed=seed)
+    return {name: Centres(centres, cost) for name, (cost, centres) in zip(sets, found, strict=True)}
+
+
 def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 50, seed: int = 42, starts: int = 100, reference_starts: int = 10, fits: dict[int, Centres] | None = None, bound: int = 100_000) -> list[tuple[int, float, float]]:
     """(k, gap, standard error) against uniform references between each column's extremes, one reference for all k.
     ``fits`` are the best fits of ``df`` if they are known. Up to ``bound`` rows a reference is a row, spread over

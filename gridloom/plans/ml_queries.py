@@ -313,12 +313,14 @@ def perturbation_stability(spark, sf_dir):
 def specification_robustness(spark, sf_dir):
     """Clusters from column subsets against those from all columns, with the silhouette of each."""
     df, out = cluster.compact(points(spark, sf_dir)), None
-    base = cluster.compact(_clusters(df, XS).select("id", F.col("cluster").alias("u")))
     half = len(XS) // 2
-    for name, columns in {"all": XS, "first": XS[:half], "last": XS[half:], "even": XS[::2]}.items():
-        labelled = cluster.compact(_clusters(df, columns))
-        agreement = cluster.adjusted_rand(base.join(labelled.select("id", F.col("cluster").alias("v")), "id"), "u", "v")
-        part = agreement.join(cluster.silhouette_samples(labelled, columns).agg(F.avg("silhouette").alias("silhouette"))).select(F.lit(name).alias("specification"), "ari", "silhouette")  # one row each
+    specifications = {"all": XS, "first": XS[:half], "last": XS[half:], "even": XS[::2]}
+    fits = cluster.best_fits_by_columns(df, specifications, 3)
+    labels = {name: cluster.compact(cluster.assigned(df, columns, fits[name]).select("id", "cluster", *columns)) for name, columns in specifications.items()}
+    base = labels["all"].select("id", F.col("cluster").alias("u"))
+    for name, columns in specifications.items():
+        agreement = cluster.adjusted_rand(base.join(labels[name].select("id", F.col("cluster").alias("v")), "id"), "u", "v")
+        part = agreement.join(cluster.silhouette_samples(labels[name], columns).agg(F.avg("silhouette").alias("silhouette"))).select(F.lit(name).alias("specification"), "ari", "silhouette")  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 
