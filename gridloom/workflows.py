@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ from gridloom.operators import classify, cluster, eda, features, panel, stats, t
 from gridloom.schema import nan_to_null, numeric_columns, resolve_columns, to_long
 
 
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for: some take passes over the rows before they are read."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def build_panel(months: list[DataFrame], static: list[DataFrame], census: DataFrame | None, units: DataFrame | None = None, monthly: list[DataFrame] = ()) -> DataFrame:
     """Stage 1: months together, further sensors by (unit, month), static attributes and census by unit, one row
     per (unit, month): the first, in the order of the months' frames. Joins check their keys; a join that leaves almost everything missing is an error."""
@@ -85,14 +105,16 @@ def evaluate(df: DataFrame, columns: list[str], models: list[str] | None = None,
     }
 
 
-def typology(df: DataFrame, columns: list[str], k: int) -> dict[str, DataFrame]:
+def typology(df: DataFrame, columns: list[str], k: int) -> Mapping[str, DataFrame]:
     """Stage 4b: clusters of ``df (id, columns)`` with their evaluation."""
-    scaled = features.scale(df, features.scaler_parameters(df, columns, "standard"))
+    scaled = cut(features.scale(df, features.scaler_parameters(df, columns, "standard")))
     labelled = cut(cluster.assigned(scaled, columns, cluster.best_fits(scaled, columns, [k])[k]))
     raw = df.join(labelled.select("id", "cluster"), "id")
-    return {
-        "assignments": labelled.select("id", "cluster").join(cluster.silhouette_samples(labelled, columns).select("id", "silhouette"), "id"),
-        "profiles": cluster.profiles(raw, columns),
-        "kruskal_wallis": stats.kruskal_p(stats.kruskal_wallis(to_long(raw, ["cluster"], columns), "cluster")),
-        "correlations": stats.correlation_p(eda.correlation_matrix(df, columns)),
-    }
+    return Tables(
+        {
+            "assignments": lambda: labelled.select("id", "cluster").join(cluster.silhouette_samples(labelled, columns).select("id", "silhouette"), "id"),
+            "profiles": lambda: cluster.profiles(raw, columns),
+            "kruskal_wallis": lambda: stats.kruskal_p(stats.kruskal_wallis(to_long(raw, ["cluster"], columns), "cluster")),
+            "correlations": lambda: stats.correlation_p(eda.correlation_matrix(df, columns)),
+        }
+    )

@@ -1,7 +1,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom import workflows
 from gridloom.operators import cluster, starts
 
 
@@ -46,3 +48,13 @@ def test_lists_of_columns_share_passes(points, monkeypatch):
     for name, columns in sets.items():
         alone = cluster.best_fits(df, columns, [2], starts=4, bound=100)[2]
         assert got[name].cost == pytest.approx(alone.cost) and got[name].centres == pytest.approx(alone.centres)
+
+
+def test_tables_of_a_typology_are_made_when_asked_for(points, monkeypatch):
+    made = []
+    plain = cluster.profiles
+    monkeypatch.setattr(cluster, "profiles", lambda *args: made.append(1) or plain(*args))
+    tables = workflows.typology(points[0].select("id", "a", "b", "c"), ["a", "b", "c"], 2)
+    assert set(tables) == {"assignments", "profiles", "kruskal_wallis", "correlations"}
+    assert tables["assignments"].agg(F.count(F.lit(1))).first()[0] == 2600 and made == []
+    assert tables["profiles"].count() == 2 and made == [1] and tables["profiles"] is tables["profiles"]
