@@ -15,6 +15,8 @@ from gridloom.schema import to_long
 
 QUARTILES = (0.25, 0.5, 0.75)
 PAIRS_PER_PASS = 100
+#: Ranks that a task gathers by row.
+PER_TASK = 500_000
 
 
 def known(c: Column) -> Column:
@@ -190,7 +192,7 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     rows = cut(df.select(F.monotonically_increasing_id().alias("__id"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names))))
     at = {c: f"c{i}" for i, c in enumerate(names)}
     both = [(at[a], at[b]) for a, b in pairs]
-    lost = rows.agg(*(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNull(), 1)).alias(f"{x}_{y}") for a, b in both for x, y in ((a, b), (b, a)))).first()
+    lost = rows.agg(F.count(F.lit(1)).alias("__n"), *(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNull(), 1)).alias(f"{x}_{y}") for a, b in both for x, y in ((a, b), (b, a)))).first()
     sides = {}
     for a, b in both:
         for x, y in ((a, b), (b, a)):
@@ -198,7 +200,10 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     keyed = dict(sides.values())
     long = rows.select("__id", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in keyed.items()))).alias("s")).select("__id", "s.*").where("value IS NOT NULL")
     ranked = average_ranks(long, "value", ["key"])
-    wide = cut(ranked.groupBy("__id").agg(*(F.max(F.when(F.col("key") == k, F.col("avg_rank"))).alias(k) for k in keyed)))
+    # Dealt by row before they are gathered: gathering within what ranks come in would hold nearly all rows of a task.
+    parts = max(1, -(-lost["__n"] * len(keyed) // PER_TASK))
+    dealt = ranked.select("__id", "key", "avg_rank").repartition(parts, "__id")
+    wide = cut(dealt.groupBy("__id").agg(*(F.max(F.when(F.col("key") == k, F.col("avg_rank"))).alias(k) for k in keyed)))
     table = correlations(wide, [(sides[a, b][0], sides[b, a][0]) for a, b in both])
     named = F.array(*(F.struct(F.lit(sides[x, y][0]).alias("k1"), F.lit(sides[y, x][0]).alias("k2"), F.lit(a).alias("f1"), F.lit(b).alias("f2")) for (a, b), (x, y) in zip(pairs, both, strict=True)))
     match = F.filter(named, lambda n: (n["k1"] == F.col("feature_1")) & (n["k2"] == F.col("feature_2")))[0]

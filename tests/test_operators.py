@@ -324,6 +324,17 @@ def test_places(spark):
     assert len(rows) == 500 and all(r.place == r.v for r in rows)
 
 
+def test_ranks_are_gathered_by_tasks_that_grow_in_number(spark, monkeypatch):
+    kept, plain = [], eda.cut
+    monkeypatch.setattr(eda, "PER_TASK", 50)
+    monkeypatch.setattr(eda, "cut", lambda df: kept.append(plain(df)) or kept[-1])
+    df = spark.createDataFrame([(float(i % 17), float(i * 7 % 23)) for i in range(200)], "a double, b double")
+    a, b = (np.array([r[c] for r in df.collect()]) for c in (0, 1))
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    assert eda.spearman(df, [("a", "b")]).first().r == pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1])
+    assert kept[-1].count() == 200 and kept[-1].rdd.getNumPartitions() == 8  # 400 ranks, 50 a task
+
+
 def test_spearman_with_gaps(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(80, 3)), 1)
