@@ -68,3 +68,30 @@ def test_larger_tables_get_the_models_from_edges(spark):
         a, b = ({tuple(r[k] for k in key): r[value] for r in t[table].collect()} for t in (wide, near))
         assert a.keys() == b.keys()
         assert max(abs(a[k] - b[k]) / (1 + abs(b[k])) for k in a) < 0.1
+
+
+def test_traces_of_units_in_the_same_place(spark):
+    places = [(r, c) for r in range(3) for c in range(4) for _ in range(1 + (r + 2 * c) % 3)]
+    a = np.array([[i != j and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 for j, q in enumerate(places)] for i, p in enumerate(places)], float)
+    w = a / a.sum(1, keepdims=True)
+    table = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "src long, dst long, w double").cache()
+    classes, more = autoregression.twins(table(w))
+    assert classes.select("src").distinct().count() == 12 and sum(n for _, n in more) == len(places) - 12
+    uneven, oneway = w.copy(), w.copy()
+    uneven[0, np.flatnonzero(w[0])[0]] *= 2
+    oneway[0, np.flatnonzero(w[0])[-1]] = 0
+    for m in (w, uneven, oneway):
+        want = [np.trace(np.linalg.matrix_power(m, k)) for k in range(1, autoregression.EXACT + 1)]
+        assert autoregression.exact_traces(table(m)) == pytest.approx(want, abs=1e-9)
+    for m in (uneven, oneway):
+        assert autoregression.twins(table(m))[1] == []
+
+
+def test_vertices_are_dealt_by_the_pairs_they_make(spark, monkeypatch):
+    units = spark.range(40).select(F.col("id").alias("u"), spatial.rectangle(F.lit(0.0), F.col("id") % 4, F.lit(1.0), F.col("id") % 4 + 1).alias("ring"))
+    plain = {tuple(r) for r in spatial.queen_edges(units, "u").collect()}
+    monkeypatch.setattr(spatial, "PAIRS_PER_TASK", 100)
+    dealt = spatial.queen_edges(units, "u")
+    assert {tuple(r) for r in dealt.collect()} == plain and len(plain) == 2 * 10 * 19 + 2 * 10 * 29
+    # 4 vertices of 10 units and 6 of 20: 2,800 pairs
+    assert "hashpartitioning(p" in dealt._jdf.queryExecution().toString() and ", 28)" in dealt._jdf.queryExecution().toString()
