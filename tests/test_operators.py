@@ -690,3 +690,30 @@ def test_ward_rounds_give_the_clusters_of_one_by_one_merging(spark):
     want = cluster.ward_labels(x, k)
     assert len(got) == len(x) and len(set(got.values())) == k
     assert cluster.ari_of(want, np.array([got[i] for i in range(len(x))])) == 1.0
+
+
+def test_ward_merges_against_one_by_one():
+    x = np.random.default_rng(8).normal(size=(60, 3))
+    groups, want = [[i] for i in range(60)], []
+    while len(groups) > 1:
+        costs = {(i, j): len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum() for i, a in enumerate(groups) for j, b in enumerate(groups[:i])}
+        i, j = min(costs, key=costs.get)
+        want.append(costs[i, j])
+        groups[j] += groups.pop(i)
+    made = sorted(cluster.ward_merges(x, np.ones(60)))
+    assert [m[0] for m in made] == pytest.approx(want) and len({m[1] for m in made}) == 59
+
+
+def test_ward_compares_equal_points_once_and_only_clusters_that_changed(spark, monkeypatch):
+    x, compared = np.random.default_rng(9).normal(size=(60, 2)), []
+    real = cluster.tile_pairs
+    monkeypatch.setattr(cluster, "tile_pairs", lambda a, *rest: (compared.append(a.count()), real(a, *rest))[1])
+    rows = [(i + 60 * c, float(a), float(b)) for c in range(5) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {r.id: r.cluster for r in cluster.ward(df, ["a", "b"], 3, bound=20).collect()}
+    assert compared[0] == 60 and len(compared) > 1 and max(compared[1:]) < 40
+    assert len(got) == 300 and all(got[i] == got[i % 60] for i in got)
+    want = cluster.joined_labels(60, sorted(cluster.ward_merges(x, np.full(60, 5.0)))[:57])
+    assert cluster.ari_of(want, np.array([got[i] for i in range(60)])) == 1.0
+    few = {r.id: r.cluster for r in cluster.ward(df.where("id % 60 < 2"), ["a", "b"], 4).collect()}
+    assert len(few) == 10 and len(set(few.values())) == 4
