@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,9 @@ def assigned(df: DataFrame, columns: list[str], model) -> DataFrame:
     return model.transform(as_vector(df, columns)).withColumnRenamed("prediction", "cluster").drop("features")
 
 
+#: Rows of a cross-section that tasks hold whole, as a broadcast matrix (64 columns: 128 MB); beyond, fits share passes.
+SMALL = 250_000
+
 #: Tiles of a side at most: a point is shipped once per tile of the other side, so that shuffles grow with the points.
 TILES = 32
 
@@ -343,7 +347,7 @@ def fit_once(x: np.ndarray, k: int, seed: int, max_iter: int = 300) -> tuple[flo
     return float(to(centres).min(1).sum()), centres
 
 
-def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 100, seed: int = 42, bound: int = 100_000) -> dict[int, Centres]:
+def best_fits(df: DataFrame, columns: list[str], ks: list[int], starts: int = 100, seed: int = 42, bound: int = SMALL) -> dict[int, Centres]:
     """The best of ``starts`` k-means per k. Up to ``bound`` rows a start is a row, spread over the cluster; starts on
     larger inputs share their passes over the rows."""
     spark = df.sparkSession
@@ -374,10 +378,10 @@ def best_fits_by_columns(df: DataFrame, sets: dict[str, list[str]], k: int, star
     return {name: Centres(centres, cost) for name, (cost, centres) in zip(sets, found, strict=True)}
 
 
-def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 50, seed: int = 42, starts: int = 100, reference_starts: int = 10, fits: dict[int, Centres] | None = None, bound: int = 100_000) -> list[tuple[int, float, float]]:
+def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references: int = 50, seed: int = 42, starts: int = 100, reference_starts: int = 10, fits: dict[int, Centres] | None = None, bound: int = SMALL) -> list[tuple[int, float, float]]:
     """(k, gap, standard error) against uniform references between each column's extremes, one reference for all k.
-    ``fits`` are the best fits of ``df`` if they are known. Up to ``bound`` rows a reference is a row, spread over
-    the cluster; beyond, tasks draw a block of reference rows for a block of rows, and all references share passes."""
+    ``fits`` are the best fits of ``df`` if they are known. Up to ``bound`` rows a reference and a k are a row, spread
+    over the cluster; beyond, tasks draw a block of reference rows for a block of rows, and all references share passes."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"l{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"h{i}") for i, c in enumerate(columns))).first()
     spark, n, p = df.sparkSession, row["n"], range(len(columns))
     low, high = ([float(row[f"{side}{i}"]) for i in p] for side in "lh")
@@ -385,13 +389,15 @@ def gap_statistic(df: DataFrame, columns: list[str], ks: list[int], references:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for b in frame["reference"]:
+            for b, k in zip(frame["reference"], frame["k"], strict=True):
                 x = np.random.default_rng([seed, int(b)]).uniform(low, high, (n, len(low)))
-                logs = [float(np.log(together.fit_many(x, k, [seed + s for s in range(reference_starts)])[0].min())) for k in ks]
-                yield pd.DataFrame({"reference": b, "k": ks, "log": logs})
+                costs, _ = together.fit_many(x, int(k), [seed + s for s in range(reference_starts)])
+                yield pd.DataFrame({"reference": [b], "k": [k], "log": [float(np.log(costs.min()))]}).astype({"k": "int32"})
 
     if n <= bound:
-        made = spark.range(references).toDF("reference").repartition(references)
+        i, largest = F.col("id"), sorted(ks, reverse=True)  # the longest fits first
+        made = spark.range(0, references * len(ks), 1, references * len(ks))
+        made = made.select((i % references).alias("reference"), F.get(F.array(*map(F.lit, largest)), F.floor(i / references).cast("int")).alias("k"))
         rows = made.mapInPandas(run, "reference long, k int, log double").collect()
         logs = {k: [r.log for r in sorted(rows) if r.k == k] for k in ks}
     else:
@@ -451,10 +457,11 @@ def table_ari(table: np.ndarray) -> float:
 
 def small_matrix(df: DataFrame, columns: list[str], bound: int = 100_000) -> np.ndarray:
     """A cross-section that is known to be small, in id order; larger ones are refused."""
-    rows = df.select("id", *columns).orderBy("id").limit(bound + 1).collect()
-    if len(rows) > bound:
+    if df.count() > bound:
         raise ValueError(f"more than {bound} rows; this operator works on a cross-section")
-    return np.array([r[1:] for r in rows], float)
+    rows = df.select("id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).toArrow()
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    return x[pc.sort_indices(rows["id"]).to_numpy()]
 
 
 def labels_of(x: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
@@ -463,7 +470,7 @@ def labels_of(x: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
     return squares(x, centres[costs.argmin()]).argmin(1)
 
 
-def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: int = 1000, share: float = 0.8, seed: int = 42, starts: int = 10, bound: int = 100_000) -> DataFrame:
+def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: int = 1000, share: float = 0.8, seed: int = 42, starts: int = 10, bound: int = SMALL) -> DataFrame:
     """ARI of subsample clusterings with the full one. Up to ``bound`` rows a replicate is a row, spread over the
     cluster; replicates of larger inputs are subsamples by the hash of the id and share their passes over the rows."""
     spark = df.sparkSession
@@ -480,10 +487,13 @@ def bootstrap_stability(df: DataFrame, columns: list[str], k: int, replicates: i
         x = shared.value
         full = labels_of(x, k, seed, starts)
         for frame in frames:
-            out = []
-            for b in frame["replicate"]:
-                pick = np.random.default_rng(seed + int(b) + 1).permutation(len(x))[: int(len(x) * share)]
-                out.append(ari_of(full[pick], labels_of(x[pick], k, seed + int(b), starts)))
+            out, every = [], frame["replicate"].to_numpy()
+            for at in range(0, len(every), 8):  # eight share their passes
+                some = [int(b) for b in every[at : at + 8]]
+                picks = [np.random.default_rng(seed + b + 1).permutation(len(x))[: int(len(x) * share)] for b in some]
+                fits = together.fit_parts(x, k, [[seed + b + s for s in range(starts)] for b in some], picks)
+                for pick, (costs, centres) in zip(picks, fits, strict=True):
+                    out.append(ari_of(full[pick], squares(x[pick], centres[costs.argmin()]).argmin(1)))
             yield pd.DataFrame({"replicate": frame["replicate"], "ari": out})
 
     return spark.range(replicates).toDF("replicate").repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "replicate long, ari double")

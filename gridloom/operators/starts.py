@@ -21,6 +21,7 @@ from gridloom.functions.lineage import stage
 
 BLOCK = 2048
 ROWS = 1024
+WIDE = 2048
 
 
 def sums_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,30 +54,95 @@ def moved(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[np
     return new, ((new - centres) ** 2).sum((1, 2))
 
 
-def seeded(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Distance-weighted starting centres."""
-    rng, squares = np.random.default_rng(seed), (x * x).sum(1)
-    to = lambda c: np.maximum(squares - 2 * x @ c + c @ c, 0)
-    centres = [x[rng.integers(len(x))]]
-    near = to(centres[0])
+def seeded(x: np.ndarray, k: int, seeds: list[int]) -> np.ndarray:
+    """Distance-weighted starting centres per seed; distances to the last centres of all seeds are taken at once."""
+    rngs, squares = [np.random.default_rng(s) for s in seeds], (x * x).sum(1)
+    to = lambda c: np.maximum(squares + (c * c).sum(1)[:, None] - 2 * c @ x.T, 0)
+    centres = [x[[r.integers(len(x)) for r in rngs]]]
+    near = to(centres[0]) if k > 1 else None
     while len(centres) < k:
-        pick = rng.choice(len(x), p=near / near.sum()) if near.sum() else rng.integers(len(x))
+        pick = [r.choice(len(x), p=v / t) if (t := v.sum()) else r.integers(len(x)) for r, v in zip(rngs, near, strict=True)]
         centres.append(x[pick])
-        near = np.minimum(near, to(centres[-1]))
-    return np.array(centres)
+        if len(centres) < k:
+            np.minimum(near, to(centres[-1]), out=near)
+    return np.stack(centres, 1)
+
+
+class Single:
+    """Rows of a table for steps in single precision: blocks of columns by rows, about their means and over the common
+    deviation. ``parts`` are lists of the rows that a subsample has; without any there is one of all rows."""
+
+    def __init__(self, x: np.ndarray, parts: list[np.ndarray] | None = None):
+        self.middle, self.scale = x.mean(axis=0), float(np.sqrt(x.var(axis=0).mean())) or 1.0
+        self.blocks = [np.ascontiguousarray(((x[at : at + WIDE] - self.middle) / self.scale).T, np.float32) for at in range(0, len(x), WIDE)]
+        own = np.ones((len(parts or [0]), len(x)), np.float32)
+        for row, part in zip(own, parts or [], strict=False):
+            row[:] = 0
+            row[part] = 1
+        self.own = [np.ascontiguousarray(own[:, at : at + WIDE]) for at in range(0, len(x), WIDE)] if parts else None
+        self.total, self.n = sum((own[:, i * WIDE : (i + 1) * WIDE] @ b.T).astype(float) for i, b in enumerate(self.blocks)), own.sum(1, dtype=float)
+
+    def sums_of(self, centres: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Members and sums per cluster as of :func:`sums_of`, in the part that ``of`` names for each start; the first
+        cluster's are what the others leave."""
+        s, k, d = centres.shape
+        of = np.zeros(s, np.int64) if of is None else of
+        c = (centres - self.middle) / self.scale
+        norm = (c * c).sum(2)
+        turned = (-2 * (c[:, 1:] - c[:, :1])).transpose(1, 0, 2).reshape(-1, d).astype(np.float32)
+        shift = (norm[:, 1:] - norm[:, :1]).T.reshape(-1, 1).astype(np.float32)
+        counts, sums = np.zeros((k - 1, s)), np.zeros(((k - 1) * s, d))
+        for i, part in enumerate(self.blocks):
+            score = turned @ part
+            score += shift
+            score = score.reshape(k - 1, s, -1)
+            least = score.min(0)
+            np.minimum(least, -np.finfo(np.float32).tiny, out=least)  # the first cluster keeps what no other is nearer to
+            hot = (score == least).astype(np.float32)
+            if k > 2 and hot.sum(0).max() > 1:  # of equally near ones, the first
+                hot *= hot.cumsum(0) == 1
+            if self.own:
+                hot *= self.own[i][of]
+            counts += hot.sum(2)
+            sums += hot.reshape((k - 1) * s, -1) @ part.T
+        counts, sums = counts.T, sums.reshape(k - 1, s, d).transpose(1, 0, 2)
+        counts = np.concatenate([self.n[of, None] - counts.sum(1, keepdims=True), counts], 1)
+        sums = np.concatenate([(self.total[of] - sums.sum(1))[:, None], sums], 1)
+        return counts, sums * self.scale + counts[..., None] * self.middle
 
 
 def fit_many(x: np.ndarray, k: int, seeds: list[int], max_iter: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Costs and centres of a k-means per seed, run until its centres stand still."""
-    centres, live = np.array([seeded(x, k, s) for s in seeds]), np.arange(len(seeds))
-    limit = 1e-4 * x.var(axis=0).mean()
-    for _ in range(max_iter):
-        counts, sums, _ = sums_of(x, centres[live])
-        centres[live], shift = moved(centres[live], counts, sums)
-        live = live[shift > limit]
+    return next(fit_parts(x, k, [seeds], None, max_iter))
+
+
+def fit_parts(x: np.ndarray, k: int, seeds: list[list[int]], parts: list[np.ndarray] | None, max_iter: int = 300) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`fit_many` of several subsamples, lists of rows, each from its own seeds. Steps are taken for all of them at
+    once and in single precision as long as centres move; the step that no longer moves them, and those after it if it
+    does, in double precision."""
+    rows = lambda i: x if parts is None else x[parts[i]]
+    centres = np.concatenate([seeded(rows(i), k, own) for i, own in enumerate(seeds)])
+    limits = np.array([1e-4 * rows(i).var(axis=0).mean() for i in range(len(seeds))])
+    of = np.repeat(np.arange(len(seeds)), [len(own) for own in seeds])
+    live = np.flatnonzero(limits[of] > 0) if k > 1 else []
+    single = Single(x, parts) if len(live) else None
+    for _ in range(max_iter - 1):
         if not len(live):
             break
-    return np.maximum((x * x).sum() + sums_of(x, centres)[2], 0), centres
+        new, shift = moved(centres[live], *single.sums_of(centres[live], of[live]))
+        move = shift > limits[of[live]] * 1.0001
+        live = live[move]
+        centres[live] = new[move]
+    for i, limit in enumerate(limits):
+        v, own = rows(i), centres[of == i]
+        live = np.arange(len(own))
+        for _ in range(max_iter):
+            counts, sums, _ = sums_of(v, own[live])
+            own[live], shift = moved(own[live], counts, sums)
+            live = live[shift > limit]
+            if not len(live):
+                break
+        yield np.maximum((v * v).sum() + sums_of(v, own)[2], 0), own
 
 
 @dataclass

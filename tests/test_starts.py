@@ -1,5 +1,7 @@
 """Many k-means starts in the same passes, against one fit after the other."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -65,3 +67,28 @@ def test_tiles_are_bounded_in_number_and_lose_no_pair(spark, monkeypatch):
     for i in range(0, 200, 17):
         for c in range(3):
             assert got[i, c] == (pytest.approx(d[i, c::3].sum()), len(range(c, 200, 3)))
+
+
+def test_starts_in_memory_take_their_steps_in_single_precision(monkeypatch):
+    passes, real = [], starts.sums_of
+    x = np.random.default_rng(3).normal(size=(5000, 6)) + 1e4
+    want = [cluster.fit_once(x - 1e4, 4, s)[0] for s in range(4)]
+    monkeypatch.setattr(starts, "sums_of", lambda *a: (passes.append(1), real(*a))[1])
+    costs, centres = starts.fit_many(x, 4, list(range(4)))
+    assert len(passes) < 10  # in double precision each start takes some tens of them
+    assert costs.min() == pytest.approx(min(want), rel=1e-2)
+    own = cluster.squares(x - 1e4, centres[0] - 1e4).argmin(1)
+    assert ((x - centres[0][own]) ** 2).sum() == pytest.approx(costs[0], rel=1e-4)
+
+
+def test_steps_in_single_precision_count_rows_once():
+    x = np.repeat(np.random.default_rng(4).normal(size=(50, 3)), 3, axis=0)
+    centres = np.array([[x[0], x[3], x[3], x[9]], [x[6], x[6], x[6], x[6]]])  # equal centres: rows belong to the first
+    counts, sums = starts.Single(x).sums_of(centres)
+    want = starts.sums_of(x, centres)
+    assert counts == pytest.approx(want[0]) and sums == pytest.approx(want[1], abs=1e-4)
+
+
+def test_cross_sections_fit_in_memory_at_sizes_of_a_gigabyte():
+    for f in (cluster.best_fits, cluster.gap_statistic, cluster.bootstrap_stability):
+        assert inspect.signature(f).parameters["bound"].default >= 120_000
