@@ -193,6 +193,73 @@ def silhouette_samples(df: DataFrame, columns: list[str], label: str = "cluster"
     return per.select("id", label, F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(value, F.lit(0.0))).alias("silhouette"))
 
 
+def mean_silhouettes(df: DataFrame, columns: list[str], labels: dict[str, int]) -> dict[str, float]:
+    """Mean Euclidean silhouette of each of several labellings: columns of codes from 0 below the given numbers. A distance
+    is taken once for all of them and for both of its ends, by pairs of tiles."""
+    starts_at = dict(zip(labels, np.cumsum([0, *labels.values()]).tolist(), strict=False))
+    wide, kind, count = sum(labels.values()), dict(df.dtypes)["id"], df.count()
+    sizes = np.zeros(wide)
+    for name, at in starts_at.items():
+        for r in df.groupBy(name).count().collect():  # a row per cluster
+            sizes[at + r[0]] = r[1]
+
+    def coded(blocks: list) -> list:
+        out = []
+        for rows, x in blocks:
+            hot = np.zeros((len(x), wide))
+            for name, at in starts_at.items():
+                hot[np.arange(len(x)), at + rows[name].to_numpy()] = 1
+            out.append((rows, x, (x * x).sum(1), hot, np.zeros((len(x), wide))))
+        return out
+
+    def measure(a: list, b: list | None) -> pa.Table:
+        if not a or b == []:
+            return empty
+        mine = coded(a)
+        theirs = mine if b is None else coded(b)
+        for j, (_, y, other, to, back) in enumerate(theirs):
+            turned = np.ascontiguousarray(-2 * y.T)
+            for i, (_, x, own, hot, total) in enumerate(mine):
+                if b is None and i > j:
+                    continue
+                for at in range(0, len(x), 256):
+                    part = slice(at, at + 256)
+                    d = x[part] @ turned
+                    d += other
+                    d += own[part, None]
+                    if d.min() < 1e-6:  # cancellation: take the few very near pairs directly
+                        p, q = np.nonzero(d < 1e-6)
+                        d[p, q] = ((x[part][p] - y[q]) ** 2).sum(1)
+                    np.sqrt(d, out=d)
+                    total[part] += d @ to
+                    if b is not None or i < j:
+                        back += d.T @ hot[part]
+        both = mine if b is None else mine + theirs
+        return pa.concat_tables([pa.table([rows["id"], *(rows[name] for name in labels), *total.T], schema=empty.schema) for rows, _, _, _, total in both])
+
+    schema = ", ".join([f"id {kind}", *(f"`{name}` int" for name in labels), *(f"t{i} double" for i in range(wide))])
+    empty = no_rows(schema)
+    parts = tile_pairs(df.select("id", *(F.col(name).cast("int").alias(name) for name in labels), *columns), None, columns, measure, schema, max(TILE, min(8 * TILE, -(-count // 8))))
+    sums = parts.groupBy("id", *labels).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(wide)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, row = [], np.arange(batch.num_rows)
+            for at, (name, k) in zip(starts_at.values(), labels.items(), strict=True):
+                own = batch[name].to_numpy()
+                total, n = np.column_stack([batch[f"t{at + c}"].to_numpy() for c in range(k)]), sizes[at : at + k]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.where(n > 0, total / n, np.inf)
+                    near[row, own] = np.inf
+                    inner, outer = total[row, own] / (n[own] - 1), near.min(1)
+                    value = (outer - inner) / np.maximum(inner, outer)
+                out.append(np.where((n[own] > 1) & np.isfinite(value), value, 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=list(labels))
+
+    found = sums.mapInArrow(finish, ", ".join(f"`{name}` double" for name in labels)).agg(*(F.avg(name).alias(name) for name in labels)).first()
+    return {name: found[name] for name in labels}
+
+
 def _centres(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns))
 

@@ -283,10 +283,14 @@ def k_selection(spark, sf_dir):
     df = cluster.compact(points(spark, sf_dir).select("id", *XS))
     ks, rows = [2, 3, 4, 5, 6, 7, 8], []
     fits = cluster.best_fits(df, XS, ks, starts=100)
+    every = df
     for k in ks:
-        labelled = cluster.compact(cluster.assigned(df, XS, fits[k]))
-        s = cluster.silhouette_samples(labelled, XS).agg(F.avg("silhouette")).first()[0]
-        rows.append((k, s, cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"]))
+        every = cluster.assigned(every, XS, fits[k]).withColumnRenamed("cluster", f"k{k}")
+    every = cluster.compact(every)
+    silhouettes = cluster.mean_silhouettes(every, XS, {f"k{k}": k for k in ks})
+    for k in ks:
+        labelled = every.withColumnRenamed(f"k{k}", "cluster")
+        rows.append((k, silhouettes[f"k{k}"], cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"]))
     gap = cluster.gap_statistic(df, XS, ks, references=50, fits=fits)
     votes = {"silhouette": max(rows, key=lambda r: r[1])[0], "ch": max(rows, key=lambda r: r[2])[0], "db": min(rows, key=lambda r: r[3])[0], "gap": cluster.gap_choice(gap), "elbow": cluster.elbow(ks, [r[4] for r in rows])}
     chosen = cluster.vote(votes)

@@ -92,3 +92,14 @@ def test_steps_in_single_precision_count_rows_once():
 def test_cross_sections_fit_in_memory_at_sizes_of_a_gigabyte():
     for f in (cluster.best_fits, cluster.gap_statistic, cluster.bootstrap_stability):
         assert inspect.signature(f).parameters["bound"].default >= 120_000
+
+
+def test_silhouettes_of_several_labellings_take_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 16)
+    passes, real = [], cluster.tile_pairs
+    monkeypatch.setattr(cluster, "tile_pairs", lambda *a: (passes.append(1), real(*a))[1])
+    df = frame(spark, np.r_[blobs(150), blobs(150)[:20]]).withColumns({"u": F.col("id") % 3, "v": F.when(F.col("a") > 3, 1).otherwise(0), "w": F.when(F.col("id") == 7, 1).otherwise(F.col("id") % 2 * 2)})
+    got = cluster.mean_silhouettes(df, COLUMNS, {"u": 3, "v": 2, "w": 4})
+    assert len(passes) == 1
+    for name, value in got.items():
+        assert value == pytest.approx(cluster.silhouette_samples(df, COLUMNS, name).agg(F.avg("silhouette")).first()[0])
