@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -281,16 +283,20 @@ def kmeans_in_pca_space(spark, sf_dir):
 def k_selection(spark, sf_dir):
     """Metrics by k, votes and the choice."""
     df = cluster.compact(points(spark, sf_dir).select("id", *XS))
-    ks, rows = [2, 3, 4, 5, 6, 7, 8], []
+    ks = [2, 3, 4, 5, 6, 7, 8]
     fits = cluster.best_fits(df, XS, ks, starts=100)
     every = df
     for k in ks:
         every = cluster.assigned(every, XS, fits[k]).withColumnRenamed("cluster", f"k{k}")
     every = cluster.compact(every)
     silhouettes = cluster.mean_silhouettes(every, XS, {f"k{k}": k for k in ks})
-    for k in ks:
+
+    def metrics(k: int) -> tuple:
         labelled = every.withColumnRenamed(f"k{k}", "cluster")
-        rows.append((k, silhouettes[f"k{k}"], cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"]))
+        return (k, silhouettes[f"k{k}"], cluster.calinski_harabasz(labelled, XS).first()[0], cluster.davies_bouldin(labelled, XS).first()[0], cluster.within_between(labelled, XS).first()["ssw"])
+
+    with ThreadPoolExecutor(len(ks)) as pool:  # short jobs, side by side
+        rows = list(pool.map(metrics, ks))
     gap = cluster.gap_statistic(df, XS, ks, references=50, fits=fits)
     votes = {"silhouette": max(rows, key=lambda r: r[1])[0], "ch": max(rows, key=lambda r: r[2])[0], "db": min(rows, key=lambda r: r[3])[0], "gap": cluster.gap_choice(gap), "elbow": cluster.elbow(ks, [r[4] for r in rows])}
     chosen = cluster.vote(votes)
